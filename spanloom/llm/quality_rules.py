@@ -146,20 +146,24 @@ def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[tuple[str,
 
 
 def _best(hist: dict, cuts: dict[str, list[float]], p0: int, n0: int) -> tuple[float, Condition | None, int, int]:
-    """The condition of highest FOIL gain, with the rows it leaves."""
+    """The condition of highest FOIL gain, with the rows it leaves; of cuts that leave the same rows, the middle one."""
     if not p0:
         return 0.0, None, 0, 0
-    best, base = (0.0, None, 0, 0), math.log2(p0 / (p0 + n0))
+    base = math.log2(p0 / (p0 + n0))
+    found: dict[tuple, list[float]] = {}
     for f, cs in cuts.items():
         for k, cut in enumerate(cs):
             up = [sum(v[i] for (g, b), v in hist.items() if g == f and b > k) for i in (0, 1)]
             for above, (p, n) in ((True, up), (False, (p0 - up[0], n0 - up[1]))):
-                if p and (gain := p * (math.log2(p / (p + n)) - base)) > best[0] + 1e-9:
-                    best = (gain, Condition(f, cut, above), p, n)
-    return best
+                if p and (gain := p * (math.log2(p / (p + n)) - base)) > 1e-9:
+                    found.setdefault((round(gain, 9), f, above, p, n), []).append(cut)
+    if not found:
+        return 0.0, None, 0, 0
+    gain, f, above, p, n = best = max(found)
+    return gain, Condition(f, found[best][len(found[best]) // 2], above), p, n
 
 
-def learn(labelled: DataFrame, features: list[str] = FEATURES, bins: int = 24, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.9, min_cover: float = 0.004) -> list[Rule]:
+def learn(labelled: DataFrame, features: list[str] = FEATURES, bins: int = 12, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.9, min_cover: float = 0.004) -> list[Rule]:
     """Sequential covering over all labelled rows: columns ``bad`` (0/1), ``grow`` (boolean) and the features.
 
     A rule is grown while its precision on the growing rows is under 0.995 and
@@ -168,11 +172,12 @@ def learn(labelled: DataFrame, features: list[str] = FEATURES, bins: int = 24, m
     that is right on fewer than ``min_precision`` of the pruning rows it covers,
     ends the list: clean documents stay.
     """
-    marks = [(k + 0.5) / bins for k in range(bins)]
+    marks = [k / bins for k in range(bins + 1)]
     both = labelled.select(*[F.percentile_approx(f, marks, 2000).alias(f) for f in features], *[F.percentile_approx(F.when(F.col("bad") == 1, F.col(f)), marks, 2000).alias(f"{f}_bad") for f in features], F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).first()
     if not both["p"] or not both["n"]:
         return []
-    cuts = {f: sorted({float(x) for x in (both[f] or []) + (both[f"{f}_bad"] or []) if x is not None and math.isfinite(x)}) for f in features}
+    seen = {f: sorted({float(x) for x in (both[f] or []) + (both[f"{f}_bad"] or []) if x is not None and math.isfinite(x)}) for f in features}
+    cuts = {f: sorted(set(xs) | {a + (b - a) * part for a, b in zip(xs, xs[1:]) for part in (0.25, 0.5, 0.75)}) for f, xs in seen.items()}
     rules: list[Rule] = []
     least = max(3.0, min_cover * both["p"])
     while len(rules) < max_rules:
