@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spanloom.functions.shipping import ship_package
+
 #: The separators of words: blank and the controls from tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -37,6 +39,11 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(table: DataFrame, most: int = 50_000) -> DataFrame:
+    """A stored table to be broadcast if it was found to have few rows; larger ones are joined by a shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
@@ -57,7 +64,7 @@ def text_key(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship_package(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:

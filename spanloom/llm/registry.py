@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from spanloom.llm import mixing
+from spanloom.llm.bpe import op6_bpe
+from spanloom.llm.licenses import op9_license_scan
 from spanloom.llm.quality_rules import op4_quality_rules
+from spanloom.llm.secrets import op2_secret_scan
+from spanloom.llm.sharding import op8_sharding
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op6_bpe": op6_bpe,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_sharding": op8_sharding,
+    "op9_license_scan": op9_license_scan,
 }
-SQL: dict[str, str] = {}
+SQL = {"op7_mixing": mixing.OP7_SQL}
