@@ -3,10 +3,13 @@
 Coarse centroids and codebooks are fitted on at most SAMPLE vectors; both have a
 size set by parameters, so tasks get them with their function. Every vector gets
 its nearest cell and the codes of its residual. A query probes its nearest cells
-until it has met PROBES cells and ENOUGH vectors. Cells are cut into blocks of
-rows, and their queries into chunks; a task works on one block and one chunk with
+until these hold a share of all vectors, which is calibrated: within the sample,
+cells up to that share hold RECALL of the true neighbours of CALIBRATED vectors.
+Data in clear clusters need few cells, data without structure most of them. Small
+cells are packed into bins, large ones cut into several, so a bin holds about BIN
+rows; queries are dealt into chunks. A task works on one bin and one chunk with
 asymmetric distance tables and returns each query's best CANDIDATES. The best of
-those over all cells are reranked by their exact distance in double precision.
+those over all bins are reranked by their exact distance in double precision.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows without an id or with another dimension than
@@ -28,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from spanloom.functions.shipping import ship_package
 from spanloom.llm.common import stored
 
-SAMPLE, MOST_CELLS, PARTS, CODES = 20_000, 1024, 16, 256
-PROBES, ENOUGH, CANDIDATES = 16, 1000, 60
-BLOCK, CHUNK = 8192, 512
+SAMPLE, MOST_CELLS, PARTS, CODES = 20_000, 1024, 32, 256
+RECALL, CALIBRATED, ENOUGH, CANDIDATES = 0.97, 200, 1000, 80
+BIN, CHUNK = 8192, 256
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,21 +70,35 @@ class Quantiser:
         rest = sample - cells[squared(sample, cells).argmin(1)]
         parts = min(PARTS, sample.shape[1])
         cuts = [round(k * sample.shape[1] / parts) for k in range(parts + 1)]
-        return cls(cells, [k_means(rest[:, a:b], CODES, 12, seed + k) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], cuts)
+        return cls(cells, [k_means(rest[:6000, a:b], CODES, 8, seed + k) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], cuts)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, codes, and the part of the squared distance that no query changes: |r|^2 + 2 c.r for the coded residual r."""
         cell = squared(x, self.cells).argmin(1)
         rest = x - self.cells[cell]
-        return cell, np.stack([squared(rest[:, a:b], book).argmin(1) for book, a, b in zip(self.books, self.cuts, self.cuts[1:])], 1).astype(np.uint8)
+        codes = np.stack([squared(rest[:, a:b], book).argmin(1) for book, a, b in zip(self.books, self.cuts, self.cuts[1:])], 1)
+        r = np.concatenate([book[c] for book, c in zip(self.books, codes.T)], 1)
+        return cell, codes.astype(np.uint8), (r * r).sum(1) + 2 * (self.cells[cell] * r).sum(1)
 
-    def table(self, query: np.ndarray, cell: int) -> np.ndarray:
-        """Squared distances of the query's residual to every code, part by part."""
-        rest = query - self.cells[cell]
-        out = np.full((len(self.books), CODES), np.inf)
+    def table(self, query: np.ndarray) -> np.ndarray:
+        """Inner products of the query with every code, part by part: the same table serves all cells."""
+        out = np.zeros((len(self.books), CODES))
         for k, (book, a, b) in enumerate(zip(self.books, self.cuts, self.cuts[1:])):
-            out[k, : len(book)] = ((book - rest[a:b]) ** 2).sum(1)
+            out[k, : len(book)] = book @ query[a:b]
         return out
 
+    def share_to_probe(self, sample: np.ndarray, k: int = 10) -> float:
+        """The share of the vectors that the probed cells must hold to have RECALL of the neighbours in the sample."""
+        cell = squared(sample, self.cells).argmin(1)
+        sizes = np.bincount(cell, minlength=len(self.cells))
+        asked = sample[:: max(1, len(sample) // CALIBRATED)][:CALIBRATED]
+        apart = squared(asked, sample)
+        near = np.argsort(apart, 1)[:, 1 : k + 1]
+        order = squared(asked, self.cells).argsort(1)
+        place = order.argsort(1)
+        met = np.take_along_axis(sizes[order].cumsum(1), np.take_along_axis(place, cell[near], 1), 1) / len(sample)
+        return float(np.quantile(met, RECALL)) if met.size else 1.0
+
 
 def matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -101,6 +118,21 @@ def usable(table: DataFrame, id: str = "vec_id", vector: str = "embedding") -> D
     return rows.filter(F.size("v") == (usual["n"] if usual else 0))
 
 
+def packed(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first bin of each cell and its number of bins: large cells get bins of their own, small ones share them."""
+    first, bins = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // BIN))
+    now, filled = 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if filled and filled + n > BIN:
+            now, filled = now + 1, 0
+        first[c] = now
+        if bins[c] > 1:
+            now, filled = now + int(bins[c]), 0
+        else:
+            filled += n
+    return first, bins
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_row, query_id, rank, vec_id, score): each query's nearest found. Both inputs come from ``usable``."""
     total = vectors.count()
@@ -112,33 +144,43 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     q = Quantiser.fit(np.array([r["v"] for r in sample]), total)
     dimension = q.cells.shape[1]
 
+    share = q.share_to_probe(np.array([r["v"] for r in sample]), k)
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, codes = q.encode(matrix(batch.column("v"), dimension))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "vec_id", "cell", "codes"])
+            cell, codes, own = q.encode(matrix(batch.column("v"), dimension))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own)], names=["row", "vec_id", "cell", "codes", "own"])
 
-    index = stored(vectors.mapInArrow(coded, "row long, vec_id long, cell int, codes binary"), "cells")
+    index = stored(vectors.mapInArrow(coded, "row long, vec_id long, cell int, codes binary, own double"), "cells")
     sizes = np.zeros(len(q.cells), np.int64)
     for r in index.groupBy("cell").count().collect():  # one row a cell, MOST_CELLS at most
         sizes[r["cell"]] = r["count"]
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    first_bin, bins = packed(sizes)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order = squared(matrix(batch.column("v"), dimension), q.cells).argsort(1)
             met = sizes[order].cumsum(1)
-            n = np.maximum(PROBES, (met < ENOUGH).sum(1) + 1).clip(max=order.shape[1])
-            rows = np.repeat(np.arange(len(n)), n)
-            cells = np.concatenate([o[:m] for o, m in zip(order, n)]) if len(n) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows)), batch.column("v").take(pa.array(rows)), pa.array(cells, pa.int32()), pa.array(blocks[cells], pa.int32())], names=["query", "v", "cell", "blocks"])
-
-    probes = queries.select("row", "v").mapInArrow(probed, "query long, v array<double>, cell int, blocks int")
-    probes = stored(probes, "probes")
-    asked = probes.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    chunk = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), "chunks").cast("int")
-    left = probes.join(F.broadcast(asked), "cell").select("query", "v", "cell", chunk("query").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    by_cell = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    right = index.join(F.broadcast(asked), "cell").select("row", "vec_id", "codes", "cell", F.pmod(F.xxhash64("row", F.lit(2)), by_cell).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+            n = ((met < max(ENOUGH, share * total)).sum(1) + 1).clip(max=order.shape[1])
+            at, bin_of, cells = [], [], []
+            for x, (o, m) in enumerate(zip(order, n)):
+                by_bin: dict[int, list[int]] = {}
+                for c in o[:m].tolist():
+                    for b in range(first_bin[c], first_bin[c] + bins[c]):
+                        by_bin.setdefault(b, []).append(c)
+                at += [x] * len(by_bin)
+                bin_of += by_bin
+                cells += by_bin.values()
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(take), batch.column("v").take(take), pa.array(bin_of, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["query", "v", "bin", "cells"])
+
+    probes = stored(queries.select("row", "v").mapInArrow(probed, "query long, v array<double>, bin int, cells array<int>"), "probes")
+    n_bins = int((first_bin + bins).max())
+    chunks = max(1, -(-queries.count() // CHUNK))
+    left = probes.withColumn("chunk", F.pmod(F.xxhash64("query", F.lit(1)), F.lit(chunks)).cast("int"))
+    of_cell = lambda xs: F.element_at(F.array(*[F.lit(int(x)) for x in xs]), F.col("cell") + 1)
+    bin_of = of_cell(first_bin) + F.pmod(F.xxhash64("row", F.lit(2)), of_cell(bins)).cast("int")
+    right = index.withColumn("bin", bin_of.cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def best(asking: pa.Table, block: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -146,25 +188,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             ids, rows = block.column("vec_id").to_numpy(), block.column("row").to_numpy()
             order = np.lexsort((rows, ids))
             ids, rows = ids[order], rows[order]
+            cell, own = block.column("cell").to_numpy()[order], block.column("own").to_numpy()[order]
             codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(rows), -1)[order].astype(np.intp)
             steps = np.arange(codes.shape[1])
-            cell = asking.column("cell")[0].as_py()
-            for query, v in zip(asking.column("query").to_pylist(), matrix(asking.column("v"), dimension)):
-                d = q.table(v, cell)[steps, codes].sum(1)
-                d[rows == query] = np.inf
+            for query, v, cells in zip(asking.column("query").to_pylist(), matrix(asking.column("v"), dimension), asking.column("cells").to_pylist()):
+                to_cell = np.full(len(q.cells), np.inf)
+                to_cell[cells] = ((q.cells[cells] - v) ** 2).sum(1)
+                some = np.flatnonzero(np.isfinite(to_cell[cell]) & (rows != query))
+                d = to_cell[cell[some]] + own[some] - 2 * q.table(v)[steps, codes[some]].sum(1)
                 if len(d) > 4 * CANDIDATES:
                     near = np.flatnonzero(d <= np.partition(d, CANDIDATES)[CANDIDATES])
                     near = near[np.argsort(d[near], kind="stable")[:CANDIDATES]]
                 else:
                     near = np.argsort(d, kind="stable")[:CANDIDATES]
-                near = near[np.isfinite(d[near])]
-                out.append((np.full(len(near), query), rows[near], ids[near], d[near]))
+                out.append((np.full(len(near), query), rows[some[near]], ids[some[near]], d[near]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 4
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         return pa.table([pa.array(c, kind) if len(c) else pa.array([], kind) for c, kind in zip(columns, kinds)], names=["query", "row", "vec_id", "about"])
 
-    keys = ["cell", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query long, row long, vec_id long, about double")
+    keys = ["bin", "chunk"]
+    units = max(1, min(n_bins * chunks, 100_000))
+    deal = lambda df: df.repartition(units, *keys)
+    found = deal(left).groupBy(*keys).cogroup(deal(right).groupBy(*keys)).applyInArrow(best, "query long, row long, vec_id long, about double")
     first = F.row_number().over(Window.partitionBy("query").orderBy("about", "vec_id", "row"))
     pairs = stored(found.withColumn("n", first).filter(F.col("n") <= CANDIDATES).select("query", "row"), "pairs")
     near = pairs.join(vectors.select("row", "vec_id", F.col("v").alias("w")), "row")
