@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.llm.common import documents, fold, let, stored, text_or_empty, words
 
-SAMPLE, HASHED, FACTORS, THRESHOLD = 16_000, 2048, 4, 0.3
+SAMPLE, HASHED, FACTORS, THRESHOLD = 10_000, 1024, 4, 0.3
 #: Upper ends of the bins of each statistic.
 BINS = {
     "symbols": [0.0, 0.01, 0.03, 0.06, 0.1, 0.2],
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **names):
     counts = train.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     if not counts["n"] or counts["ones"] in (0, counts["n"]):
         return counts["ones"] / counts["n"] if counts["n"] else 0.5
-    machine = FMClassifier(featuresCol="x", labelCol="label", factorSize=FACTORS, maxIter=60, stepSize=0.1, regParam=1e-5, initStd=0.01, seed=5)
+    machine = FMClassifier(featuresCol="x", labelCol="label", factorSize=FACTORS, maxIter=40, stepSize=0.1, regParam=1e-5, initStd=0.01, seed=5)
     return machine.fit(train.select("x", "label").coalesce(12))
 
 

@@ -5,13 +5,19 @@ from __future__ import annotations
 from spanloom.llm import mixing
 from spanloom.llm.bpe import op6_bpe
 from spanloom.llm.licenses import op9_license_scan
+from spanloom.llm.nearest import op5_nearest
+from spanloom.llm.neardup import op1_ngram_jaccard_join
+from spanloom.llm.quality_model import op3_quality_classifier
 from spanloom.llm.quality_rules import op4_quality_rules
 from spanloom.llm.secrets import op2_secret_scan
 from spanloom.llm.sharding import op8_sharding
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_nearest": op5_nearest,
     "op6_bpe": op6_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": op8_sharding,
