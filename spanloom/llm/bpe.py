@@ -44,12 +44,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class Seen(dict):
+    """Coded pre-tokens: ids as 32-bit bytes, as decimal text, and their number. Emptied when full; long ones are not kept."""
+
+    KEPT, LONGEST = 400_000, 64
+
+    def __init__(self, code):
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, s: str) -> tuple[bytes, str, int]:
+        ids = self.code(s.encode("utf-8", "surrogatepass"))
+        coded = (np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)), len(ids))
+        if len(s) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[s] = coded
+        return coded
+
+
 class Bpe:
     """Encoder and decoder of one byte-level vocabulary file."""
 
-    #: Entries of the table of pre-tokens seen; it is emptied when full.
-    KEPT = 400_000
-
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
@@ -77,7 +93,7 @@ class Bpe:
         self.lengths = np.fromiter(map(len, table), dtype=np.int64, count=size)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.compatible: dict[tuple[bytes, bytes], bool] = {}
-        self.seen: dict[str, tuple[bytes, str, int]] = {}
+        self.seen = Seen(lambda data: [self.ids[t] for t in self.pieces(data)])
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges applied by rank, pair by pair: for joined tokens, whose length the vocabulary bounds."""
@@ -127,26 +143,17 @@ class Bpe:
                 length = len(last) - 1
         return out
 
-    def pre_token(self, s: str) -> tuple[bytes, str, int]:
-        """Ids as 32-bit bytes, as decimal text, and their number."""
-        ids = [self.ids[t] for t in self.pieces(s.encode("utf-8", "surrogatepass"))]
-        kept = (np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)), len(ids))
-        if len(s) <= 64:
-            if len(self.seen) >= self.KEPT:
-                self.seen.clear()
-            self.seen[s] = kept
-        return kept
-
     def coded(self, text: str) -> list[tuple[bytes, str, int]]:
         """The coded pre-tokens of a text."""
-        get, one, split, out, at = self.seen.get, self.pre_token, self.split.findall, [], 0
+        one, split, out, at = self.seen.__getitem__, self.split.findall, [], 0
         if self.by_added and any(s in text for s in self.added):
             for m in self.by_added.finditer(text):
-                out += [get(s) or one(s) for s in split(text, at, m.start())]
+                out += map(one, split(text, at, m.start()))
                 i = self.added[m[0]]
                 out.append((np.array([i], dtype="<i4").tobytes(), str(i), 1))
                 at = m.end()
-        return out + [get(s) or one(s) for s in split(text, at)]
+        out += map(one, split(text, at))
+        return out
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids of a text, and the same as decimals joined by commas."""

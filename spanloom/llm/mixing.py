@@ -92,6 +92,20 @@ def mix(docs: DataFrame, seed: str = SEED, cycle: tuple[int, ...] = CYCLE, most:
     )
 
 
+def emit(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each repeated as often as the mix takes it as a whole.
+
+    Rows alike in id, text and source share one key; the copies of all of them are
+    added up and dealt to them evenly.
+    """
+    key = lambda i, t, s: F.unhex(F.md5(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), F.coalesce(s.cast("string"), F.lit("")), text_or_empty(t))))
+    taken = mix(docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), key(F.col(id), F.col(text), F.col(source)).alias("_mix_key")), keep=("_mix_key",), **options)
+    counts = taken.groupBy("_mix_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    rows = docs.withColumn("_mix_key", key(F.col(id), F.col(text), F.col(source))).join(counts, "_mix_key")
+    each = F.col("_copies") / F.col("_rows")
+    return rows.filter(each > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(each)).cast("int")))).select(*docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -207,22 +207,38 @@ def learn(labelled: DataFrame, features: list[str] = FEATURES, bins: int = 12, m
     return rules
 
 
-def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", quality: str = "quality") -> tuple[DataFrame, list[Rule]]:
-    """Statistics, ``base_failed``, ``rule`` and ``kept`` of every document, and the rules learned from ``labels``.
+def learn_from(stats: DataFrame, labels: DataFrame, id: str = "doc_id", quality: str = "quality") -> list[Rule]:
+    """Rules for the documents that the base rule leaves, from stored statistics and their labels.
 
     Two thirds of the labelled rows grow rules and one third prunes them, by the id's checksum.
     """
-    stats = stored(statistics(docs, id, text), "statistics")
     marked = labels.select(F.col(id).alias("doc_id"), F.col(quality).alias("label")).filter(F.col("label").isin(0, 1))
-    rows = stored(
-        stats.filter(~base_failed()).join(marked, "doc_id").select((1 - F.col("label")).cast("long").alias("bad"), (fold(F.col("doc_id"), 3) != 0).alias("grow"), *FEATURES),
-        "labelled",
-    )
-    rules = learn(rows)
+    left = stats.filter(~base_failed()).select("doc_id", *FEATURES)
+    rows = left.join(marked, "doc_id").select((1 - F.col("label")).cast("long").alias("bad"), (fold(F.col("doc_id"), 3) != 0).alias("grow"), *FEATURES)
+    return learn(stored(rows, "labelled"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", quality: str = "quality") -> tuple[DataFrame, list[Rule]]:
+    """Statistics, ``base_failed``, ``rule`` and ``kept`` of every document, and the rules learned from ``labels``."""
+    stats = stored(statistics(docs, id, text), "statistics")
+    rules = learn_from(stats, labels, id, quality)
     out = stats.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
 
 
+def keep(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    The rows are stored beside their statistics, so texts are read once and not shuffled.
+    """
+    names = {c: f"_doc_{k}" for k, c in enumerate(docs.columns)}
+    row = F.struct(*[F.col(c).alias(n) for c, n in names.items()])
+    told = stored(statistics(docs.select(row.alias("_row"), F.col(text).alias("_text")), "_row", "_text").withColumnRenamed("doc_id", "_row"), "statistics")
+    rules = learn_from(told.withColumn("doc_id", F.col(f"_row.{names[id]}")), labels, id, quality)
+    kept = told.filter(~base_failed() & (verdict(rules) == 0))
+    return kept.select(*[F.col(f"_row.{n}").alias(c) for c, n in names.items()])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "rule")

@@ -11,6 +11,7 @@ from spanloom.llm.quality_model import op3_quality_classifier
 from spanloom.llm.quality_rules import op4_quality_rules
 from spanloom.llm.secrets import op2_secret_scan
 from spanloom.llm.sharding import op8_sharding
+from spanloom.llm.token_edits import op10_token_edits
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
+    "op10_token_edits": op10_token_edits,
 }
 SQL = {"op7_mixing": mixing.OP7_SQL}

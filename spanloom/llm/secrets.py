@@ -82,6 +82,13 @@ def _scan_blobs(todo: DataFrame, rules=RULES) -> DataFrame:
     return made.select("blob", F.explode("found").alias("f")).select("blob", "f.kind", "f.version", "f.spans")
 
 
+def by_blob(ledger: DataFrame, rules=RULES) -> DataFrame:
+    """(blob, found) of the blobs with findings: spans of all kinds sorted by start, then by the rules' order."""
+    order = F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)]), F.col("kind"))
+    one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order.alias("order"), s["end"].alias("end"), F.col("kind").alias("kind")))
+    return ledger.filter(F.size("spans") > 0).select("blob", one.alias("s")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("found"))
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of ``versions`` and the rows to append to the ledger.
 
@@ -104,9 +111,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path
         todo = blobs.join(done, "blob", "left").withColumn("kinds", F.transform(open_rules, lambda x: x["kind"])).filter(F.size("kinds") > 0)
     new = stored(_scan_blobs(todo, rules), "blob-ledger")
     known = new if ledger is None else new.unionByName(ledger.select("blob", "kind", "version", "spans").join(F.broadcast(rule_table(spark, rules)), ["kind", "version"], "left_semi"))
-    order = F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)]), F.col("kind"))
-    one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order.alias("order"), s["end"].alias("end"), F.col("kind").alias("kind")))
-    found = known.filter(F.size("spans") > 0).select("blob", one.alias("s")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("found"))
+    found = by_blob(known, rules)
     nothing = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     return keyed.drop("text").join(found, "blob", "left").withColumn("found", F.coalesce("found", nothing)), new
 
@@ -123,6 +128,26 @@ def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
+def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", rules=RULES) -> DataFrame:
+    """The rows of ``docs`` with the secrets in their texts replaced; ``n_chars`` is renewed where the text changed.
+
+    Findings are looked up by blob. Texts without findings stay as they are, null ones too.
+    """
+    names = {c: f"_doc_{k}" for k, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    _, new = scan(renamed, rules=rules, path=names[text], text=names[text])
+    found = by_blob(new, rules)
+    t = F.col(names[text])
+    marked = renamed.withColumn("blob", blob_id(t)).join(found, "blob", "left")
+    clean = F.when(F.size("found") > 0, redacted(t, F.col("found"))).otherwise(t)
+    out = marked.withColumn("_clean", clean)
+    changed = F.coalesce(F.size("found") > 0, F.lit(False))
+    pick = {c: F.col(n) for c, n in names.items()} | {text: F.col("_clean")}
+    if n_chars in names:
+        pick[n_chars] = F.when(changed, F.length("_clean")).otherwise(F.col(names[n_chars])).cast(docs.schema[n_chars].dataType)
+    return out.select(*[e.alias(c) for c, e in pick.items()])
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = scan(documents(spark, sf_dir))
     joined = lambda kinds: F.array_join(F.transform(F.filter("found", lambda s: s["kind"].isin(kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
