@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from spanloom.plans import overlaps, sequences, statistics
+
+QUERIES = overlaps.QUERIES | statistics.QUERIES | sequences.QUERIES
+ORACLE = overlaps.ORACLE | statistics.ORACLE | sequences.ORACLE
