@@ -44,7 +44,7 @@ from spanloom.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-BLOCK, STEP, TOLERANCE = 256, 32, 1e-9
+BLOCK, STEP, TOLERANCE = 1024, 32, 1e-9
 _WORDS_KEPT = 500_000
 _word_hashes: dict[bytes, int] = {}
 
