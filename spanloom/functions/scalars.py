@@ -24,10 +24,18 @@ def char_error_probability(c: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """The 2-bit codes (A 0, C 1, G 2, T 3) of all k-mers of a sequence over ACGT, in order."""
-    digits = F.translate(s, "ACGT", "0123")
-    starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.conv(digits.substr(i, F.lit(k)), 4, 10).cast("long"))
+    """The 2-bit codes (A 0, C 1, G 2, T 3) of all k-mers of a sequence, in order; null where another letter stands in one.
+
+    Letters become an array once a row, so the cost is linear in the sequence.
+    """
+
+    def codes(letters: Column) -> Column:
+        starts = F.when(F.size(letters) >= k, F.sequence(F.lit(0), F.size(letters) - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: sum((F.get(letters, i + j) * 4 ** (k - 1 - j) for j in range(1, k)), F.get(letters, i) * 4 ** (k - 1)))
+
+    digit = lambda c: F.when(c == "A", 0).when(c == "C", 1).when(c == "G", 2).when(c == "T", 3).cast("long")
+    letters = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), digit)
+    return F.transform(F.array(letters), codes)[0]
 
 
 def is_marker(kmer: Column, density: float, modulus: int = 101) -> Column:

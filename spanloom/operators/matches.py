@@ -9,7 +9,7 @@ from spanloom.functions.scalars import is_marker, kmers
 
 def positions(reads: DataFrame, k: int) -> DataFrame:
     """read, pos, kmer of every k-mer."""
-    return reads.select("read", F.posexplode(kmers(F.col("sequence"), k)).alias("pos", "kmer"))
+    return reads.select("read", F.posexplode(kmers(F.col("sequence"), k)).alias("pos", "kmer")).filter("kmer is not null")
 
 
 def markers(reads: DataFrame, k: int, density: float) -> DataFrame:

@@ -74,15 +74,15 @@ def coverage_segments(spark, sf_dir):
 
 
 COVERAGE = f"""WITH {ALN}, r AS (SELECT target, s, e, 2 * query + CAST(rev AS BIGINT) AS id FROM aln WHERE mapq >= 60 AND s < e),
-cuts AS (SELECT target, s AS at FROM r UNION SELECT target, e FROM r),
-seg AS (SELECT target, at, lead(at) OVER (PARTITION BY target ORDER BY at) AS stop FROM cuts),
+cuts AS (SELECT target, s AS cut FROM r UNION SELECT target, e FROM r),
+seg AS (SELECT target, cut, lead(cut) OVER (PARTITION BY target ORDER BY cut) AS stop FROM cuts),
 sets AS (
-  SELECT seg.target, seg.at, seg.stop, count(*) AS n_ids, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids
-  FROM (SELECT DISTINCT seg.target, seg.at, seg.stop, r.id FROM seg JOIN r ON r.target = seg.target AND r.s <= seg.at AND seg.at < r.e WHERE seg.stop IS NOT NULL) seg
+  SELECT seg.target, seg.cut, seg.stop, count(*) AS n_ids, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT seg.target, seg.cut, seg.stop, r.id FROM seg JOIN r ON r.target = seg.target AND r.s <= seg.cut AND seg.cut < r.e WHERE seg.stop IS NOT NULL) seg
   GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN lag(stop) OVER w = at AND lag(ids) OVER w = ids THEN 0 ELSE 1 END AS new FROM sets WINDOW w AS (PARTITION BY target ORDER BY at)),
-islands AS (SELECT *, sum(new) OVER (PARTITION BY target ORDER BY at) AS island FROM marked)
-SELECT target, min(at) AS seg_start, max(stop) AS seg_stop, min(n_ids) AS n_ids, min(ids) AS ids FROM islands GROUP BY target, island"""
+marked AS (SELECT *, CASE WHEN lag(stop) OVER w = cut AND lag(ids) OVER w = ids THEN 0 ELSE 1 END AS new FROM sets WINDOW w AS (PARTITION BY target ORDER BY cut)),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY target ORDER BY cut) AS island FROM marked)
+SELECT target, min(cut) AS seg_start, max(stop) AS seg_stop, min(n_ids) AS n_ids, min(ids) AS ids FROM islands GROUP BY target, island"""
 
 def double_stranded_edges(spark, sf_dir):
     return graph.double_stranded(intervals.overlap_edges(views.alignments(spark, sf_dir), 70))
