@@ -28,9 +28,9 @@ def kmer_markers(spark, sf_dir):
     return views.reads(spark, sf_dir).select("read", F.size(codes).cast("long").alias("n_kmers"), kept.alias("kept")).select("read", "n_kmers", F.size("kept").cast("long").alias("n_markers"), F.size(F.array_distinct("kept")).cast("long").alias("n_distinct"))
 
 
-_DIGIT = "(CASE substr(sequence, i + {k}, 1) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END)"
+_DIGIT = "(CASE substr(kmer, {k} + 1, 1) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END)"
 _CODE = " + ".join(f"{4 ** (5 - k)} * {_DIGIT.format(k=k)}" for k in range(6))
-MARKERS = f"""WITH {READS}, k AS (SELECT read, {_CODE} AS code FROM (SELECT read, sequence, unnest(range(1, length(sequence) - 4)) AS i FROM reads))
+MARKERS = f"""WITH {READS}, k AS (SELECT read, {_CODE} AS code FROM (SELECT read, unnest([substr(sequence, i, 6) FOR i IN range(1, length(sequence) - 4)]) AS kmer FROM reads))
 SELECT r.read, coalesce(n, 0) AS n_kmers, coalesce(m, 0) AS n_markers, coalesce(d, 0) AS n_distinct FROM reads r
 LEFT JOIN (SELECT read, count(*) AS n, count(*) FILTER (WHERE code % 101 < 10) AS m, count(DISTINCT code) FILTER (WHERE code % 101 < 10) AS d FROM k GROUP BY read) x ON r.read = x.read"""
 
@@ -73,7 +73,7 @@ def exact_matches(spark, sf_dir):
     return matches.exact_matches(_neighbours(spark, sf_dir), views.reads(spark, sf_dir), K)
 
 
-MATCHES = f"""WITH {READS}, {PAIRS}, k AS (SELECT read, i - 1 AS pos, substr(sequence, i, {K}) AS kmer FROM (SELECT read, sequence, unnest(range(1, length(sequence) - {K - 2})) AS i FROM reads)),
+MATCHES = f"""WITH {READS}, {PAIRS}, k AS (SELECT read, unnest(range(0, length(sequence) - {K - 1})) AS pos, unnest([substr(sequence, i, {K}) FOR i IN range(1, length(sequence) - {K - 2})]) AS kmer FROM reads),
 f AS (SELECT a, b, x.pos AS x, y.pos AS y FROM pairs JOIN k x ON x.read = a JOIN k y ON y.read = b AND y.kmer = x.kmer),
 r AS (SELECT *, x - row_number() OVER (PARTITION BY a, b, x - y ORDER BY x) AS run FROM f),
 m AS (SELECT a, b, min(x) AS x, min(y) AS y, count(*) + {K - 1} AS len FROM r GROUP BY a, b, x - y, run)"""
