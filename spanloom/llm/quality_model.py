@@ -21,7 +21,7 @@ ignored.
 from __future__ import annotations
 
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -82,6 +82,9 @@ def vectors(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: st
     stats = let(F.col("_words"), lambda w: F.struct(*[c.alias(k) for k, c in statistics(F.col("_text"), w, F.col("_n_chars")).items()]))
     rows = rows.select("doc_id", "_words", stats.alias("_stats"))
     rows = rows.select("doc_id", "_words", array_to_vector(indicators(F.col("_stats"))).alias("_structure"))
+    # with the size given, the assembler needs no look at the first row
+    sized = VectorSizeHint(inputCol="_structure", size=sum(len(ends) + 1 for ends in BINS.values()), handleInvalid="optimistic")
+    rows = sized.transform(rows)
     out = whole.transform(unit.transform(hashed.transform(rows)))
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "x")
 
