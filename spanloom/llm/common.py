@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.functions.shipping import ship_package
 
-#: The separators of words: blank and the controls from tab to carriage return.
-SPACE = " \t\n\x0b\x0c\r"
+#: Intermediate tables of this session.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,3 +71,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids fall into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this session has written; results read from them end with that."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
