@@ -48,3 +48,18 @@ def mean_position(matches: DataFrame, step: int) -> DataFrame:
     """For each pair the mean start on ``a``, a match counting once for each ``step`` letters begun."""
     n = F.ceil(F.col("len") / step)
     return matches.groupBy("a", "b").agg(F.expr("0").alias("_z"), (F.sum(F.col("x") * n) / F.sum(n)).cast("long").alias("position")).drop("_z")
+
+
+def next_matches(matches: DataFrame, reach: int) -> DataFrame:
+    """For each match the nearest one of its pair that begins behind its end in both sequences, at most ``reach`` away in each.
+
+    Starts are dealt into bins of ``reach`` along one sequence; an end looks into its own bin and the next.
+    """
+    ends = matches.select("a", "b", "x", "y", (F.col("x") + F.col("len")).alias("xe"), (F.col("y") + F.col("len")).alias("ye"))
+    own = F.floor(F.col("xe") / reach)
+    ends = ends.withColumn("bin", F.explode(F.array(own, own + 1)))
+    starts = matches.select("a", "b", F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / reach).alias("bin"))
+    near = ends.join(starts, ["a", "b", "bin"]).filter((F.col("nx") >= F.col("xe")) & (F.col("ny") >= F.col("ye")) & (F.col("nx") - F.col("xe") <= reach) & (F.col("ny") - F.col("ye") <= reach))
+    order = F.struct((F.col("nx") - F.col("xe") + F.col("ny") - F.col("ye")).alias("d"), "nx", "ny")
+    best = near.groupBy("a", "b", "x", "y").agg(F.min(order).alias("m"))
+    return best.select("a", "b", "x", "y", F.col("m.nx").alias("next_x"), F.col("m.ny").alias("next_y"), F.col("m.d").alias("distance"))

@@ -91,6 +91,17 @@ def mean_match_position(spark, sf_dir):
     return matches.mean_position(exact_matches(spark, sf_dir), 5)
 
 
+def next_matches(spark, sf_dir):
+    return matches.next_matches(exact_matches(spark, sf_dir), 200)
+
+
+NEXT = f"""{MATCHES}, n AS (
+  SELECT p.a, p.b, p.x, p.y, q.x AS next_x, q.y AS next_y, q.x - p.x - p.len + q.y - p.y - p.len AS distance,
+    row_number() OVER (PARTITION BY p.a, p.b, p.x, p.y ORDER BY q.x - p.x - p.len + q.y - p.y - p.len, q.x, q.y) AS k
+  FROM m p JOIN m q ON p.a = q.a AND p.b = q.b AND q.x BETWEEN p.x + p.len AND p.x + p.len + 200 AND q.y BETWEEN p.y + p.len AND p.y + p.len + 200)
+SELECT a, b, x, y, next_x, next_y, distance FROM n WHERE k = 1"""
+
+
 def dag_chain(spark, sf_dir):
     sizes = views.reads(spark, sf_dir).select("read", F.length("sequence").cast("long").alias("size"))
     ship_package(spark)
@@ -111,7 +122,7 @@ def _sql_pairs():
     return "WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS two FROM part)"
 
 
-QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance cigar_ops exact_matches dotplot_points match_heatmap mean_match_position dag_chain gap_affine_align".split()}
+QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance cigar_ops exact_matches dotplot_points match_heatmap mean_match_position next_matches dag_chain gap_affine_align".split()}
 ORACLE = {
     "reverse_complement": f"WITH {READS} SELECT read, md5(reverse(translate(sequence, 'ACGT', 'TGCA'))) AS digest, length(sequence) AS size FROM reads",
     "homopolymer_compress": f"WITH {READS}, c AS (SELECT read, regexp_replace(regexp_replace(regexp_replace(regexp_replace(sequence, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g') AS s FROM reads) SELECT read, md5(s) AS digest, length(s) AS size FROM c",
@@ -121,5 +132,6 @@ ORACLE = {
     "exact_matches": f"{MATCHES} SELECT a, b, x, y, len FROM m",
     "dotplot_points": f"{MATCHES} SELECT a, b, x + t AS x, y + t AS y FROM (SELECT a, b, x, y, unnest(range(0, len, 5)) AS t FROM m)",
     "match_heatmap": f"{MATCHES} SELECT a, b, CAST(floor(x / 100.0) AS BIGINT) AS x_bin, CAST(floor(y / 100.0) AS BIGINT) AS y_bin, max(len) AS longest FROM m GROUP BY ALL",
+    "next_matches": NEXT,
     "mean_match_position": f"{MATCHES} SELECT a, b, CAST(floor(sum(x * ceil(len / 5.0)) / sum(ceil(len / 5.0))) AS BIGINT) AS position FROM m GROUP BY a, b",
 }

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import histograms as h
-from spanloom.operators import phasing, quality
+from spanloom.operators import learning, phasing, quality
 from spanloom.sources import views
-from spanloom.sources.views import ALN, LENS, PHASE, QUAL
+from spanloom.sources.views import ALN, CAND, LENS, PHASE, QUAL
 
 STOP, BINS = 10_000, 50
 WIDTH = STOP // BINS
@@ -136,12 +136,45 @@ def threshold_totals(spark, sf_dir):
     return threshold_sums(spark, sf_dir).orderBy(F.desc("total"), "source", "threshold").limit(20)
 
 
+def _features(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("label"))
+
+
+RANGES = {"l_quantity": (0, 50), "l_extendedprice": (0, 100_000)}
+
+
+def class_weights(spark, sf_dir):
+    return learning.class_weights(_features(spark, sf_dir)).select("label", "n", F.round("weight", 9).alias("weight"))
+
+
+def feature_histograms(spark, sf_dir):
+    return learning.feature_histograms(_features(spark, sf_dir), RANGES, 25)
+
+
+def overlap_classifier(spark, sf_dir):
+    return learning.confusion_of_fit(_features(spark, sf_dir), "l_orderkey", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+def node_degrees(spark, sf_dir):
+    """Distinct nodes of the candidate edges with their number of edges and of neighbours."""
+    e = views.candidates(spark, sf_dir)
+    ends = e.select(F.col("n0").alias("name"), F.col("n1").alias("other")).union(e.select("n1", "n0"))
+    return ends.groupBy("name").agg(F.count("*").alias("n_edges"), F.countDistinct("other").alias("n_neighbours"))
+
+
+def _cell(f, stop):
+    return f"SELECT '{f}' AS feature, label, CAST(CASE WHEN {f} = {stop} THEN 24 ELSE floor({f} / {stop / 25}) END AS BIGINT) AS bin FROM feat WHERE {f} >= 0 AND {f} <= {stop}"
+
+
+_FEAT = "feat AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem)"
 _THRESHOLDS = " UNION ALL ".join(f"SELECT source, CAST({t} AS BIGINT) AS threshold, CAST(coalesce(sum(length) FILTER (WHERE length > {t}), 0) AS BIGINT) AS total, count(*) FILTER (WHERE length > {t}) AS n FROM lens GROUP BY source" for t in (100, 1000, 2000, 5000, 10000))
 QUERIES = {
     k: globals()[k]
     for k in (
         "length_histogram length_density weighted_histogram n50 threshold_sums threshold_totals region_histogram chimera_percent modulo_subsample subsample_rates "
-        "max_bases_prefix set_compare phase_confusion phase_ari discordant_rows quality_halves quality_smoothed quality_breakpoint"
+        "max_bases_prefix set_compare phase_confusion phase_ari discordant_rows quality_halves quality_smoothed quality_breakpoint "
+        "class_weights feature_histograms overlap_classifier node_degrees"
     ).split()
 }
 ORACLE = {
@@ -165,6 +198,9 @@ SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_a
   ((n00 + n01) * (n00 + n01 - 1) + (n10 + n11) * (n10 + n11 - 1)) / 2.0 AS r, ((n00 + n10) * (n00 + n10 - 1) + (n01 + n11) * (n01 + n11 - 1)) / 2.0 AS c, n * (n - 1) / 2.0 AS t FROM m)
 SELECT component, n, round((i - r * c / nullif(t, 0)) / nullif((r + c) / 2 - r * c / nullif(t, 0), 0), 6) AS ari FROM x""",
     "discordant_rows": f"{CONF} SELECT p.doc_id, p.component, p.a, p.b FROM phase p JOIN m ON p.component = m.component WHERE (p.a = p.b) <> (n00 + n11 >= n01 + n10)",
+    "class_weights": f"WITH {_FEAT} SELECT label, count(*) AS n, round(1.0 / count(*), 9) AS weight FROM feat GROUP BY label",
+    "feature_histograms": f"WITH {_FEAT} SELECT feature, label, bin, count(*) AS n FROM ({' UNION ALL '.join(_cell(f, b) for f, (_, b) in RANGES.items())}) GROUP BY ALL",
+    "node_degrees": f"WITH {CAND} SELECT name, count(*) AS n_edges, count(DISTINCT other) AS n_neighbours FROM (SELECT n0 AS name, n1 AS other FROM cand UNION ALL SELECT n1, n0 FROM cand) GROUP BY name",
     "quality_halves": HALVES,
     "quality_smoothed": SMOOTH,
     "quality_breakpoint": BREAK,
