@@ -26,16 +26,27 @@ def char_error_probability(c: Column) -> Column:
 def kmers(s: Column, k: int) -> Column:
     """The 2-bit codes (A 0, C 1, G 2, T 3) of all k-mers of a sequence, in order; null where another letter stands in one.
 
-    Letters become an array once a row, so the cost is linear in the sequence.
+    Letters become an array once a row, and codes of q letters (q a divisor of k)
+    once more, so a k-mer takes q + k / q look-ups and the cost is linear.
     """
 
-    def codes(letters: Column) -> Column:
-        starts = F.when(F.size(letters) >= k, F.sequence(F.lit(0), F.size(letters) - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: sum((F.get(letters, i + j) * 4 ** (k - 1 - j) for j in range(1, k)), F.get(letters, i) * 4 ** (k - 1)))
+    def joined(part: int, parts: int):
+        """From an array of codes of ``part`` letters, that of ``part * parts`` letters."""
+
+        def codes(xs: Column) -> Column:
+            last = F.size(xs) - part * (parts - 1) - 1
+            starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+            piece = lambda i, j: F.get(xs, i + j * part) * 4 ** (part * (parts - 1 - j))
+            return F.transform(starts, lambda i: sum((piece(i, j) for j in range(1, parts)), piece(i, 0)))
+
+        return codes
 
     digit = lambda c: F.when(c == "A", 0).when(c == "C", 1).when(c == "G", 2).when(c == "T", 3).cast("long")
-    letters = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), digit)
-    return F.transform(F.array(letters), codes)[0]
+    out = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), digit)
+    q = max((d for d in range(2, k) if k % d == 0 and d * d <= 2 * k), default=1)
+    for part, parts in ((1, q), (q, k // q)) if q > 1 else ((1, k),):
+        out = F.transform(F.array(out), joined(part, parts))[0]
+    return out
 
 
 def is_marker(kmer: Column, density: float, modulus: int = 101) -> Column:
