@@ -137,11 +137,15 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[tuple[str, int], tuple[int, int]]:
-    """Bad and good rows by feature and number of cuts below the value: at most features x (cuts + 1) rows reach the driver."""
-    below = lambda f: F.coalesce(sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f][1:]), F.when(F.col(f) > cuts[f][0], 1).otherwise(0)), F.lit(0))
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), below(f).alias("b")) for f in cuts if cuts[f]]))
-    got = rows.select("bad", cells.alias("c")).groupBy("c.f", "c.b").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n"))
+def _bins(rows: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """``rows`` with ``_bins``: for each feature its name and the number of cuts below its value."""
+    below = lambda f: F.size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c: c < F.col(f)))
+    return rows.withColumn("_bins", F.array(*[F.struct(F.lit(f).alias("f"), below(f).alias("b")) for f in cuts]))
+
+
+def _histogram(rows: DataFrame) -> dict[tuple[str, int], tuple[int, int]]:
+    """Bad and good rows by feature and bin: at most features x (cuts + 1) rows reach the driver."""
+    got = rows.select("bad", F.explode("_bins").alias("c")).groupBy("c.f", "c.b").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n"))
     return {(r["f"], r["b"]): (r["p"], r["n"]) for r in got.collect()}
 
 
@@ -178,6 +182,7 @@ def learn(labelled: DataFrame, features: list[str] = FEATURES, bins: int = 12, m
         return []
     seen = {f: sorted({float(x) for x in (both[f] or []) + (both[f"{f}_bad"] or []) if x is not None and math.isfinite(x)}) for f in features}
     cuts = {f: sorted(set(xs) | {a + (b - a) * part for a, b in zip(xs, xs[1:]) for part in (0.25, 0.5, 0.75)}) for f, xs in seen.items()}
+    labelled = stored(_bins(labelled, cuts), "labelled")
     rules: list[Rule] = []
     least = max(3.0, min_cover * both["p"])
     while len(rules) < max_rules:
@@ -185,7 +190,7 @@ def learn(labelled: DataFrame, features: list[str] = FEATURES, bins: int = 12, m
         grown: list[Condition] = []
         while len(grown) < max_conditions:
             rows = left.filter(F.col("grow") & Rule(tuple(grown)).column())
-            hist = _histogram(rows, cuts)
+            hist = _histogram(rows)
             p0, n0 = (sum(v[i] for (f, _), v in hist.items() if f == next(iter(cuts))) for i in (0, 1))
             gain, condition, p, n = _best(hist, cuts, p0, n0)
             if condition is None:
@@ -215,7 +220,7 @@ def learn_from(stats: DataFrame, labels: DataFrame, id: str = "doc_id", quality:
     marked = labels.select(F.col(id).alias("doc_id"), F.col(quality).alias("label")).filter(F.col("label").isin(0, 1))
     left = stats.filter(~base_failed()).select("doc_id", *FEATURES)
     rows = left.join(marked, "doc_id").select((1 - F.col("label")).cast("long").alias("bad"), (fold(F.col("doc_id"), 3) != 0).alias("grow"), *FEATURES)
-    return learn(stored(rows, "labelled"))
+    return learn(stored(rows, "labels"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", quality: str = "quality") -> tuple[DataFrame, list[Rule]]:
