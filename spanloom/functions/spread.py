@@ -1,0 +1,15 @@
+"""Even work for tables that come in few files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table read from fewer files than there are cores, dealt evenly over the cores; any other as it is.
+
+    A small file often has one row group and so one task, however much work each
+    row takes. Tables of many files are never shuffled by this.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spanloom.functions.spread import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,7 +94,7 @@ _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a sequence over ACGT: its letters A-Z, mapped in turn."""
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read"), F.translate(letters, *_LETTERS).alias("sequence"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("read"), F.translate(letters, *_LETTERS).alias("sequence"))
 
 
 READS = f"""reads AS (
