@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.functions.shipping import ship_package
+from spanloom.functions.spread import spread
 
 #: Intermediate tables of this session.
 _written: list[str] = []
@@ -65,7 +66,7 @@ def text_key(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ship_package(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(ship_package(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
