@@ -15,6 +15,13 @@ def bin_of(x: Column, start: float, stop: float, n_bins: int, unbounded: bool =
     return F.when((b >= 0) & (b <= n_bins - 1), b)
 
 
+def whole_range(rows: DataFrame, x: str, width: int) -> tuple[int, int]:
+    """(stop, number of bins) from 0 in bins of ``width`` so that the largest value lies in the last bin, under its edge."""
+    most = rows.agg(F.max(x)).first()[0]
+    n_bins = int((most or 0) // width) + 1
+    return n_bins * width, n_bins
+
+
 def histogram(rows: DataFrame, x: str, start: float, stop: float, n_bins: int, by: tuple[str, ...] = (), unbounded: bool = False) -> DataFrame:
     """Counts of the bins that are not empty: the columns in ``by``, bin, center, n."""
     width = (stop - start) / n_bins

@@ -59,6 +59,40 @@ def subsample_rates(spark, sf_dir):
     return h.subsample_rates(one("en"), one("fr"), BINS, 4.0)
 
 
+def _whole(spark, sf_dir, by=("lang",)):
+    rows = views.lengths(spark, sf_dir)
+    return h.histogram(rows, "length", 0, *h.whole_range(rows, "length", WIDTH), by)
+
+
+def length_histogram_whole(spark, sf_dir):
+    """As ``length_histogram``, over a range taken from the table, so no length is left out; so are the other ``_whole`` queries."""
+    return _whole(spark, sf_dir)
+
+
+def length_density_whole(spark, sf_dir):
+    return h.density(_whole(spark, sf_dir), ("lang",)).select("lang", "bin", "n", F.round("density", 6).alias("density"))
+
+
+def weighted_histogram_whole(spark, sf_dir):
+    return h.density(_whole(spark, sf_dir), ("lang",)).select("lang", "bin", F.round("bases", 3).alias("bases"))
+
+
+def n50_whole(spark, sf_dir):
+    return h.n50(_whole(spark, sf_dir), ("lang",))
+
+
+def chimera_percent_whole(spark, sf_dir):
+    rows = views.phases(spark, sf_dir).join(views.lengths(spark, sf_dir).select("doc_id", "length"), "doc_id").withColumn("flag", F.col("a") == 0)
+    return h.class_percent(rows, "length", "flag", 0, *h.whole_range(views.lengths(spark, sf_dir), "length", STOP // 20))
+
+
+def subsample_rates_whole(spark, sf_dir):
+    rows = views.lengths(spark, sf_dir)
+    stop, n_bins = h.whole_range(rows, "length", WIDTH)
+    one = lambda lang: h.with_spine(h.histogram(rows.filter(F.col("lang") == lang), "length", 0, stop, n_bins), n_bins, 0, stop)
+    return h.subsample_rates(one("en"), one("fr"), n_bins, 4.0)
+
+
 def _spine(lang):
     return f"SELECT i.bin, (i.bin + 0.5) * {WIDTH}.0 AS center, coalesce(n, 0) AS n FROM (SELECT unnest(range({BINS})) AS bin) i LEFT JOIN (SELECT bin, n FROM h WHERE lang = '{lang}') x USING (bin)"
 
@@ -68,6 +102,18 @@ b AS (SELECT t.bin, t.center, t.n / (SELECT sum(n) FROM t) AS td, s.n / (SELECT
 r AS (SELECT *, CASE WHEN td > 0 AND sd > 0 THEN td / sd ELSE 0.0 END AS ratio, row_number() OVER (ORDER BY round(center * (td - sd), 9) DESC, bin) AS k FROM b)
 SELECT bin, round(ratio, 6) AS ratio, round(ratio / (SELECT least(coalesce(avg(ratio), 1.0), 4.0) FROM r WHERE k <= 20 AND ratio > 1), 6) AS rate FROM r"""
 
+WHOLE = f"WITH {LENS}, h AS (SELECT lang, CAST(length // {WIDTH} AS BIGINT) AS bin, count(*) AS n FROM lens WHERE length >= 0 GROUP BY ALL), c AS (SELECT lang, bin, (bin + 0.5) * {WIDTH}.0 AS center, n FROM h)"
+
+
+def _whole_spine(lang):
+    return f"SELECT i.bin, (i.bin + 0.5) * {WIDTH}.0 AS center, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT max(length) // {WIDTH} + 1 FROM lens))) AS bin) i LEFT JOIN (SELECT bin, n FROM h WHERE lang = '{lang}') x USING (bin)"
+
+
+WHOLE_RATES = f"""{WHOLE}, t AS ({_whole_spine('en')}), s AS ({_whole_spine('fr')}),
+b AS (SELECT t.bin, t.center, t.n / (SELECT sum(n) FROM t) AS td, s.n / (SELECT sum(n) FROM s) AS sd FROM t JOIN s ON t.bin = s.bin),
+r AS (SELECT *, CASE WHEN td > 0 AND sd > 0 THEN td / sd ELSE 0.0 END AS ratio, row_number() OVER (ORDER BY round(center * (td - sd), 9) DESC, bin) AS k FROM b)
+SELECT bin, round(ratio, 6) AS ratio, round(ratio / (SELECT least(coalesce(avg(ratio), 1.0), 4.0) FROM r WHERE k <= 20 AND ratio > 1), 6) AS rate FROM r"""
+
 
 def max_bases_prefix(spark, sf_dir):
     return h.prefix_by_sum(views.lengths(spark, sf_dir), ["source"], ["doc_id"], "length", 20_000).select("doc_id", "source", "length", F.col("running").alias("running"))
@@ -173,6 +219,7 @@ QUERIES = {
     k: globals()[k]
     for k in (
         "length_histogram length_density weighted_histogram n50 threshold_sums threshold_totals region_histogram chimera_percent modulo_subsample subsample_rates "
+        "length_histogram_whole length_density_whole weighted_histogram_whole n50_whole chimera_percent_whole subsample_rates_whole "
         "max_bases_prefix set_compare phase_confusion phase_ari discordant_rows quality_halves quality_smoothed quality_breakpoint "
         "class_weights feature_histograms overlap_classifier node_degrees"
     ).split()
@@ -190,6 +237,13 @@ c AS (SELECT region, CAST(floor(mid / 200.0) AS BIGINT) AS bin, count(*) AS n FR
 c AS (SELECT bin, count(*) FILTER (WHERE flag) AS yes, count(*) FILTER (WHERE NOT flag) AS no FROM b GROUP BY bin) SELECT bin, yes, no, round(100.0 * (yes + 1) / (yes + no + 2), 6) AS percent FROM c""",
     "modulo_subsample": f"WITH {LENS} SELECT doc_id, source, length FROM lens WHERE doc_id % 101 <= 24",
     "subsample_rates": RATES,
+    "length_histogram_whole": f"{WHOLE} SELECT lang, bin, center, n FROM c",
+    "length_density_whole": f"{WHOLE} SELECT lang, bin, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS density FROM c",
+    "weighted_histogram_whole": f"{WHOLE} SELECT lang, bin, round(n * center, 3) AS bases FROM c",
+    "n50_whole": f"{WHOLE}, r AS (SELECT *, sum(n * center) OVER (PARTITION BY lang ORDER BY bin) AS upto, sum(n * center) OVER (PARTITION BY lang) AS total FROM c) SELECT lang, min(center) AS n50 FROM r WHERE upto > total / 2 GROUP BY lang",
+    "chimera_percent_whole": f"""WITH {PHASE}, {LENS}, b AS (SELECT CAST(length // {STOP // 20} AS BIGINT) AS bin, a = 0 AS flag FROM phase JOIN lens ON phase.doc_id = lens.doc_id WHERE length >= 0),
+c AS (SELECT bin, count(*) FILTER (WHERE flag) AS yes, count(*) FILTER (WHERE NOT flag) AS no FROM b GROUP BY bin) SELECT bin, yes, no, round(100.0 * (yes + 1) / (yes + no + 2), 6) AS percent FROM c""",
+    "subsample_rates_whole": WHOLE_RATES,
     "max_bases_prefix": f"WITH {LENS}, r AS (SELECT *, CAST(sum(length) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM lens) SELECT doc_id, source, length, running FROM r WHERE running - length < 20000",
     "set_compare": f"""WITH {ALN}, a AS (SELECT DISTINCT query FROM aln WHERE mapq >= 70), b AS (SELECT DISTINCT query FROM aln WHERE mapq < 10)
 SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_b, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS "both" """,

@@ -141,3 +141,23 @@ def test_maximal_matches(spark):
             if n >= 6:
                 want.add((i, j, n))
     assert got == want
+
+
+def test_whole_range_leaves_no_length_out(spark, sf):
+    from spanloom.plans import statistics
+
+    docs = [(r.lang, r.n_chars) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert max(n for _, n in docs) > statistics.STOP
+    got = statistics.length_histogram_whole(spark, sf).collect()
+    assert sum(r.n for r in got) == len(docs)
+    assert all(r.n == sum(x == r.lang and n // 200 == r.bin for x, n in docs) for r in got)
+    centres = {r.lang: r.n50 for r in statistics.n50_whole(spark, sf).collect()}
+    for lang in {x for x, _ in docs}:
+        by = sorted(n // 200 * 200 + 100 for x, n in docs if x == lang)
+        upto = 0
+        assert centres[lang] == next(c for c in by if (upto := upto + c) > sum(by) / 2)
+    labelled = spark.read.parquet(f"{sf}/labels.parquet").count()
+    assert sum(r.yes + r.no for r in statistics.chimera_percent_whole(spark, sf).collect()) == labelled
+    assert len(statistics.subsample_rates_whole(spark, sf).collect()) == max(n for _, n in docs) // 200 + 1
+    edge = spark.createDataFrame([(0,), (400,)], "x long")
+    assert histograms.whole_range(edge, "x", 200) == (600, 3) and histograms.whole_range(edge.limit(0), "x", 200) == (200, 1)
