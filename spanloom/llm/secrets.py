@@ -42,12 +42,21 @@ class Rule:
     accept: Callable[[re.Match], bool] = lambda m: True
 
 
+#: A private key block: to the matching END line; without one, over header lines and then base64 lines (line breaks may be written as \\n).
+#: A body ends at the next BEGIN or END, so a text with many BEGIN lines is read once. Base64 of under 16 characters must fill its line.
+PEM = (
+    r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \1PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[rn])+[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*)*"
+    r"(?:(?:[\s>]|\\[rn])+[A-Za-z0-9+/]{16,}={0,2}|[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*[A-Za-z0-9+/]+={0,2}(?=[\x20\t]*(?:[\r\n]|\\[rn]|\Z)))*)"
+)
+
 #: The base kinds in the order in which they are listed, then kinds of this library's own.
 RULES = (
     Rule("assign", 1, r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"' ]*[:=]", True, lambda m: len(m[2]) >= 12),
     Rule("access", 1, r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{14}", True, lambda m: len(m[0]) >= 18),
     Rule("hex", 1, r"[0-9a-f]{16,}", r"[0-9a-f]{16}", True),
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    Rule("pem", 2, PEM, r"PRIVATE KEY-----"),
     Rule("forge", 1, r"\bgh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{8}"),
 )

@@ -153,6 +153,26 @@ def test_redaction(odd, none):
     assert texts[None][0].startswith("[secret] and more") and texts[1] == (None, None)
 
 
+def test_private_keys_are_redacted_whole(spark):
+    lines = ["".join(chr(65 + (7 * k + j * j) % 26) for j in range(64)) for k in range(12)] + ["Zk9x+/Q="]
+    body, begin, end = "\n".join(lines), "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n"
+    texts = {
+        1: (f"a\n{begin}\n{body}\n{end}\nb c", "a\n[secret]\nb c"),
+        2: (f"a\n{begin}\n{head}{body}\n{end} b", "a\n[secret] b"),
+        3: (f"a\n{begin}\n{head}{body}\nplain words follow", "a\n[secret]\nplain words follow"),
+        4: (f"a {begin}\r\n" + body.replace("\n", "\r\n"), "a [secret]"),
+        5: ('{"key": "' + f"{begin}\n{body}\n{end}\n".replace("\n", "\\n") + '"}', '{"key": "[secret]\\n"}'),
+        6: ('"' + f"{begin}\n{body}".replace("\n", "\\n") + '", "x"', None),
+        7: (f"{begin}\n{body}\n{begin}\n{body}\n{end}\nand -----BEGIN PRIVATE KEY----- is a header", "[secret]\n[secret]\nand [secret] is a header"),
+    }
+    df = spark.createDataFrame([(k, t, len(t)) for k, (t, _) in texts.items()], "doc_id long, text string, n_chars long")
+    for r in secrets.redact(df).collect():
+        want = texts[r.doc_id][1]
+        assert not any(x in r.text for x in lines[:-1]) and r.n_chars == len(r.text)
+        assert want is None or r.text == want
+
+
 # 3 quality classifier
 
 
