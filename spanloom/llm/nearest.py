@@ -8,8 +8,11 @@ cells up to that share hold RECALL of the true neighbours of CALIBRATED vectors.
 Data in clear clusters need few cells, data without structure most of them. Small
 cells are packed into bins, large ones cut into several, so a bin holds about BIN
 rows; queries are dealt into chunks. A task works on one bin and one chunk with
-asymmetric distance tables and returns each query's best CANDIDATES. The best of
-those over all bins are reranked by their exact distance in double precision.
+asymmetric distance tables. Each row carries the norm of its coding error, which
+bounds how far its coded distance is off: the CANDIDATES rows that look nearest
+give an exact distance of rank k, and every row whose lower bound is not above it
+is reranked by its exact distance in double precision. So coding loses nothing of
+the probed cells, whatever the number of near copies; a task returns k rows a query.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows without an id or with another dimension than
@@ -72,13 +75,13 @@ class Quantiser:
         cuts = [round(k * sample.shape[1] / parts) for k in range(parts + 1)]
         return cls(cells, [k_means(rest[:6000, a:b], CODES, 8, seed + k) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], cuts)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cell, codes, and the part of the squared distance that no query changes: |r|^2 + 2 c.r for the coded residual r."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, codes, the part of the squared distance that no query changes (|r|^2 + 2 c.r for the coded residual r), and the norm of the coding error."""
         cell = squared(x, self.cells).argmin(1)
         rest = x - self.cells[cell]
         codes = np.stack([squared(rest[:, a:b], book).argmin(1) for book, a, b in zip(self.books, self.cuts, self.cuts[1:])], 1)
         r = np.concatenate([book[c] for book, c in zip(self.books, codes.T)], 1)
-        return cell, codes.astype(np.uint8), (r * r).sum(1) + 2 * (self.cells[cell] * r).sum(1)
+        return cell, codes.astype(np.uint8), (r * r).sum(1) + 2 * (self.cells[cell] * r).sum(1), np.sqrt(((rest - r) ** 2).sum(1))
 
     def table(self, query: np.ndarray) -> np.ndarray:
         """Inner products of the query with every code, part by part: the same table serves all cells."""
@@ -105,6 +108,42 @@ def matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
+def packed_vectors(x: np.ndarray) -> list[bytes]:
+    """Each row's bytes, as floats where that loses nothing and as doubles elsewhere."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return [(f if one else d).tobytes() for f, d, one in zip(small, x, (small == x).all(1))]
+
+
+def unpacked_vectors(rows: list[bytes], dimension: int) -> np.ndarray:
+    return np.array([np.frombuffer(b, np.float32 if len(b) == 4 * dimension else np.float64) for b in rows], np.float64).reshape(-1, dimension)
+
+
+def exact_distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances of the rows of ``x`` to ``v``, summed in the order of the components: equal vectors get equal distances in every task."""
+    total = np.zeros(len(x))
+    for a, b in zip(x.T, v):
+        total += (a - b) * (a - b)
+    return np.sqrt(total)
+
+
+def nearest_of(x: np.ndarray, v: np.ndarray, about: np.ndarray, error: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact distances of the ``k`` rows of ``x`` nearest to ``v``, ties in the order of the rows.
+
+    ``about`` are the coded squared distances, within ``slack`` of the coded rows'
+    own, and ``error`` the distances of the rows from their coded forms.
+    """
+    some = np.arange(len(x))
+    if len(x) > 4 * CANDIDATES:
+        start = np.argpartition(about, max(CANDIDATES, k))[: max(CANDIDATES, k)]
+        reach = np.partition(exact_distances(x[start], v), k - 1)[k - 1]
+        least = np.sqrt(np.maximum(about - slack, 0)) - error
+        some = np.flatnonzero(least <= reach + np.sqrt(slack) * 1e-3)
+    d = exact_distances(x[some], v)
+    first = np.argsort(d, kind="stable")[:k]
+    return some[first], d[first]
+
+
 def usable(table: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(row, vec_id, v) of the rows that take part, stored; v is an array of doubles."""
     v = F.col(vector).cast("array<double>")
@@ -148,10 +187,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, codes, own = q.encode(matrix(batch.column("v"), dimension))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own)], names=["row", "vec_id", "cell", "codes", "own"])
+            x = matrix(batch.column("v"), dimension)
+            cell, codes, own, error = q.encode(x)
+            columns = [batch.column("row"), batch.column("vec_id"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own), pa.array(error), pa.array(packed_vectors(x), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "vec_id", "cell", "codes", "own", "error", "exact"])
 
-    index = stored(vectors.mapInArrow(coded, "row long, vec_id long, cell int, codes binary, own double"), "cells")
+    index = stored(vectors.mapInArrow(coded, "row long, vec_id long, cell int, codes binary, own double, error double, exact binary"), "cells")
     sizes = np.zeros(len(q.cells), np.int64)
     for r in index.groupBy("cell").count().collect():  # one row a cell, MOST_CELLS at most
         sizes[r["cell"]] = r["count"]
@@ -190,32 +231,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             ids, rows = ids[order], rows[order]
             cell, own = block.column("cell").to_numpy()[order], block.column("own").to_numpy()[order]
             codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(rows), -1)[order].astype(np.intp)
+            error = block.column("error").to_numpy()[order]
+            x = unpacked_vectors(block.column("exact").to_pylist(), dimension)[order]
+            size = max((x * x).sum(1).max(), (q.cells * q.cells).sum(1).max())
             steps = np.arange(codes.shape[1])
             for query, v, cells in zip(asking.column("query").to_pylist(), matrix(asking.column("v"), dimension), asking.column("cells").to_pylist()):
                 to_cell = np.full(len(q.cells), np.inf)
                 to_cell[cells] = ((q.cells[cells] - v) ** 2).sum(1)
                 some = np.flatnonzero(np.isfinite(to_cell[cell]) & (rows != query))
                 d = to_cell[cell[some]] + own[some] - 2 * q.table(v)[steps, codes[some]].sum(1)
-                if len(d) > 4 * CANDIDATES:
-                    near = np.flatnonzero(d <= np.partition(d, CANDIDATES)[CANDIDATES])
-                    near = near[np.argsort(d[near], kind="stable")[:CANDIDATES]]
-                else:
-                    near = np.argsort(d, kind="stable")[:CANDIDATES]
-                out.append((np.full(len(near), query), rows[some[near]], ids[some[near]], d[near]))
+                # rounding of the coded distance is far below this share of the vectors' squared lengths
+                near, exact = nearest_of(x[some], v, d, error[some], k, 1e-11 * max(size, float(v @ v)))
+                out.append((np.full(len(near), query), rows[some[near]], ids[some[near]], exact))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 4
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        return pa.table([pa.array(c, kind) if len(c) else pa.array([], kind) for c, kind in zip(columns, kinds)], names=["query", "row", "vec_id", "about"])
+        return pa.table([pa.array(c, kind) if len(c) else pa.array([], kind) for c, kind in zip(columns, kinds)], names=["query", "row", "vec_id", "score"])
 
     keys = ["bin", "chunk"]
     units = max(1, min(n_bins * chunks, 100_000))
     deal = lambda df: df.repartition(units, *keys)
-    found = deal(left).groupBy(*keys).cogroup(deal(right).groupBy(*keys)).applyInArrow(best, "query long, row long, vec_id long, about double")
-    first = F.row_number().over(Window.partitionBy("query").orderBy("about", "vec_id", "row"))
-    pairs = stored(found.withColumn("n", first).filter(F.col("n") <= CANDIDATES).select("query", "row"), "pairs")
-    near = pairs.join(vectors.select("row", "vec_id", F.col("v").alias("w")), "row")
-    near = near.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v"), "query")
-    gap = F.zip_with("v", "w", lambda a, b: (a - b) * (a - b))
-    scored = near.select("query", "query_id", "row", "vec_id", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("score"))
+    found = deal(left).groupBy(*keys).cogroup(deal(right).groupBy(*keys)).applyInArrow(best, "query long, row long, vec_id long, score double")
+    scored = found.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "row"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias("query_row"), "query_id", "rank", "vec_id", "score")
 

@@ -259,6 +259,38 @@ def test_nearest_of_odd_rows(spark):
     assert nearest.search(v, v).count() == 0
 
 
+def test_nearest_in_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CODES", 3)  # as coarse for the group as the codes of a table of which it is a small part
+    r = np.random.default_rng(3)
+    x = r.normal(size=(8000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[:3000] = x[0] + 0.02 / 8 * r.normal(size=(3000, 64))
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = nearest.usable(df)
+    got = collections.defaultdict(set)
+    for row in nearest.search(v, v.filter("vec_id % 100 = 0 and vec_id < 3000")).collect():
+        got[row.query_id].add(row.vec_id)
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(len(x)), d))[:10].tolist()))
+    assert hits >= 0.9 * 300, hits / 300
+
+
+def test_coded_bounds_keep_the_nearest(monkeypatch):
+    r = np.random.default_rng(5)
+    x = 1 + 1e-3 * r.normal(size=(2000, 16))
+    q = nearest.Quantiser.fit(r.normal(size=(600, 16)), 600)
+    cell, codes, own, error = q.encode(x)
+    assert nearest.unpacked_vectors(nearest.packed_vectors(x), 16).tolist() == x.tolist()
+    for v in x[:20]:
+        about = ((q.cells[cell] - v) ** 2).sum(1) + own - 2 * q.table(v)[np.arange(codes.shape[1]), codes].sum(1)
+        near, d = nearest.nearest_of(x, v, about, error, 10, 1e-10)
+        assert near.tolist() == np.argsort(nearest.exact_distances(x, v), kind="stable")[:10].tolist() and d[0] == 0
+
+
 def test_bins_hold_their_rows(monkeypatch):
     monkeypatch.setattr(nearest, "BIN", 10)
     first, bins = nearest.packed(np.array([3, 4, 5, 25, 0, 9]))
