@@ -73,7 +73,7 @@ class Quantiser:
         rest = sample - cells[squared(sample, cells).argmin(1)]
         parts = min(PARTS, sample.shape[1])
         cuts = [round(k * sample.shape[1] / parts) for k in range(parts + 1)]
-        return cls(cells, [k_means(rest[:6000, a:b], CODES, 8, seed + k) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], cuts)
+        return cls(cells, [k_means(rest[:, a:b], CODES, 8, seed + k) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], cuts)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Cell, codes, the part of the squared distance that no query changes (|r|^2 + 2 c.r for the coded residual r), and the norm of the coding error."""

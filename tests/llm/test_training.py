@@ -291,6 +291,13 @@ def test_coded_bounds_keep_the_nearest(monkeypatch):
         assert near.tolist() == np.argsort(nearest.exact_distances(x, v), kind="stable")[:10].tolist() and d[0] == 0
 
 
+def test_codebooks_see_the_whole_sample():
+    r = np.random.default_rng(1)
+    late = 10 + r.normal(size=(2000, 2))
+    q = nearest.Quantiser.fit(np.concatenate([0.01 * r.normal(size=(6000, 2)), late]), 1)
+    assert np.median(q.encode(late)[3]) < 0.5
+
+
 def test_bins_hold_their_rows(monkeypatch):
     monkeypatch.setattr(nearest, "BIN", 10)
     first, bins = nearest.packed(np.array([3, 4, 5, 25, 0, 9]))
