@@ -4,8 +4,9 @@ A document's key is -ln(u) / w, with u from a hash of seed, id and text and w it
 quality weight; the smallest keys come first. Each source's target is met with
 complete epochs first; the rest of its budget is filled along the keys by a
 prefix sum of sizes, and the document on the boundary gives the words that are
-left. Prefix sums go by key buckets, so a source with a third of all rows is
-never sorted in one task.
+left. Prefix sums go by key buckets of even size, whose borders come from counts
+of the keys themselves, so a source with a third of all rows is never sorted in
+one task, whatever its weights.
 
 Targets share the total size by weight, capped at ``most`` times a source's size.
 The excess goes to the others by weight until none is above: sorted by cap over
@@ -23,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from spanloom.llm.common import documents, small_side, stored, text_or_empty, words
-from spanloom.llm.ranks import buckets_for, running
+from spanloom.llm.ranks import ROWS_A_BUCKET, running
 
 SEED, MOST, CYCLE = "mix-1", 3, (1, 2, 3)
+#: Grid cells of the natural logarithm of the keys: some 2,700 a source cover all keys there are.
+GRID = 64
 
 
 def quality_weight(text: Column) -> Column:
@@ -53,6 +56,21 @@ def sources(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: float = MOST
     return table.select("source", "sid", "n", "source_size", F.round(F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")), 6).alias("target"))
 
 
+def bucketed(rows: DataFrame) -> DataFrame:
+    """``rows`` (sid, _key and others; stored) with _bucket: buckets of about ROWS_A_BUCKET in the order of the keys of a source.
+
+    A row's place is the number of rows in the grid cells before its own plus its
+    cell's rows in proportion to where it lies in the cell. With the key, it never falls.
+    """
+    at = F.log("_key") * GRID
+    cells = rows.groupBy("sid", F.floor(at).alias("_cell")).agg(F.count("*").alias("_in_cell"))
+    before = Window.partitionBy("sid").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    grid = stored(cells.withColumn("_cells_before", F.coalesce(F.sum("_in_cell").over(before), F.lit(0))), "mix-grid")
+    place = F.col("_cells_before") + (at - F.col("_cell")) * F.col("_in_cell")
+    joined = rows.withColumn("_cell", F.floor(at)).join(small_side(grid), ["sid", "_cell"])
+    return joined.withColumn("_bucket", F.floor(place / ROWS_A_BUCKET)).drop("_cell", "_in_cell", "_cells_before")
+
+
 def mix(docs: DataFrame, seed: str = SEED, cycle: tuple[int, ...] = CYCLE, most: float = MOST, id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row with size, source_size, target, taken (words) and copies (whole documents to emit), and the columns in ``keep``.
 
@@ -74,9 +92,7 @@ def mix(docs: DataFrame, seed: str = SEED, cycle: tuple[int, ...] = CYCLE, most:
     rows = rows.join(small_side(own), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     u = (F.conv(F.substring("_digest", 1, 13), 16, 10).cast("double") + 1) / F.lit(2.0**52 + 1)
     rows = rows.withColumn("_key", -F.log(u) / F.col("_weight"))
-    n = buckets_for(F.col("n"))
-    rows = rows.withColumn("_bucket", F.least(n - 1, F.floor((1 - F.exp(-F.col("_key"))) * n)))
-    rows = running(rows, ["sid"], "_bucket", [F.col("_key"), F.col("_digest"), F.col("doc_id")], {"_before": F.col("size")})
+    rows = running(bucketed(rows), ["sid"], "_bucket", [F.col("_key"), F.col("_digest"), F.col("doc_id")], {"_before": F.col("size")})
     epochs = F.coalesce(F.expr("bigint(floor(target / nullif(source_size, 0)))"), F.lit(0))
     rows = rows.withColumn("_epochs", epochs)
     rows = rows.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - F.col("_epochs") * F.col("source_size") - F.col("_before"))))

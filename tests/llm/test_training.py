@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, components, licenses, mixing, nearest, neardup, quality_model, quality_rules, registry, secrets, sharding, token_edits
+from spanloom.llm import bpe, components, licenses, mixing, nearest, neardup, quality_model, quality_rules, ranks, registry, secrets, sharding, token_edits
+from spanloom.llm.common import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "lorem ipsum dolor " * 20_000
@@ -347,6 +348,15 @@ def test_mixing_of_odd_rows(odd, none):
     assert mixing.emit(odd).columns == odd.columns and mixing.emit(odd).count() == sum(r.copies for r in got)
 
 
+def test_buckets_are_even_at_any_weight(spark):
+    keys = spark.range(40_000).select((F.col("id") % 2).alias("sid"), (-F.log(F.rand(3)) / F.when(F.col("id") % 2 == 0, 0.1).otherwise(1.0)).alias("_key"))
+    got = stored(mixing.bucketed(stored(keys, "keys")), "bucketed")
+    sizes = [r["count"] for r in got.groupBy("sid", "_bucket").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 1.3 * ranks.ROWS_A_BUCKET
+    spans = sorted((r.sid, r.b, r.lo, r.hi) for r in got.groupBy("sid", F.col("_bucket").alias("b")).agg(F.min("_key").alias("lo"), F.max("_key").alias("hi")).collect())
+    assert all(a[0] != b[0] or a[3] <= b[2] for a, b in zip(spans, spans[1:]))
+
+
 # 8 sharding
 
 
