@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from spanloom.llm.common import documents, small_side, stored, text_or_empty, words
-from spanloom.llm.ranks import ROWS_A_BUCKET, running
+from spanloom.llm.ranks import ROWS_A_BUCKET, buckets_for, running
 
 SEED, MOST, CYCLE = "mix-1", 3, (1, 2, 3)
 #: Grid cells of the natural logarithm of the keys: some 2,700 a source cover all keys there are.
@@ -112,14 +112,24 @@ def emit(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     """The rows of ``docs``, each repeated as often as the mix takes it as a whole.
 
     Rows alike in id, text and source share one key; the copies of all of them are
-    added up and dealt to them evenly.
+    added up and dealt to them evenly, the copies that are left over to the first.
     """
     key = lambda i, t, s: F.unhex(F.md5(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), F.coalesce(s.cast("string"), F.lit("")), text_or_empty(t))))
     taken = mix(docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), key(F.col(id), F.col(text), F.col(source)).alias("_mix_key")), keep=("_mix_key",), **options)
-    counts = taken.groupBy("_mix_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    rows = docs.withColumn("_mix_key", key(F.col(id), F.col(text), F.col(source))).join(counts, "_mix_key")
-    each = F.col("_copies") / F.col("_rows")
-    return rows.filter(each > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(each)).cast("int")))).select(*docs.columns)
+    counts = stored(taken.groupBy("_mix_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"), "mix-counts")
+    names = {c: f"_doc_{k}" for k, c in enumerate(docs.columns)}
+    own = docs.withColumn("_mix_key", key(F.col(id), F.col(text), F.col(source))).select(*[F.col(c).alias(n) for c, n in names.items()], "_mix_key")
+    rows = own.join(counts, "_mix_key").withColumn("_before", F.lit(0).cast("long"))
+    if counts.filter("_rows > 1").limit(1).count():
+        # equal rows are numbered within their key, by buckets of a number of their own
+        again = stored(rows.filter("_rows > 1").drop("_before").withColumn("_row", F.monotonically_increasing_id()), "mix-repeated")
+        share = F.pmod(F.xxhash64("_row"), F.lit(1_000_003))
+        again = again.withColumn("_share", share).withColumn("_bucket", F.floor(F.col("_share") / 1_000_003 * buckets_for(F.col("_rows"))))
+        again = running(again, ["_mix_key"], "_bucket", [F.col("_share"), F.col("_row")], {"_before": F.lit(1)})
+        rows = rows.filter("_rows = 1").unionByName(again.select(*rows.columns))
+    each = F.expr("int(_copies div _rows + if(_before < _copies % _rows, 1, 0))")
+    emitted = rows.withColumn("_each", each).filter("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each"))))
+    return emitted.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

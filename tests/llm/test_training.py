@@ -8,7 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from spanloom.llm import bpe, components, licenses, mixing, nearest, neardup, quality_model, quality_rules, ranks, registry, secrets, sharding, token_edits
 from spanloom.llm.common import stored
@@ -348,6 +348,23 @@ def test_mixing_of_odd_rows(odd, none):
     assert mixing.emit(odd).columns == odd.columns and mixing.emit(odd).count() == sum(r.copies for r in got)
 
 
+def test_copies_of_equal_rows_are_dealt_out(spark, monkeypatch):
+    def emitted(copies, rows):
+        made = lambda docs, keep=(), **_: docs.select("doc_id", "source", *keep).withColumn("copies", F.when(F.col("doc_id") == 1, F.monotonically_increasing_id() * 0).otherwise(2)).withColumn("copies", F.col("copies") + F.when((F.col("doc_id") == 1) & (F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")) == 1), copies).otherwise(0))
+        monkeypatch.setattr(mixing, "mix", made)
+        df = spark.createDataFrame([(1, "a b", "s", k) for k in range(rows)] + [(2, "c", "s", -1)], "doc_id long, text string, source string, _bucket long")
+        out = mixing.emit(df)
+        assert out.columns == df.columns
+        return collections.Counter(r["_bucket"] for r in out.collect())
+
+    for copies, rows in ((1, 3), (4, 3), (3, 2), (6, 3), (0, 2), (5, 1)):
+        got = emitted(copies, rows)
+        assert got.pop(-1) == 2 and sum(got.values()) == copies
+        assert all(copies // rows <= got[k] <= -(-copies // rows) for k in range(rows))
+    monkeypatch.setattr(ranks, "ROWS_A_BUCKET", 4)
+    assert sum(emitted(70, 50).values()) == 72
+
+
 def test_buckets_are_even_at_any_weight(spark):
     keys = spark.range(40_000).select((F.col("id") % 2).alias("sid"), (-F.log(F.rand(3)) / F.when(F.col("id") % 2 == 0, 0.1).otherwise(1.0)).alias("_key"))
     got = stored(mixing.bucketed(stored(keys, "keys")), "bucketed")
