@@ -1,21 +1,27 @@
 """Operator 6, byte-pair encoding and decoding.
 
-Encoding. A pre-token's bytes run once through an Aho-Corasick automaton of all
-tokens, which gives the longest token from every start. The encoder takes longest
-tokens from left to right; a token that is not compatible with the one before it
-is replaced by the next shorter token, and where none is left the encoder steps
-back. Two tokens are compatible if the merges, applied to their joined bytes, give
+Encoding. An Aho-Corasick automaton of all tokens gives the longest token from a
+place in a pre-token, and a table the next shorter one that begins alike. The
+encoder takes longest tokens from left to right; a token that is not compatible
+with the one before it is replaced by the next shorter token, and where none is
+left the encoder steps back. Two tokens are compatible if the merges, applied to their joined bytes, give
 just these two; a sequence whose neighbours are all compatible is the result of
-the merges. A start once found hopeless is not tried again, so the time is linear
-in the pre-token (token lengths are bounded by the vocabulary). Pre-tokens repeat,
-so results are kept in a table of bounded size.
+the merges. That is found without merging: every token has a table entry of the
+two tokens it was last merged from and that merge's rank, and the border between
+two tokens is walked back through these entries, latest merge first, looking for a
+pair across the border that would have merged earlier. A start once found hopeless
+is not tried again, so the time is linear in the pre-token (token lengths are
+bounded by the vocabulary). Pre-tokens repeat, so results are kept in two tables of
+bounded size: when the newer one is full it becomes the older, whose entries come
+back when they are met again.
 
 Decoding. All tokens' bytes stand in one buffer with a table of offsets; a
 document's ids gather their bytes in one indexed read.
 
 Defined results. Null text counts as empty: no ids. The added token's string in a
 text becomes its id, as in the tokenizers library. Null or repeated ids: each row
-by itself. Other columns are ignored.
+by itself. A text of any length is coded whole, in the task that reads it. Empty
+tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,22 +51,30 @@ def byte_letters() -> list[str]:
 
 
 class Seen(dict):
-    """Coded pre-tokens: ids as 32-bit bytes, as decimal text, and their number. Emptied when full; long ones are not kept."""
+    """Pre-tokens with what ``make`` gives for them. A full table is set aside as the older one; long pre-tokens are not kept."""
 
-    KEPT, LONGEST = 400_000, 64
+    KEPT, LONGEST = 250_000, 64
 
-    def __init__(self, code):
+    def __init__(self, make):
         super().__init__()
-        self.code = code
+        self.make = make
+        self.older: dict = {}
 
-    def __missing__(self, s: str) -> tuple[bytes, str, int]:
-        ids = self.code(s.encode("utf-8", "surrogatepass"))
-        coded = (np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)), len(ids))
+    def __missing__(self, s: str):
+        made = self.older.get(s)
+        if made is None:
+            made = self.make(s.encode("utf-8", "surrogatepass"))
         if len(s) <= self.LONGEST:
             if len(self) >= self.KEPT:
+                self.older = dict(self)
                 self.clear()
-            self[s] = coded
-        return coded
+            self[s] = made
+        return made
+
+
+def coded_ids(ids: list[int]) -> tuple[bytes, str]:
+    """Ids as 32-bit bytes and as decimal text with a comma behind each."""
+    return np.array(ids, dtype="<i4").tobytes(), "".join([f"{i}," for i in ids])
 
 
 class Bpe:
@@ -78,87 +92,123 @@ class Bpe:
         self.by_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.split = regex.compile(public_tokenizers.PATTERN)
         #: Tokens that the merges can reach; only these may stand in a result.
-        self.ids = {t: i for t, i in raw.items() if len(t) == 1 or self.merged(t) == [t]}
+        self.ids: dict[bytes, int] = {}
+        size = max([*raw.values(), *self.added.values()]) + 1
+        # a token's rank is that of its last merge (-1 for one byte), its halves are what that merge joined
+        self.ranks, self.halves = [-1] * size, [(0, 0)] * size
+        for t, i in raw.items():
+            if len(t) > 1:
+                last = self.last_merge(t)
+                if last is None:
+                    continue
+                self.ranks[i], self.halves[i] = self.rank[last], (raw[last[0]], raw[last[1]])
+            self.ids[t] = i
+        #: Rank of the merge of two tokens, by both ids in one number.
+        self.joined = {raw[a] << 32 | raw[b]: r for (a, b), r in self.rank.items() if a in raw and b in raw}
         self.automaton = ahocorasick.Automaton()
-        for t in self.ids:
-            self.automaton.add_word(t.decode("latin-1"), len(t))
+        #: Of each token, the longest one that is a shorter beginning of it; -1 where none is.
+        self.shorter = [-1] * size
+        for t, i in self.ids.items():
+            self.automaton.add_word(t.decode("latin-1"), i)
+            self.shorter[i] = next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1)
         self.automaton.make_automaton()
-        size = max([*raw.values(), *self.added.values()]) + 1
         table = [b""] * size
         for t, i in raw.items():
             table[i] = t
         for s, i in self.added.items():
             table[i] = s.encode()
         self.buffer = np.frombuffer(b"".join(table), dtype=np.uint8)
-        self.lengths = np.fromiter(map(len, table), dtype=np.int64, count=size)
+        self.sizes = list(map(len, table))
+        self.lengths = np.array(self.sizes, dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.compatible: dict[tuple[bytes, bytes], bool] = {}
-        self.seen = Seen(lambda data: [self.ids[t] for t in self.pieces(data)])
+        self.compatible: dict[int, bool] = {}
+        self.seen = Seen(lambda data: coded_ids(self.pieces(data)))
+        self.counts = Seen(lambda data: len(self.pieces(data)))
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The merges applied by rank, pair by pair: for joined tokens, whose length the vocabulary bounds."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+    def last_merge(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two parts that the last merge of a token's own bytes joins; None if the merges do not end in the token."""
+        parts = [token[i : i + 1] for i in range(len(token))]
         while len(parts) > 1:
-            rank, at = min((self.rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            rank, at = min((self.rank.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:])))
             if rank == 1 << 60:
-                break
+                return None
+            if len(parts) == 2:
+                return parts[0], parts[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return None
 
-    def fits(self, a: bytes, b: bytes) -> bool:
-        known = self.compatible.get((a, b))
+    def fits(self, a: int, b: int) -> bool:
+        """Whether the merges keep the border between two tokens."""
+        pair = a << 32 | b
+        known = self.compatible.get(pair)
         if known is None:
             if len(self.compatible) > 1_000_000:
                 self.compatible.clear()
-            known = self.compatible[a, b] = self.merged(a + b) == [a, b]
+            known = self.compatible[pair] = self.border_stays(a, b)
         return known
 
-    def longest(self, data: bytes) -> list[int]:
-        """The length of the longest token from each start, from one run of the automaton."""
-        out = [1] * len(data)
-        for end, n in self.automaton.iter(data.decode("latin-1")):
-            if n > out[end - n + 1]:
-                out[end - n + 1] = n
-        return out
-
-    def pieces(self, data: bytes) -> list[bytes]:
-        """The tokens of one pre-token, by backtracking over the longest matches."""
-        if data in self.ids:
-            return [data]
-        longest, ids, n = self.longest(data), self.ids, len(data)
+    def border_stays(self, x: int, y: int) -> bool:
+        ranks, halves, joined = self.ranks, self.halves, self.joined
+        # x and y touch the border until one of them is merged away from it: pairs of a rank under ``limit`` come before that
+        limit = 1 << 60
+        while joined.get(x << 32 | y, limit) >= limit:
+            rx, ry = ranks[x], ranks[y]
+            if rx < 0 and ry < 0:
+                return True
+            if rx > ry:
+                limit, x = rx, halves[x][1]
+            else:  # of equal merges the left one is made first: (x, y) of this rank would come before that within y
+                limit, y = ry + 1, halves[y][0]
+        return False
+
+    def pieces(self, data: bytes) -> list[int]:
+        """The ids of one pre-token, by backtracking over the longest matches."""
+        whole = self.ids.get(data)
+        if whole is not None:
+            return [whole]
+        text, n = data.decode("latin-1"), len(data)
+        longest, shorter, sizes, fits = self.automaton.iter_long, self.shorter, self.sizes, self.fits
         hopeless = bytearray(n + 1)
-        out: list[bytes] = []
-        at, length = 0, longest[0]
-        while at < n:
-            while length and (hopeless[at + length] or data[at : at + length] not in ids or (out and not self.fits(out[-1], data[at : at + length]))):
-                length -= 1
-            if length:
-                out.append(data[at : at + length])
-                at += length
-                length = longest[at] if at < n else 0
+        out: list[int] = []
+        at, run = 0, longest(text)
+        first = i = next(run)[1]
+        while True:
+            while i >= 0 and (hopeless[at + sizes[i]] or (out and not fits(out[-1], i))):
+                i = shorter[i]
+            if i >= 0:
+                out.append(i)
+                at += sizes[i]
+                if at == n:
+                    return out
+                if i != first:  # the run went on behind a longer token
+                    run = longest(text, at)
+                first = i = next(run)[1]
             else:
                 hopeless[at] = 1
                 last = out.pop()
-                at -= len(last)
-                length = len(last) - 1
-        return out
-
-    def coded(self, text: str) -> list[tuple[bytes, str, int]]:
-        """The coded pre-tokens of a text."""
-        one, split, out, at = self.seen.__getitem__, self.split.findall, [], 0
-        if self.by_added and any(s in text for s in self.added):
-            for m in self.by_added.finditer(text):
-                out += map(one, split(text, at, m.start()))
-                i = self.added[m[0]]
-                out.append((np.array([i], dtype="<i4").tobytes(), str(i), 1))
-                at = m.end()
-        out += map(one, split(text, at))
+                at -= sizes[last]
+                first, i = -1, shorter[last]
+
+    def by_parts(self, text: str, table: Seen, of_added) -> list:
+        """What ``table`` has for the pre-tokens of a text, and ``of_added`` gives for the id of an added token in it."""
+        split = self.split.findall
+        if not self.by_added or not any(s in text for s in self.added):
+            return list(map(table.__getitem__, split(text)))
+        out, at = [], 0
+        for m in self.by_added.finditer(text):
+            out += map(table.__getitem__, split(text, at, m.start()))
+            out.append(of_added(self.added[m[0]]))
+            at = m.end()
+        out += map(table.__getitem__, split(text, at))
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids of a text, and the same as decimals joined by commas."""
-        coded = self.coded(text)
-        return np.frombuffer(b"".join([c[0] for c in coded]), dtype="<i4"), ",".join([c[1] for c in coded])
+        coded = self.by_parts(text, self.seen, lambda i: coded_ids([i]))
+        if not coded:
+            return np.zeros(0, "<i4"), ""
+        ids, decimals = zip(*coded)
+        return np.frombuffer(b"".join(ids), dtype="<i4"), "".join(decimals)[:-1]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         n = self.lengths[ids]

@@ -39,27 +39,27 @@ class Counter:
     """Splits and counts with one vocabulary; added tokens are pre-tokens of their own."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe = bpe
-        added = "|".join(map(regex.escape, sorted(bpe.added, key=len, reverse=True)))
-        pattern = public_tokenizers.PATTERN
-        if added:
+        self.bpe, self.added = bpe, tuple(bpe.added)
+        self.plain = self.with_added = bpe.split
+        if self.added:
+            added = "|".join(map(regex.escape, sorted(bpe.added, key=len, reverse=True)))
             # a run of marks or of white space ends before an added token, as if the text ended there
-            pattern = pattern.replace(r"[^\s\p{L}\p{N}]+", rf"(?:(?!{added})[^\s\p{{L}}\p{{N}}])+").replace(r"\s+(?!\S)", rf"\s+(?:(?!\S)|(?={added}))")
-            pattern = f"{added}|{pattern}"
+            pattern = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]+", rf"(?:(?!{added})[^\s\p{{L}}\p{{N}}])+").replace(r"\s+(?!\S)", rf"\s+(?:(?!\S)|(?={added}))")
+            self.with_added = regex.compile(f"{added}|{pattern}")
             if max(map(len, bpe.added)) + 4 > CONTEXT:
                 raise ValueError("an added token is longer than the context")
-        self.split = regex.compile(pattern)
+
+    def split(self, text: str) -> regex.Pattern:
+        """The pattern to split a text by: the plain one where no added token stands in it."""
+        return self.with_added if any(a in text for a in self.added) else self.plain
 
     def tokens(self, pre_token: str) -> int:
-        if pre_token in self.bpe.added:
-            return 1
-        return self.bpe.seen[pre_token][2]
+        return 1 if pre_token in self.added else self.bpe.counts[pre_token]
 
     def leaves(self, text: str) -> tuple[list[int], list[int]]:
-        found, seen = self.split.findall(text), self.bpe.seen
-        if any(a in text for a in self.bpe.added):
-            return list(map(len, found)), list(map(self.tokens, found))
-        return list(map(len, found)), [seen[s][2] for s in found]
+        split = self.split(text)
+        found = split.findall(text)
+        return list(map(len, found)), list(map(self.bpe.counts.__getitem__ if split is self.plain else self.tokens, found))
 
 
 class Tree:
@@ -133,7 +133,7 @@ def edit(tree: Tree, text: str, counter: Counter, start: int, stop: int, insert:
     block, leaf, border = tree.find(max(0, start - CONTEXT))
     first, chars, tokens = (block, leaf), [], []
     old, place = border, border
-    for m in counter.split.finditer(new, border):
+    for m in counter.split(new).finditer(new, border):
         # old borders up to here, in places of the new text
         while place >= start + len(insert) and old < place - shift and block < len(tree.blocks):
             own = tree.blocks[block][0]
