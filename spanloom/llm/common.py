@@ -2,48 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spanloom.functions.scratch import drop_stored, shared_dir, small_side, stored
 from spanloom.functions.shipping import ship_package
-from spanloom.functions.spread import spread
-
-#: Intermediate tables of this session.
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables that driver and executors share.
-
-    It is the one named by ``spark.checkpoint.dir``. Where that is unset and the
-    master is local (tests), a new temporary folder is made and recorded; on a
-    cluster a missing setting is an error, since a machine-local folder would
-    lose rows there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    found = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to a new table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(table: DataFrame, most: int = 50_000) -> DataFrame:
-    """A stored table to be broadcast if it was found to have few rows; larger ones are joined by a shuffle."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+__all__ = ["documents", "drop_stored", "fold", "let", "shared_dir", "small_side", "stored", "text_key", "text_or_empty", "words"]
 
 
 def let(value: Column, body) -> Column:
@@ -66,16 +30,9 @@ def text_key(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(ship_package(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+    return ship_package(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids fall into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this session has written; results read from them end with that."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spanloom.llm.common import stored
+from spanloom.llm.lookups import lookup
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links a node's larger neighbours, then its smaller ones, to the
     least of them; rounds grow with the logarithm of the longest path. Each round
     is written to the shared folder. Minima are combined before they are shuffled,
-    and joins on a hub's rows are left to the skew join.
+    and those of hubs are broadcast (see ``lookup``).
     """
     ordered = lambda df: df.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -21,12 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.union(now.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("c")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = ordered(large.union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))))
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-        small = large.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(ordered(small.union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))), "edges")
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = lookup(both, least, "u", "n").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(ordered(large.union(least.select("u", F.col("m").alias("v")))), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = lookup(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stored(ordered(small.union(least.select("u", F.col("m").alias("v")))), "edges")
         before, seen = seen, mark(now)
         if seen == before:
             break

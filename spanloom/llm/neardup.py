@@ -4,27 +4,31 @@ Texts are sets of five-word shingles; two texts are linked if their sets have a
 Jaccard similarity of ``threshold`` or more. Equal texts are combined first and
 stand for all their copies.
 
-1. Sketch: HASHES MinHash values of each text, in the tasks that read it.
+1. Sketch: HASHES MinHash values of each text, in the tasks that read it; copies that
+   a task meets again are passed over.
 2. Candidates: BANDS bands of ROWS values each; a bucket holds the texts equal in
    one band. At similarity 0.8 a pair misses every band with probability 5e-8.
    Buckets with the same members are kept once (the earliest band's).
-3. A bucket is cut into blocks of BLOCK texts by hash, and each pair of blocks is
-   one unit of work, so no task holds a bucket. A pair counts only in its earliest
-   common band, hence once.
+3. A bucket is cut by hash into blocks of about BLOCK texts, or of BLOCK_BYTES bytes of
+   them if they are long, and each pair of blocks is one unit of work, so no task
+   holds a bucket. A pair counts only in its earliest common band, hence once.
 4. Pruning: MinHash values are compared in steps. A pair is dropped as soon as,
    under a uniform prior, the posterior probability that its similarity reaches
    the threshold falls below TOLERANCE.
-5. Verification: pairs left are compared by their whole shingle sets (64-bit hashes
-   of the shingles). A unit returns one row for each of its texts, with its
+5. Verification: a sieve of the candidates' keys picks their texts from the table as it
+   is read, and pairs left are compared by their whole shingle sets (64-bit hashes of
+   the shingles). A unit returns one row for each of its texts, with its
    number of links and the least text it is connected to in this unit; pairs
    themselves are never rows.
 6. These rows are edges of a forest with the same components as all links.
 
 Defined results. Null text counts as empty. Texts of one to four words have one
 shingle, all their words; texts without words have none and are linked to nothing,
-but equal ones share a class. Null or repeated ids: each row has its class; the
-class id is the least id that is not null, null if there is none. Empty tables give
-empty results. Other columns are ignored.
+but equal ones share a class. A text of any length is compared whole; it fills a
+block by itself. Null or repeated ids: each row has its class; the class id is the
+least id that is not null, null if there is none. Of rows equal in id and class one
+stays. Empty tables give empty results. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -40,12 +44,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanloom.llm.common import documents, stored, text_key, text_or_empty
 from spanloom.llm.components import components
+from spanloom.llm.lookups import Sieve, lookup, without
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-BLOCK, STEP, TOLERANCE = 1024, 32, 1e-9
-_WORDS_KEPT = 500_000
+BLOCK, BLOCK_BYTES, STEP, TOLERANCE = 1024, 16 << 20, 32, 1e-9
+_WORDS_KEPT, _KEYS_KEPT = 500_000, 200_000
 _word_hashes: dict[bytes, int] = {}
 
 
@@ -237,59 +242,86 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met: set[bytes] = set()
     for batch in batches:
-        keys, sigs = [], []
-        for key, text in zip(batch.column("key"), batch.column("text")):
+        keys, sigs, sizes = [], [], []
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
+            if key in met:
+                continue
+            if len(met) < _KEYS_KEPT:
+                met.add(key)
             s = shingles(text.as_py())
             if len(s):
-                keys.append(key.as_py())
+                keys.append(key)
                 sigs.append(minhash(s).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["key", "sig"])
+                sizes.append(text.as_buffer().size)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "sig", "bytes"])
 
 
 def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """(key, links, root) for each distinct text with links: their number and the least text of its component."""
     keyed = docs.select(text_key(F.col(text)).alias("key"), text_or_empty(F.col(text)).alias("text"))
-    sketches = stored(keyed.mapInArrow(_sketches, "key binary, sig binary").dropDuplicates(["key"]), "sketches")
+    sketches = stored(keyed.mapInArrow(_sketches, "key binary, sig binary, bytes long").dropDuplicates(["key"]), "sketches")
     slot = lambda k: F.substring("sig", k * ROWS * 4 + 1, ROWS * 4)
     buckets = F.array(*[F.xxhash64(slot(k), F.lit(k)).bitwiseAND(F.lit(-BANDS)).bitwiseOR(F.lit(k)) for k in range(BANDS)])
-    banded = sketches.select("key", F.explode(buckets).alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).filter("m > 1")
+    banded = sketches.select("key", "bytes", F.explode(buckets).alias("bucket"))
+    same = [F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")]
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"), *same).filter("m > 1")
     earliest = F.min(F.struct(F.col("bucket").bitwiseAND(F.lit(BANDS - 1)), "bucket"))
-    kept = stored(sizes.groupBy("m", "x", "y").agg(earliest.alias("b")).select("b.bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "buckets")
-    members = banded.join(kept, "bucket")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    kept = stored(sizes.groupBy("m", "bytes", "x", "y").agg(earliest.alias("b")).select("b.bucket", blocks.alias("blocks")), "buckets")
+    members = banded.select("key", "bucket").join(kept, "bucket")
     members = members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), "blocks").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("key", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
-    units = members.join(sketches, "key").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    units = members.join(sketches.select("key", "sig"), "key").repartition(*UNIT).sortWithinPartitions(*UNIT)
     fields = "bucket long, lo int, hi int, pos int, key binary, bits binary"
     pairs = stored(units.mapInArrow(lambda b: _candidates(b, threshold), fields), "candidates")
-    wanted = pairs.select("key").distinct()
-    texts = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    texts = Sieve.of(pairs, "key").marked(keyed, "key", "maybe").filter("maybe").dropDuplicates(["key"]).select("key", "text")
     units = pairs.join(texts, "key").repartition(*UNIT).sortWithinPartitions(*UNIT)
     linked = stored(units.mapInArrow(lambda b: _verified(b, threshold), "key binary, links long, root binary"), "linked")
     roots = components(linked.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "key")
     return linked.groupBy("key").agg(F.sum("links").alias("links")).join(roots, "key", "left").select("key", "links", F.coalesce("root", "key").alias("root"))
 
 
+def _by_text(texts: DataFrame, linked: DataFrame) -> DataFrame:
+    """For each key of ``texts`` (key, n, first): n, links, and first and size of its class.
+
+    ``first`` is the least of a value over the rows of a text, ``n`` their number. Texts
+    are combined before they meet their class, and a class with many texts is looked up.
+    """
+    texts = stored(texts.join(linked, "key", "left"), "texts")
+    alone = texts.filter("root is null").select("key", "n", F.lit(0).cast("long").alias("links"), "first", F.col("n").alias("size"))
+    joined = texts.filter("root is not null")
+    of_class = stored(joined.groupBy("root").agg(F.min("first").alias("least"), F.sum("n").alias("size"), F.count("*").alias("texts")), "classes")
+    found = lookup(joined, of_class, "root", "texts")
+    return stored(alone.unionByName(found.select("key", "n", "links", F.col("least").alias("first"), "size")), "texts")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links (other texts linked to this one) and class_size (documents) for each row of ``docs``."""
-    linked = stored(linked_texts(docs, threshold, text), "linked-texts")
-    rows = docs.select(F.col(id).alias("doc_id"), text_key(F.col(text)).alias("key"))
-    rows = rows.join(linked, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    rows = stored(rows, "classes")
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(ids, "root").select("doc_id", "class_id", "n_links", "class_size")
+    linked = linked_texts(docs, threshold, text)
+    rows = stored(docs.select(F.col(id).alias("doc_id"), text_key(F.col(text)).alias("key")), "rows")
+    texts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    found = lookup(rows, _by_text(texts, linked), "key", "n")
+    return found.select("doc_id", F.col("first").alias("class_id"), F.col("links").alias("n_links"), F.col("size").alias("class_size"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the row with the least id stays."""
-    linked = stored(linked_texts(docs, threshold, text), "linked-texts")
-    pick = F.unhex(F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit(":"), text_or_empty(F.col(text)))))
-    rows = docs.select(F.col(id).alias("_id"), text_key(F.col(text)).alias("key"), pick.alias("_pick")).join(linked.select("key", "root"), "key", "left")
-    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_pick"))
-    winners = rows.groupBy(F.coalesce("root", "key")).agg(first.alias("w")).select("w._pick")
-    return docs.withColumn("_pick", pick).join(winners, "_pick", "left_semi").dropDuplicates(["_pick"]).drop("_pick")
+    """The rows of ``docs`` without near copies: of each class the row with the least id stays.
+
+    Rows are stored with a number; the numbers of those that go are found among ids and
+    keys alone, so only rows that a sieve of these numbers passes are shuffled.
+    """
+    names = {c: f"_doc_{k}" for k, c in enumerate(docs.columns)}
+    whole = docs.select(*[F.col(c).alias(n) for c, n in names.items()], text_key(F.col(text)).alias("key"), F.monotonically_increasing_id().alias("row"))
+    whole = stored(whole, "documents")
+    linked = linked_texts(whole.select(F.col(names[text]).alias("text")), threshold)
+    rows = whole.select(F.col(names[id]).alias("id"), "key", "row")
+    texts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    gone = lookup(rows, _by_text(texts, linked), "key", "n").filter(F.col("row") != F.col("first.row")).select("row")
+    kept = without(whole, stored(gone, "gone"), "row")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

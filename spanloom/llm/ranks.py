@@ -1,40 +1,20 @@
-"""Ranks and running sums over a total order, without bringing a group's rows into one task.
+"""Sizes of the buckets in which rows of a hashed order are ranked (see ``operators.prefix``).
 
-Rows are dealt into consecutive buckets of the order, bucket totals are summed
-over the small table of buckets, and exact order is settled within each bucket.
-The bucket number must not fall as the order rises; callers derive it from a
-hashed key whose distribution they know, with a number of buckets in proportion
-to the rows, so buckets stay near one size whatever the size of the group.
+Callers derive the bucket from a hashed key whose distribution they know, with a
+number of buckets in proportion to the rows, so buckets stay near one size whatever
+the size of the group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, functions as F
 
+from spanloom.operators.prefix import running, sorted_running
+
+__all__ = ["ROWS_A_BUCKET", "buckets_for", "running", "sorted_running"]
 #: Rows that a bucket holds on average.
 ROWS_A_BUCKET = 2000
 
 
 def buckets_for(rows: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows / ROWS_A_BUCKET)).cast("long")
-
-
-def running(df: DataFrame, group: list[str], bucket: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """``df`` with, for each name in ``sums``, the sum of its column over all rows of the group that come before.
-
-    The group's columns and the bucket must not be null, and ``order`` must settle
-    ties within a bucket. The table of bucket totals has a row for each bucket,
-    rows / ROWS_A_BUCKET in all; its own running sums go by thousands of buckets.
-    """
-    keys = [*group, bucket]
-    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()]).withColumn("_wide", F.floor(F.col(bucket) / 1000))
-    coarse = totals.groupBy(*group, "_wide").agg(*[F.sum(f"_t_{k}").alias(f"_w_{k}") for k in sums])
-    over_wide = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_wide")
-    coarse = coarse.select(*group, "_wide", *[before(over_wide, f"_w_{k}").alias(f"_c_{k}") for k in sums])
-    fine = Window.partitionBy(*group, "_wide").orderBy(bucket)
-    totals = totals.select(*keys, "_wide", *[before(fine, f"_t_{k}").alias(f"_f_{k}") for k in sums])
-    offsets = totals.join(coarse, [*group, "_wide"]).select(*keys, *[(F.col(f"_f_{k}") + F.col(f"_c_{k}")).alias(f"_b_{k}") for k in sums])
-    within = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.select("*", *[before(within, c).alias(f"_r_{k}") for k, c in sums.items()])
-    return ranked.join(offsets, keys).select(*df.columns, *[(F.col(f"_r_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums])
