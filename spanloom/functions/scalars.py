@@ -81,3 +81,21 @@ def chromosome_order(name: Column) -> list[Column]:
     number = bare.rlike(r"^\d+$")
     letters = bare.rlike(r"^[A-Za-z]+$")
     return [F.when(number, 0).when(letters, 1).otherwise(2), F.when(number, bare.cast("long")), bare]
+
+
+def x_of(diagonal: Column, antidiagonal: Column, y_size: Column | int) -> Column:
+    """The inverse of ``diagonal`` and ``antidiagonal``: x."""
+    return F.floor((antidiagonal + diagonal + 1 - y_size) / 2)
+
+
+def y_of(diagonal: Column, antidiagonal: Column, y_size: Column | int) -> Column:
+    return F.floor((antidiagonal - diagonal + y_size - 1) / 2)
+
+
+def kmer_letters(code: Column, k: int) -> Column:
+    """The letters of a k-mer's 2-bit code."""
+    return F.concat(*[F.substring(F.lit("ACGT"), F.shiftright(code, 2 * (k - 1 - j)).bitwiseAND(3).cast("int") + 1, 1) for j in range(k)])
+
+
+def without_strand(label: Column) -> Column:
+    return F.regexp_replace(label, "[+-]$", "")

@@ -68,3 +68,27 @@ def strand_flips(elements: DataFrame) -> DataFrame:
     w = Window.partitionBy("read").orderBy(*ORDER)
     flip = F.when(F.lag("rev").over(w) != F.col("rev"), 1).otherwise(0)
     return elements.withColumn("flip", flip).groupBy("read").agg(F.countDistinct("contig").alias("n_contigs"), F.sum("flip").alias("n_flips"))
+
+
+def chimera_files(elements: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    """(kind, value) of the six outputs: names and lengths of chimeric and of other reads, and lengths and coordinates of chimeric reads' subchains."""
+    placed = islands(elements, max_gap)
+    whole = F.struct(F.col("length").alias("length"), F.abs(F.col("e") - F.col("s")).alias("span"), F.col("s").alias("s"), F.col("e").alias("e"))
+    parts = placed.groupBy("read", "island").agg(F.min_by("s", "place").alias("start"), F.max_by("e", "place").alias("stop"), F.collect_list(whole["span"]).alias("spans"), F.sum("length").alias("bases"))
+    read = parts.groupBy("read").agg(F.count("*").alias("n"), F.sum("bases").alias("bases"), F.sort_array(F.collect_list(F.struct("island", "start", "stop", "spans"))).alias("parts"))
+    kind = lambda yes, no: F.when(F.col("n") > 1, yes).otherwise(no)
+    one = lambda k, v: F.array(F.struct(k.alias("kind"), v.cast("string").alias("value")))
+    bounds = F.array_join(F.transform("parts", lambda p: F.concat(F.lit("("), p["start"].cast("string"), F.lit(","), p["stop"].cast("string"), F.lit(")"))), ",")
+    spans = F.transform(F.flatten(F.col("parts.spans")), lambda x: F.struct(F.lit("subchain_lengths").alias("kind"), x.cast("string").alias("value")))
+    own = F.concat(one(kind("chimeric_reads", "other_reads"), F.col("read")), one(kind("chimeric_lengths", "other_lengths"), F.col("bases")))
+    chimeric = F.concat(own, one(F.lit("subchains"), F.concat_ws("\t", F.col("read").cast("string"), bounds)), spans)
+    return read.select(F.explode(F.when(F.col("n") > 1, chimeric).otherwise(own)).alias("x")).select("x.kind", "x.value")
+
+
+def chimera_stats(reads: DataFrame, by: str) -> DataFrame:
+    """For each group of ``chimeric`` rows: n50 of the bases, chimeric reads and others. n50 is the least length with half of all bases in reads of up to it."""
+    sizes = reads.groupBy(by, "bases").agg(F.count("*").alias("n"), F.sum(F.col("is_chimeric").cast("long")).alias("c"))
+    w = Window.partitionBy(by)
+    run = sizes.withColumns({"upto": F.sum(F.col("n") * F.col("bases")).over(w.orderBy("bases")), "all": F.sum(F.col("n") * F.col("bases")).over(w)})
+    half = F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("bases"))).alias("n50")
+    return run.groupBy(by).agg(half, F.sum("c").alias("n_chimeric"), F.sum(F.col("n") - F.col("c")).alias("n_others"))

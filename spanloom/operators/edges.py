@@ -59,3 +59,33 @@ def depth() -> Column:
     """Drawing order of edges in the reference: selected 3, filtered 2, candidate 1, reference alone 4; 0 for others."""
     r = F.col("is_reference")
     return F.when(~r, 0).when(F.col("is_selected"), 3).when(F.col("passes_filter"), 2).when(F.col("is_candidate"), 1).otherwise(4)
+
+
+def only(edges: DataFrame, flag: str) -> DataFrame:
+    """Edges with a flag, such as those of the read graph (is_selected) or of the reference (is_reference)."""
+    return edges.filter(F.col(flag))
+
+
+def find(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """The edges between the asked pairs (columns a, b in either order, is_cross), with the pair as it was asked; pairs without an edge are left out."""
+    keys = asked.select("a", "b", F.least("a", "b").alias("n0"), F.greatest("a", "b").alias("n1"), "is_cross").distinct()
+    return keys.join(edges, KEY).select("a", "b", *KEY, *FLAGS)
+
+
+def restrict(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Only the edges whose nodes are both named."""
+    for end in ("n0", "n1"):
+        edges = edges.join(names.select(F.col("name").alias(end)).distinct(), end, "left_semi")
+    return edges.select(*KEY, *FLAGS)
+
+
+def renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges with the names of their ids (names: id, name) as a and b; edges of unknown ids are left out."""
+    for end, name in (("n0", "a"), ("n1", "b")):
+        edges = edges.join(names.select(F.col("id").alias(end), F.col("name").alias(name)), end)
+    return edges
+
+
+def first_by_name(table: DataFrame, names: DataFrame) -> DataFrame:
+    """name and the least id of the rows of ``table`` (id, name) with a name among ``names``."""
+    return table.join(names.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.min("id").alias("id"))

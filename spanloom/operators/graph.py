@@ -31,3 +31,14 @@ def subgraph(edges: DataFrame, start: list, radius: int) -> DataFrame:
         frontier = step.select(F.col("far").alias("node")).distinct().join(seen, "node", "left_anti")
         seen = seen.union(frontier)
     return kept.distinct() if kept is not None else edges.limit(0)
+
+
+def labels(names: DataFrame) -> DataFrame:
+    """node and label of both strands of each name (column name): the name and + or -."""
+    both = F.explode(F.array(*[F.struct((2 * F.col("name") + k).alias("node"), F.concat(F.col("name").cast("string"), F.lit(sign)).alias("label")) for k, sign in ((0, "+"), (1, "-"))])).alias("x")
+    return names.select(both).select("x.node", "x.label")
+
+
+def extent(nodes: DataFrame) -> DataFrame:
+    """One row: the largest x and y of the nodes' coordinates."""
+    return nodes.agg(F.max("x").alias("x_max"), F.max("y").alias("y_max"))

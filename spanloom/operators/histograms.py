@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanloom.operators.prefix import sorted_running
+
 
 def bin_of(x: Column, start: float, stop: float, n_bins: int, unbounded: bool = False) -> Column:
     """The bin of a value, or null."""
@@ -96,5 +98,18 @@ def modulo_subsample(rows: DataFrame, index: str, rate: float, modulus: int = 10
 
 def prefix_by_sum(rows: DataFrame, group: list[str], order: list[str], x: str, most: int) -> DataFrame:
     """Rows of each group, in order, as long as the sum of those before is under ``most``; with that running sum."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running", F.sum(x).over(w)).filter(F.col("running") - F.col(x) < most)
+    before = sorted_running(rows, list(map(F.col, order)), {"_before": F.col(x)}, group)
+    return before.withColumn("running", F.col("_before") + F.col(x)).filter(F.col("_before") < most).drop("_before")
+
+
+def adaptive_range(rows: DataFrame, x: str, most: int = 500) -> tuple[float, float, int]:
+    """(start, stop, bins) from the least to the largest value: one bin for each whole step between them, ``most`` at most."""
+    r = rows.agg(F.min(x).alias("a"), F.max(x).alias("b")).first()
+    start, stop = float(r["a"] or 0), float(r["b"] or 0)
+    return start, stop, max(1, min(int(stop - start), most))
+
+
+def sample_by_length(rows: DataFrame, index: str, length: str, n: int, least: int, seed: int = 1) -> DataFrame:
+    """``n`` rows of at least ``least`` in length, picked by a seeded hash of the index: the same on every run."""
+    pick = F.md5(F.concat(F.lit(f"{seed}:"), F.col(index).cast("string")))
+    return rows.filter(F.col(length) >= least).orderBy(pick, index).limit(n)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spanloom.functions.scalars import is_marker, kmers
+from spanloom.functions.scalars import is_marker, kmers, reverse_complement
 
 
 def positions(reads: DataFrame, k: int) -> DataFrame:
@@ -16,20 +20,136 @@ def markers(reads: DataFrame, k: int, density: float) -> DataFrame:
     return positions(reads, k).filter(is_marker(F.col("kmer"), density))
 
 
+def seeds(one: str, two: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y and length of the maximal matches of k letters ACGT or more between two sequences.
+
+    Common k-mers are found by a binary search of one sequence's codes among the sorted
+    codes of the other, a block of places at a time. Of these seeds only those are kept
+    at which a match begins or ends; in the order of diagonal and place, the n-th
+    beginning and the n-th end belong together.
+    """
+    letters = [np.frombuffer(t.encode("ascii", "replace"), np.uint8) for t in (one, two)]
+    (xc, xg), (yc, yg) = (_codes(t, k) for t in letters)
+    order = np.argsort(yc, kind="stable")
+    order = order[yg[order]]
+    known = yc[order]
+    n, m = len(one), len(two)
+    pad = [np.concatenate([[fill], _DIGITS[t], [fill]]) for t, fill in zip(letters, (4, 5))]
+    begins, ends = [], []
+    for at in range(0, len(xc), 4096):
+        x = np.flatnonzero(xg[at : at + 4096]) + at
+        low, high = np.searchsorted(known, xc[x]), np.searchsorted(known, xc[x], "right")
+        many = high - low
+        xs = np.repeat(x, many)
+        ys = order[np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)]
+        before, behind = (pad[0][xs] != pad[1][ys]) | (pad[0][xs] > 3), (pad[0][xs + k + 1] != pad[1][ys + k + 1]) | (pad[0][xs + k + 1] > 3)
+        begins.append(np.stack([xs[before], ys[before]]))
+        ends.append(np.stack([xs[behind], ys[behind]]))
+    if not begins:
+        return (np.zeros(0, np.int64),) * 3
+    (bx, by), (ex, ey) = np.concatenate(begins, 1), np.concatenate(ends, 1)
+    first, last = np.lexsort((bx, bx - by)), np.lexsort((ex, ex - ey))
+    return bx[first], by[first], ex[last] - bx[first] + k
+
+
+#: The code of each letter's byte; 6 stands for all others.
+_DIGITS = np.full(256, 6, np.int64)
+_DIGITS[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def _codes(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 2-bit code of every k-mer, and whether it has letters ACGT only."""
+    n = max(0, len(letters) - k + 1)
+    d = _DIGITS[letters]
+    code, good = np.zeros(n, np.int64), np.ones(n, bool)
+    for j in range(k):
+        code = code * 4 + (d[j : j + n] & 3)
+        good &= d[j : j + n] < 4
+    return code, good
+
+
 def exact_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """Maximal exact matches of k letters or more of each pair (a, b): a, b, x, y, len.
+    """Maximal exact matches of k letters (31 at most) or more of each pair (a, b): a, b, x, y, len.
+
+    Each pair's two sequences meet in one row, so what is shuffled are sequences, not
+    k-mers, and a k-mer that many reads share makes no group.
+    """
+    side = lambda name, text: reads.select(F.col("read").alias(name), F.col("sequence").alias(text))
+    both = pairs.select("a", "b").join(side("a", "one"), "a").join(side("b", "two"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            for r, (one, two) in enumerate(zip(batch.column("one"), batch.column("two"))):
+                x, y, n = seeds(one.as_py() or "", two.as_py() or "", k)
+                for at in range(0, len(x), 100_000):
+                    part = slice(at, at + 100_000)
+                    m = len(x[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, a[r])), pa.array(np.full(m, b[r])), pa.array(x[part]), pa.array(y[part]), pa.array(n[part])], names=["a", "b", "x", "y", "len"])
+
+    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, x long, y long, len long")
+
 
-    Every maximal match of that length is a run of k-mer seeds on one diagonal, so
-    an equi-join on k-mers and gaps-and-islands find them all.
+def reversed_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
+    """Matches with the second read's reverse complement, in places of that read as it stands: y is where the match's last letter falls."""
+    turned = reads.select((-F.col("read") - 1).alias("read"), reverse_complement(F.col("sequence")).alias("sequence")).filter("sequence is not null")
+    found = exact_matches(pairs.select("a", (-F.col("b") - 1).alias("b")), reads.union(turned), k).withColumn("b", -F.col("b") - 1)
+    sizes = reads.select(F.col("read").alias("b"), F.length("sequence").alias("_size"))
+    return found.join(sizes, "b").select("a", "b", "x", (F.col("_size") - F.col("y") - F.col("len")).alias("y"), "len")
+
+
+def unique_matches(matches: DataFrame, in_both: bool) -> DataFrame:
+    """Matches whose letters stand once in the first sequence and, if ``in_both``, once in the second.
+
+    The letters stand once more in a sequence exactly if another match of the pair
+    covers the same letters of the other sequence.
     """
-    seeds = positions(reads, k)
-    left = pairs.join(seeds.select(F.col("read").alias("a"), F.col("pos").alias("x"), "kmer"), "a")
-    found = left.join(seeds.select(F.col("read").alias("b"), F.col("pos").alias("y"), "kmer"), ["b", "kmer"])
-    found = found.withColumn("diagonal", F.col("x") - F.col("y"))
-    w = Window.partitionBy("a", "b", "diagonal").orderBy("x")
-    run = found.withColumn("run", F.col("x") - F.row_number().over(w))
-    out = run.groupBy("a", "b", "diagonal", "run").agg(F.min("x").cast("long").alias("x"), F.min("y").cast("long").alias("y"), (F.count("*") + k - 1).alias("len"))
-    return out.select("a", "b", "x", "y", "len")
+    for c in ("y", "x") if in_both else ("y",):
+        end = F.col(c) + F.col("len")
+        by = Window.partitionBy("a", "b")
+        wider = by.orderBy(c, end.desc()).rowsBetween(Window.unboundedPreceding, -1)
+        covered = F.coalesce(F.max(end).over(wider) >= end, F.lit(False)) | (F.count("*").over(Window.partitionBy("a", "b", c, "len")) > 1)
+        matches = matches.withColumn(f"_covered_{c}", covered)
+    keep = ~F.col("_covered_y") & (~F.col("_covered_x") if in_both else F.lit(True))
+    return matches.filter(keep).select("a", "b", "x", "y", "len")
+
+
+def merged_diagonals(matches: DataFrame) -> DataFrame:
+    """a, b, diagonal, start, stop: on each diagonal x - y the closed stretches of antidiagonals [x + y, x + y + len - 1], those that touch made one."""
+    rows = matches.select("a", "b", (F.col("x") - F.col("y")).alias("diagonal"), (F.col("x") + F.col("y")).alias("start"), (F.col("x") + F.col("y") + F.col("len") - 1).alias("stop"))
+    w = Window.partitionBy("a", "b", "diagonal").orderBy("start", "stop")
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") <= before + 1, 0).otherwise(1)).over(w)
+    return rows.withColumn("island", island).groupBy("a", "b", "diagonal", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+
+
+def in_boxes(merged: DataFrame, boxes: DataFrame, reach: int) -> DataFrame:
+    """Merged stretches that meet the box of ``reach`` behind each point (boxes: a, b, x, y), with the point and the stretch's own start.
+
+    From the box's upper edge (x + t, y) and its left edge (x, y + t) a diagonal is
+    searched over reach + 1 - t antidiagonals.
+    """
+    t = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("t")
+    lines = boxes.select("a", "b", "x", "y", t).select("a", "b", "x", "y", (F.col("x") - F.col("y") + F.col("t")).alias("diagonal"), (F.col("x") + F.col("y") + F.abs("t")).alias("low"), (reach + 1 - F.abs("t")).alias("space"))
+    hit = lines.join(merged, ["a", "b", "diagonal"]).filter((F.col("start") <= F.col("low") + F.col("space")) & (F.col("stop") >= F.col("low")))
+    return hit.select("a", "b", "x", "y", ((F.col("start") + F.col("diagonal")) / 2).cast("long").alias("at_x"), ((F.col("start") - F.col("diagonal")) / 2).cast("long").alias("at_y"), (F.col("stop") - F.col("start") + 1).alias("len"))
+
+
+def rebased(points: DataFrame, order: str) -> DataFrame:
+    """Each alignment's coordinates (a, b, x, y) less its first ones in ``order``; the axes are swapped if y is ahead in the first."""
+    first = points.groupBy("a", "b").agg(F.min_by(F.struct("x", "y"), F.struct(order, "x", "y")).alias("f"))
+    swap = F.col("f.y") > F.col("f.x")
+    x, y = F.col("x") - F.col("f.x"), F.col("y") - F.col("f.y")
+    return points.join(first, ["a", "b"]).select("a", "b", order, F.when(swap, y).otherwise(x).alias("x"), F.when(swap, x).otherwise(y).alias("y"))
+
+
+def termini(matches: DataFrame, skip: int) -> DataFrame:
+    """Start, end and end of scope of each match along the antidiagonals, with their place in the sweep: of those in one antidiagonal, starts, then ends, then removals."""
+    d, a = (F.col("x") - F.col("y")).alias("diagonal"), F.col("x") + F.col("y")
+    kinds = [F.struct(F.lit(k).alias("kind"), at.cast("long").alias("antidiagonal")) for k, at in enumerate((a, a + 2 * F.col("len"), a + 2 * F.col("len") + skip))]
+    rows = matches.select("a", "b", d, "x", F.explode(F.array(*kinds)).alias("t")).select("a", "b", "diagonal", "x", "t.kind", "t.antidiagonal")
+    w = Window.partitionBy("a", "b").orderBy("antidiagonal", "kind", "diagonal", "x")
+    return rows.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
 
 
 def points(matches: DataFrame, step: int) -> DataFrame:
@@ -44,6 +164,12 @@ def heatmap(matches: DataFrame, cell: int) -> DataFrame:
     return matches.groupBy("a", "b", at("x"), at("y")).agg(F.max("len").alias("longest"))
 
 
+def log_heatmap(cells: DataFrame) -> DataFrame:
+    """``heatmap`` cells with their shade from 0 to 1: log(longest + 1) over that of the pair's longest."""
+    most = F.max("longest").over(Window.partitionBy("a", "b"))
+    return cells.withColumn("shade", F.log(F.col("longest").cast("double") + 1) / F.log(most.cast("double") + 1))
+
+
 def mean_position(matches: DataFrame, step: int) -> DataFrame:
     """For each pair the mean start on ``a``, a match counting once for each ``step`` letters begun."""
     n = F.ceil(F.col("len") / step)

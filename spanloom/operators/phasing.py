@@ -35,3 +35,9 @@ def discordant(rows: DataFrame, table: DataFrame, by: str = "component") -> Data
     """Rows that go against their component's majority pairing (a = b, or a <> b); a tie counts as a = b."""
     side = table.select(by, (F.col("n00") + F.col("n11") >= F.col("n01") + F.col("n10")).alias("alike"))
     return rows.join(side, by).filter((F.col("a") == F.col("b")) != F.col("alike")).select(*rows.columns)
+
+
+def checked_sides(rows: DataFrame, name: str, phase: str) -> DataFrame:
+    """name and phase of each read of one assignment; a read in both phases makes the read fail."""
+    per = rows.groupBy(name).agg(F.min(phase).alias(phase), F.max(phase).alias("_other"))
+    return per.filter(F.when(F.col(phase) == F.col("_other"), True).otherwise(F.raise_error(F.lit("a read is in both haplotypes")))).drop("_other")

@@ -50,3 +50,44 @@ def breakpoint(rows: DataFrame, step: int, at_least: int = 2) -> DataFrame:
     gain = like(F.col("left"), F.col("i")) + like(F.col("all") - F.col("left"), F.col("n") - F.col("i")) - like(F.col("all"), F.col("n"))
     cuts = p.filter((F.col("i") % step == 0) & (F.col("n") - F.col("i") >= at_least)).withColumn("gain", gain)
     return cuts.groupBy("read").agg(F.max_by("i", F.struct("gain", -F.col("i"))).cast("long").alias("cut"), F.max("gain").alias("gain"))
+
+
+def smoothed_to_the_ends(rows: DataFrame, width: int, sigma: float) -> DataFrame:
+    """As ``smoothed``, at every position: where the kernel reaches beyond the read, what lies in the read is summed."""
+    w = Window.partitionBy("read").orderBy("pos")
+    p = rows.select("read", "pos", error_probability(F.col("q").cast("double")).alias("p"))
+    terms = [F.coalesce(F.lag("p", -k).over(w), F.lit(0.0)) * weight for k, weight in zip(range(-width, width + 1), kernel(width, sigma))]
+    return p.withColumn("smooth", sum(terms[1:], terms[0]))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    w = Window.partitionBy("read")
+    p = error_probability(F.col("q").cast("double"))
+    return rows.select("read", "pos", p.alias("p"), F.row_number().over(w.orderBy("pos")).alias("i"), F.count("*").over(w).alias("n"))
+
+
+def penalised_breakpoint(rows: DataFrame, step: int, beta: float) -> DataFrame:
+    """For each read the cut, a multiple of ``step``, whose two means explain the probabilities best, if it gains more than ``beta``.
+
+    The cost of n values with squared deviations S from their mean is n (log 2 pi + log(S / n + 1)).
+    """
+    run = Window.partitionBy("read").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("read")
+    sums = _placed(rows).select("read", "i", "n", *[f.over(w).alias(k) for k, f, w in (("l1", F.sum("p"), run), ("l2", F.sum(F.col("p") * F.col("p")), run), ("a1", F.sum("p"), whole), ("a2", F.sum(F.col("p") * F.col("p")), whole))])
+    cost = lambda n, s1, s2: n * (math.log(2 * math.pi) + F.log(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / n + 1))
+    c = F.col
+    gain = cost(c("n"), c("a1"), c("a2")) - cost(c("i"), c("l1"), c("l2")) - cost(c("n") - c("i"), c("a1") - c("l1"), c("a2") - c("l2")) - beta
+    cuts = sums.filter((F.col("i") % step == 0) & (F.col("i") < F.col("n"))).withColumn("score", F.round(gain, 6)).filter("score > 0")
+    return cuts.groupBy("read").agg(F.max_by("i", F.struct("score", -F.col("i"))).cast("long").alias("cut"), F.max("score").alias("score"))
+
+
+def half_split_t(rows: DataFrame) -> DataFrame:
+    """Welch's t and its degrees of freedom between both halves of a read, over all its positions; null where a half has no variance."""
+    left = F.col("i") <= F.floor(F.col("n") / 2)
+    pick = lambda f, side, name: f(F.when(side, F.col("p"))).alias(name)
+    h = _placed(rows).groupBy("read").agg(F.max("n").alias("n"), *[pick(f, side, f"{k}{s}") for s, side in (("l", left), ("r", ~left)) for k, f in (("m", F.avg), ("v", F.var_pop), ("n", F.count))])
+    h = h.withColumns({"el": F.try_divide("vl", "nl"), "er": F.try_divide("vr", "nr")})
+    both = F.col("el") + F.col("er")
+    t = F.try_divide(F.col("ml") - F.col("mr"), F.sqrt(both))
+    part = lambda e, n: F.try_divide(F.col(e) * F.col(e), F.col(n) - 1)
+    return h.select("read", "n", t.alias("t"), F.try_divide(both * both, part("el", "nl") + part("er", "nr")).alias("dof"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom.functions.scratch import stored
 from spanloom.operators import chains, edges, graph, intervals
 from spanloom.sources import views
 from spanloom.sources.views import ALN, CAND, CHAIN, EXCL
@@ -97,7 +98,7 @@ ds AS (
 
 def subgraph_radius(spark, sf_dir):
     """Radius 2 around both strands of the read with the least id of the smallest-target alignments."""
-    stranded = double_stranded_edges(spark, sf_dir)
+    stranded = stored(double_stranded_edges(spark, sf_dir), "stranded")
     first = stranded.agg(F.min(F.floor(F.col("u") / 2)).alias("n")).first()["n"]
     return graph.subgraph(stranded, [2 * first, 2 * first + 1] if first is not None else [], 2)
 
@@ -149,13 +150,13 @@ def alignments_by_name(spark, sf_dir):
 
 def box_pairs(spark, sf_dir):
     """Alignments of one target as boxes in the plane of place and order: pairs that intersect in both."""
-    rows = views.alignments(spark, sf_dir).filter("mapq >= 70").withColumn("y", F.col("ord") % 512).withColumn("bin", F.explode(intervals.bins(F.col("s"), F.col("e"), 64)))
+    rows = views.alignments(spark, sf_dir).filter("s < e").withColumn("y", F.col("ord") % 512).withColumn("bin", F.explode(intervals.bins(F.col("s"), F.col("e"), 64)))
     a, b = rows.alias("a"), rows.alias("b")
     on = (F.col("a.target") == F.col("b.target")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.bin") == F.floor(F.greatest("a.s", "b.s") / 64)) & (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e")) & (F.abs(F.col("a.y") - F.col("b.y")) < 32) & (F.struct("a.query", "a.ord", "a.line") < F.struct("b.query", "b.ord", "b.line"))
     return a.join(b, on).groupBy(F.col("a.target").alias("target")).agg(F.count("*").alias("n_pairs"))
 
 
-BOXES = f"""WITH {ALN}, r AS (SELECT *, ord % 512 AS y FROM aln WHERE mapq >= 70 AND s < e)
+BOXES = f"""WITH {ALN}, r AS (SELECT *, ord % 512 AS y FROM aln WHERE s < e)
 SELECT a.target, count(*) AS n_pairs FROM r a JOIN r b ON a.target = b.target AND a.s < b.e AND b.s < a.e AND abs(a.y - b.y) < 32
   AND (a.query, a.ord, a.line) < (b.query, b.ord, b.line) GROUP BY a.target"""
 

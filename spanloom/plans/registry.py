@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import overlaps, sequences, statistics
+from spanloom.plans import overlaps, records, sequences, statistics
 
-QUERIES = overlaps.QUERIES | statistics.QUERIES | sequences.QUERIES
-ORACLE = overlaps.ORACLE | statistics.ORACLE | sequences.ORACLE
+QUERIES = overlaps.QUERIES | statistics.QUERIES | sequences.QUERIES | records.QUERIES
+ORACLE = overlaps.ORACLE | statistics.ORACLE | sequences.ORACLE | records.ORACLE

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import scalars
 from spanloom.functions.shipping import ship_package
-from spanloom.operators import align, matches
+from spanloom.functions.scratch import stored
+from spanloom.operators import align, cigars, graph, matches
+from spanloom.operators.prefix import sorted_running, with_next
 from spanloom.sources import views
 from spanloom.sources.views import ALN, READS
 
@@ -37,11 +39,8 @@ LEFT JOIN (SELECT read, count(*) AS n, count(*) FILTER (WHERE code % 101 < 10) A
 
 def _neighbours(spark, sf_dir):
     """Pairs of reads from the same shelf of the library: each read with the next by id among those of like length (in hundreds)."""
-    from pyspark.sql import Window
-
-    lens = views.reads(spark, sf_dir).select("read", F.expr("length(sequence) div 100").alias("shelf"))
-    w = Window.partitionBy("shelf").orderBy("read")
-    return lens.select(F.col("read").alias("a"), F.lead("read").over(w).alias("b")).filter("b is not null")
+    lens = views.reads(ship_package(spark), sf_dir).select("read", F.expr("length(sequence) div 100").alias("shelf"))
+    return with_next(lens, ["shelf"], [F.col("read")], {"b": "read"}).select(F.col("read").alias("a"), "b")
 
 
 PAIRS = "pairs AS (SELECT a, b FROM (SELECT read AS a, lead(read) OVER (PARTITION BY length(sequence) // 100 ORDER BY read) AS b FROM reads) WHERE b IS NOT NULL)"
@@ -49,24 +48,60 @@ PAIRS = "pairs AS (SELECT a, b FROM (SELECT read AS a, lead(read) OVER (PARTITIO
 
 def edit_distance(spark, sf_dir):
     """Edit distance of neighbouring part names."""
-    from pyspark.sql import Window
-
     parts = views.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return parts.select("p_partkey", F.levenshtein("p_name", F.lead("p_name").over(w)).cast("long").alias("distance")).filter("distance is not null")
+    pairs = with_next(parts, ["p_brand"], [F.col("p_partkey")], {"two": "p_name"})
+    return pairs.select("p_partkey", F.levenshtein("p_name", "two").cast("long").alias("distance"))
 
 
-def cigar_ops(spark, sf_dir):
-    """Reference and query lengths of a CIGAR made from each alignment, and its last step's place on the reference."""
+def _cigars(spark, sf_dir):
+    """Every alignment with a CIGAR made from it."""
     parts = [F.col("e") - F.col("s"), F.lit("M"), F.col("line"), F.lit("I"), F.pmod("query", F.lit(7)) + 1, F.lit("D"), F.lit("5=2X"), F.pmod("target", F.lit(9)) + 1, F.lit("S")]
-    rows = views.alignments(spark, sf_dir).filter("mapq >= 60").withColumn("ops", scalars.cigar_ops(F.concat(*[p.cast("string") for p in parts])))
+    return views.alignments(spark, sf_dir).withColumn("ops", scalars.cigar_ops(F.concat(*[p.cast("string") for p in parts])))
+
+
+def cigar_ops(spark, sf_dir):
+    """Reference and query lengths of each alignment's CIGAR, and its last step's place on the reference."""
+    rows = _cigars(spark, sf_dir)
     total = lambda keep: F.aggregate(F.filter("ops", lambda o: keep(o["op"])), F.lit(0).cast("long"), lambda acc, o: acc + o["len"])
     out = rows.select("query", "target", "ord", "line", "s", F.size("ops").cast("long").alias("n_ops"), total(scalars.consumes_reference).alias("on_reference"), total(scalars.consumes_query).alias("on_query"))
     return out.withColumn("stop", F.col("s") + F.col("on_reference"))
 
 
 CIGAR = f"""WITH {ALN} SELECT query, target, ord, line, s, CAST(6 AS BIGINT) AS n_ops, (e - s) + (query % 7 + 1) + 7 AS on_reference,
-  (e - s) + line + 7 + (target % 9 + 1) AS on_query, s + (e - s) + (query % 7 + 1) + 7 AS stop FROM aln WHERE mapq >= 60"""
+  (e - s) + line + 7 + (target % 9 + 1) AS on_query, s + (e - s) + (query % 7 + 1) + 7 AS stop FROM aln"""
+
+
+def cigar_segments(spark, sf_dir):
+    """Where each step of an alignment runs on the reference and the query; clips are left out."""
+    keys = ["query", "target", "ord", "line"]
+    out = cigars.segments(_cigars(spark, sf_dir), keys, "s", "rev")
+    return out.select(*keys, "step", "op", "x0", "x1", "y0", "y1")
+
+
+SEGMENTS = f"""WITH {ALN}, o AS (
+  SELECT a.*, k, CASE k WHEN 0 THEN 'M' WHEN 1 THEN 'I' WHEN 2 THEN 'D' WHEN 3 THEN '=' WHEN 4 THEN 'X' ELSE 'S' END AS op,
+    CASE k WHEN 0 THEN e - s WHEN 1 THEN line WHEN 2 THEN query % 7 + 1 WHEN 3 THEN 5 WHEN 4 THEN 2 ELSE target % 9 + 1 END AS len
+  FROM (SELECT *, row_number() OVER () AS rid FROM aln) a, (SELECT unnest(range(6)) AS k) x),
+r AS (SELECT *, CASE WHEN op IN ('M', 'D', '=', 'X') THEN len ELSE 0 END AS dx, CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN len ELSE 0 END AS dy FROM o),
+c AS (SELECT *, CAST(sum(dx) OVER w - dx AS BIGINT) AS bx, CAST(sum(dy) OVER w - dy AS BIGINT) AS byy FROM r WINDOW w AS (PARTITION BY rid ORDER BY k ROWS UNBOUNDED PRECEDING))
+SELECT query, target, ord, line, CAST(CASE WHEN rev THEN 5 - k ELSE k END AS BIGINT) AS step, op,
+  CASE WHEN rev THEN s + bx + dx ELSE s + bx END AS x0, CASE WHEN rev THEN s + bx ELSE s + bx + dx END AS x1,
+  CASE WHEN rev THEN byy + dy ELSE byy END AS y0, CASE WHEN rev THEN byy ELSE byy + dy END AS y1
+FROM c WHERE op <> 'S'"""
+
+
+def kmer_decode(spark, sf_dir):
+    """The k-mers of each read decoded from their codes, as one digest."""
+    letters = F.transform(scalars.kmers(F.col("sequence"), 6), lambda c: scalars.kmer_letters(c, 6))
+    return views.reads(spark, sf_dir).select("read", F.md5(F.array_join(letters, ",")).alias("digest"))
+
+
+def diagonal_places(spark, sf_dir):
+    """Alignments' places turned to diagonals and back, in a matrix 8 high."""
+    x, y = F.col("s") + 4000, F.col("line").cast("long")
+    d, a = scalars.diagonal(x, y, 8), scalars.antidiagonal(x, y)
+    rows = views.alignments(spark, sf_dir).select("query", "target", "ord", "line", d.alias("diagonal"), a.alias("antidiagonal"))
+    return rows.withColumns({"x": scalars.x_of(F.col("diagonal"), F.col("antidiagonal"), F.lit(8)), "y": scalars.y_of(F.col("diagonal"), F.col("antidiagonal"), F.lit(8))})
 
 
 def exact_matches(spark, sf_dir):
@@ -91,6 +126,56 @@ def mean_match_position(spark, sf_dir):
     return matches.mean_position(exact_matches(spark, sf_dir), 5)
 
 
+def match_shades(spark, sf_dir):
+    cells = matches.log_heatmap(matches.heatmap(exact_matches(spark, sf_dir), 100))
+    return cells.select("a", "b", "x_bin", "y_bin", F.round("shade", 6).alias("shade"))
+
+
+def matches_by_position(spark, sf_dir):
+    """Pairs in the order of their matches' mean place, ties by the reads."""
+    out = sorted_running(mean_match_position(spark, sf_dir), [F.col("position"), F.col("a"), F.col("b")], {"place": F.lit(1).cast("long")})
+    return out.select("a", "b", "position", "place")
+
+
+def reference_unique_matches(spark, sf_dir):
+    return matches.unique_matches(exact_matches(spark, sf_dir), False)
+
+
+def unique_matches(spark, sf_dir):
+    return matches.unique_matches(exact_matches(spark, sf_dir), True)
+
+
+def dotplot_both_strands(spark, sf_dir):
+    """Points of the matches on both strands, the second read's places moved up by 100,000."""
+    pairs, reads = _neighbours(spark, sf_dir), views.reads(spark, sf_dir)
+    moved = lambda df, k: matches.points(df, 5).select("a", "b", F.lit(k).alias("is_reverse"), "x", (F.col("y") + 100_000).alias("y"))
+    return moved(matches.exact_matches(pairs, reads, K), False).union(moved(matches.reversed_matches(pairs, reads, K), True))
+
+
+def merged_diagonals(spark, sf_dir):
+    return matches.merged_diagonals(exact_matches(spark, sf_dir))
+
+
+def matches_in_boxes(spark, sf_dir):
+    """For each match the stretches that meet the box of 30 behind its last letter."""
+    found = stored(exact_matches(spark, sf_dir), "matches")
+    ends = found.select("a", "b", (F.col("x") + F.col("len")).alias("x"), (F.col("y") + F.col("len")).alias("y")).distinct()
+    return matches.in_boxes(matches.merged_diagonals(found), ends, 30)
+
+
+def rebased_matches(spark, sf_dir):
+    rows = exact_matches(spark, sf_dir).withColumn("ord", F.col("x") * 100_000 + F.col("y"))
+    return matches.rebased(rows, "ord")
+
+
+def match_termini(spark, sf_dir):
+    return matches.termini(exact_matches(spark, sf_dir), 50)
+
+
+def match_extent(spark, sf_dir):
+    return graph.extent(exact_matches(spark, sf_dir))
+
+
 def next_matches(spark, sf_dir):
     return matches.next_matches(exact_matches(spark, sf_dir), 200)
 
@@ -110,19 +195,32 @@ def dag_chain(spark, sf_dir):
 
 def gap_affine_align(spark, sf_dir):
     """Neighbouring part names of a brand, aligned."""
-    from pyspark.sql import Window
-
     parts = views.table(ship_package(spark), sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    pairs = parts.select("p_partkey", F.col("p_name").alias("one"), F.lead("p_name").over(w).alias("two")).filter("two is not null")
+    pairs = with_next(parts, ["p_brand"], [F.col("p_partkey")], {"two": "p_name"}).withColumnRenamed("p_name", "one")
     return pairs.withColumn("r", align.align(F.col("one"), F.col("two"))).select("p_partkey", F.col("r.cost").alias("cost"), F.col("r.cigar").alias("cigar"))
 
 
+UNIQUE = """u AS (SELECT *, EXISTS (SELECT 1 FROM m q WHERE q.a = p.a AND q.b = p.b AND (q.x, q.y) <> (p.x, p.y) AND q.y <= p.y AND q.y + q.len >= p.y + p.len) AS cy,
+  EXISTS (SELECT 1 FROM m q WHERE q.a = p.a AND q.b = p.b AND (q.x, q.y) <> (p.x, p.y) AND q.x <= p.x AND q.x + q.len >= p.x + p.len) AS cx FROM m p)"""
+BOTH = f"""WITH {READS}, {PAIRS}, k AS (SELECT read, unnest(range(0, length(sequence) - {K - 1})) AS pos, unnest([substr(sequence, i, {K}) FOR i IN range(1, length(sequence) - {K - 2})]) AS kmer FROM reads),
+turned AS (SELECT read, length(sequence) AS size, reverse(translate(sequence, 'ACGT', 'TGCA')) AS sequence FROM reads),
+kt AS (SELECT read, size, unnest(range(0, length(sequence) - {K - 1})) AS pos, unnest([substr(sequence, i, {K}) FOR i IN range(1, length(sequence) - {K - 2})]) AS kmer FROM turned),
+f AS (SELECT a, b, false AS is_reverse, CAST(0 AS BIGINT) AS size, x.pos AS x, y.pos AS y FROM pairs JOIN k x ON x.read = a JOIN k y ON y.read = b AND y.kmer = x.kmer
+  UNION ALL SELECT a, b, true, size, x.pos, y.pos FROM pairs JOIN k x ON x.read = a JOIN kt y ON y.read = b AND y.kmer = x.kmer),
+r AS (SELECT *, x - row_number() OVER (PARTITION BY a, b, is_reverse, x - y ORDER BY x) AS run FROM f),
+g AS (SELECT a, b, is_reverse, size, min(x) AS x, min(y) AS y, count(*) + {K - 1} AS len FROM r GROUP BY a, b, is_reverse, size, x - y, run),
+m AS (SELECT a, b, is_reverse, x, CASE WHEN is_reverse THEN size - y - len ELSE y END AS y, len FROM g)"""
+STRETCHES = """c AS (SELECT a, b, x - y AS diagonal, x + y AS start, x + y + len - 1 AS stop FROM m),
+e AS (SELECT *, max(stop) OVER (PARTITION BY a, b, diagonal ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c),
+i AS (SELECT *, sum(CASE WHEN start <= prev + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY a, b, diagonal ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM e),
+stretches AS (SELECT a, b, diagonal, min(start) AS start, max(stop) AS stop FROM i GROUP BY a, b, diagonal, island)"""
+
+
 def _sql_pairs():
     return "WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS two FROM part)"
 
 
-QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance cigar_ops exact_matches dotplot_points match_heatmap mean_match_position next_matches dag_chain gap_affine_align".split()}
+QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance cigar_ops cigar_segments kmer_decode diagonal_places exact_matches dotplot_points match_heatmap mean_match_position match_shades matches_by_position reference_unique_matches unique_matches dotplot_both_strands merged_diagonals matches_in_boxes rebased_matches match_termini match_extent next_matches dag_chain gap_affine_align".split()}
 ORACLE = {
     "reverse_complement": f"WITH {READS} SELECT read, md5(reverse(translate(sequence, 'ACGT', 'TGCA'))) AS digest, length(sequence) AS size FROM reads",
     "homopolymer_compress": f"WITH {READS}, c AS (SELECT read, regexp_replace(regexp_replace(regexp_replace(regexp_replace(sequence, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g') AS s FROM reads) SELECT read, md5(s) AS digest, length(s) AS size FROM c",
@@ -132,6 +230,24 @@ ORACLE = {
     "exact_matches": f"{MATCHES} SELECT a, b, x, y, len FROM m",
     "dotplot_points": f"{MATCHES} SELECT a, b, x + t AS x, y + t AS y FROM (SELECT a, b, x, y, unnest(range(0, len, 5)) AS t FROM m)",
     "match_heatmap": f"{MATCHES} SELECT a, b, CAST(floor(x / 100.0) AS BIGINT) AS x_bin, CAST(floor(y / 100.0) AS BIGINT) AS y_bin, max(len) AS longest FROM m GROUP BY ALL",
+    "cigar_segments": SEGMENTS,
+    "kmer_decode": f"WITH {READS} SELECT read, md5(coalesce(array_to_string([substr(sequence, i, 6) FOR i IN range(1, length(sequence) - 4)], ','), '')) AS digest FROM reads",
+    "diagonal_places": f"WITH {ALN} SELECT query, target, ord, line, 7 - line + s + 4000 AS diagonal, s + 4000 + line AS antidiagonal, s + 4000 AS x, CAST(line AS BIGINT) AS y FROM aln",
+    "match_shades": f"{MATCHES}, h AS (SELECT a, b, x // 100 AS x_bin, y // 100 AS y_bin, max(len) AS longest FROM m GROUP BY ALL) SELECT a, b, x_bin, y_bin, round(ln(longest + 1) / ln(max(longest) OVER (PARTITION BY a, b) + 1), 6) AS shade FROM h",
+    "matches_by_position": f"{MATCHES}, p AS (SELECT a, b, CAST(floor(sum(x * ceil(len / 5.0)) / sum(ceil(len / 5.0))) AS BIGINT) AS position FROM m GROUP BY a, b) SELECT a, b, position, row_number() OVER (ORDER BY position, a, b) - 1 AS place FROM p",
+    "reference_unique_matches": f"{MATCHES}, {UNIQUE} SELECT a, b, x, y, len FROM u WHERE NOT cy",
+    "unique_matches": f"{MATCHES}, {UNIQUE} SELECT a, b, x, y, len FROM u WHERE NOT cy AND NOT cx",
+    "dotplot_both_strands": f"{BOTH} SELECT a, b, is_reverse, x + t AS x, y + t + 100000 AS y FROM (SELECT *, unnest(range(0, len, 5)) AS t FROM m)",
+    "merged_diagonals": f"{MATCHES}, {STRETCHES} SELECT a, b, diagonal, start, stop FROM stretches",
+    "matches_in_boxes": f"""{MATCHES}, {STRETCHES}, ends AS (SELECT DISTINCT a, b, x + len AS x, y + len AS y FROM m),
+lines AS (SELECT *, x - y + t AS diagonal, x + y + abs(t) AS low, 31 - abs(t) AS space FROM (SELECT *, unnest(range(-30, 31)) AS t FROM ends))
+SELECT l.a, l.b, l.x, l.y, (s.start + s.diagonal) // 2 AS at_x, (s.start - s.diagonal) // 2 AS at_y, s.stop - s.start + 1 AS len
+FROM lines l JOIN stretches s ON l.a = s.a AND l.b = s.b AND l.diagonal = s.diagonal AND s.start <= l.low + l.space AND s.stop >= l.low""",
+    "rebased_matches": f"""{MATCHES}, o AS (SELECT *, x * 100000 + y AS ord FROM m), st AS (SELECT a, b, arg_min(x, ord) AS fx, arg_min(y, ord) AS fy FROM o GROUP BY a, b)
+SELECT o.a, o.b, ord, CASE WHEN fy > fx THEN y - fy ELSE x - fx END AS x, CASE WHEN fy > fx THEN x - fx ELSE y - fy END AS y FROM o JOIN st ON o.a = st.a AND o.b = st.b""",
+    "match_termini": f"""{MATCHES}, t AS (SELECT a, b, x - y AS diagonal, x, k AS kind, x + y + CASE k WHEN 0 THEN 0 WHEN 1 THEN 2 * len ELSE 2 * len + 50 END AS antidiagonal FROM m, (VALUES (0), (1), (2)) v(k))
+SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY antidiagonal, kind, diagonal, x) - 1 AS place FROM t""",
+    "match_extent": f"{MATCHES} SELECT max(x) AS x_max, max(y) AS y_max FROM m",
     "next_matches": NEXT,
     "mean_match_position": f"{MATCHES} SELECT a, b, CAST(floor(sum(x * ceil(len / 5.0)) / sum(ceil(len / 5.0))) AS BIGINT) AS position FROM m GROUP BY a, b",
 }

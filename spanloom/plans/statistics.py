@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from spanloom.functions import scalars
 from spanloom.operators import histograms as h
 from spanloom.operators import learning, phasing, quality
+from spanloom.operators.prefix import sorted_running
 from spanloom.sources import views
 from spanloom.sources.views import ALN, CAND, LENS, PHASE, QUAL
 
@@ -40,7 +44,7 @@ def threshold_sums(spark, sf_dir):
 
 
 def region_histogram(spark, sf_dir):
-    rows = views.alignments(spark, sf_dir).filter("mapq >= 40").withColumn("mid", F.expr("(s + e) div 2"))
+    rows = views.alignments(spark, sf_dir).withColumn("mid", F.expr("(s + e) div 2"))
     return h.per_region(rows, "target", "mid", "e", 200)
 
 
@@ -167,6 +171,62 @@ def quality_breakpoint(spark, sf_dir):
     return out.select("read", "cut", F.round("gain", 4).alias("gain"))
 
 
+def quality_smoothed_to_the_ends(spark, sf_dir):
+    out = quality.smoothed_to_the_ends(views.qualities(spark, sf_dir), 4, 1.5)
+    return out.select("read", "pos", F.round("smooth", 6).alias("smooth"))
+
+
+SMOOTH_ENDS = f"""WITH {QUAL}, p AS (SELECT read, pos, pow(10.0, -q / 10.0) AS p FROM qual)
+SELECT read, pos, round({' + '.join(f"coalesce({'lag' if k < 0 else 'lead'}(p, {abs(k)}) OVER w, 0) * {weight!r}" for k, weight in zip(range(-4, 5), quality.kernel(4, 1.5)))}, 6) AS smooth
+FROM p WINDOW w AS (PARTITION BY read ORDER BY pos)"""
+
+
+def quality_penalised_breakpoint(spark, sf_dir):
+    out = quality.penalised_breakpoint(views.qualities(spark, sf_dir), 5, 0.05)
+    return out.select("read", "cut", F.round("score", 4).alias("score"))
+
+
+def _cost(n, s1, s2):
+    return f"({n}) * ({math.log(2 * math.pi)!r} + ln(greatest(({s2}) - ({s1}) * ({s1}) / ({n}), 0) / ({n}) + 1))"
+
+
+PENALISED = f"""WITH {QUAL}, p AS (SELECT read, pos, pow(10.0, -q / 10.0) AS p FROM qual),
+r AS (SELECT read, row_number() OVER w AS i, count(*) OVER a AS n, sum(p) OVER u AS l1, sum(p * p) OVER u AS l2, sum(p) OVER a AS a1, sum(p * p) OVER a AS a2
+  FROM p WINDOW w AS (PARTITION BY read ORDER BY pos), u AS (PARTITION BY read ORDER BY pos ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY read)),
+g AS (SELECT read, i, round({_cost('n', 'a1', 'a2')} - {_cost('i', 'l1', 'l2')} - {_cost('n - i', 'a1 - l1', 'a2 - l2')} - 0.05, 6) AS score FROM r WHERE i % 5 = 0 AND i < n),
+k AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY score DESC, i) AS place FROM g WHERE score > 0)
+SELECT read, i AS cut, round(score, 4) AS score FROM k WHERE place = 1"""
+
+
+def quality_half_t(spark, sf_dir):
+    out = quality.half_split_t(views.qualities(spark, sf_dir))
+    return out.select("read", "n", F.round("t", 5).alias("t"), F.round("dof", 4).alias("dof"))
+
+
+HALF_T = f"""WITH {QUAL}, p AS (SELECT read, pow(10.0, -q / 10.0) AS p, row_number() OVER (PARTITION BY read ORDER BY pos) AS i, count(*) OVER (PARTITION BY read) AS n FROM qual),
+h AS (SELECT read, max(n) AS n, avg(p) FILTER (WHERE i <= n // 2) AS ml, var_pop(p) FILTER (WHERE i <= n // 2) AS vl, count(*) FILTER (WHERE i <= n // 2) AS nl,
+  avg(p) FILTER (WHERE i > n // 2) AS mr, var_pop(p) FILTER (WHERE i > n // 2) AS vr, count(*) FILTER (WHERE i > n // 2) AS nr FROM p GROUP BY read),
+e AS (SELECT *, vl / nullif(nl, 0) AS el, vr / nullif(nr, 0) AS er FROM h)
+SELECT read, n, round((ml - mr) / nullif(sqrt(el + er), 0), 5) AS t, round((el + er) * (el + er) / nullif(el * el / nullif(nl - 1, 0) + er * er / nullif(nr - 1, 0), 0), 4) AS dof FROM e"""
+
+
+def adaptive_histograms(spark, sf_dir):
+    """Counts of the order lines' quantities by class, in as many bins as there are whole steps between the least and the largest."""
+    rows = _features(spark, sf_dir)
+    start, stop, n_bins = h.adaptive_range(rows, "l_quantity")
+    return h.histogram(rows, "l_quantity", start, stop, n_bins, ("label",)).select("label", "bin", "n")
+
+
+def sample_by_length(spark, sf_dir):
+    return h.sample_by_length(views.lengths(spark, sf_dir), "doc_id", "length", 50, 1000).select("doc_id", "length")
+
+
+def chromosome_order(spark, sf_dir):
+    """Part containers and sizes as contig names, in their natural order."""
+    names = views.table(spark, sf_dir, "part").select(F.concat(F.lit("chr"), F.col("p_size").cast("string")).alias("name")).union(views.table(spark, sf_dir, "region").select(F.concat(F.lit("chr"), F.substring("r_name", 1, 2)))).distinct()
+    return sorted_running(names, [*scalars.chromosome_order(F.col("name")), F.col("name")], {"place": F.lit(1).cast("long")})
+
+
 def _like(s, n):
     return f"(({s}) * ln(({s}) / ({n})) + (({n}) - ({s})) * ln(1 - ({s}) / ({n})))"
 
@@ -220,7 +280,7 @@ QUERIES = {
     for k in (
         "length_histogram length_density weighted_histogram n50 threshold_sums threshold_totals region_histogram chimera_percent modulo_subsample subsample_rates "
         "length_histogram_whole length_density_whole weighted_histogram_whole n50_whole chimera_percent_whole subsample_rates_whole "
-        "max_bases_prefix set_compare phase_confusion phase_ari discordant_rows quality_halves quality_smoothed quality_breakpoint "
+        "max_bases_prefix set_compare phase_confusion phase_ari discordant_rows quality_halves quality_smoothed quality_breakpoint quality_smoothed_to_the_ends quality_penalised_breakpoint quality_half_t adaptive_histograms sample_by_length chromosome_order "
         "class_weights feature_histograms overlap_classifier node_degrees"
     ).split()
 }
@@ -231,7 +291,7 @@ ORACLE = {
     "n50": f"{HIST}, r AS (SELECT *, sum(n * center) OVER (PARTITION BY lang ORDER BY bin) AS upto, sum(n * center) OVER (PARTITION BY lang) AS total FROM c) SELECT lang, min(center) AS n50 FROM r WHERE upto > total / 2 GROUP BY lang",
     "threshold_sums": f"WITH {LENS} {_THRESHOLDS}",
     "threshold_totals": f"WITH {LENS} SELECT * FROM ({_THRESHOLDS}) ORDER BY total DESC, source, threshold LIMIT 20",
-    "region_histogram": f"""WITH {ALN}, r AS (SELECT target AS region, (s + e) // 2 AS mid, e FROM aln WHERE mapq >= 40), k AS (SELECT region, CAST(ceil(max(e) / 200.0) AS BIGINT) AS n_bins FROM r GROUP BY region),
+    "region_histogram": f"""WITH {ALN}, r AS (SELECT target AS region, CAST(trunc((s + e) / 2) AS BIGINT) AS mid, e FROM aln), k AS (SELECT region, CAST(ceil(max(e) / 200.0) AS BIGINT) AS n_bins FROM r GROUP BY region),
 c AS (SELECT region, CAST(floor(mid / 200.0) AS BIGINT) AS bin, count(*) AS n FROM r GROUP BY ALL) SELECT c.region, c.bin, c.n, k.n_bins FROM c JOIN k ON c.region = k.region WHERE bin >= 0 AND bin < n_bins""",
     "chimera_percent": f"""WITH {PHASE}, {LENS}, b AS (SELECT CAST(CASE WHEN length = {STOP} THEN 19 ELSE floor(length / 500.0) END AS BIGINT) AS bin, a = 0 AS flag FROM phase JOIN lens ON phase.doc_id = lens.doc_id WHERE length >= 0 AND length <= {STOP}),
 c AS (SELECT bin, count(*) FILTER (WHERE flag) AS yes, count(*) FILTER (WHERE NOT flag) AS no FROM b GROUP BY bin) SELECT bin, yes, no, round(100.0 * (yes + 1) / (yes + no + 2), 6) AS percent FROM c""",
@@ -258,4 +318,12 @@ SELECT component, n, round((i - r * c / nullif(t, 0)) / nullif((r + c) / 2 - r *
     "quality_halves": HALVES,
     "quality_smoothed": SMOOTH,
     "quality_breakpoint": BREAK,
+    "quality_smoothed_to_the_ends": SMOOTH_ENDS,
+    "quality_penalised_breakpoint": PENALISED,
+    "quality_half_t": HALF_T,
+    "adaptive_histograms": f"""WITH {_FEAT}, r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, greatest(1, least(500, CAST(floor(max(l_quantity) - min(l_quantity)) AS BIGINT))) AS k FROM feat)
+SELECT label, CAST(CASE WHEN l_quantity = b THEN k - 1 ELSE floor((l_quantity - a) / ((b - a) / k)) END AS BIGINT) AS bin, count(*) AS n FROM feat, r GROUP BY 1, 2""",
+    "sample_by_length": f"WITH {LENS} SELECT doc_id, length FROM lens WHERE length >= 1000 ORDER BY md5('1:' || doc_id), doc_id LIMIT 50",
+    "chromosome_order": r"""WITH n AS (SELECT DISTINCT 'chr' || p_size AS name FROM part UNION SELECT 'chr' || substr(r_name, 1, 2) FROM region)
+SELECT name, row_number() OVER (ORDER BY CASE WHEN name[4:] ~ '^\d+$' THEN 0 WHEN name[4:] ~ '^[A-Za-z]+$' THEN 1 ELSE 2 END, TRY_CAST(name[4:] AS BIGINT) NULLS FIRST, name[4:], name) - 1 AS place FROM n""",
 }

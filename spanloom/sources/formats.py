@@ -6,7 +6,7 @@ and cast in the JVM. Values that should be there and are not make the read fail.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from spanloom.operators.edges import FLAGS, KEY
 
@@ -93,12 +93,25 @@ def read_lengths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").cast("long").alias("length"))
 
 
+def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """The text between separators, with file, block and a number that rises along each block."""
+    m = lambda c: F.col(f"_metadata.{c}").alias(c)
+    return spark.read.text(path, lineSep=separator).select("value", m("file_path"), m("file_block_start"), F.monotonically_increasing_id().alias("at"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name and sequence of each record, which may go over several lines; the name ends at the first blank."""
-    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("r")).filter(F.trim("r") != "")
-    head = F.substring_index("r", "\n", 1)
+    """name and sequence of each record, which may go over several lines; the name ends at the first blank.
+
+    A file that has text before its first ``>`` makes the read fail.
+    """
+    pieces = _pieces(spark, path, "\n>")
+    head = F.regexp_replace(F.substring_index("r", "\n", 1), "\r$", "")
     body = F.when(F.instr("r", "\n") > 0, F.expr("substr(r, instr(r, '\n') + 1)")).otherwise("")
-    return records.select(F.trim(F.substring_index(F.regexp_replace(head, "\r$", ""), " ", 1)).alias("name"), F.regexp_replace(body, r"\s", "").alias("sequence"))
+    records = pieces.select(F.regexp_replace("value", "^>", "").alias("r")).filter(F.trim("r") != "")
+    records = records.select(F.trim(F.substring_index(head, " ", 1)).alias("name"), F.regexp_replace(body, r"\s", "").alias("sequence"))
+    starts = pieces.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by(F.ltrim("value"), "at").alias("r"))
+    none = starts.filter(F.when((F.col("r") == "") | F.col("r").startswith(">"), False).otherwise(F.raise_error(F.lit("a FASTA file does not begin with >"))))
+    return records.union(none.select(F.lit("").alias("name"), "r"))
 
 
 def write_fasta(reads: DataFrame, path: str) -> None:
@@ -114,15 +127,31 @@ def fasta_index(reads: DataFrame) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """name, sequence and quality of four-line records.
 
-    Records are found by their shape, so a file is split like any text: with the
-    line separator ``\\n@``, a piece is a record unless the ``@`` began a quality
-    line. Such pieces belong to the piece before; files with them need ``wholetext``.
+    Records are found by their shape, so a file is split like any text. With the line
+    separator ``\\n@`` a piece has four lines; where a quality line begins with ``@`` it
+    has three, and the quality is the next piece: the one behind it in its block, or the
+    first of the file's next block. Only such pieces are joined.
     """
-    pieces = spark.read.text(path, lineSep="\n@").select(F.regexp_replace("value", "^@", "").alias("r")).filter(F.trim("r") != "")
-    lines = F.split(F.regexp_replace("r", r"\r|\n$", ""), "\n")
-    rows = pieces.select(lines.alias("l"))
-    rows = _checked(rows, (F.size("l") == 4) & F.col("l")[2].startswith("+") & (F.length(F.col("l")[1]) == F.length(F.col("l")[3])), "a FASTQ record is cut or begins a quality line with @")
-    return rows.select(F.substring_index(F.col("l")[0], " ", 1).alias("name"), F.col("l")[1].alias("sequence"), F.col("l")[3].alias("quality"))
+    pieces = _pieces(spark, path, "\n@").filter(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
+    pieces = pieces.select("file_path", "file_block_start", "at", F.split(F.regexp_replace("value", r"\r|\n+$", ""), "\n").alias("l"))
+    # the first record of a file keeps its @; a quality piece has lost its own to the separator
+    named = F.concat(F.array(F.regexp_replace(F.get("l", F.lit(0)), "^@", "")), F.slice("l", 2, 3))
+    pieces = pieces.withColumn("l", F.when((F.col("file_block_start") == 0) & (F.size("l") > 1), named).otherwise(F.col("l")))
+    headed = F.coalesce(F.get("l", F.lit(2)).startswith("+"), F.lit(False))
+    whole = pieces.filter((F.size("l") == 4) & headed).select("l")
+    cut, rest = pieces.filter((F.size("l") == 3) & headed), pieces.filter(F.size("l") == 1)
+    # a cut piece that ends its block goes on in the next one
+    blocks = pieces.groupBy("file_path", "file_block_start").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    after = blocks.select("file_path", "last", F.lead("first").over(Window.partitionBy("file_path").orderBy("file_block_start")).alias("goes_on"))
+    cut = cut.join(after.withColumnRenamed("last", "at"), ["file_path", "at"], "left")
+    cut = cut.select("file_path", F.coalesce("goes_on", F.col("at") + 1).alias("at"), "l")
+    rest = rest.select("file_path", "at", F.concat(F.lit("@"), F.get("l", F.lit(0))).alias("q"))
+    joined = cut.join(rest, ["file_path", "at"], "full").select(F.concat("l", F.array("q")).alias("l"))
+    other = pieces.filter(~((F.size("l") == 4) & headed) & ~((F.size("l") == 3) & headed) & (F.size("l") != 1)).select("l")
+    rows = whole.union(joined).union(other)
+    good = F.coalesce((F.size("l") == 4) & headed & (F.length(F.get("l", F.lit(1))) == F.length(F.get("l", F.lit(3)))), F.lit(False))
+    rows = _checked(rows, good, "a FASTQ record is cut")
+    return rows.select(F.substring_index(F.get("l", F.lit(0)), " ", 1).alias("name"), F.get("l", F.lit(1)).alias("sequence"), F.get("l", F.lit(3)).alias("quality"))
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
@@ -137,6 +166,12 @@ def read_sam(spark: SparkSession, path: str, min_quality: int = 0) -> DataFrame:
     return rows.withColumn("is_reverse", F.col("flags").bitwiseAND(16) != 0).filter(F.col("mapq") >= min_quality)
 
 
+def write_sam(rows: DataFrame, path: str) -> None:
+    """name, flags, target, start, mapq and cigar as SAM lines without header; columns that are not there are stars."""
+    columns = [F.col(c).cast("string") for c in ("name", "flags", "target", "start", "mapq", "cigar")]
+    rows.select(F.concat_ws("\t", *columns, *map(F.lit, ("*", "0", "0", "*", "*"))).alias("value")).write.text(path)
+
+
 def read_phases(spark: SparkSession, path: str) -> DataFrame:
     """Reads with component and phase; rows without both are dropped."""
     rows = spark.read.csv(path, schema="oriented string, name string, component int, phase int", header=True)
@@ -155,3 +190,29 @@ def read_alignment_files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, schema="kmer long, ordinal_a long, ordinal_b long, x long, y long", header=True, enforceSchema=True).withColumn("_f", F.split(F.col("_metadata.file_name"), "[_.]"))
     rows = _checked(rows, F.col("_f")[2].isin("0", "1"), "a file name's strand is neither 0 nor 1")
     return rows.select(F.col("_f")[0].alias("a"), F.col("_f")[1].alias("b"), (F.col("_f")[2] == "1").alias("is_cross"), "x", "y")
+
+
+def read_alignment_info(spark: SparkSession, path: str) -> DataFrame:
+    """Features of candidate pairs from a CSV with a header, and the label: whether the last column, the true overlap, is above 0."""
+    fields = "a long, b long, min_aligned_fraction double, marker_count double, max_drift double, max_skip double, trim double, overlap double"
+    return spark.read.csv(path, schema=fields, header=True, enforceSchema=True).withColumn("label", F.col("overlap") > 0)
+
+
+def write_labelled(rows: DataFrame, label: Column, path: str) -> None:
+    """Rows under ``label=true`` and ``label=false``."""
+    rows.withColumn("label", label).write.partitionBy("label").parquet(path)
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """Rows with the label that their folder names."""
+    rows = spark.read.parquet(path)
+    return rows.withColumn("label", F.col("label").cast("string") == "true")
+
+
+def write_list(values: DataFrame, path: str) -> None:
+    """One value a line, from a table of one column."""
+    values.select(F.col(values.columns[0]).cast("string").alias("value")).write.text(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.csv(path, header=True)
