@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanloom.functions.scratch import drop_stored, shared_dir, small_side, stored
+from spanloom.functions.scratch import drop_stored, shared_dir, small_side, stored, written
 from spanloom.functions.shipping import ship_package
 
-__all__ = ["documents", "drop_stored", "fold", "let", "shared_dir", "small_side", "stored", "text_key", "text_or_empty", "words"]
+__all__ = ["documents", "drop_stored", "fold", "let", "shared_dir", "small_side", "stored", "text_key", "text_or_empty", "words", "written"]
 
 
 def let(value: Column, body) -> Column:
