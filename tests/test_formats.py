@@ -1,6 +1,7 @@
 """Readers and writers: round trips and records that are refused."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.sources import formats
 from spanloom.streaming.alignments import alignment_stream, coverage_by_target
@@ -56,6 +57,37 @@ def test_sequences(spark, put, tmp_path):
         formats.read_fastq(spark, put("cut.fastq", "@one\nACGT\n+\n")).collect()
 
 
+@pytest.mark.parametrize("block", ["37", "64", "1000000"])
+def test_fastq_with_at_signs_in_any_block(spark, put, block):
+    records = [(f"r{k}", "ACGT" * (k % 5 + 1), (("@" if k % 3 else "I") + "@!+5"[k % 5 :] + "#" * 20)[: 4 * (k % 5 + 1)]) for k in range(60)]
+    path = put("at.fastq", "".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in records))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert sorted(map(tuple, formats.read_fastq(spark, path).collect())) == sorted(records)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_records_that_are_refused(spark, put):
+    for text in ("@one\nACGT\n+\nIII\n", "@one\nACGT\n+\n@III\n@junk\n", "@one\nACGT\n", "@one\nACGT\n+\n@III\n@two\nAC\n+\n"):
+        with pytest.raises(Exception, match="FASTQ"):
+            formats.read_fastq(spark, put("bad.fastq", text)).collect()
+    for text in ("no header\n>one\nAC\n", "ACGT\n"):
+        with pytest.raises(Exception, match="FASTA"):
+            formats.read_fasta(spark, put("bad.fasta", text)).collect()
+    assert formats.read_fasta(spark, put("empty.fasta", "")).count() == 0
+
+
+def test_labels_and_info(spark, put, tmp_path):
+    info = formats.read_alignment_info(spark, put("i.csv", "a,b,f,m,d,s,t,overlap\n1,2,0.5,10,3,4,5,0\n1,3,0.5,10,3,4,5,7\n"))
+    assert sorted((r.b, r.label) for r in info.collect()) == [(2, False), (3, True)]
+    formats.write_labelled(info.select("a", "b"), F.col("b") == 3, str(tmp_path / "l"))
+    assert (tmp_path / "l" / "label=true").exists() and sorted((r.b, r.label) for r in formats.read_labelled(spark, str(tmp_path / "l")).collect()) == [(2, False), (3, True)]
+
+
 def test_tables(spark, put):
     assert [(r.name, r.is_reverse) for r in formats.read_sam(spark, put("x.sam", "@HD\tVN\nr\t16\tt\t5\t60\t4M\n")).collect()] == [("r", True)]
     assert [r.name for r in formats.read_phases(spark, put("p.csv", "o,n,c,p\n0-0,a,1,0\n1-0,b,,\n")).collect()] == ["a"]

@@ -1,13 +1,16 @@
 """Operators against brute force and hand-made cases."""
 
+import math
 import random
 import re
 
+import pytest
+
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars
-from spanloom.operators import align, chains, edges, graph, histograms, intervals, matches, phasing
+from spanloom.operators import align, chains, edges, graph, histograms, intervals, matches, phasing, prefix, quality
 
 
 def gotoh(a, b, x=1, o=1, e=1):
@@ -161,3 +164,70 @@ def test_whole_range_leaves_no_length_out(spark, sf):
     assert len(statistics.subsample_rates_whole(spark, sf).collect()) == max(n for _, n in docs) // 200 + 1
     edge = spark.createDataFrame([(0,), (400,)], "x long")
     assert histograms.whole_range(edge, "x", 200) == (600, 3) and histograms.whole_range(edge.limit(0), "x", 200) == (200, 1)
+
+
+def test_smoothing_to_the_ends(spark):
+    one = [0] * 4 + [100] + [0] * 4
+    rows = spark.createDataFrame([(1, k, 0 if x else 1000) for k, x in enumerate(one)], "read long, pos long, q long")
+    got = [r.smooth for r in quality.smoothed_to_the_ends(rows, 4, 1).orderBy("pos").collect()]
+    weights = quality.kernel(4, 1)
+    assert len(got) == 9 and all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got, weights)) and math.isclose(sum(weights), 1)
+    assert quality.smoothed(rows, 4, 1).count() == 1
+
+
+def test_unique_matches_of_a_short_query(spark):
+    ref, query = "gattacagattacagattacacgatctgagcatgc".upper(), "attacac".upper()
+    reads = spark.createDataFrame([(1, ref), (2, query)], "read long, sequence string")
+    found = matches.exact_matches(spark.createDataFrame([(1, 2)], "a long, b long"), reads, 2)
+    every = {(r.x, r.y, r.len) for r in found.collect()}
+    times = lambda text, part: sum(text.startswith(part, k) for k in range(len(text)))
+    for in_both in (False, True):
+        got = {(r.x, r.y, r.len) for r in matches.unique_matches(found, in_both).collect()}
+        assert got == {(x, y, n) for x, y, n in every if times(ref, ref[x : x + n]) == 1 and (not in_both or times(query, ref[x : x + n]) == 1)}
+    assert (15, 0, 7) in every
+
+
+def test_diagonals_are_merged_and_searched(spark):
+    rows = [(0, 0, 3), (0, 1, 2), (2, 2, 1), (2, 3, 1), (3, 4, 1), (4, 1, 1)]
+    df = spark.createDataFrame([(1, 1, *r) for r in rows], "a long, b long, x long, y long, len long")
+    merged = matches.merged_diagonals(df)
+    # (0, 0, 3) and (2, 2, 1) leave a gap on their diagonal: antidiagonals 0 to 2 and 4; so do (0, 1, 2), (2, 3, 1) and (3, 4, 1)
+    assert sorted((r.diagonal, r.start, r.stop) for r in merged.collect()) == [(-1, 1, 2), (-1, 5, 5), (-1, 7, 7), (0, 0, 2), (0, 4, 4), (3, 5, 5)]
+    boxes = spark.createDataFrame([(1, 1, x + n, y + n) for x, y, n in rows], "a long, b long, x long, y long").distinct()
+    got = {(r.x, r.y, r.at_x, r.at_y) for r in matches.in_boxes(merged, boxes, 3).collect()}
+    stretches = [(d, lo, hi) for d, lo, hi in [(-1, 1, 2), (-1, 5, 5), (-1, 7, 7), (0, 0, 2), (0, 4, 4), (3, 5, 5)]]
+    want = {(x, y, (lo + d) // 2, (lo - d) // 2) for x, y in {(x + n, y + n) for x, y, n in rows} for d, lo, hi in stretches for t in range(-3, 4) if d == x - y + t and lo <= x + y + abs(t) + 4 - abs(t) and hi >= x + y + abs(t)}
+    assert got == want and got
+
+
+def test_running_sums_and_next_rows(spark):
+    r = random.Random(3)
+    rows = [(k, r.choice("ab"), r.randint(0, 5), r.randint(0, 9)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id long, g string, x long, v long")
+    for group in ([], ["g"]):
+        got = {t.id: (t.rank, t.before) for t in prefix.sorted_running(df, [F.col("x"), F.col("id")], {"rank": F.lit(1), "before": F.col("v")}, group).collect()}
+        for g in "ab" if group else [""]:
+            total = 0
+            for k, (i, _, _, v) in enumerate(sorted((t for t in rows if t[1] == g or not g), key=lambda t: (t[2], t[0]))):
+                assert got[i] == (k, total)
+                total += v
+    pairs = {(t.id, t.next) for t in prefix.with_next(df, ["g"], [F.col("x"), F.col("id")], {"next": "id"}).collect()}
+    assert pairs == {(a[0], b[0]) for g in "ab" for own in [sorted((t for t in rows if t[1] == g), key=lambda t: (t[2], t[0]))] for a, b in zip(own, own[1:])}
+
+
+def test_reads_in_both_haplotypes_are_refused(spark):
+    good = spark.createDataFrame([("r", 0), ("r", 0), ("s", 1)], "name string, phase int")
+    assert sorted(map(tuple, phasing.checked_sides(good, "name", "phase").collect())) == [("r", 0), ("s", 1)]
+    with pytest.raises(Exception, match="both haplotypes"):
+        phasing.checked_sides(good.union(good.selectExpr("name", "1 - phase")), "name", "phase").collect()
+
+
+def test_names_and_node_sets(spark):
+    e = edges.merge(edges.reference(spark.createDataFrame([(1, 2, True), (2, 3, False)], "n0 long, n1 long, is_cross boolean")))
+    names = spark.createDataFrame([(1, "x"), (2, "y")], "id long, name string")
+    assert [(r.a, r.b) for r in edges.renamed(e, names).collect()] == [("x", "y")]
+    assert [(r.n0, r.n1) for r in edges.restrict(e, names.select(F.col("id").alias("name"))).collect()] == [(1, 2)]
+    asked = spark.createDataFrame([(2, 1, True), (2, 1, False), (3, 2, False)], "a long, b long, is_cross boolean")
+    assert sorted((r.a, r.b) for r in edges.find(e, asked).collect()) == [(2, 1), (3, 2)]
+    assert edges.only(e, "is_reference").count() == 2 and edges.only(e, "is_selected").count() == 0
+    assert [r[0] for r in spark.sql("SELECT 'a+' AS x UNION ALL SELECT 'b--'").select(scalars.without_strand(F.col("x"))).collect()] == ["a", "b-"]

@@ -39,4 +39,40 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_without_sql_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).columns
+    df = registry.QUERIES[name](spark, sf)
+    rows = df.collect()
+    assert rows and all(len(r) == len(df.columns) for r in rows)
+
+
+def test_chains_of_the_registered_pairs(spark, sf):
+    """Chains hold matches of their pair in rising order, and the score is what their lengths, changes of diagonal and openings give."""
+    from itertools import groupby
+
+    matches = {tuple(r) for r in registry.QUERIES["exact_matches"](spark, sf).collect()}
+    rows = sorted(registry.QUERIES["dag_chain"](spark, sf).collect(), key=lambda r: (r.a, r.b, r.step))
+    for _, own in groupby(rows, key=lambda r: (r.a, r.b)):
+        own = list(own)
+        assert all((r.a, r.b, r.x, r.y, r.len) in matches for r in own) and [r.step for r in own] == list(range(len(own)))
+        gaps = [abs((q.x - q.y) - (p.x - p.y)) for p, q in zip(own, own[1:])]
+        assert own[0].score == sum(r.len for r in own) - sum(g + 1 for g in gaps if g)
+
+
+def test_alignments_of_the_registered_pairs(spark, sf, con):
+    from spanloom.operators.align import cigar_cost, wavefront
+    import re
+
+    pairs = con.sql("SELECT * FROM (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS two FROM part) WHERE two IS NOT NULL").fetchall()
+    got = {r.p_partkey: (r.cost, r.cigar) for r in registry.QUERIES["gap_affine_align"](spark, sf).collect()}
+    assert set(got) == {k for k, _, _ in pairs}
+    for k, one, two in pairs:
+        cost, cigar = got[k]
+        ops = [(o, int(n)) for n, o in re.findall(r"(\d+)([=XID])", cigar)]
+        assert (cost, cigar) == wavefront(one, two) and cigar_cost(ops) == cost
+        assert sum(n for o, n in ops if o in "=XI") == len(one) and sum(n for o, n in ops if o in "=XD") == len(two)
+
+
+def test_confusion_of_the_registered_fit(spark, sf, con):
+    rows = registry.QUERIES["overlap_classifier"](spark, sf).collect()
+    per = {a: sum(r.n for r in rows if r.actual == a) for a in (0, 1)}
+    whole = dict(con.sql("SELECT CAST(l_returnflag = 'R' AS INT), count(*) FROM lineitem GROUP BY 1").fetchall())
+    assert all(0.3 * whole[a] < per[a] < 0.5 * whole[a] for a in (0, 1)) and {r.predicted for r in rows} <= {0, 1}
