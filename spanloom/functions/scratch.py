@@ -48,15 +48,15 @@ def small_side(table: DataFrame, most: int = 50_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def written() -> int:
-    """How many intermediate tables there are, to be given to ``drop_stored`` later."""
-    return len(_written)
+def written(since: int = 0) -> list[str]:
+    """The intermediate tables of this session, from the ``since``-th on."""
+    return _written[since:]
 
 
-def drop_stored(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
-    """Delete the intermediate tables that this session has written, from the ``since``-th on; results read from them end with that."""
-    gone = _written[since : -1 if but_last else None]
-    del _written[since : -1 if but_last else None]
-    for name in gone:
+def drop_stored(spark: SparkSession, tables: list[str] | None = None) -> None:
+    """Delete these intermediate tables, or all that this session has written; results read from them end with that."""
+    for name in list(_written if tables is None else tables):
+        if name in _written:
+            _written.remove(name)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
