@@ -14,32 +14,57 @@ empty results.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import bpe, mixing, neardup, quality_rules, secrets
 from spanloom.llm.common import documents, drop_stored, stored, written
 
 
+#: Tables that the stage before wrote within; its output is written by the time the next stage begins.
+_before: list[str] = []
+
+
+def _stage(f):
+    """A stage that first deletes the tables within the stage before."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_stored(spark, _before)
+        since = len(written())
+        out = f(spark, docs, sf_dir)
+        _before[:] = written(since)
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list keep."""
     return quality_rules.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one with the least id."""
     return neardup.keep_one(docs)
 
 
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced and n_chars counted anew where that changed a text."""
     return secrets.redact(docs)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it as a whole."""
     return mixing.emit(docs)
 
 
+@_stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, their number, and checksums of the ids and of the text decoded from them."""
     return bpe.encode(docs)
@@ -58,10 +83,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Tables of the stages before and within are deleted as soon as the next stage is written."""
-    docs, since = documents(spark, sf_dir), written()
+    docs, others = documents(spark, sf_dir), set(written())
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
-        drop_stored(spark, since, but_last=True)
+        drop_stored(spark, [t for t in written() if t not in others][:-1])
     return docs
 
 

@@ -53,7 +53,7 @@ def byte_letters() -> list[str]:
 class Seen(dict):
     """Pre-tokens with what ``make`` gives for them. A full table is set aside as the older one; long pre-tokens are not kept."""
 
-    KEPT, LONGEST = 250_000, 64
+    KEPT, LONGEST = 150_000, 64
 
     def __init__(self, make):
         super().__init__()
@@ -72,11 +72,6 @@ class Seen(dict):
         return made
 
 
-def coded_ids(ids: list[int]) -> tuple[bytes, str]:
-    """Ids as 32-bit bytes and as decimal text with a comma behind each."""
-    return np.array(ids, dtype="<i4").tobytes(), "".join([f"{i}," for i in ids])
-
-
 class Bpe:
     """Encoder and decoder of one byte-level vocabulary file."""
 
@@ -118,11 +113,11 @@ class Bpe:
         for s, i in self.added.items():
             table[i] = s.encode()
         self.buffer = np.frombuffer(b"".join(table), dtype=np.uint8)
-        self.sizes = list(map(len, table))
+        self.sizes, self.decimals = list(map(len, table)), list(map(str, range(size)))
         self.lengths = np.array(self.sizes, dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.compatible: dict[int, bool] = {}
-        self.seen = Seen(lambda data: coded_ids(self.pieces(data)))
+        self.seen = Seen(lambda data: np.array(self.pieces(data), dtype="<i4").tobytes())
         self.counts = Seen(lambda data: len(self.pieces(data)))
 
     def last_merge(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -142,7 +137,7 @@ class Bpe:
         pair = a << 32 | b
         known = self.compatible.get(pair)
         if known is None:
-            if len(self.compatible) > 1_000_000:
+            if len(self.compatible) > 300_000:
                 self.compatible.clear()
             known = self.compatible[pair] = self.border_stays(a, b)
         return known
@@ -204,11 +199,8 @@ class Bpe:
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids of a text, and the same as decimals joined by commas."""
-        coded = self.by_parts(text, self.seen, lambda i: coded_ids([i]))
-        if not coded:
-            return np.zeros(0, "<i4"), ""
-        ids, decimals = zip(*coded)
-        return np.frombuffer(b"".join(ids), dtype="<i4"), "".join(decimals)[:-1]
+        ids = np.frombuffer(b"".join(self.by_parts(text, self.seen, lambda i: np.array([i], dtype="<i4").tobytes())), dtype="<i4")
+        return ids, ",".join(map(self.decimals.__getitem__, ids.tolist()))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         n = self.lengths[ids]

@@ -50,18 +50,16 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BLOCK, BLOCK_BYTES, STEP, TOLERANCE = 1024, 16 << 20, 32, 1e-9
-_WORDS_KEPT, _KEYS_KEPT = 500_000, 200_000
-_word_hashes: dict[bytes, int] = {}
+_WORDS_KEPT, _KEYS_KEPT = 200_000, 200_000
 
 
-def shingles(text: str) -> np.ndarray:
-    """64-bit hashes of the text's shingles, with repeats."""
+def shingles(text: str, known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of the text's shingles, with repeats; ``known`` holds the task's hashes of words."""
     ws = text.encode("utf-8", "surrogatepass").split()
     if not ws:
         return np.zeros(0, np.uint64)
-    if len(_word_hashes) > _WORDS_KEPT:
-        _word_hashes.clear()
-    known = _word_hashes
+    if len(known) > _WORDS_KEPT:
+        known.clear()
     for w in set(ws):
         if w not in known:
             known[w] = xxhash.xxh3_64_intdigest(w)
@@ -195,11 +193,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """For each unit of work, its linked texts: number of links, and the least text connected to it there."""
     rows: list[tuple] = []
+    known: dict[bytes, int] = {}
     for unit in _groups(batches, UNIT):
         order = np.argsort(unit.column("pos").to_numpy())
         n = len(order)
         keys, texts, bits = (unit.column(k).to_pylist() for k in ("key", "text", "bits"))
-        sets = [np.unique(shingles(texts[x])) for x in order]
+        sets = [np.unique(shingles(texts[x], known)) for x in order]
         sizes = np.array([len(s) for s in sets])
         ends = np.cumsum(sizes)
         every, codes = np.unique(np.concatenate(sets), return_inverse=True)
@@ -243,6 +242,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     met: set[bytes] = set()
+    known: dict[bytes, int] = {}
     for batch in batches:
         keys, sigs, sizes = [], [], []
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
@@ -250,7 +250,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if len(met) < _KEYS_KEPT:
                 met.add(key)
-            s = shingles(text.as_py())
+            s = shingles(text.as_py(), known)
             if len(s):
                 keys.append(key)
                 sigs.append(minhash(s).tobytes())
