@@ -7,15 +7,17 @@ already has, scans the rest once each, adds them to the ledger and joins the
 findings of all current rule versions back to every path. Copies of a blob cost
 one scan; a rule that gets a new version rescans the blobs for that rule alone.
 
-A blob's text is carried into the shuffle that makes blobs distinct only where
-it holds one of the literals that the rules need (an AWS prefix, a keyword, 16
-hex digits): other blobs are entered in the ledger with no spans. Repeated blobs
-are first combined within each task, so one blob with a third of all rows meets
-the shuffle as one row a task.
+``marked`` reads each text once: its blob, and whether it holds one of the literals
+that the rules need (an AWS prefix, a keyword, 16 hex digits). Only texts that do
+are carried on; other blobs are entered in the ledger with no spans, and their rows
+never meet a join. Repeated blobs are first combined within each task, so one blob
+with a third of all rows meets the shuffle as one row a task, and its findings reach
+its rows by broadcast (see ``lookup``).
 
 Defined results. Null text counts as empty. Null or repeated paths keep one
-result row for each input row. Spans are in code points, end exclusive. Empty
-tables give empty results. Other columns are ignored.
+result row for each input row. Spans are in code points, end exclusive. A text of
+any length is scanned whole. Empty tables give empty results. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.llm.common import documents, stored, text_or_empty
+from spanloom.llm.lookups import lookup
 
 
 @dataclass(frozen=True)
@@ -98,19 +101,18 @@ def by_blob(ledger: DataFrame, rules=RULES) -> DataFrame:
     return ledger.filter(F.size("spans") > 0).select("blob", one.alias("s")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("found"))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Findings of every row of ``versions`` and the rows to append to the ledger.
-
-    ``ledger`` has columns blob, kind, version, spans. The findings have ``path``,
-    ``blob``, the columns in ``keep`` and ``found``, an array of (start, end, kind)
-    sorted by start, then by the rules' order.
-    """
-    spark = versions.sparkSession
-    keyed = versions.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"), text_or_empty(F.col(text)).alias("text"), *keep)
-    screen = F.lit(False)
+def marked(versions: DataFrame, rules=RULES, path: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, blob, the text where a rule may match it (else null) and the columns in ``keep`` of every row, stored."""
+    whole, screen = text_or_empty(F.col(text)), F.lit(False)
     for r in rules:
-        screen = screen | F.col("text").rlike(r.screen)
-    blobs = keyed.select("blob", F.when(screen, F.col("text")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+        screen = screen | whole.rlike(r.screen)
+    return stored(versions.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"), F.when(screen, whole).alias("text"), *keep), "marked")
+
+
+def findings(marks: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """As ``scan``, for rows that ``marked`` gave; ``marked`` must have known all of ``rules``."""
+    spark = marks.sparkSession
+    blobs = marks.groupBy("blob").agg(F.first("text").alias("text"))
     wanted = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]
     if ledger is None:
         todo = blobs.withColumn("kinds", F.array(*[F.lit(r.kind) for r in rules]))
@@ -120,9 +122,21 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path
         todo = blobs.join(done, "blob", "left").withColumn("kinds", F.transform(open_rules, lambda x: x["kind"])).filter(F.size("kinds") > 0)
     new = stored(_scan_blobs(todo, rules), "blob-ledger")
     known = new if ledger is None else new.unionByName(ledger.select("blob", "kind", "version", "spans").join(F.broadcast(rule_table(spark, rules)), ["kind", "version"], "left_semi"))
-    found = by_blob(known, rules)
+    maybe = marks.filter("text is not null").drop("text")
+    found = stored(by_blob(known, rules).join(maybe.groupBy("blob").agg(F.count("*").alias("_rows")), "blob"), "found")
     nothing = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    return keyed.drop("text").join(found, "blob", "left").withColumn("found", F.coalesce("found", nothing)), new
+    told = lookup(maybe, found, "blob", "_rows").withColumn("found", F.coalesce("found", nothing)).drop("_rows")
+    return told.unionByName(marks.filter("text is null").drop("text").withColumn("found", nothing)), new
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Findings of every row of ``versions`` and the rows to append to the ledger.
+
+    ``ledger`` has columns blob, kind, version, spans. The findings have ``path``,
+    ``blob``, the columns in ``keep`` and ``found``, an array of (start, end, kind)
+    sorted by start, then by the rules' order.
+    """
+    return findings(marked(versions, rules, path, text, keep), ledger, rules)
 
 
 def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
@@ -140,17 +154,15 @@ def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", rules=RULES) -> DataFrame:
     """The rows of ``docs`` with the secrets in their texts replaced; ``n_chars`` is renewed where the text changed.
 
-    Findings are looked up by blob. Texts without findings stay as they are, null ones too.
+    Rows are stored beside their marks, and only those that a rule may match are looked
+    up by blob. Texts without findings stay as they are, null ones too.
     """
     names = {c: f"_doc_{k}" for k, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
-    _, new = scan(renamed, rules=rules, path=names[text], text=names[text])
-    found = by_blob(new, rules)
+    out, _ = scan(renamed.withColumn("_none", F.lit(None).cast("int")), rules=rules, path="_none", text=names[text], keep=tuple(names.values()))
     t = F.col(names[text])
-    marked = renamed.withColumn("blob", blob_id(t)).join(found, "blob", "left")
-    clean = F.when(F.size("found") > 0, redacted(t, F.col("found"))).otherwise(t)
-    out = marked.withColumn("_clean", clean)
-    changed = F.coalesce(F.size("found") > 0, F.lit(False))
+    out = out.withColumn("_clean", F.when(F.size("found") > 0, redacted(t, F.col("found"))).otherwise(t))
+    changed = F.size("found") > 0
     pick = {c: F.col(n) for c, n in names.items()} | {text: F.col("_clean")}
     if n_chars in names:
         pick[n_chars] = F.when(changed, F.length("_clean")).otherwise(F.col(names[n_chars])).cast(docs.schema[n_chars].dataType)
@@ -158,8 +170,11 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = scan(documents(spark, sf_dir))
+    """Two rounds through the ledger: the base rules, then all rules, which scan only what the ledger lacks."""
+    marks = marked(documents(spark, sf_dir))
+    _, ledger = findings(marks, rules=tuple(r for r in RULES if r.base))
+    out, _ = findings(marks, ledger)
     joined = lambda kinds: F.array_join(F.transform(F.filter("found", lambda s: s["kind"].isin(kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = [r.kind for r in RULES if r.base]
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return findings.select(F.col("path").alias("doc_id"), *map(count, base), F.sha2(joined(base), 256).alias("base_sha256"), joined([r.kind for r in RULES]).alias("spans"))
+    return out.select(F.col("path").alias("doc_id"), *map(count, base), F.sha2(joined(base), 256).alias("base_sha256"), joined([r.kind for r in RULES]).alias("spans"))
