@@ -4,27 +4,34 @@ A document's key is -ln(u) / w, with u from a hash of seed, id and text and w it
 quality weight; the smallest keys come first. Each source's target is met with
 complete epochs first; the rest of its budget is filled along the keys by a
 prefix sum of sizes, and the document on the boundary gives the words that are
-left. Prefix sums go by key buckets of even size, whose borders come from counts
-of the keys themselves, so a source with a third of all rows is never sorted in
-one task, whatever its weights.
+left.
+
+The boundary is all that a row must know: what comes before it in the order of the
+keys is taken whole. Sizes are summed by cells of a grid over the keys, running sums
+over the cells find the one in which the budget ends, and only that cell's rows are
+sorted, in buckets of even size whose borders come from counts of the keys. Rows
+equal in all that orders them count as one there, with their number. So no source is
+sorted in one task, whatever its size, weights or copies, and rows get their share by
+comparison with the table of boundaries, not by a shuffle.
 
 Targets share the total size by weight, capped at ``most`` times a source's size.
 The excess goes to the others by weight until none is above: sorted by cap over
 weight, the capped sources are a prefix, which running sums over the table of
 sources find at once.
 
-Defined results. Null text has size 0 and is never taken. Null sources form one
-source, placed last. Null or repeated ids and repeated rows are separate rows;
-rows equal in id, text and source are interchangeable. Empty tables give empty
-results.
+Defined results. Null text has size 0 and is never taken; a text of any length is
+counted whole. Null sources form one source, placed last. Null or repeated ids and
+repeated rows are separate rows; rows equal in id, text and source are
+interchangeable. Empty tables give empty results. Other columns are ignored by
+``mix`` and carried along by ``emit``, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from spanloom.llm.common import documents, small_side, stored, text_or_empty, words
-from spanloom.llm.ranks import ROWS_A_BUCKET, buckets_for, running
+from spanloom.llm.common import documents, let, small_side, stored, text_or_empty, words
+from spanloom.llm.ranks import ROWS_A_BUCKET, buckets_for, running, sorted_running
 
 SEED, MOST, CYCLE = "mix-1", 3, (1, 2, 3)
 #: Grid cells of the natural logarithm of the keys: some 2,700 a source cover all keys there are.
@@ -32,28 +39,31 @@ GRID = 64
 
 
 def quality_weight(text: Column) -> Column:
-    """From 0.1 to 1: lower, the more of the text's characters are symbols."""
+    """From 0.1 to 1: the product of what is left of 1 after symbols (four times their share), capitals and repeated lines."""
     t = text_or_empty(text)
-    symbols = F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", ""))
-    return F.greatest(F.lit(0.1), 1 - 4 * symbols.cast("double") / F.greatest(F.lit(1), F.length(t)).cast("double"))
+    kept = lambda letters: F.length(F.regexp_replace(t, letters, "")).cast("double")
+    n = F.greatest(F.lit(1), F.length(t)).cast("double")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    fresh = let(lines, lambda x: F.size(F.array_distinct(x)).cast("double") / F.greatest(F.lit(1), F.size(x)).cast("double"))
+    return F.greatest(F.lit(0.1), (1 - 4 * kept(r"[^#*$%&|<>]+") / n) * (1 - kept(r"[^\p{Lu}]+") / n) * fresh)
 
 
 def sources(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: float = MOST) -> DataFrame:
     """One row for each source: its number in code-point order (null last), rows, size, weight and target."""
-    table = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    everywhere = Window.partitionBy(F.lit(0))
-    table = table.withColumn("sid", F.row_number().over(everywhere.orderBy(F.col("source").asc_nulls_last())))
-    table = table.withColumn("w", F.element_at(F.array(*map(F.lit, cycle)), (F.col("sid") - 1) % len(cycle) + 1).cast("double"))
-    table = table.withColumns({"cap": most * F.col("source_size").cast("double"), "all": F.sum("source_size").over(everywhere).cast("double")})
-    by_cap = everywhere.orderBy(F.col("cap") / F.col("w"), "sid")
-    rest = by_cap.rowsBetween(0, Window.unboundedFollowing)
-    done = by_cap.rowsBetween(Window.unboundedPreceding, -1)
+    table = stored(sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), "mix-sizes")
+    total = table.agg(F.sum("source_size").cast("double")).first()[0] or 0.0
+    table = sorted_running(table, [F.col("source").asc_nulls_last()], {"sid": F.lit(1)})
+    table = table.withColumn("w", F.element_at(F.array(*map(F.lit, cycle)), (F.col("sid") % len(cycle) + 1).cast("int")).cast("double"))
+    table = table.withColumn("cap", most * F.col("source_size").cast("double"))
+    weights = stored(table, "mix-weights")
+    w_all = weights.agg(F.sum("w")).first()[0] or 0.0
+    order = [F.col("cap") / F.col("w"), F.col("sid")]
+    table = sorted_running(weights, order, {"_at": F.lit(1), "_caps": F.col("cap"), "_ws": F.col("w")})
     # the level at which this source and those after it would share what the capped ones before leave
-    table = table.withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(done), F.lit(0.0))) / F.sum("w").over(rest))
-    table = table.withColumn("free", F.col("cap") >= F.col("level") * F.col("w"))
-    level = F.first(F.when(F.col("free"), F.col("level")), True).over(by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    table = table.withColumn("level", level)
-    return table.select("source", "sid", "n", "source_size", F.round(F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")), 6).alias("target"))
+    table = stored(table.withColumn("level", (F.lit(total) - F.col("_caps")) / (F.lit(w_all) - F.col("_ws"))), "mix-levels")
+    level = table.filter(F.col("cap") >= F.col("level") * F.col("w")).agg(F.min_by("level", "_at")).first()[0]
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(level) * F.col("w"))
+    return table.select("source", "sid", "n", "source_size", F.round(target, 6).alias("target"))
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
@@ -71,64 +81,88 @@ def bucketed(rows: DataFrame) -> DataFrame:
     return joined.withColumn("_bucket", F.floor(place / ROWS_A_BUCKET)).drop("_cell", "_in_cell", "_cells_before")
 
 
-def mix(docs: DataFrame, seed: str = SEED, cycle: tuple[int, ...] = CYCLE, most: float = MOST, id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+ORDER = ["_key", "_digest", "doc_id"]
+
+
+def boundaries(rows: DataFrame) -> DataFrame:
+    """For each source whose rest is not 0 (columns sid, rest): the row, or equal rows, in which the rest of the budget ends.
+
+    ``edge`` holds what orders it, ``edge_before`` the sizes before it, ``edge_rows`` the number of equal rows.
+    """
+    rows = rows.select("sid", "rest", "size", *ORDER, F.floor(F.log("_key") * GRID).alias("_at")).filter("rest > 0")
+    cells = rows.groupBy("sid", "_at").agg(F.sum("size").alias("_in"), F.first("rest").alias("rest"))
+    before = Window.partitionBy("sid").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_cells", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    ends_in = lambda start, size: (F.col(start) < F.col("rest")) & (F.col("rest") <= F.col(start) + size)
+    last = stored(cells.filter(ends_in("_cells", F.col("_in"))).select("sid", "_at", "_cells"), "mix-cells")
+    inside = rows.join(small_side(last), ["sid", "_at"])
+    groups = inside.groupBy("sid", *ORDER).agg(F.count("*").alias("edge_rows"), F.max("size").alias("size"), F.first("rest").alias("rest"), F.first("_cells").alias("_cells"))
+    groups = running(bucketed(stored(groups, "mix-edges")), ["sid"], "_bucket", list(map(F.col, ORDER)), {"_inner": F.col("edge_rows") * F.col("size")})
+    groups = groups.withColumn("edge_before", F.col("_cells") + F.col("_inner")).filter(ends_in("edge_before", F.col("edge_rows") * F.col("size")))
+    return stored(groups.select("sid", F.struct(*ORDER).alias("edge"), "edge_before", "edge_rows"), "mix-boundaries")
+
+
+def mix(docs: DataFrame, seed: str = SEED, cycle: tuple[int, ...] = CYCLE, most: float = MOST, id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row with size, source_size, target, taken (words) and copies (whole documents to emit), and the columns in ``keep``.
 
-    ``copies`` counts the document on the boundary if at least half of it is taken.
+    ``weight`` names a column with quality weights above 0, such as a classifier's
+    score; without it they come from the text. ``copies`` counts the document on the
+    boundary if at least half of it is taken.
     """
     t = text_or_empty(F.col(text))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit(":"), t))
+    own = quality_weight(F.col(text))
     rows = docs.select(
         F.col(id).alias("doc_id"),
         F.col(source).alias("source"),
         F.size(words(F.col(text))).cast("long").alias("size"),
-        quality_weight(F.col(text)).alias("_weight"),
+        (F.coalesce(F.when(F.col(weight) > 0, F.col(weight).cast("double")), own) if weight else own).alias("_weight"),
         digest.alias("_digest"),
+        F.monotonically_increasing_id().alias("_row"),
         *keep,
     )
     rows = stored(rows, "mix-rows")
-    table = stored(sources(rows, cycle, most), "mix-sources")
-    own = table.withColumnRenamed("source", "_s")
-    rows = rows.join(small_side(own), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    epochs = F.coalesce(F.expr("bigint(floor(target / nullif(source_size, 0)))"), F.lit(0))
+    table = sources(rows, cycle, most).withColumn("epochs", epochs)
+    table = stored(table.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size")), "mix-sources")
+    rows = rows.join(small_side(table.drop("n").withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     u = (F.conv(F.substring("_digest", 1, 13), 16, 10).cast("double") + 1) / F.lit(2.0**52 + 1)
     rows = rows.withColumn("_key", -F.log(u) / F.col("_weight"))
-    rows = running(bucketed(rows), ["sid"], "_bucket", [F.col("_key"), F.col("_digest"), F.col("doc_id")], {"_before": F.col("size")})
-    epochs = F.coalesce(F.expr("bigint(floor(target / nullif(source_size, 0)))"), F.lit(0))
-    rows = rows.withColumn("_epochs", epochs)
-    rows = rows.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - F.col("_epochs") * F.col("source_size") - F.col("_before"))))
-    return rows.select(
+    edges = boundaries(rows)
+    rows = rows.join(small_side(edges), "sid", "left")
+    here = F.struct(*ORDER)
+    at_edge = F.coalesce(here == F.col("edge"), F.lit(False))
+    # all of the rows before, none of those behind, and of equal rows on the edge one after the other
+    part = F.when(here < F.col("edge"), F.col("size")).when(at_edge, F.least(F.col("size"), F.col("rest") - F.col("edge_before"))).otherwise(0)
+    many = at_edge & (F.col("edge_rows") > 1)
+    out = rows.filter(~many).withColumn("_part", part)
+    if edges.filter("edge_rows > 1").limit(1).count():
+        equal = stored(rows.filter(many), "mix-equal").withColumn("_share", F.pmod(F.xxhash64("_row"), F.lit(1_000_003)))
+        equal = equal.withColumn("_bucket", F.floor(F.col("_share") / 1_000_003 * buckets_for(F.col("edge_rows"))))
+        equal = running(equal, ["sid"], "_bucket", [F.col("_share"), F.col("_row")], {"_nth": F.lit(1)})
+        left = F.col("rest") - F.col("edge_before") - F.col("_nth") * F.col("size")
+        out = out.unionByName(equal.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), left))).select(*out.columns))
+    return out.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        (F.col("_epochs") * F.col("size") + F.col("_part")).alias("taken"),
-        (F.col("_epochs") + ((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("size"))).cast("long")).alias("copies"),
+        (F.col("epochs") * F.col("size") + F.col("_part")).alias("taken"),
+        (F.col("epochs") + ((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("size"))).cast("long")).alias("copies"),
         *keep,
     )
 
 
-def emit(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def emit(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, **options) -> DataFrame:
     """The rows of ``docs``, each repeated as often as the mix takes it as a whole.
 
-    Rows alike in id, text and source share one key; the copies of all of them are
-    added up and dealt to them evenly, the copies that are left over to the first.
+    Rows go with their decision from the first read on, so texts are stored once and not shuffled.
     """
-    key = lambda i, t, s: F.unhex(F.md5(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), F.coalesce(s.cast("string"), F.lit("")), text_or_empty(t))))
-    taken = mix(docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), key(F.col(id), F.col(text), F.col(source)).alias("_mix_key")), keep=("_mix_key",), **options)
-    counts = stored(taken.groupBy("_mix_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"), "mix-counts")
     names = {c: f"_doc_{k}" for k, c in enumerate(docs.columns)}
-    own = docs.withColumn("_mix_key", key(F.col(id), F.col(text), F.col(source))).select(*[F.col(c).alias(n) for c, n in names.items()], "_mix_key")
-    rows = own.join(counts, "_mix_key").withColumn("_before", F.lit(0).cast("long"))
-    if counts.filter("_rows > 1").limit(1).count():
-        # equal rows are numbered within their key, by buckets of a number of their own
-        again = stored(rows.filter("_rows > 1").drop("_before").withColumn("_row", F.monotonically_increasing_id()), "mix-repeated")
-        share = F.pmod(F.xxhash64("_row"), F.lit(1_000_003))
-        again = again.withColumn("_share", share).withColumn("_bucket", F.floor(F.col("_share") / 1_000_003 * buckets_for(F.col("_rows"))))
-        again = running(again, ["_mix_key"], "_bucket", [F.col("_share"), F.col("_row")], {"_before": F.lit(1)})
-        rows = rows.filter("_rows = 1").unionByName(again.select(*rows.columns))
-    each = F.expr("int(_copies div _rows + if(_before < _copies % _rows, 1, 0))")
-    emitted = rows.withColumn("_each", each).filter("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each"))))
+    renamed = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    taken = mix(renamed, id=names[id], text=names[text], source=names[source], weight=names[weight] if weight else None, keep=tuple(names.values()), **options)
+    emitted = taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return emitted.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
@@ -138,10 +172,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS t FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS t, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM documents
 ), r AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    greatest(0.1, 1 - 4 * CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS DOUBLE) / CAST(greatest(1, length(t)) AS DOUBLE)) AS weight,
+    greatest(0.1, (1 - 4 * CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS DOUBLE) / CAST(greatest(1, length(t)) AS DOUBLE))
+      * (1 - CAST(length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS DOUBLE) / CAST(greatest(1, length(t)) AS DOUBLE))
+      * (CAST(len(list_distinct(lines)) AS DOUBLE) / CAST(greatest(1, len(lines)) AS DOUBLE))) AS weight,
     md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t) AS digest
   FROM d
 ), s AS (
