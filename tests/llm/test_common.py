@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import common, ranks
+from spanloom.functions import scratch
+from spanloom.llm import common, lookups, ranks
 
 
 def test_running_sums_equal_brute_force(spark):
@@ -40,10 +41,32 @@ def test_small_side(spark):
 
 
 def test_stored_tables_can_be_dropped(spark):
-    kept = list(common._written)
-    common._written.clear()
+    kept = list(scratch._written)
+    scratch._written.clear()
     table = common.stored(spark.range(5), "five")
-    assert table.count() == 5 and len(common._written) == 1
+    assert table.count() == 5 and len(scratch._written) == 1
     common.drop_stored(spark)
-    assert not common._written
-    common._written.extend(kept)
+    assert not scratch._written
+    scratch._written.extend(kept)
+
+
+def test_lookup_equals_a_left_join(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "HOT_ROWS", 50)
+    rows = common.stored(spark.range(4000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE 'k' || id % 500 END AS key"), "rows")
+    table = common.stored(rows.filter("key <> 'k1'").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")), "table")
+    want = rows.join(table, "key", "left").select("id", "key", "n", "least")
+    got = lookups.lookup(rows, table, "key", "n")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_sieve_passes_all_of_its_keys(spark):
+    keys = common.stored(spark.range(3000).selectExpr("'a' || id AS key"), "keys")
+    rows = spark.range(30000).selectExpr("'a' || id AS key", "1 AS _word")
+    marked = lookups.Sieve.of(keys, "key").marked(rows, "key", "maybe")
+    assert marked.columns == ["key", "_word", "maybe"]
+    hits = {r.key for r in marked.filter("maybe").collect()}
+    assert {f"a{k}" for k in range(3000)} <= hits and len(hits) < 3000 + 0.05 * 27000
+    left = lookups.without(rows.select("key"), keys, "key")
+    assert sorted(r.key for r in left.collect()) == sorted(f"a{k}" for k in range(3000, 30000))
+    none = keys.limit(0)
+    assert lookups.without(rows.select("key"), common.stored(none, "none"), "key").count() == 30000

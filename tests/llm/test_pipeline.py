@@ -1,9 +1,12 @@
 """The pipeline's stages on the smallest tables, each held against what it was given."""
 
 import collections
+import hashlib
 
+import brute
 import corpus_pipeline
-from spanloom.llm import neardup, secrets
+from spanloom.functions import scratch
+from spanloom.llm import bpe, neardup, quality_rules, secrets
 from spanloom.llm.common import documents, stored
 
 
@@ -29,5 +32,37 @@ def test_stages(spark, sf):
     assert len(after["6"]) == len(after["7"]) and all(r.n_tokens == len(r.ids) for r in after["6"])
 
 
+def test_run_equals_a_plain_version(spark, sf):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    _, rules = quality_rules.judge(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    given = {r.doc_id: r for r in docs.collect()}
+    kept = {i: r.text for i, r in given.items() if brute.passes(r.text, rules)}
+    least = brute.near_classes(kept)
+    clean = {i: brute.redacted(t) for i, t in kept.items() if least[i] == i}
+    library, want = Tokenizer.from_file(bpe.VOCABULARY), collections.Counter()
+    for (i, _, text), ((_, copies),) in brute.dealt([(i, t, given[i].source) for i, t in clean.items()]).items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want[i, len(ids), digest(",".join(map(str, ids))), digest(text)] += copies
+    before = len(scratch.written())
+    got = corpus_pipeline.run(spark, sf)
+    assert len(scratch.written()) == before + 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == +want
+
+
+def test_odd_rows_go_through(spark, sf):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "en", "a", 5, "x"), (1, text, "en", "a", 5, "y"), (None, text + " and more words that differ from it in the end", None, None, None, "z"), (2, None, "en", "a", 0, None), (3, "", "en", "b", 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            now = stored(stage(spark, now, sf), "stage")
+            assert name[0] == "6" or now.columns == docs.columns
+        assert now.count() == 0 if empty else {r.doc_id for r in now.collect()} <= {1, None}
+
+
 def test_registered():
     assert set(corpus_pipeline.QUERIES) == {"pipeline"} and corpus_pipeline.ORACLE_SQL is None

@@ -3,17 +3,18 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import Window, functions as F
+from brute import WORD, dealt, shingles
+from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, components, licenses, mixing, nearest, neardup, quality_model, quality_rules, ranks, registry, secrets, sharding, token_edits
 from spanloom.llm.common import stored
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "lorem ipsum dolor " * 20_000
 ODD = [
     (1, None, "en", "a", None, "x"),
@@ -30,9 +31,12 @@ ODD = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string"
 
 
+CLASHING = "_pick _mix_key _copies _rows _row _copy _part _key _digest _weight _doc_0 _maybe _word _bits _known _clean _none _share _nth first links root path spans maybe sid rest edge epochs copies taken target doc kept rule w x v cell bin".split()
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA).withColumns({"key": F.lit("k"), "row": F.lit("r"), "found": F.lit(1), "_bucket": F.lit(2), "blob": F.lit(3), "label": F.lit(4), "n": F.lit(5)})
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({"key": F.lit("k"), "row": F.lit("r"), "found": F.lit(1), "_bucket": F.lit(2), "blob": F.lit(3), "label": F.lit(4), "n": F.lit(5)}).withColumns({c: F.lit(c) for c in CLASHING})
 
 
 @pytest.fixture(scope="module")
@@ -58,11 +62,6 @@ def run(spark, sf, n):
 # 1 near duplicates
 
 
-def shingles(text):
-    w = (text or "").encode().split()
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
-
-
 def test_near_duplicates_equal_brute_force(spark, sf, docs):
     texts = {}
     for i, r in sorted(docs.items()):
@@ -94,6 +93,10 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     sets = [shingles(t) for _, t in rows]
     links = [sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     assert [r[2] for r in whole] == links and sum(links) > 40
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)  # some six texts
+    long = [f"u{k}" for k in range(300_000)]
+    more = spark.createDataFrame([(100, " ".join(long)), (101, " ".join(["x", *long[1:]]))], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.classes(df.union(more)).collect())) == whole + [(100, 100, 1, 2), (101, 100, 1, 2)]
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
@@ -196,6 +199,17 @@ def test_classifier_of_odd_rows(odd, none, labels):
     assert quality_model.fit(odd, labels.limit(0)) == 0.5
 
 
+def test_scores_follow_the_formula(spark, sf, labels):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_model.fit(docs, labels)
+    x = {r.doc_id: r.x.toArray() for r in quality_model.vectors(docs).collect()}
+    v, w = model.factors.toArray(), model.linear.toArray()
+    assert v.shape[1] == quality_model.FACTORS and len(w) > quality_model.HASHED
+    for r in quality_model.score(docs, model).collect():
+        pairs = ((x[r.doc_id] @ v) ** 2 - (x[r.doc_id] ** 2) @ v**2).sum() / 2
+        assert math.isclose(r.score, 1 / (1 + math.exp(-(model.intercept + x[r.doc_id] @ w + pairs))), abs_tol=1e-9)
+
+
 # 4 quality rules
 
 
@@ -255,7 +269,7 @@ def test_nearest_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row int")
     v = nearest.usable(df)
     got = nearest.search(v, v.filter("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score").collect()
-    assert [tuple(r) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1, 0.0), (0, 2, 1, 0.0), (0, 3, 7, math.sqrt(2))]
+    assert [tuple(r) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1, 0.0), (0, 2, 1, 0.0), (0, 3, None, 1.0), (0, 4, 7, math.sqrt(2))]
     v = nearest.usable(df.limit(0))
     assert nearest.search(v, v).count() == 0
 
@@ -299,9 +313,8 @@ def test_codebooks_see_the_whole_sample():
     assert np.median(q.encode(late)[3]) < 0.5
 
 
-def test_bins_hold_their_rows(monkeypatch):
-    monkeypatch.setattr(nearest, "BIN", 10)
-    first, bins = nearest.packed(np.array([3, 4, 5, 25, 0, 9]))
+def test_bins_hold_their_rows():
+    first, bins = nearest.packed(np.array([3, 4, 5, 25, 0, 9]), 10)
     assert first.tolist() == [0, 0, 1, 2, 5, 5] and bins.tolist() == [1, 1, 1, 3, 1, 1]
 
 
@@ -326,6 +339,30 @@ def test_encoding_of_odd_rows(odd, none):
     assert 50256 in {r.doc_id: r.ids for r in coded.collect()}[7]
 
 
+def test_encoding_of_random_texts_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library, own, r = Tokenizer.from_file(bpe.VOCABULARY), bpe.vocabulary(bpe.VOCABULARY), random.Random(2)
+    counter = token_edits.Counter(own)
+    letters = "aaaabcdeeeettnoiiss  \n\t'é😀ñAZz0129.,-_#"
+    pieces = ["<|endoftext|>", "'re", " tokenization", "  ", "\n\n", "a" * 40, "1234567", "!!!!!!!!", "--------"]
+    for _ in range(1500):
+        text = "".join(r.choice(letters) if r.random() < 0.9 else r.choice(pieces) for _ in range(r.randint(0, 80)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.encode(text)[0].tolist() == ids and sum(counter.leaves(text)[1]) == len(ids)
+        tree, now = token_edits.Tree(*counter.leaves(text)), text
+        for _ in range(3):
+            start = r.randint(0, len(now))
+            now, _ = token_edits.edit(tree, now, counter, start, start + r.randint(0, 12), "".join(r.choice(pieces + [*letters]) for _ in range(r.randint(0, 4))))
+            assert tree.n_tokens == len(library.encode(now, add_special_tokens=False).ids)
+
+
+def test_full_tables_of_pre_tokens(monkeypatch):
+    monkeypatch.setattr(bpe.Seen, "KEPT", 4)
+    table = bpe.Seen(len)
+    assert [table[s] for s in ["a", "bb", "ccc", "dddd", "eeeee", "a", "bb", "é"]] == [1, 2, 3, 4, 5, 1, 2, 2] and len(table) <= 4
+
+
 # 7 mixing
 
 
@@ -348,21 +385,25 @@ def test_mixing_of_odd_rows(odd, none):
     assert mixing.emit(odd).columns == odd.columns and mixing.emit(odd).count() == sum(r.copies for r in got)
 
 
-def test_copies_of_equal_rows_are_dealt_out(spark, monkeypatch):
-    def emitted(copies, rows):
-        made = lambda docs, keep=(), **_: docs.select("doc_id", "source", *keep).withColumn("copies", F.when(F.col("doc_id") == 1, F.monotonically_increasing_id() * 0).otherwise(2)).withColumn("copies", F.col("copies") + F.when((F.col("doc_id") == 1) & (F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")) == 1), copies).otherwise(0))
-        monkeypatch.setattr(mixing, "mix", made)
-        df = spark.createDataFrame([(1, "a b", "s", k) for k in range(rows)] + [(2, "c", "s", -1)], "doc_id long, text string, source string, _bucket long")
-        out = mixing.emit(df)
-        assert out.columns == df.columns
-        return collections.Counter(r["_bucket"] for r in out.collect())
+def test_equal_rows_share_what_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_A_BUCKET", 50)
+    rows = [(None, None, None), (None, "", None), (None, "x", None), (None, "x", None)]
+    for n, s, other in ((3, "a", 30), (7, "b", 1), (1000, "c", 1500), (7, "d", 200), (3, "e", 2)):
+        rows += [(1, "one two three four", s)] * n + [(k, f"word{k} and more", s) for k in range(2, 5)] + [(9, "w " * other, s)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, place long")
+    got, emitted = collections.defaultdict(list), collections.Counter(r.place for r in mixing.emit(df).collect())
+    for r in mixing.mix(df, keep=("place", "text")).collect():
+        got[r.doc_id, r.source, r.text or ""].append((r.taken, r.copies))
+        assert emitted[r.place] == r.copies
+    assert {k: sorted(v) for k, v in got.items()} == dealt(rows)
+
 
-    for copies, rows in ((1, 3), (4, 3), (3, 2), (6, 3), (0, 2), (5, 1)):
-        got = emitted(copies, rows)
-        assert got.pop(-1) == 2 and sum(got.values()) == copies
-        assert all(copies // rows <= got[k] <= -(-copies // rows) for k in range(rows))
-    monkeypatch.setattr(ranks, "ROWS_A_BUCKET", 4)
-    assert sum(emitted(70, 50).values()) == 72
+def test_a_weight_column_comes_first(spark):
+    df = spark.createDataFrame([(k, "a b c d", "s" if k % 2 else "t", 1e6 if k % 4 < 2 else 1e-6) for k in range(200)], "doc_id long, text string, source string, quality double")
+    taken = collections.Counter()
+    for r in mixing.mix(df, cycle=(1, 3), weight="quality", keep=("quality",)).filter("source = 's'").collect():
+        taken[r.quality > 1] += r.taken
+    assert taken[True] == 200 and taken[False] == 0
 
 
 def test_buckets_are_even_at_any_weight(spark):
@@ -390,6 +431,28 @@ def test_shards(spark, sf, docs):
     assert max(mixed.values()) <= math.ceil(len(got) / 24 / 20) + 1
 
 
+def test_shards_equal_brute_force(spark, sf, docs, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_A_BUCKET", 20)
+    monkeypatch.setattr(ranks, "HOT_ROWS", 30)
+    rows = [(i, r.text, r.source) for i, r in docs.items()] + [(None, "", None)] * 300 + [(7, "same text", "x")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = F.xxhash64(F.lit(sharding.SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.unhex(F.md5("text")))
+    keyed = [(r.k, r.sid, r.doc_id, r.text) for r in df.select(key.alias("k"), F.xxhash64("source").alias("sid"), "doc_id", "text").collect()]
+    by = collections.defaultdict(list)
+    for r in sorted(keyed, key=lambda r: (r[1], r[0])):
+        by[r[1]].append(r)
+    order = sorted(((k + 0.5) / len(v), sid, r[2] if r[2] is not None else -1) for sid, v in by.items() for k, r in enumerate(v))
+    n = len(order)
+    want = collections.defaultdict(list)
+    for at, (_, _, i) in enumerate(order):
+        shard = at * 24 // n
+        want[i].append((shard, at - -(-shard * n // 24)))
+    got = collections.defaultdict(list)
+    for r in sharding.assign(df).collect():
+        got[r.doc_id if r.doc_id is not None else -1].append((r.shard, r.slot))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_shards_of_odd_rows(odd, none):
     got = sharding.assign(odd, 4).collect()
     assert sorted((r.shard, r.slot) for r in got) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1)]
@@ -411,6 +474,32 @@ def test_licences_equal_brute_force(spark, sf, docs):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
 
+def test_licence_labels_equal_brute_force(spark, sf, docs):
+    texts = {i: r.text for i, r in docs.items()} | {-k: text for k, text in enumerate([licenses.MIT, licenses.ISC, licenses.BSD_3 + " " + licenses.ZLIB, licenses.GPL_HEADER.format(name="Affero General", version="either version 3 of the License, or (at your option) any later version"), licenses.CC_LONG.format(name="Attribution-ShareAlike", code="by-sa"), licenses.MIT.replace("Software", "Program")], 1)}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words_of = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(lower)) for i, t in texts.items()}
+    seen = collections.Counter(x for w in words_of.values() for x in set(w))
+    want = {}
+    for i, w in words_of.items():
+        named = {name for p, name in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()}
+        score = 0.5 if named else 0.0
+        best = 0.0
+        for t in licenses.TEMPLATES:
+            notice, key = t.notice.split(), t.key.split()
+            shift = next(p for p in range(len(notice)) if notice[p : p + len(key)] == key)
+            anchors = sorted(range(len(notice)), key=lambda p: (seen[notice[p]], p))[:4]
+            for k in range(len(w)):
+                if w[k : k + len(key)] == key:
+                    share = sum(0 <= k - shift + p < len(w) and w[k - shift + p] == notice[p] for p in anchors) / len(anchors)
+                    best = max(best, share)
+                    named |= {t.label} if share >= 0.75 else set()
+        want[i] = (",".join(sorted(named)), best or score)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    assert got == want
+    assert "mit-text" in got[-1][0] and "isc-text" in got[-2][0] and {"bsd-3-clause-text", "zlib-text"} <= set(got[-3][0].split(",")) and "agpl-3.0-or-later-header" in got[-4][0] and "cc-by-sa-4.0-text" in got[-5][0] and "mit-text" not in got[-6][0]
+
+
 def test_licences_of_odd_rows(odd, none, spark):
     got = {r.doc_id: (r.n_words, r.labels, r.score) for r in licenses.scan(odd).collect()}
     assert len(got) == 8 and got[1] == (0, "", 0.0) and got[7][1:] == ("mit", 1.0)
