@@ -72,7 +72,8 @@ def exact_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """Maximal exact matches of k letters (31 at most) or more of each pair (a, b): a, b, x, y, len.
 
     Each pair's two sequences meet in one row, so what is shuffled are sequences, not
-    k-mers, and a k-mer that many reads share makes no group.
+    k-mers, and a k-mer that many reads share makes no group. Pairs take far longer than
+    their bytes tell, so they are dealt over all shuffle partitions and not put together again.
     """
     side = lambda name, text: reads.select(F.col("read").alias(name), F.col("sequence").alias(text))
     both = pairs.select("a", "b").join(side("a", "one"), "a").join(side("b", "two"), "b")
@@ -87,7 +88,8 @@ def exact_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
                     m = len(x[part])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, a[r])), pa.array(np.full(m, b[r])), pa.array(x[part]), pa.array(y[part]), pa.array(n[part])], names=["a", "b", "x", "y", "len"])
 
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, x long, y long, len long")
+    parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.select("a", "b", "one", "two").repartition(parts, "a", "b").mapInArrow(run, "a long, b long, x long, y long, len long")
 
 
 def reversed_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:

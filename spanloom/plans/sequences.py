@@ -38,9 +38,10 @@ LEFT JOIN (SELECT read, count(*) AS n, count(*) FILTER (WHERE code % 101 < 10) A
 
 
 def _neighbours(spark, sf_dir):
-    """Pairs of reads from the same shelf of the library: each read with the next by id among those of like length (in hundreds)."""
-    lens = views.reads(ship_package(spark), sf_dir).select("read", F.expr("length(sequence) div 100").alias("shelf"))
-    return with_next(lens, ["shelf"], [F.col("read")], {"b": "read"}).select(F.col("read").alias("a"), "b")
+    """The reads, stored, and pairs of them from the same shelf of the library: each read with the next by id among those of like length (in hundreds)."""
+    reads = stored(views.reads(ship_package(spark), sf_dir), "reads")
+    lens = reads.select("read", F.expr("length(sequence) div 100").alias("shelf"))
+    return with_next(lens, ["shelf"], [F.col("read")], {"b": "read"}).select(F.col("read").alias("a"), "b"), reads
 
 
 PAIRS = "pairs AS (SELECT a, b FROM (SELECT read AS a, lead(read) OVER (PARTITION BY length(sequence) // 100 ORDER BY read) AS b FROM reads) WHERE b IS NOT NULL)"
@@ -105,7 +106,7 @@ def diagonal_places(spark, sf_dir):
 
 
 def exact_matches(spark, sf_dir):
-    return matches.exact_matches(_neighbours(spark, sf_dir), views.reads(spark, sf_dir), K)
+    return matches.exact_matches(*_neighbours(spark, sf_dir), K)
 
 
 MATCHES = f"""WITH {READS}, {PAIRS}, k AS (SELECT read, unnest(range(0, length(sequence) - {K - 1})) AS pos, unnest([substr(sequence, i, {K}) FOR i IN range(1, length(sequence) - {K - 2})]) AS kmer FROM reads),
@@ -147,7 +148,7 @@ def unique_matches(spark, sf_dir):
 
 def dotplot_both_strands(spark, sf_dir):
     """Points of the matches on both strands, the second read's places moved up by 100,000."""
-    pairs, reads = _neighbours(spark, sf_dir), views.reads(spark, sf_dir)
+    pairs, reads = _neighbours(spark, sf_dir)
     moved = lambda df, k: matches.points(df, 5).select("a", "b", F.lit(k).alias("is_reverse"), "x", (F.col("y") + 100_000).alias("y"))
     return moved(matches.exact_matches(pairs, reads, K), False).union(moved(matches.reversed_matches(pairs, reads, K), True))
 
