@@ -6,20 +6,23 @@ its nearest cell and the codes of its residual. A query probes its nearest cells
 until these hold a share of all vectors, which is calibrated: within the sample,
 cells up to that share hold RECALL of the true neighbours of CALIBRATED vectors.
 Data in clear clusters need few cells, data without structure most of them. Small
-cells are packed into bins, large ones cut into several, so a bin holds about BIN
-rows; queries are dealt into chunks. A task works on one bin and one chunk with
-asymmetric distance tables. Each row carries the norm of its coding error, which
+cells are packed into bins, large ones cut into several, so a bin holds MOST_BIN rows
+at most. Queries are sent to the bins of their cells; a bin is shuffled once, and once
+more for every further CHUNK of queries that it gets, so what is moved for a block of
+MOST_BIN x CHUNK distances is one bin and one chunk. A task works on one bin and one
+chunk with asymmetric distance tables. Each row carries the norm of its coding error, which
 bounds how far its coded distance is off: the CANDIDATES rows that look nearest
 give an exact distance of rank k, and every row whose lower bound is not above it
 is reranked by its exact distance in double precision. So coding loses nothing of
 the probed cells, whatever the number of near copies; a task returns k rows a query.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite
-components take no part, nor do rows without an id or with another dimension than
-the most frequent one. Rows are told apart by a number given when they are stored:
-repeated ids stay separate rows, a query is never its own neighbour, and equal
-distances go to the smaller id. With fewer candidates than asked for, all are
-returned; an empty table gives an empty result. Other columns are ignored.
+components take no part; nor do those of another dimension than the most frequent
+one, to which no distance is defined. Rows are told apart by a number given when they
+are stored: repeated ids stay separate rows, and a query is never its own neighbour.
+Equal distances go to the smaller id; rows without an id are candidates and come last
+among equals. With fewer candidates than asked for, all are returned; an empty table
+gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +32,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanloom.functions.shipping import ship_package
-from spanloom.llm.common import stored
+from spanloom.llm.common import small_side, stored
 
 SAMPLE, MOST_CELLS, PARTS, CODES = 20_000, 1024, 32, 256
-RECALL, CALIBRATED, ENOUGH, CANDIDATES = 0.97, 200, 1000, 80
-BIN, CHUNK = 8192, 256
+RECALL, CALIBRATED, ENOUGH, CANDIDATES = 0.95, 400, 1000, 80
+LEAST_BIN, MOST_BIN, BINS, CHUNK = 1024, 16_384, 32, 4096
+#: Stands for a missing id where ids are sorted.
+LAST = np.iinfo(np.int64).max
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,7 +154,7 @@ def usable(table: DataFrame, id: str = "vec_id", vector: str = "embedding") -> D
     """(row, vec_id, v) of the rows that take part, stored; v is an array of doubles."""
     v = F.col(vector).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = table.select(F.col(id).cast("long").alias("vec_id"), F.when(good, F.col(vector).cast("array<float>")).alias("f"), F.when(good, v).alias("v")).filter("v is not null and vec_id is not null")
+    rows = table.select(F.col(id).cast("long").alias("vec_id"), F.when(good, F.col(vector).cast("array<float>")).alias("f"), F.when(good, v).alias("v")).filter("v is not null")
     # stored as floats where that loses nothing
     exact = F.forall("v", lambda x: x == x.cast("float").cast("double"))
     rows = rows.select("vec_id", F.when(exact, F.col("f")).alias("f"), F.when(~exact, F.col("v")).alias("d"), F.monotonically_increasing_id().alias("row"))
@@ -157,12 +163,12 @@ def usable(table: DataFrame, id: str = "vec_id", vector: str = "embedding") -> D
     return rows.filter(F.size("v") == (usual["n"] if usual else 0))
 
 
-def packed(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first bin of each cell and its number of bins: large cells get bins of their own, small ones share them."""
-    first, bins = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // BIN))
+def packed(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bin of each cell and its number of bins of ``most`` rows: large cells get bins of their own, small ones share them."""
+    first, bins = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most))
     now, filled = 0, 0
     for c, n in enumerate(sizes.tolist()):
-        if filled and filled + n > BIN:
+        if filled and filled + n > most:
             now, filled = now + 1, 0
         first[c] = now
         if bins[c] > 1:
@@ -196,7 +202,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     sizes = np.zeros(len(q.cells), np.int64)
     for r in index.groupBy("cell").count().collect():  # one row a cell, MOST_CELLS at most
         sizes[r["cell"]] = r["count"]
-    first_bin, bins = packed(sizes)
+    first_bin, bins = packed(sizes, max(LEAST_BIN, min(MOST_BIN, total // BINS)))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,21 +218,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 at += [x] * len(by_bin)
                 bin_of += by_bin
                 cells += by_bin.values()
+            x = matrix(batch.column("v"), dimension)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(take), batch.column("v").take(take), pa.array(bin_of, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["query", "v", "bin", "cells"])
-
-    probes = stored(queries.select("row", "v").mapInArrow(probed, "query long, v array<double>, bin int, cells array<int>"), "probes")
-    n_bins = int((first_bin + bins).max())
-    chunks = max(1, -(-queries.count() // CHUNK))
-    left = probes.withColumn("chunk", F.pmod(F.xxhash64("query", F.lit(1)), F.lit(chunks)).cast("int"))
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(take), pa.array(packed_vectors(x), pa.binary()).take(take), pa.array(bin_of, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["query", "v", "bin", "cells"])
+
+    probes = stored(queries.select("row", "v").mapInArrow(probed, "query long, v binary, bin int, cells array<int>"), "probes")
+    # a row for each bin that is probed: their number is bounded by the cells and by total / MOST_BIN, and it is counted
+    chunks = stored(probes.groupBy("bin").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
+    of_bin = lambda: small_side(chunks.select(F.col("bin").alias("_bin"), F.col("chunks").alias("_chunks")))
+    chunk = F.pmod(F.xxhash64("query", F.lit(1)), "_chunks").cast("int").alias("chunk")
+    left = probes.join(of_bin(), F.col("bin") == F.col("_bin")).select("query", "v", "bin", "cells", chunk)
     of_cell = lambda xs: F.element_at(F.array(*[F.lit(int(x)) for x in xs]), F.col("cell") + 1)
     bin_of = of_cell(first_bin) + F.pmod(F.xxhash64("row", F.lit(2)), of_cell(bins)).cast("int")
-    right = index.withColumn("bin", bin_of.cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    right = index.withColumn("bin", bin_of.cast("int")).join(of_bin(), F.col("bin") == F.col("_bin"))
+    right = right.select(*index.columns, "bin", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"))
 
     def best(asking: pa.Table, block: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         if asking.num_rows and block.num_rows:
-            ids, rows = block.column("vec_id").to_numpy(), block.column("row").to_numpy()
+            ids, rows = pc.fill_null(block.column("vec_id"), LAST).to_numpy(), block.column("row").to_numpy()
             order = np.lexsort((rows, ids))
             ids, rows = ids[order], rows[order]
             cell, own = block.column("cell").to_numpy()[order], block.column("own").to_numpy()[order]
@@ -235,7 +245,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             x = unpacked_vectors(block.column("exact").to_pylist(), dimension)[order]
             size = max((x * x).sum(1).max(), (q.cells * q.cells).sum(1).max())
             steps = np.arange(codes.shape[1])
-            for query, v, cells in zip(asking.column("query").to_pylist(), matrix(asking.column("v"), dimension), asking.column("cells").to_pylist()):
+            for query, v, cells in zip(asking.column("query").to_pylist(), unpacked_vectors(asking.column("v").to_pylist(), dimension), asking.column("cells").to_pylist()):
                 to_cell = np.full(len(q.cells), np.inf)
                 to_cell[cells] = ((q.cells[cells] - v) ** 2).sum(1)
                 some = np.flatnonzero(np.isfinite(to_cell[cell]) & (rows != query))
@@ -245,14 +255,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 out.append((np.full(len(near), query), rows[some[near]], ids[some[near]], exact))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 4
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        return pa.table([pa.array(c, kind) if len(c) else pa.array([], kind) for c, kind in zip(columns, kinds)], names=["query", "row", "vec_id", "score"])
+        names = ["query", "row", "vec_id", "score"]
+        return pa.table([pa.array(c, kind, mask=c == LAST if name == "vec_id" else None) if len(c) else pa.array([], kind) for c, kind, name in zip(columns, kinds, names)], names=names)
 
     keys = ["bin", "chunk"]
-    units = max(1, min(n_bins * chunks, 100_000))
+    units = max(1, min(chunks.agg(F.sum("chunks")).first()[0] or 1, 100_000))
     deal = lambda df: df.repartition(units, *keys)
     found = deal(left).groupBy(*keys).cogroup(deal(right).groupBy(*keys)).applyInArrow(best, "query long, row long, vec_id long, score double")
     scored = found.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "row"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", F.col("vec_id").asc_nulls_last(), "row"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias("query_row"), "query_id", "rank", "vec_id", "score")
 
 
