@@ -5,7 +5,7 @@ the sum-of-squares identity makes all pairwise interactions linear in the entrie
 of x. Spark's factorisation machine fits it by gradient sums over partitions and
 applies it in the JVM.
 
-x holds the hashed words of the whole text (log counts, unit length), one
+x holds the hashed words of the whole text (their counts, scaled to unit length), one
 indicator for the bin of each structure statistic, and one for the bin of the
 table's own character count. Labels, lang, source and ids are no inputs. The model
 is fitted on at most SAMPLE labelled rows whose fold is not 0, picked by a hash of
@@ -14,8 +14,8 @@ the id; that bound is what allows their ids to be broadcast.
 Defined results. Null text counts as empty and is scored like any text. Null ids
 fall into fold 0 and are never learned from. Repeated labels of an id count once,
 by their lowest value. Without training labels of both kinds the score is the share
-of label 1 among them, or 0.5. Empty tables give empty results. Other columns are
-ignored.
+of label 1 among them, or 0.5. A text of any length is counted whole. Empty tables
+give empty results. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.llm.common import documents, fold, let, stored, text_or_empty, words
 
-SAMPLE, HASHED, FACTORS, THRESHOLD = 10_000, 1024, 4, 0.3
+SAMPLE, HASHED, FACTORS, ROUNDS, THRESHOLD = 16_000, 4096, 4, 60, 0.3
 #: Upper ends of the bins of each statistic.
 BINS = {
     "symbols": [0.0, 0.01, 0.03, 0.06, 0.1, 0.2],
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **names):
     counts = train.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     if not counts["n"] or counts["ones"] in (0, counts["n"]):
         return counts["ones"] / counts["n"] if counts["n"] else 0.5
-    machine = FMClassifier(featuresCol="x", labelCol="label", factorSize=FACTORS, maxIter=40, stepSize=0.1, regParam=1e-5, initStd=0.01, seed=5)
+    machine = FMClassifier(featuresCol="x", labelCol="label", factorSize=FACTORS, maxIter=ROUNDS, stepSize=0.1, regParam=1e-5, initStd=0.01, seed=5)
     return machine.fit(train.select("x", "label").coalesce(12))
 
 
