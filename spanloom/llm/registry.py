@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spanloom.llm import mixing
+from spanloom.llm import mixing, prefix_trie, spelling
 from spanloom.llm.bpe import op6_bpe
 from spanloom.llm.licenses import op9_license_scan
 from spanloom.llm.nearest import op5_nearest
 from spanloom.llm.neardup import op1_ngram_jaccard_join
+from spanloom.llm.packing import op13_packing
 from spanloom.llm.quality_model import op3_quality_classifier
 from spanloom.llm.quality_rules import op4_quality_rules
 from spanloom.llm.secrets import op2_secret_scan
@@ -24,5 +25,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_token_edits": op10_token_edits,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_packing": op13_packing,
 }
-SQL = {"op7_mixing": mixing.OP7_SQL}
+SQL = {"op7_mixing": mixing.OP7_SQL, "op11_spelling_variants": spelling.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
