@@ -107,6 +107,7 @@ class Bpe:
             self.automaton.add_word(t.decode("latin-1"), i)
             self.shorter[i] = next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1)
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.ids))
         table = [b""] * size
         for t, i in raw.items():
             table[i] = t
@@ -162,10 +163,12 @@ class Bpe:
         if whole is not None:
             return [whole]
         text, n = data.decode("latin-1"), len(data)
-        longest, shorter, sizes, fits = self.automaton.iter_long, self.shorter, self.sizes, self.fits
+        longest, shorter, sizes, fits, most = self.automaton.iter_long, self.shorter, self.sizes, self.fits, self.longest
         hopeless = bytearray(n + 1)
         out: list[int] = []
-        at, run = 0, longest(text)
+        # matches are asked for in stretches of two longest tokens, so that a new start costs no more than that
+        at, stop = 0, min(n, 2 * most)
+        run = longest(text[:stop])
         first = i = next(run)[1]
         while True:
             while i >= 0 and (hopeless[at + sizes[i]] or (out and not fits(out[-1], i))):
@@ -175,8 +178,9 @@ class Bpe:
                 at += sizes[i]
                 if at == n:
                     return out
-                if i != first:  # the run went on behind a longer token
-                    run = longest(text, at)
+                if i != first or (at + most > stop and stop < n):  # the run went on behind a longer token, or nears its end
+                    stop = min(n, at + 2 * most)
+                    run = longest(text[at:stop])
                 first = i = next(run)[1]
             else:
                 hopeless[at] = 1
