@@ -26,6 +26,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
     return of_hot.unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left").select(*columns))
 
 
+def attach(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``lookup``, with the whole table broadcast where it was found to have MOST_HOT rows at most; ``rows`` is read once then."""
+    if table.limit(MOST_HOT + 1).count() > MOST_HOT:
+        return lookup(rows, table, key, n)
+    columns = [*rows.columns, *[c for c in table.columns if c != key]]
+    return rows.join(F.broadcast(table), key, "left").select(*columns)
+
+
 @dataclass
 class Sieve:
     """A Bloom filter as a table of 64-bit words with four bits for each key: it passes all of the keys and few other values.

@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from spanloom.llm.common import documents, let, small_side, stored, text_or_empty, words
+from spanloom.llm.lookups import attach
 from spanloom.llm.ranks import ROWS_A_BUCKET, buckets_for, running, sorted_running
 
 SEED, MOST, CYCLE = "mix-1", 3, (1, 2, 3)
@@ -106,26 +107,31 @@ def mix(docs: DataFrame, seed: str = SEED, cycle: tuple[int, ...] = CYCLE, most:
     """Every row with size, source_size, target, taken (words) and copies (whole documents to emit), and the columns in ``keep``.
 
     ``weight`` names a column with quality weights above 0, such as a classifier's
-    score; without it they come from the text. ``copies`` counts the document on the
+    score; without it, and where it is null, 0, negative or not finite, they come from
+    the text. ``copies`` counts the document on the
     boundary if at least half of it is taken.
     """
     t = text_or_empty(F.col(text))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit(":"), t))
     own = quality_weight(F.col(text))
+    if weight:
+        given = F.col(weight).cast("double")
+        usable = (given > 0) & ~F.isnan(given) & (given < float("inf"))
     rows = docs.select(
         F.col(id).alias("doc_id"),
         F.col(source).alias("source"),
         F.size(words(F.col(text))).cast("long").alias("size"),
-        (F.coalesce(F.when(F.col(weight) > 0, F.col(weight).cast("double")), own) if weight else own).alias("_weight"),
+        (F.coalesce(F.when(usable, given), own) if weight else own).alias("_weight"),
         digest.alias("_digest"),
         F.monotonically_increasing_id().alias("_row"),
         *keep,
     )
     rows = stored(rows, "mix-rows")
+    of_source = F.struct("source")
     epochs = F.coalesce(F.expr("bigint(floor(target / nullif(source_size, 0)))"), F.lit(0))
     table = sources(rows, cycle, most).withColumn("epochs", epochs)
     table = stored(table.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size")), "mix-sources")
-    rows = rows.join(small_side(table.drop("n").withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = attach(rows.withColumn("_s", of_source), table.withColumn("_s", of_source).drop("source"), "_s", "n").drop("_s", "n")
     u = (F.conv(F.substring("_digest", 1, 13), 16, 10).cast("double") + 1) / F.lit(2.0**52 + 1)
     rows = rows.withColumn("_key", -F.log(u) / F.col("_weight"))
     edges = boundaries(rows)

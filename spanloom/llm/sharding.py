@@ -18,7 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanloom.llm.common import documents, small_side, stored, text_key, text_or_empty
+from spanloom.llm.common import documents, stored, text_key, text_or_empty
+from spanloom.llm.lookups import attach
 from spanloom.llm.ranks import buckets_for, running, split_equal
 
 SHARDS, SEED = 24, 11
@@ -30,9 +31,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id: str = "d
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id).cast("string"), F.lit("")), text_key(F.col(text)))
     size = (F.octet_length(whole) + 8).cast("long")
     rows = stored(docs.select(F.col(id).alias("doc_id"), size.alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.col(source).alias("_source"), key.alias("_key"), F.monotonically_increasing_id().alias("_row"), *keep), "shard-rows")
-    counts = stored(rows.groupBy("_source").agg(F.count("*").alias("_n")).select(F.col("_source").alias("_s"), F.xxhash64("_source").alias("_sid"), "_n"), "shard-sources")
+    counts = stored(rows.groupBy("_source").agg(F.count("*").alias("_n")).select(F.struct("_source").alias("_s"), F.xxhash64("_source").alias("_sid"), "_n"), "shard-sources")
     total = rows.count()
-    rows = rows.join(small_side(counts), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = attach(rows.withColumn("_s", F.struct("_source")), counts, "_s", "_n").drop("_s")
     # the key is spread evenly over 64 bits: its share of that range is its share of the buckets
     spread = F.col("_key").cast("double") / F.lit(2.0**64) + 0.5
     bucket = lambda part, n: F.least(buckets_for(n) - 1, F.floor(part * buckets_for(n)))
