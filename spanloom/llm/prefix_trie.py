@@ -2,16 +2,18 @@
 
 A conversation is the sequence of its turns' digests. The peeling begins at the
 greatest depth: conversations that end there are grouped by their whole sequence, and
-each group is a node. The nodes' last turns are stripped, conversations that end one
-turn earlier join them, and what is equal now is grouped again, down to the root. A
-group's row holds all that its subtree adds up to, so no node is met twice: members and
-leaves are sums, the representative a minimum, and the children are the rows that were
-stripped into it. All of these are combined before the shuffle, so a turn that a third
-of all conversations begin with is no large group. Texts never leave the task that
-reads them; a turn travels as 16 bytes of SHA-256 and the length of its text.
-
-The number of Spark jobs grows with the greatest depth, as the method's rounds do, not
-with the rows. Each round is written to the shared folder.
+each group is a node. Last turns are stripped, conversations that end higher up join the
+nodes that survive, and what is equal now is grouped again, down to the root. What a
+subtree adds up to goes along: members and leaves are sums, the representative a
+minimum, and the children are counted as they are stripped. All of these are combined
+before the shuffle, so a turn that a third of all conversations begin with is no large
+group. Texts never leave the task that reads them; a turn travels as 16 bytes of SHA-256
+and the length of its text.
+
+A round strips STRIDE turns at once: a row passes through the prefixes that it has in the
+round's depths, and each node adds itself to those above it. So the number of Spark jobs
+is the greatest depth divided by STRIDE, not by one. Each round is written to the shared
+folder.
 
 The ids of the conversations that end in a node are hashed in their order. They are
 sorted in ranges over all nodes, each range's task joins them to pieces of text, and one
@@ -42,6 +44,8 @@ from spanloom.llm.common import stored, text_or_empty
 from spanloom.llm.lookups import lookup
 
 FAMILY, CUT = 5, 9
+#: Turns that a round strips.
+STRIDE = 32
 PATH = "array<struct<d:binary,bytes:bigint>>"
 
 
@@ -146,37 +150,62 @@ def ended(convs: DataFrame) -> DataFrame:
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
 
-def trie(convs: DataFrame) -> DataFrame:
-    """The nodes of the trie of ``convs`` (conv_id, path), see ``op12_prefix_trie``."""
-    ends = stored(ended(convs).withColumn("depth", F.size("path").cast("long")), "trie-ends")
-    deepest = ends.agg(F.max("depth")).first()[0]
-    spark = convs.sparkSession
-    fields = f"path {PATH}, conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, depth long"
-    levels, below = [], None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        met = ends.filter(F.col("depth") == depth).select("path", "conv_id", F.col("n").alias("n_convs"), *[F.lit(0).cast("long").alias(c) for c in ("child", "leaves", "saved")], "ends_sha256")
+def peeled(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """The nodes of depths ``low`` to ``high``, which all of ``rows`` lie in, with what their subtrees add up to.
+
+    A row is the end of a conversation or a node below, stripped to depth ``high`` (child 1).
+    It passes through the nodes of its prefixes; then every node adds itself to the nodes above it.
+    """
+    long = lambda c: c.cast("long")
+    n = F.size("path")
+    keys = F.transform(F.sequence(F.lit(low), n), lambda i: F.struct(i.alias("depth"), _key(F.slice("path", 1, i)).alias("key")))
+    met = rows.withColumn("keys", keys).select("*", F.explode("keys").alias("at"))
+    ends_here = F.col("at.depth") == n
+    here = lambda c: F.sum(F.when(ends_here, F.col(c)).otherwise(0))
+    node = met.groupBy(F.col("at.key").alias("key"), long(F.col("at.depth")).alias("depth")).agg(
+        F.min("conv_id").alias("conv_id"),
+        F.sum("n_convs").alias("n_convs"),
+        F.max(F.when(ends_here, F.col("ends_sha256"))).alias("ends_sha256"),
+        here("child").alias("child"),
+        here("leaves").alias("leaves"),
+        here("saved").alias("saved"),
+        F.max((~ends_here).cast("int")).alias("passed"),
+        F.first(F.transform(F.slice("keys", 1, F.col("at.depth") - low + 1), lambda x: x["key"])).alias("keys"),
+        F.first(F.get("path", F.col("at.depth") - 1)["bytes"]).alias("bytes"),
+        # the topmost nodes keep their path for the next stride
+        F.first(F.when(F.col("at.depth") == low, F.slice("path", 1, F.lit(low))), True).alias("path"),
+        F.first(F.when((F.col("at.depth") == low) & (F.lit(low) > 0), _key(F.slice("path", 1, F.lit(max(0, low - 1)))))).alias("up"),
+    )
+    node = node.withColumn("saved", F.col("saved") + (F.col("n_convs") - 1) * F.coalesce("bytes", F.lit(0)))
+    node = node.withColumn("leaves", F.col("leaves") + ((F.col("child") == 0) & (F.col("passed") == 0)).cast("long"))
+    above = stored(node, "trie-met").select("*", F.posexplode("keys").alias("_k", "of"))
+    behind = F.size("keys") - 1 - F.col("_k")
+    own = F.first(F.when(behind == 0, F.struct("depth", "conv_id", "n_convs", "child", "ends_sha256", "path", F.coalesce("up", F.get("keys", F.size("keys") - 2)).alias("up"))), True)
+    sums = above.groupBy(F.col("of").alias("key")).agg(own.alias("own"), F.sum((behind == 1).cast("long")).alias("below"), F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
+    return sums.select("key", "own.up", "own.path", "own.conv_id", "own.depth", "own.n_convs", (F.col("own.child") + F.col("below")).alias("n_children"), "n_leaves", "saved_tokens", F.coalesce("own.ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256"))
+
+
+def trie(convs: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """The nodes of the trie of ``convs`` (conv_id, path), see ``op12_prefix_trie``; ``stride`` turns are stripped in a round."""
+    zero = F.lit(0).cast("long")
+    ends = stored(ended(convs).select("path", "conv_id", F.col("n").alias("n_convs"), zero.alias("child"), zero.alias("leaves"), zero.alias("saved"), "ends_sha256"), "trie-ends")
+    high, paths_written, below = ends.agg(F.max(F.size("path"))).first()[0], [], None
+    if high is None:
+        fields = "conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, depth long, parent_conv_id long"
+        return convs.sparkSession.createDataFrame([], fields)
+    while high >= 0:
+        low = max(0, high - stride + 1)
+        rows = ends.filter(F.size("path").between(low, high))
         if below is not None:
-            stripped = F.slice("path", 1, depth) if depth else F.array().cast(PATH)
-            met = met.unionByName(below.select(stripped.alias("path"), "conv_id", "n_convs", F.lit(1).cast("long").alias("child"), F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved"), F.lit(None).cast("string").alias("ends_sha256")))
-        node = met.groupBy("path").agg(F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("child").alias("n_children"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"), F.max("ends_sha256").alias("ends_sha256"))
-        last = F.coalesce(F.try_element_at("path", F.lit(-1))["bytes"], F.lit(0))
-        node = node.select(
-            "path", "conv_id", "n_convs", "n_children",
-            F.when(F.col("n_children") == 0, 1).otherwise(F.col("leaves")).cast("long").alias("n_leaves"),
-            (F.col("saved") + (F.col("n_convs") - 1) * last).alias("saved_tokens"),
-            F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256"),
-            F.lit(depth).cast("long").alias("depth"),
-        )
-        below = stored(node, f"trie-{depth}")
-        levels.append(below)
-    if not levels:
-        return spark.createDataFrame([], fields).drop("path").withColumn("parent_conv_id", F.lit(None).cast("long"))
-    nodes = levels[0]
-    for level in levels[1:]:
-        nodes = nodes.unionByName(level)
+            rows = rows.unionByName(below)
+        nodes = stored(peeled(rows, low, high), "trie-nodes")
+        paths_written.append(nodes)
+        stripped = nodes.filter(F.col("depth") == low).select(F.slice("path", 1, F.lit(max(0, low - 1))).alias("path"), "conv_id", "n_convs", F.lit(1).cast("long").alias("child"), F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved"), F.lit(None).cast("string").alias("ends_sha256"))
+        below, high = stripped, low - 1
+    keyed = paths_written[0].drop("path")
+    for level in paths_written[1:]:
+        keyed = keyed.unionByName(level.drop("path"))
     # a node's children are the rows that look it up, so popular parents are found without a large group
-    up = F.when(F.col("depth") > 0, _key(F.slice("path", 1, F.greatest(F.lit(0), F.size("path") - 1))))
-    keyed = stored(nodes.select(_key(F.col("path")).alias("key"), up.alias("up"), *[c for c in nodes.columns if c != "path"]), "trie-nodes")
     parents = keyed.filter("n_children > 0").select(F.col("key").alias("up"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("_in"))
     return lookup(keyed.drop("key"), parents, "up", "_in").drop("up", "_in")
 
