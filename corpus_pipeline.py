@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet in the shared folder and read back as the next stage's docs. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Stages may be called in any order and number, and
+their results used at any time: a stage deletes only tables of its own, once its result
+is written.
 
 Defined results. Null, empty and blank texts go in the first stage, which keeps no text
 of fewer than ten words. Of rows equal in id and class the second stage keeps one; null
@@ -22,25 +24,19 @@ from spanloom.llm import bpe, mixing, neardup, quality_rules, secrets
 from spanloom.llm.common import documents, drop_stored, stored, written
 
 
-#: Tables that the stage before wrote within; its output is written by the time the next stage begins.
-_before: list[str] = []
-
-
 def _stage(f):
-    """A stage that first deletes the tables within the stage before."""
+    """A stage whose result is written before the tables that it was made from are deleted; nothing else is."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_stored(spark, _before)
-        since = len(written())
-        out = f(spark, docs, sf_dir)
-        _before[:] = written(since)
+        others = set(written())
+        out = stored(f(spark, docs, sf_dir), f.__name__)
+        drop_stored(spark, [t for t in written() if t not in others][:-1])
         return out
 
     return run_stage
 
 
-@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list keep."""
     return quality_rules.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -64,7 +60,6 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(docs)
 
 
-@_stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, their number, and checksums of the ids and of the text decoded from them."""
     return bpe.encode(docs)
@@ -82,7 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Tables of the stages before and within are deleted as soon as the next stage is written."""
+    """The last stage's rows. What a stage has written is deleted as soon as the next stage's output is."""
     docs, others = documents(spark, sf_dir), set(written())
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
