@@ -34,14 +34,15 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list[Column], s
 
 
 def sorted_running(df: DataFrame, order: list[Column], sums: dict[str, Column], group: list[str] | None = None) -> DataFrame:
-    """``running`` in any total order: the buckets are the ranges of Spark's own sort by group and order."""
+    """``running`` in any total order: the buckets are the ranges of Spark's own sort by group and order. Null groups are groups."""
     group = group or []
-    ranged = stored(df.orderBy(*group, *order).withColumn("_range", F.spark_partition_id().cast("long")), "sorted")
-    return running(ranged, group, "_range", order, sums).drop("_range")
+    own = {"_group": F.struct(*group)} if group else {}
+    ranged = stored(df.orderBy(*group, *order).withColumns({"_range": F.spark_partition_id().cast("long"), **own}), "sorted")
+    return running(ranged, list(own), "_range", order, sums).drop("_range", "_group")
 
 
 def with_next(df: DataFrame, group: list[str], order: list[Column], columns: dict[str, str]) -> DataFrame:
-    """``df`` with columns of the next row of its group (new name: column); rows without a next one are left out."""
-    ranked = stored(sorted_running(df, order, {"_place": F.lit(1)}, group), "ranked")
-    behind = ranked.select(*group, (F.col("_place") - 1).alias("_place"), *[F.col(c).alias(n) for n, c in columns.items()])
-    return ranked.join(behind, [*group, "_place"]).select(*df.columns, *columns)
+    """``df`` with columns of the next row of its group (new name: column); rows without a next one are left out. Null groups are groups."""
+    ranked = stored(sorted_running(df, order, {"_place": F.lit(1)}, group), "ranked").withColumn("_group", F.struct(F.lit(0), *group))
+    behind = ranked.select("_group", (F.col("_place") - 1).alias("_place"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return ranked.join(behind, ["_group", "_place"]).select(*df.columns, *columns)

@@ -13,30 +13,8 @@ from spanloom.operators.prefix import sorted_running
 from spanloom.sources import views
 from spanloom.sources.views import ALN, CAND, LENS, PHASE, QUAL
 
-STOP, BINS = 10_000, 50
-WIDTH = STOP // BINS
-BIN = f"CAST(CASE WHEN length = {STOP} THEN {BINS - 1} ELSE floor(length / {WIDTH}.0) END AS BIGINT)"
-HIST = f"WITH {LENS}, h AS (SELECT lang, {BIN} AS bin, count(*) AS n FROM lens WHERE length >= 0 AND length <= {STOP} GROUP BY ALL), c AS (SELECT lang, bin, (bin + 0.5) * {WIDTH}.0 AS center, n FROM h)"
-
-
-def _lengths(spark, sf_dir, by=("lang",)):
-    return h.histogram(views.lengths(spark, sf_dir), "length", 0, STOP, BINS, by)
-
-
-def length_histogram(spark, sf_dir):
-    return _lengths(spark, sf_dir)
-
-
-def length_density(spark, sf_dir):
-    return h.density(_lengths(spark, sf_dir), ("lang",)).select("lang", "bin", "n", F.round("density", 6).alias("density"))
-
-
-def weighted_histogram(spark, sf_dir):
-    return h.density(_lengths(spark, sf_dir), ("lang",)).select("lang", "bin", F.round("bases", 3).alias("bases"))
-
-
-def n50(spark, sf_dir):
-    return h.n50(_lengths(spark, sf_dir), ("lang",))
+#: Width of a length bin, and of one of ``chimera_percent_whole``. The range is taken from the table.
+WIDTH, WIDE = 200, 500
 
 
 def threshold_sums(spark, sf_dir):
@@ -48,28 +26,17 @@ def region_histogram(spark, sf_dir):
     return h.per_region(rows, "target", "mid", "e", 200)
 
 
-def chimera_percent(spark, sf_dir):
-    rows = views.phases(spark, sf_dir).join(views.lengths(spark, sf_dir).select("doc_id", "length"), "doc_id").withColumn("flag", F.col("a") == 0)
-    return h.class_percent(rows, "length", "flag", 0, STOP, 20)
-
-
 def modulo_subsample(spark, sf_dir):
     return h.modulo_subsample(views.lengths(spark, sf_dir), "doc_id", 0.25).select("doc_id", "source", "length")
 
 
-def subsample_rates(spark, sf_dir):
-    rows = views.lengths(spark, sf_dir)
-    one = lambda lang: h.with_spine(h.histogram(rows.filter(F.col("lang") == lang), "length", 0, STOP, BINS), BINS, 0, STOP)
-    return h.subsample_rates(one("en"), one("fr"), BINS, 4.0)
-
-
 def _whole(spark, sf_dir, by=("lang",)):
     rows = views.lengths(spark, sf_dir)
     return h.histogram(rows, "length", 0, *h.whole_range(rows, "length", WIDTH), by)
 
 
 def length_histogram_whole(spark, sf_dir):
-    """As ``length_histogram``, over a range taken from the table, so no length is left out; so are the other ``_whole`` queries."""
+    """Counts over a range taken from the table, so no length is left out; so are those of the other ``_whole`` queries."""
     return _whole(spark, sf_dir)
 
 
@@ -87,7 +54,7 @@ def n50_whole(spark, sf_dir):
 
 def chimera_percent_whole(spark, sf_dir):
     rows = views.phases(spark, sf_dir).join(views.lengths(spark, sf_dir).select("doc_id", "length"), "doc_id").withColumn("flag", F.col("a") == 0)
-    return h.class_percent(rows, "length", "flag", 0, *h.whole_range(views.lengths(spark, sf_dir), "length", STOP // 20))
+    return h.class_percent(rows, "length", "flag", 0, *h.whole_range(views.lengths(spark, sf_dir), "length", WIDE))
 
 
 def subsample_rates_whole(spark, sf_dir):
@@ -97,15 +64,6 @@ def subsample_rates_whole(spark, sf_dir):
     return h.subsample_rates(one("en"), one("fr"), n_bins, 4.0)
 
 
-def _spine(lang):
-    return f"SELECT i.bin, (i.bin + 0.5) * {WIDTH}.0 AS center, coalesce(n, 0) AS n FROM (SELECT unnest(range({BINS})) AS bin) i LEFT JOIN (SELECT bin, n FROM h WHERE lang = '{lang}') x USING (bin)"
-
-
-RATES = f"""{HIST}, t AS ({_spine('en')}), s AS ({_spine('fr')}),
-b AS (SELECT t.bin, t.center, t.n / (SELECT sum(n) FROM t) AS td, s.n / (SELECT sum(n) FROM s) AS sd FROM t JOIN s ON t.bin = s.bin),
-r AS (SELECT *, CASE WHEN td > 0 AND sd > 0 THEN td / sd ELSE 0.0 END AS ratio, row_number() OVER (ORDER BY round(center * (td - sd), 9) DESC, bin) AS k FROM b)
-SELECT bin, round(ratio, 6) AS ratio, round(ratio / (SELECT least(coalesce(avg(ratio), 1.0), 4.0) FROM r WHERE k <= 20 AND ratio > 1), 6) AS rate FROM r"""
-
 WHOLE = f"WITH {LENS}, h AS (SELECT lang, CAST(length // {WIDTH} AS BIGINT) AS bin, count(*) AS n FROM lens WHERE length >= 0 GROUP BY ALL), c AS (SELECT lang, bin, (bin + 0.5) * {WIDTH}.0 AS center, n FROM h)"
 
 
@@ -278,30 +236,23 @@ _THRESHOLDS = " UNION ALL ".join(f"SELECT source, CAST({t} AS BIGINT) AS thresho
 QUERIES = {
     k: globals()[k]
     for k in (
-        "length_histogram length_density weighted_histogram n50 threshold_sums threshold_totals region_histogram chimera_percent modulo_subsample subsample_rates "
+        "threshold_sums threshold_totals region_histogram modulo_subsample "
         "length_histogram_whole length_density_whole weighted_histogram_whole n50_whole chimera_percent_whole subsample_rates_whole "
         "max_bases_prefix set_compare phase_confusion phase_ari discordant_rows quality_halves quality_smoothed quality_breakpoint quality_smoothed_to_the_ends quality_penalised_breakpoint quality_half_t adaptive_histograms sample_by_length chromosome_order "
         "class_weights feature_histograms overlap_classifier node_degrees"
     ).split()
 }
 ORACLE = {
-    "length_histogram": f"{HIST} SELECT lang, bin, center, n FROM c",
-    "length_density": f"{HIST} SELECT lang, bin, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS density FROM c",
-    "weighted_histogram": f"{HIST} SELECT lang, bin, round(n * center, 3) AS bases FROM c",
-    "n50": f"{HIST}, r AS (SELECT *, sum(n * center) OVER (PARTITION BY lang ORDER BY bin) AS upto, sum(n * center) OVER (PARTITION BY lang) AS total FROM c) SELECT lang, min(center) AS n50 FROM r WHERE upto > total / 2 GROUP BY lang",
     "threshold_sums": f"WITH {LENS} {_THRESHOLDS}",
     "threshold_totals": f"WITH {LENS} SELECT * FROM ({_THRESHOLDS}) ORDER BY total DESC, source, threshold LIMIT 20",
     "region_histogram": f"""WITH {ALN}, r AS (SELECT target AS region, CAST(trunc((s + e) / 2) AS BIGINT) AS mid, e FROM aln), k AS (SELECT region, CAST(ceil(max(e) / 200.0) AS BIGINT) AS n_bins FROM r GROUP BY region),
 c AS (SELECT region, CAST(floor(mid / 200.0) AS BIGINT) AS bin, count(*) AS n FROM r GROUP BY ALL) SELECT c.region, c.bin, c.n, k.n_bins FROM c JOIN k ON c.region = k.region WHERE bin >= 0 AND bin < n_bins""",
-    "chimera_percent": f"""WITH {PHASE}, {LENS}, b AS (SELECT CAST(CASE WHEN length = {STOP} THEN 19 ELSE floor(length / 500.0) END AS BIGINT) AS bin, a = 0 AS flag FROM phase JOIN lens ON phase.doc_id = lens.doc_id WHERE length >= 0 AND length <= {STOP}),
-c AS (SELECT bin, count(*) FILTER (WHERE flag) AS yes, count(*) FILTER (WHERE NOT flag) AS no FROM b GROUP BY bin) SELECT bin, yes, no, round(100.0 * (yes + 1) / (yes + no + 2), 6) AS percent FROM c""",
     "modulo_subsample": f"WITH {LENS} SELECT doc_id, source, length FROM lens WHERE doc_id % 101 <= 24",
-    "subsample_rates": RATES,
     "length_histogram_whole": f"{WHOLE} SELECT lang, bin, center, n FROM c",
     "length_density_whole": f"{WHOLE} SELECT lang, bin, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS density FROM c",
     "weighted_histogram_whole": f"{WHOLE} SELECT lang, bin, round(n * center, 3) AS bases FROM c",
     "n50_whole": f"{WHOLE}, r AS (SELECT *, sum(n * center) OVER (PARTITION BY lang ORDER BY bin) AS upto, sum(n * center) OVER (PARTITION BY lang) AS total FROM c) SELECT lang, min(center) AS n50 FROM r WHERE upto > total / 2 GROUP BY lang",
-    "chimera_percent_whole": f"""WITH {PHASE}, {LENS}, b AS (SELECT CAST(length // {STOP // 20} AS BIGINT) AS bin, a = 0 AS flag FROM phase JOIN lens ON phase.doc_id = lens.doc_id WHERE length >= 0),
+    "chimera_percent_whole": f"""WITH {PHASE}, {LENS}, b AS (SELECT CAST(length // {WIDE} AS BIGINT) AS bin, a = 0 AS flag FROM phase JOIN lens ON phase.doc_id = lens.doc_id WHERE length >= 0),
 c AS (SELECT bin, count(*) FILTER (WHERE flag) AS yes, count(*) FILTER (WHERE NOT flag) AS no FROM b GROUP BY bin) SELECT bin, yes, no, round(100.0 * (yes + 1) / (yes + no + 2), 6) AS percent FROM c""",
     "subsample_rates_whole": WHOLE_RATES,
     "max_bases_prefix": f"WITH {LENS}, r AS (SELECT *, CAST(sum(length) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM lens) SELECT doc_id, source, length, running FROM r WHERE running - length < 20000",

@@ -1,13 +1,20 @@
 """Readers and writers of record formats: alignments, adjacency lists, sequences, SAM, phases, name and length lists.
 
 Every reader has a fixed schema and stays a lazy DataFrame: text lines are split
-and cast in the JVM. Values that should be there and are not make the read fail.
+and cast in the JVM. ``read_fastq`` alone counts the lines of each block when it is
+called, and puts records together in Arrow batches. Values that should be there and are not make the read fail.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from spanloom.functions.scratch import stored
+from spanloom.functions.shipping import ship_package
 from spanloom.operators.edges import FLAGS, KEY
 
 _ALIGNMENT = ["query", "query_length", "query_start", "query_stop", "strand", "target", "target_length", "target_start", "target_stop", "residue_matches", "alignment_length", "mapq"]
@@ -124,34 +131,60 @@ def fasta_index(reads: DataFrame) -> DataFrame:
     return _checked(rows, F.col("n") == 1, "a name stands twice in the index").select("name", "length")
 
 
+#: Blocks of files that are broadcast with their line counts; with more of them, lines are shuffled and sorted.
+MOST_BLOCKS = 1_000_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with file_path and line, their number in the file from 0, in order in each task; and the table of blocks.
+
+    Lines are counted for each block of a file, and the counts summed along the file, when
+    this is called: a table with a row for each block. No line is shuffled for it.
+    """
+    m = lambda c: F.col(f"_metadata.{c}").alias(c)
+    lines = spark.read.text(path).select("value", m("file_path"), m("file_block_start"), F.monotonically_increasing_id().alias("at"))
+    key = ["file_path", "file_block_start"]
+    counts = lines.groupBy(*key).agg(F.count("*").alias("lines"), F.min("at").alias("first"))
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stored(counts.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0))), "blocks")
+    few = blocks.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS
+    joined = lines.join(F.broadcast(blocks) if few else blocks, key, "left")
+    rows = _checked(joined, F.col("before").isNotNull(), "a file's blocks are not those that were counted")
+    rows = rows.select("file_path", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "before", "lines", "value")
+    return rows if few else rows.sortWithinPartitions("file_path", "line"), blocks
+
+
+def _fours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each four lines of the column ``value`` become one row."""
+    names, held = ["name", "sequence", "plus", "quality"], None
+    for batch in batches:
+        value = batch.column("value") if held is None else pa.concat_arrays([held, batch.column("value")])
+        whole = len(value) // 4 * 4
+        held = value.slice(whole)
+        yield pa.RecordBatch.from_arrays([value.take(pa.array(np.arange(k, whole, 4))) for k in range(4)], names=names)
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """name, sequence and quality of four-line records.
 
-    Records are found by their shape, so a file is split like any text. With the line
-    separator ``\\n@`` a piece has four lines; where a quality line begins with ``@`` it
-    has three, and the quality is the next piece: the one behind it in its block, or the
-    first of the file's next block. Only such pieces are joined.
+    A line's place in its record is its number modulo four, so quality lines may hold
+    anything. Records within a block of a file are put together in the task that reads it;
+    only the lines of records that lie over the border of two blocks are shuffled. Blank
+    lines at the end of a file are left out; a record that is cut makes the read fail.
     """
-    pieces = _pieces(spark, path, "\n@").filter(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
-    pieces = pieces.select("file_path", "file_block_start", "at", F.split(F.regexp_replace("value", r"\r|\n+$", ""), "\n").alias("l"))
-    # the first record of a file keeps its @; a quality piece has lost its own to the separator
-    named = F.concat(F.array(F.regexp_replace(F.get("l", F.lit(0)), "^@", "")), F.slice("l", 2, 3))
-    pieces = pieces.withColumn("l", F.when((F.col("file_block_start") == 0) & (F.size("l") > 1), named).otherwise(F.col("l")))
-    headed = F.coalesce(F.get("l", F.lit(2)).startswith("+"), F.lit(False))
-    whole = pieces.filter((F.size("l") == 4) & headed).select("l")
-    cut, rest = pieces.filter((F.size("l") == 3) & headed), pieces.filter(F.size("l") == 1)
-    # a cut piece that ends its block goes on in the next one
-    blocks = pieces.groupBy("file_path", "file_block_start").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    after = blocks.select("file_path", "last", F.lead("first").over(Window.partitionBy("file_path").orderBy("file_block_start")).alias("goes_on"))
-    cut = cut.join(after.withColumnRenamed("last", "at"), ["file_path", "at"], "left")
-    cut = cut.select("file_path", F.coalesce("goes_on", F.col("at") + 1).alias("at"), "l")
-    rest = rest.select("file_path", "at", F.concat(F.lit("@"), F.get("l", F.lit(0))).alias("q"))
-    joined = cut.join(rest, ["file_path", "at"], "full").select(F.concat("l", F.array("q")).alias("l"))
-    other = pieces.filter(~((F.size("l") == 4) & headed) & ~((F.size("l") == 3) & headed) & (F.size("l") != 1)).select("l")
-    rows = whole.union(joined).union(other)
-    good = F.coalesce((F.size("l") == 4) & headed & (F.length(F.get("l", F.lit(1))) == F.length(F.get("l", F.lit(3)))), F.lit(False))
-    rows = _checked(rows, good, "a FASTQ record is cut")
-    return rows.select(F.substring_index(F.get("l", F.lit(0)), " ", 1).alias("name"), F.get("l", F.lit(1)).alias("sequence"), F.get("l", F.lit(3)).alias("quality"))
+    lines, _ = numbered_lines(ship_package(spark), path)
+    text = F.regexp_replace("value", "\r$", "").alias("value")
+    start = F.col("line") - F.col("line") % 4
+    inside = (start >= F.col("before")) & (start + 4 <= F.col("before") + F.col("lines"))
+    whole = lines.filter(inside).select(text).mapInArrow(_fours, "name string, sequence string, plus string, quality string")
+    at = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    split = lines.filter(~inside).select("file_path", "line", text).groupBy("file_path", F.floor(F.col("line") / 4).alias("record"))
+    split = split.agg(at(0).alias("name"), at(1).alias("sequence"), at(2).alias("plus"), at(3).alias("quality"))
+    blank = F.trim(F.concat_ws("", "name", "sequence", "plus", "quality")) == ""
+    rows = whole.unionByName(split.select(*whole.columns)).filter(~blank)
+    good = F.col("name").startswith("@") & F.col("plus").startswith("+") & (F.length("sequence") == F.length("quality"))
+    rows = _checked(rows, F.coalesce(good, F.lit(False)), "a FASTQ record is cut")
+    return rows.select(F.substring_index(F.expr("substr(name, 2)"), " ", 1).alias("name"), "sequence", "quality")
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:

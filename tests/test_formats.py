@@ -71,6 +71,26 @@ def test_fastq_with_at_signs_in_any_block(spark, put, block):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("block", ["5", "11", "1000000"])
+def test_fastq_of_single_letters_and_blank_lines(spark, put, block):
+    """Lines are told apart by their number alone, wherever a block begins; a file in blocks equals one block."""
+    records = [("a", "A", "@"), ("b", "", ""), ("@c", "C", "+"), ("d", "G", "@"), ("e", "ACGT", "@+@+"), ("f", "T", "@")]
+    text = "".join(f"@{n}\n{s}\n+{n}\n{q}\n" for n, s, q in records)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for tail in ("", "\n\n"):
+            assert sorted(map(tuple, formats.read_fastq(spark, put("one.fastq", text + tail)).collect())) == sorted(records)
+        assert sorted(map(tuple, formats.read_fastq(spark, put("crlf.fastq", text.replace("\n", "\r\n"))).collect())) == sorted(records)
+        lines, _ = formats.numbered_lines(spark, put("n.txt", "x\n" * 30))
+        assert sorted(r.line for r in lines.collect()) == list(range(30))
+        assert formats.read_fastq(spark, put("none.fastq", "")).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_records_that_are_refused(spark, put):
     for text in ("@one\nACGT\n+\nIII\n", "@one\nACGT\n+\n@III\n@junk\n", "@one\nACGT\n", "@one\nACGT\n+\n@III\n@two\nAC\n+\n"):
         with pytest.raises(Exception, match="FASTQ"):

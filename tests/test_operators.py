@@ -150,7 +150,7 @@ def test_whole_range_leaves_no_length_out(spark, sf):
     from spanloom.plans import statistics
 
     docs = [(r.lang, r.n_chars) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert max(n for _, n in docs) > statistics.STOP
+    assert max(n for _, n in docs) > 10_000
     got = statistics.length_histogram_whole(spark, sf).collect()
     assert sum(r.n for r in got) == len(docs)
     assert all(r.n == sum(x == r.lang and n // 200 == r.bin for x, n in docs) for r in got)
@@ -231,3 +231,21 @@ def test_names_and_node_sets(spark):
     assert sorted((r.a, r.b) for r in edges.find(e, asked).collect()) == [(2, 1), (3, 2)]
     assert edges.only(e, "is_reference").count() == 2 and edges.only(e, "is_selected").count() == 0
     assert [r[0] for r in spark.sql("SELECT 'a+' AS x UNION ALL SELECT 'b--'").select(scalars.without_strand(F.col("x"))).collect()] == ["a", "b-"]
+
+
+def test_null_groups_are_kept(spark):
+    from spanloom.operators import histograms, prefix
+
+    rows = [(k, None if k % 3 == 0 else "a" if k % 3 == 1 else "b", k % 5 + 1) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, source string, x long")
+    got = {(r.id, r.running) for r in histograms.prefix_by_sum(df, ["source"], ["id"], "x", 20).collect()}
+    want, nexts = set(), set()
+    for g in (None, "a", "b"):
+        own, upto = [r for r in rows if r[1] == g], 0
+        for i, _, x in own:
+            if upto < 20:
+                want.add((i, upto + x))
+            upto += x
+        nexts |= {(p[0], q[0]) for p, q in zip(own, own[1:])}
+    assert got == want
+    assert {(r.id, r.behind) for r in prefix.with_next(df, ["source"], [F.col("id")], {"behind": "id"}).collect()} == nexts
