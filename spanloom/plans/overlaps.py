@@ -22,10 +22,6 @@ def overlap_edges_by_target(spark, sf_dir):
     return intervals.overlap_edges(views.alignments(spark, sf_dir), 50, width=None)
 
 
-def overlap_edges_binned(spark, sf_dir):
-    return intervals.overlap_edges(views.alignments(spark, sf_dir), 50, width=24)
-
-
 def _labeled(spark, sf_dir):
     candidates = edges.merge(views.candidates(spark, sf_dir))
     known = edges.nodes(candidates).withColumnRenamed("name", "query")
@@ -163,7 +159,6 @@ SELECT a.target, count(*) AS n_pairs FROM r a JOIN r b ON a.target = b.target AN
 QUERIES = {
     "overlap_edges": overlap_edges,
     "overlap_edges_by_target": overlap_edges_by_target,
-    "overlap_edges_binned": overlap_edges_binned,
     "labeled_edges": _labeled,
     "edge_accuracy": edge_accuracy,
     "edge_render_class": edge_render_class,
@@ -183,7 +178,6 @@ _EDGE_SQL = f"WITH {ALN} {EDGES.format(q=50)}"
 ORACLE = {
     "overlap_edges": _EDGE_SQL,
     "overlap_edges_by_target": _EDGE_SQL,
-    "overlap_edges_binned": _EDGE_SQL,
     "labeled_edges": f"{LABELED} SELECT * FROM labeled",
     "edge_accuracy": ACCURACY,
     "edge_render_class": RENDER,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars
+from spanloom.functions.edit_distance import edit_distance as best
 from spanloom.functions.shipping import ship_package
 from spanloom.functions.scratch import stored
 from spanloom.operators import align, cigars, graph, matches
@@ -54,6 +55,39 @@ def edit_distance(spark, sf_dir):
     return pairs.select("p_partkey", F.levenshtein("p_name", "two").cast("long").alias("distance"))
 
 
+def part_distances(spark, sf_dir):
+    """Part names within those of their neighbours: the least distance to any part of the next name and to its beginnings, and where that part ends."""
+    parts = views.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    pairs = with_next(parts, ["p_brand"], [F.col("p_partkey")], {"two": "p_name"})
+    both = [best(F.col("p_name"), F.col("two"), mode).alias(mode) for mode in ("infix", "prefix")]
+    return pairs.select("p_partkey", *both).select("p_partkey", *[F.col(f"{m}.{c}").alias(f"{m}_{c}") for m in ("infix", "prefix") for c in ("distance", "stop")])
+
+
+def _sql_column(row, first):
+    """The next column of the dynamic program over p_name: entries are prefix minima, less their number."""
+    y = f"list_concat([{first}], [least({row}[k + 1] + 1, {row}[k] + CASE WHEN p[k] = t[j + 1] THEN 0 ELSE 1 END) - k FOR k IN range(1, length(p) + 1)])"
+    return f"[k + list_min(({y})[1:k + 1]) FOR k IN range(length(p) + 1)]"
+
+
+def _sql_parts():
+    return f"""WITH RECURSIVE n AS (SELECT p_partkey, p_name AS p, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS t FROM part),
+d AS (
+  SELECT p_partkey, p, t, CAST(0 AS BIGINT) AS j, range(length(p) + 1) AS i, range(length(p) + 1) AS b, length(p) AS im, CAST(0 AS BIGINT) AS ie, length(p) AS bm, CAST(0 AS BIGINT) AS be FROM n WHERE t IS NOT NULL
+  UNION ALL
+  SELECT p_partkey, p, t, j + 1, ni, nb, least(im, ni[-1]), CASE WHEN ni[-1] < im THEN j + 1 ELSE ie END, least(bm, nb[-1]), CASE WHEN nb[-1] < bm THEN j + 1 ELSE be END
+  FROM (SELECT *, {_sql_column("i", "CAST(0 AS BIGINT)")} AS ni, {_sql_column("b", "j + 1")} AS nb FROM d WHERE j < length(t)))
+SELECT p_partkey, im AS infix_distance, ie AS infix_stop, bm AS prefix_distance, be AS prefix_stop FROM d WHERE j = length(t)"""
+
+
+MOTIF = "GATTACAGATTACAGATTACA"
+
+
+def motif_in_reads(spark, sf_dir):
+    """The part of each read that is nearest to a motif: its distance and where it ends."""
+    rows = views.reads(spark, sf_dir).select("read", best(F.lit(MOTIF), F.coalesce("sequence", F.lit(""))).alias("d"))
+    return rows.select("read", "d.distance", "d.stop")
+
+
 def _cigars(spark, sf_dir):
     """Every alignment with a CIGAR made from it."""
     parts = [F.col("e") - F.col("s"), F.lit("M"), F.col("line"), F.lit("I"), F.pmod("query", F.lit(7)) + 1, F.lit("D"), F.lit("5=2X"), F.pmod("target", F.lit(9)) + 1, F.lit("S")]
@@ -221,11 +255,12 @@ def _sql_pairs():
     return "WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS two FROM part)"
 
 
-QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance cigar_ops cigar_segments kmer_decode diagonal_places exact_matches dotplot_points match_heatmap mean_match_position match_shades matches_by_position reference_unique_matches unique_matches dotplot_both_strands merged_diagonals matches_in_boxes rebased_matches match_termini match_extent next_matches dag_chain gap_affine_align".split()}
+QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance part_distances motif_in_reads cigar_ops cigar_segments kmer_decode diagonal_places exact_matches dotplot_points match_heatmap mean_match_position match_shades matches_by_position reference_unique_matches unique_matches dotplot_both_strands merged_diagonals matches_in_boxes rebased_matches match_termini match_extent next_matches dag_chain gap_affine_align".split()}
 ORACLE = {
     "reverse_complement": f"WITH {READS} SELECT read, md5(reverse(translate(sequence, 'ACGT', 'TGCA'))) AS digest, length(sequence) AS size FROM reads",
     "homopolymer_compress": f"WITH {READS}, c AS (SELECT read, regexp_replace(regexp_replace(regexp_replace(regexp_replace(sequence, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g') AS s FROM reads) SELECT read, md5(s) AS digest, length(s) AS size FROM c",
     "kmer_markers": MARKERS,
+    "part_distances": _sql_parts(),
     "edit_distance": f"{_sql_pairs()} SELECT p_partkey, levenshtein(p_name, two) AS distance FROM n WHERE two IS NOT NULL",
     "cigar_ops": CIGAR,
     "exact_matches": f"{MATCHES} SELECT a, b, x, y, len FROM m",
