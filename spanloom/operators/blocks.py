@@ -15,9 +15,10 @@ BOUND = 2000
 MOST_HOT = 50_000
 
 
-def hot_keys(rows: DataFrame, keys: list[str], bound: int, most: int = MOST_HOT) -> DataFrame | None:
-    """keys and _n of the keys with more than ``bound`` rows, to be joined; None if there are none."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > bound)
+def hot_keys(rows: DataFrame, keys: list[str], bound: int, most: int = MOST_HOT, having: Column | None = None) -> DataFrame | None:
+    """keys and _n of the keys with more than ``bound`` rows and for which ``having`` holds, to be joined; None if there are none."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), (F.lit(True) if having is None else having).alias("_held"))
+    counts = counts.filter((F.col("_n") > bound) & F.col("_held")).drop("_held")
     found = counts.limit(most + 1).collect()
     if not found:
         return None
@@ -50,3 +51,23 @@ def self_pairs(rows: DataFrame, keys: list[str], on: Callable[[str, str], Column
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = lambda side: side.repartition(parts, *keys, "_i", "_j")
     return deal(left).alias("a").join(deal(right).alias("b"), same([*keys, "_i", "_j"]) & on("a", "b"))
+
+
+def two_sided(left: DataFrame, right: DataFrame, keys: list[str], bound: int = BOUND) -> DataFrame:
+    """The join of two stored tables on ``keys``. A key with more than ``bound`` * ``bound`` pairs is cut in blocks on both sides."""
+    counts = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    both = counts(left, "_l").join(counts(right, "_r"), keys).filter(F.col("_l") * F.col("_r") > bound * bound)
+    found = both.limit(MOST_HOT + 1).collect()
+    if not found:
+        return left.join(right, keys)
+    hot = stored(both, "hot-keys") if len(found) > MOST_HOT else F.broadcast(left.sparkSession.createDataFrame(found, both.schema))
+
+    def dealt(rows: DataFrame, own: str, n: str, other: str, m: str) -> DataFrame:
+        cold = rows.join(hot, keys, "left_anti").withColumns({own: F.lit(0), other: F.lit(0)})
+        blocks = lambda c: F.ceil(F.col(c) / bound)
+        many = rows.withColumn("_row", F.monotonically_increasing_id()).join(hot, keys)
+        many = many.withColumns({own: F.pmod("_row", blocks(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), blocks(m).cast("int") - 1))})
+        return cold.unionByName(many.select(*cold.columns))
+
+    on = [*keys, "_i", "_j"]
+    return dealt(left, "_i", "_l", "_j", "_r").join(dealt(right, "_j", "_r", "_i", "_l"), on).drop("_i", "_j")

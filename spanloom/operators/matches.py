@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from spanloom.functions.scalars import is_marker, kmers, reverse_complement
+from spanloom.functions.scratch import stored
+from spanloom.operators.blocks import hot_keys, two_sided
 
 
 def positions(reads: DataFrame, k: int) -> DataFrame:
@@ -23,35 +26,46 @@ def markers(reads: DataFrame, k: int, density: float) -> DataFrame:
 def seeds(one: str, two: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """x, y and length of the maximal matches of k letters ACGT or more between two sequences.
 
-    Common k-mers are found by a binary search of one sequence's codes among the sorted
-    codes of the other, a block of places at a time. Of these seeds only those are kept
-    at which a match begins or ends; in the order of diagonal and place, the n-th
-    beginning and the n-th end belong together.
+    A match begins with a common k-mer behind two different letters, and ends with one
+    before two different letters. Both are found without the k-mers between: the second
+    sequence's places are sorted by k-mer and neighbouring letter, and of a k-mer's places
+    those with the same neighbour are left out. So the work goes with the letters and the
+    matches, also where both sequences repeat themselves. In the order of diagonal and
+    place, the n-th beginning and the n-th end belong together.
     """
     letters = [np.frombuffer(t.encode("ascii", "replace"), np.uint8) for t in (one, two)]
     (xc, xg), (yc, yg) = (_codes(t, k) for t in letters)
-    order = np.argsort(yc, kind="stable")
-    order = order[yg[order]]
-    known = yc[order]
-    n, m = len(one), len(two)
-    pad = [np.concatenate([[fill], _DIGITS[t], [fill]]) for t, fill in zip(letters, (4, 5))]
-    begins, ends = [], []
-    for at in range(0, len(xc), 4096):
-        x = np.flatnonzero(xg[at : at + 4096]) + at
-        low, high = np.searchsorted(known, xc[x]), np.searchsorted(known, xc[x], "right")
-        many = high - low
-        xs = np.repeat(x, many)
-        ys = order[np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)]
-        before, behind = (pad[0][xs] != pad[1][ys]) | (pad[0][xs] > 3), (pad[0][xs + k + 1] != pad[1][ys + k + 1]) | (pad[0][xs + k + 1] > 3)
-        begins.append(np.stack([xs[before], ys[before]]))
-        ends.append(np.stack([xs[behind], ys[behind]]))
-    if not begins:
+    kinds = np.unique(yc[yg])
+    xs, ys = np.flatnonzero(xg), np.flatnonzero(yg)
+    if not len(kinds) or not len(xs):
         return (np.zeros(0, np.int64),) * 3
-    (bx, by), (ex, ey) = np.concatenate(begins, 1), np.concatenate(ends, 1)
+    at = np.minimum(np.searchsorted(kinds, xc[xs]), len(kinds) - 1)
+    known = kinds[at] == xc[xs]
+    xs, xk, yk = xs[known], at[known], np.searchsorted(kinds, yc[ys])
+    pad = [np.concatenate([[fill], _DIGITS[t], [fill]]) for t, fill in zip(letters, (4, 5))]
+    found = []
+    for shift in (0, k + 1):
+        xn, yn = pad[0][xs + shift], pad[1][ys + shift]
+        keys = yk * 8 + yn
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        low, high = np.searchsorted(keys, xk * 8), np.searchsorted(keys, xk * 8 + 8)
+        # letters beyond the sequence's ends, and others than ACGT, differ from all
+        skip = np.where(xn < 4, xn, 7)
+        same, behind = np.searchsorted(keys, xk * 8 + skip), np.searchsorted(keys, xk * 8 + skip + 1)
+        x = np.concatenate([np.repeat(xs, same - low), np.repeat(xs, high - behind)])
+        found.append((x, ys[order[np.concatenate([_ranges(low, same), _ranges(behind, high)])]]))
+    (bx, by), (ex, ey) = found
     first, last = np.lexsort((bx, bx - by)), np.lexsort((ex, ex - ey))
     return bx[first], by[first], ex[last] - bx[first] + k
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers from each ``low`` up to its ``high``, one range after the other."""
+    many = high - low
+    return np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+
+
 #: The code of each letter's byte; 6 stands for all others.
 _DIGITS = np.full(256, 6, np.int64)
 _DIGITS[[ord(c) for c in "ACGT"]] = range(4)
@@ -92,6 +106,91 @@ def exact_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", "one", "two").repartition(parts, "a", "b").mapInArrow(run, "a long, b long, x long, y long, len long")
 
 
+def minimizers(letters: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and codes of the k-mers that are the least, in a hashed order, of some ``window`` of them; the leftmost of equal ones."""
+    code, good = _codes(letters, k)
+    if len(code) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # an odd multiplier mixes the order of the codes; k-mers with other letters than ACGT come last
+    h = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+    h[~good] = np.uint64(1 << 63)
+    least = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1)
+    at = np.unique(least)
+    at = at[good[at]]
+    return at, code[at]
+
+
+def sampled(reads: DataFrame, least: int, k: int) -> DataFrame:
+    """read, pos, kmer of the minimizers of windows of ``least - k + 1`` k-mers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for read, t in zip(batch.column("read"), batch.column("sequence")):
+                at, code = minimizers(np.frombuffer((t.as_py() or "").encode("ascii", "replace"), np.uint8), k, least - k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), read.as_py())), pa.array(at.astype(np.int64)), pa.array(code)], names=["read", "pos", "kmer"])
+
+    return reads.select(F.col("read").cast("long").alias("read"), "sequence").filter("read is not null").mapInArrow(run, "read long, pos long, kmer long")
+
+
+def extended(one: str, two: str, xs: np.ndarray, ys: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The maximal matches of ``least`` letters ACGT or more on which the seeds (xs, ys) lie, each once: x, y, len."""
+    a, b = (_DIGITS[np.frombuffer(t.encode("ascii", "replace"), np.uint8)] for t in (one, two))
+    out = []
+    order = np.lexsort((xs, xs - ys))
+    for d, group in groupby(zip((xs - ys)[order].tolist(), xs[order].tolist()), key=lambda r: r[0]):
+        low, high = max(0, d), min(len(a), len(b) + d)
+        differ = np.flatnonzero((a[low:high] != b[low - d : high - d]) | (a[low:high] > 3)) + low
+        done = -1
+        for _, x in group:
+            if x >= done:
+                n = np.searchsorted(differ, x)
+                start, done = (int(differ[n - 1]) + 1 if n else low), (int(differ[n]) if n < len(differ) else high)
+                if done - start >= least:
+                    out.append((start, start - d, done - start))
+    return out
+
+
+#: Seeds of a pair of sequences that are handed on in one row.
+SEEDS = 100_000
+
+
+def against_references(reads: DataFrame, references: DataFrame, least: int, k: int, bound: int = 2000) -> DataFrame:
+    """Maximal exact matches of ``least`` letters or more of every read with every reference: a (read), b (reference), x, y, len.
+
+    Any match of ``least`` letters holds a whole window of ``least - k + 1`` k-mers, and
+    its least k-mer is sampled in both sequences, so joining the samples finds every match.
+    A k-mer that stands at more than ``bound`` places is joined in blocks. Of the seeds on
+    a stretch of ``least`` letters of a diagonal the first and the last are kept, which lie on
+    all matches there; a pair meets its two sequences with about SEEDS of its seeds a row,
+    dealt by diagonal, and each run of equal letters is followed once. Rows without an id
+    take no part.
+    """
+    left, right = stored(sampled(reads, least, k), "read-seeds"), stored(sampled(references, least, k), "reference-seeds")
+    met = left.withColumnsRenamed({"read": "a", "pos": "x"}), right.withColumnsRenamed({"read": "b", "pos": "y"})
+    hit = two_sided(*met, ["kmer"], bound)
+    # a match longer than a stretch is reached from any of its seeds
+    stretch = F.floor(F.col("x") / least)
+    hit = hit.groupBy("a", "b", (F.col("x") - F.col("y")).alias("d"), stretch.alias("stretch")).agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    # a stretch may hold the end of one match and the beginning of the next: its first and last seed lie on both
+    seed = F.explode(F.array_distinct(F.array("low", "high"))).alias("x")
+    hit = stored(hit.select("a", "b", "d", seed), "seeds")
+    many = hot_keys(hit, ["a", "b"], SEEDS)
+    hit = hit.withColumn("part", F.lit(0)) if many is None else hit.join(many, ["a", "b"], "left").withColumn("part", F.pmod("d", F.ceil(F.coalesce("_n", F.lit(1)) / SEEDS)))
+    grouped = hit.groupBy("a", "b", "part").agg(F.collect_list("x").alias("xs"), F.collect_list(F.col("x") - F.col("d")).alias("ys"))
+    side = lambda df, name, text: df.select(F.col("read").cast("long").alias(name), F.col("sequence").alias(text))
+    rows = grouped.join(side(reads, "a", "one"), "a").join(side(references, "b", "two"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b, one, two = (batch.column(c)[r].as_py() for c in ("a", "b", "one", "two"))
+                xs, ys = (batch.column(c)[r].values.to_numpy() for c in ("xs", "ys"))
+                got = np.array(extended(one, two, xs, ys, least), np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), a)), pa.array(np.full(len(got), b)), *[pa.array(got[:, c]) for c in range(3)]], names=["a", "b", "x", "y", "len"])
+
+    return rows.select("a", "b", "one", "two", "xs", "ys").mapInArrow(run, "a long, b long, x long, y long, len long")
+
+
 def reversed_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """Matches with the second read's reverse complement, in places of that read as it stands: y is where the match's last letter falls."""
     turned = reads.select((-F.col("read") - 1).alias("read"), reverse_complement(F.col("sequence")).alias("sequence")).filter("sequence is not null")

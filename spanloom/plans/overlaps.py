@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions.scratch import stored
-from spanloom.operators import chains, edges, graph, intervals
+from spanloom.operators import boxes, chains, edges, graph, intervals
 from spanloom.sources import views
 from spanloom.sources.views import ALN, CAND, CHAIN, EXCL
 
@@ -104,6 +104,21 @@ d1 AS (SELECT node FROM d0 UNION SELECT v FROM ds WHERE u IN (SELECT node FROM d
 SELECT u, v FROM ds WHERE u IN (SELECT node FROM d1) OR v IN (SELECT node FROM d1)"""
 
 
+def node_distances(spark, sf_dir):
+    """Steps from both strands of the read with the least id to every node that can be reached."""
+    stranded = stored(double_stranded_edges(spark, sf_dir), "stranded")
+    first = stranded.agg(F.min(F.floor(F.col("u") / 2)).alias("n")).first()["n"]
+    return graph.distances(stranded, [2 * first, 2 * first + 1] if first is not None else [])
+
+
+DISTANCES = f"""WITH RECURSIVE {STRANDED[5:]}, near AS (SELECT u, v FROM ds UNION SELECT v, u FROM ds),
+r(node, distance) USING KEY (node) AS (
+  SELECT 2 * (SELECT min(u // 2) FROM ds) + k, CAST(0 AS BIGINT) FROM (VALUES (0), (1)) x(k)
+  UNION
+  SELECT near.v, min(r.distance) + 1 FROM r JOIN near ON near.u = r.node LEFT JOIN recurring.r AS old ON old.node = near.v WHERE old.node IS NULL GROUP BY near.v)
+SELECT node, distance FROM r"""
+
+
 def chain_gaps(spark, sf_dir):
     return chains.gaps(views.chain_elements(spark, sf_dir)).select("read", "place", "contig", "s", "e", "rev", "gap")
 
@@ -146,10 +161,10 @@ def alignments_by_name(spark, sf_dir):
 
 def box_pairs(spark, sf_dir):
     """Alignments of one target as boxes in the plane of place and order: pairs that intersect in both."""
-    rows = views.alignments(spark, sf_dir).filter("s < e").withColumn("y", F.col("ord") % 512).withColumn("bin", F.explode(intervals.bins(F.col("s"), F.col("e"), 64)))
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.target") == F.col("b.target")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.bin") == F.floor(F.greatest("a.s", "b.s") / 64)) & (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e")) & (F.abs(F.col("a.y") - F.col("b.y")) < 32) & (F.struct("a.query", "a.ord", "a.line") < F.struct("b.query", "b.ord", "b.line"))
-    return a.join(b, on).groupBy(F.col("a.target").alias("target")).agg(F.count("*").alias("n_pairs"))
+    rows = views.alignments(spark, sf_dir).filter("s < e").withColumn("y", F.col("ord") % 512)
+    rows = rows.select("target", "query", "ord", "line", F.col("s").alias("x0"), F.col("e").alias("x1"), F.col("y").alias("y0"), (F.col("y") + 32).alias("y1"))
+    pairs = boxes.intersecting(rows, ["target"], ["query", "ord", "line"], 64)
+    return pairs.groupBy(F.col("a.target").alias("target")).agg(F.count("*").alias("n_pairs"))
 
 
 BOXES = f"""WITH {ALN}, r AS (SELECT *, ord % 512 AS y FROM aln WHERE s < e)
@@ -165,6 +180,7 @@ QUERIES = {
     "coverage_segments": coverage_segments,
     "double_stranded_edges": double_stranded_edges,
     "subgraph_radius": subgraph_radius,
+    "node_distances": node_distances,
     "chain_gaps": chain_gaps,
     "chain_islands": chain_islands,
     "chimeric_reads": chimeric_reads,
@@ -184,6 +200,7 @@ ORACLE = {
     "coverage_segments": COVERAGE,
     "double_stranded_edges": f"{STRANDED} SELECT * FROM ds",
     "subgraph_radius": SUBGRAPH,
+    "node_distances": DISTANCES,
     "chain_gaps": f"{GAPS} SELECT read, place, contig, s, e, rev, gap FROM gaps",
     "chain_islands": f"{GAPS} SELECT read, place, island FROM islands",
     "chimeric_reads": f"{GAPS} SELECT read, count(*) AS n_elements, max(island) + 1 AS n_islands, CAST(sum(length) AS BIGINT) AS bases, max(island) > 0 AS is_chimeric FROM islands GROUP BY read",

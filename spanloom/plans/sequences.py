@@ -8,10 +8,10 @@ from spanloom.functions import scalars
 from spanloom.functions.edit_distance import edit_distance as best
 from spanloom.functions.shipping import ship_package
 from spanloom.functions.scratch import stored
-from spanloom.operators import align, cigars, graph, matches
+from spanloom.operators import align, boxes, cigars, graph, matches
 from spanloom.operators.prefix import sorted_running, with_next
 from spanloom.sources import views
-from spanloom.sources.views import ALN, READS
+from spanloom.sources.views import ALN, READS, REFERENCES
 
 K = 12
 
@@ -222,6 +222,37 @@ NEXT = f"""{MATCHES}, n AS (
 SELECT a, b, x, y, next_x, next_y, distance FROM n WHERE k = 1"""
 
 
+def diagonal_nearest(spark, sf_dir):
+    """From the end of each match, the nearest match that begins on each diagonal within 40 letters in both reads."""
+    found = stored(exact_matches(spark, sf_dir), "matches")
+    ends = found.select("a", "b", (F.col("x") + F.col("len")).alias("x"), (F.col("y") + F.col("len")).alias("y"))
+    return boxes.nearest_on_diagonals(found, ends, ["a", "b"], 40)
+
+
+DIAGONAL = f"""{MATCHES}, c AS (SELECT DISTINCT a, b, x + len AS x, y + len AS y FROM m), n AS (
+  SELECT c.a, c.b, c.x, c.y, m.x - m.y AS diagonal, m.x AS near_x, m.y AS near_y, m.x + m.y - c.x - c.y AS distance,
+    row_number() OVER (PARTITION BY c.a, c.b, c.x, c.y, m.x - m.y ORDER BY m.x + m.y) AS k
+  FROM c JOIN m ON c.a = m.a AND c.b = m.b AND m.x BETWEEN c.x AND c.x + 40 AND m.y BETWEEN c.y AND c.y + 40)
+SELECT a, b, x, y, diagonal, near_x, near_y, distance FROM n WHERE k = 1"""
+
+
+LEAST, SEED = 20, 12
+
+
+def reference_matches(spark, sf_dir):
+    """Maximal exact matches of 20 letters or more of every read with every benchmark passage, as references."""
+    reads = views.reads(ship_package(spark), sf_dir)
+    return matches.against_references(reads, views.references(spark, sf_dir), LEAST, SEED)
+
+
+REFERENCED = f"""WITH {READS}, {REFERENCES},
+k AS (SELECT read, unnest(range(0, length(sequence) - {LEAST - 1})) AS pos, unnest([substr(sequence, i, {LEAST}) FOR i IN range(1, length(sequence) - {LEAST - 2})]) AS kmer FROM reads),
+g AS (SELECT read, unnest(range(0, length(sequence) - {LEAST - 1})) AS pos, unnest([substr(sequence, i, {LEAST}) FOR i IN range(1, length(sequence) - {LEAST - 2})]) AS kmer FROM refs),
+f AS (SELECT k.read AS a, g.read AS b, k.pos AS x, g.pos AS y FROM k JOIN g ON k.kmer = g.kmer),
+r AS (SELECT *, x - row_number() OVER (PARTITION BY a, b, x - y ORDER BY x) AS run FROM f)
+SELECT a, b, min(x) AS x, min(y) AS y, count(*) + {LEAST - 1} AS len FROM r GROUP BY a, b, x - y, run"""
+
+
 def dag_chain(spark, sf_dir):
     sizes = views.reads(spark, sf_dir).select("read", F.length("sequence").cast("long").alias("size"))
     ship_package(spark)
@@ -255,7 +286,7 @@ def _sql_pairs():
     return "WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS two FROM part)"
 
 
-QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance part_distances motif_in_reads cigar_ops cigar_segments kmer_decode diagonal_places exact_matches dotplot_points match_heatmap mean_match_position match_shades matches_by_position reference_unique_matches unique_matches dotplot_both_strands merged_diagonals matches_in_boxes rebased_matches match_termini match_extent next_matches dag_chain gap_affine_align".split()}
+QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance part_distances motif_in_reads cigar_ops cigar_segments kmer_decode diagonal_places exact_matches dotplot_points match_heatmap mean_match_position match_shades matches_by_position reference_unique_matches unique_matches dotplot_both_strands merged_diagonals matches_in_boxes rebased_matches match_termini match_extent next_matches diagonal_nearest reference_matches dag_chain gap_affine_align".split()}
 ORACLE = {
     "reverse_complement": f"WITH {READS} SELECT read, md5(reverse(translate(sequence, 'ACGT', 'TGCA'))) AS digest, length(sequence) AS size FROM reads",
     "homopolymer_compress": f"WITH {READS}, c AS (SELECT read, regexp_replace(regexp_replace(regexp_replace(regexp_replace(sequence, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g') AS s FROM reads) SELECT read, md5(s) AS digest, length(s) AS size FROM c",
@@ -285,5 +316,7 @@ SELECT o.a, o.b, ord, CASE WHEN fy > fx THEN y - fy ELSE x - fx END AS x, CASE W
 SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY antidiagonal, kind, diagonal, x) - 1 AS place FROM t""",
     "match_extent": f"{MATCHES} SELECT max(x) AS x_max, max(y) AS y_max FROM m",
     "next_matches": NEXT,
+    "diagonal_nearest": DIAGONAL,
+    "reference_matches": REFERENCED,
     "mean_match_position": f"{MATCHES} SELECT a, b, CAST(floor(sum(x * ceil(len / 5.0)) / sum(ceil(len / 5.0))) AS BIGINT) AS position FROM m GROUP BY a, b",
 }

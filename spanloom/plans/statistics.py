@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars
+from spanloom.functions.distributions import student_cdf, student_p
 from spanloom.operators import histograms as h
 from spanloom.operators import learning, phasing, quality
 from spanloom.operators.prefix import sorted_running
@@ -168,6 +169,21 @@ e AS (SELECT *, vl / nullif(nl, 0) AS el, vr / nullif(nr, 0) AS er FROM h)
 SELECT read, n, round((ml - mr) / nullif(sqrt(el + er), 0), 5) AS t, round((el + er) * (el + er) / nullif(el * el / nullif(nl - 1, 0) + er * er / nullif(nr - 1, 0), 0), 4) AS dof FROM e"""
 
 
+def quality_half_p(spark, sf_dir):
+    """``quality_half_t`` with the probabilities of a t as far from 0, and of one up to it."""
+    out = quality.half_split_t(views.qualities(spark, sf_dir))
+    return out.select("read", "n", F.round(student_p(F.col("t"), F.col("dof")), 6).alias("p"), F.round(student_cdf(F.col("t"), F.col("dof")), 6).alias("below"))
+
+
+# the integral of Student's density beyond |t|, over the angle whose tangent is t / sqrt(dof), by Simpson's rule
+_ANGLE = "(a + (pi() / 2 - a) * i / 4000.0)"
+HALF_P = f"""{HALF_T.rsplit('SELECT read, n, round', 1)[0].rstrip()},
+s AS (SELECT read, n, (ml - mr) / nullif(sqrt(el + er), 0) AS t, (el + er) * (el + er) / nullif(el * el / nullif(nl - 1, 0) + er * er / nullif(nr - 1, 0), 0) AS v FROM e),
+g AS (SELECT *, atan(abs(t) / sqrt(v)) AS a FROM s),
+q AS (SELECT read, n, t, v, CASE WHEN v >= 1 THEN 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * (pi() / 2 - a) / 12000.0 * list_sum([CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos({_ANGLE}), 0), v - 1) FOR i IN range(4001)]) END AS p FROM g)
+SELECT read, n, round(p, 6) AS p, round(CASE WHEN t > 0 THEN 1 - p / 2 ELSE p / 2 END, 6) AS below FROM q"""
+
+
 def adaptive_histograms(spark, sf_dir):
     """Counts of the order lines' quantities by class, in as many bins as there are whole steps between the least and the largest."""
     rows = _features(spark, sf_dir)
@@ -238,7 +254,7 @@ QUERIES = {
     for k in (
         "threshold_sums threshold_totals region_histogram modulo_subsample "
         "length_histogram_whole length_density_whole weighted_histogram_whole n50_whole chimera_percent_whole subsample_rates_whole "
-        "max_bases_prefix set_compare phase_confusion phase_ari discordant_rows quality_halves quality_smoothed quality_breakpoint quality_smoothed_to_the_ends quality_penalised_breakpoint quality_half_t adaptive_histograms sample_by_length chromosome_order "
+        "max_bases_prefix set_compare phase_confusion phase_ari discordant_rows quality_halves quality_smoothed quality_breakpoint quality_smoothed_to_the_ends quality_penalised_breakpoint quality_half_t quality_half_p adaptive_histograms sample_by_length chromosome_order "
         "class_weights feature_histograms overlap_classifier node_degrees"
     ).split()
 }
@@ -272,6 +288,7 @@ SELECT component, n, round((i - r * c / nullif(t, 0)) / nullif((r + c) / 2 - r *
     "quality_smoothed_to_the_ends": SMOOTH_ENDS,
     "quality_penalised_breakpoint": PENALISED,
     "quality_half_t": HALF_T,
+    "quality_half_p": HALF_P,
     "adaptive_histograms": f"""WITH {_FEAT}, r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, greatest(1, least(500, CAST(floor(max(l_quantity) - min(l_quantity)) AS BIGINT))) AS k FROM feat)
 SELECT label, CAST(CASE WHEN l_quantity = b THEN k - 1 ELSE floor((l_quantity - a) / ((b - a) / k)) END AS BIGINT) AS bin, count(*) AS n FROM feat, r GROUP BY 1, 2""",
     "sample_by_length": f"WITH {LENS} SELECT doc_id, length FROM lens WHERE length >= 1000 ORDER BY md5('1:' || doc_id), doc_id LIMIT 50",

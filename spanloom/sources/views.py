@@ -99,6 +99,16 @@ READS = f"""reads AS (
   SELECT doc_id AS read, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_LETTERS[0]}', '{_LETTERS[1]}') AS sequence FROM documents)"""
 
 
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as a sequence over ACGT, made as the reads are."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read"), F.translate(letters, *_LETTERS).alias("sequence"))
+
+
+REFERENCES = f"""refs AS (
+  SELECT item_id AS read, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_LETTERS[0]}', '{_LETTERS[1]}') AS sequence FROM benchmark)"""
+
+
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("n_chars").alias("length"))
 
