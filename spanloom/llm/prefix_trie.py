@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.functions.shipping import ship_package
@@ -45,7 +46,7 @@ from spanloom.llm.lookups import lookup
 
 FAMILY, CUT = 5, 9
 #: Turns that a round strips.
-STRIDE = 32
+STRIDE = 64
 PATH = "array<struct<d:binary,bytes:bigint>>"
 
 
@@ -94,9 +95,31 @@ def rebuilt(turns: DataFrame, family: int = FAMILY, cut: int = CUT) -> DataFrame
     return each.select(F.col("m.c").alias("conv_id"), F.concat(head, rest).cast(PATH).alias("path"))
 
 
-def _key(path: Column) -> Column:
-    """16 bytes for a path."""
-    return F.unhex(F.md5(F.concat_ws("", F.transform(path, lambda x: F.concat(F.hex(x["d"]), F.lit(","), x["bytes"].cast("string"), F.lit(";"))))))
+#: The key of the root.
+ROOT = bytes(16)
+
+
+def _key(path: str, depth: Column | int) -> Column:
+    """The key of the first ``depth`` turns: the chained digest of the last of them."""
+    depth = F.lit(depth) if isinstance(depth, int) else depth
+    return F.when(depth == 0, F.lit(ROOT)).otherwise(F.get(path, depth - 1)["d"])
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each turn's digest becomes that of all turns up to it, so it stands for the whole prefix."""
+    for batch in batches:
+        lists = batch.column("path")
+        digests, sizes = lists.flatten().field("d").to_pylist(), lists.flatten().field("bytes")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        at = 0
+        for end in ends.tolist():
+            key = b""
+            for k in range(at, end):
+                key = digests[k] = hashlib.sha256(key + digests[k] + sizes[k].as_py().to_bytes(8, "little")).digest()[:16]
+            at = end
+        values = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), sizes], names=["d", "bytes"])
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.ListArray.from_arrays(offsets, values)], names=["conv_id", "path"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +163,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ended(convs: DataFrame) -> DataFrame:
-    """path, conv_id (least), n and ends_sha256 for each distinct path of whole conversations."""
-    keyed = convs.select(_key(F.col("path")).alias("key"), "conv_id", "path")
+    """path (of chained digests), conv_id (least), n and ends_sha256 for each distinct path of whole conversations."""
+    chained = convs.select("conv_id", F.col("path").cast(PATH)).mapInArrow(_chain, f"conv_id long, path {PATH}")
+    keyed = chained.select(_key("path", F.size("path")).alias("key"), "conv_id", "path")
     ranged = keyed.repartitionByRange(F.col("key"), F.col("conv_id")).sortWithinPartitions("key", "conv_id")
     pieces = ranged.mapInArrow(_pieces, f"key binary, path {PATH}, conv_id long, n long, ids string")
     return pieces.repartition("key").sortWithinPartitions("key", "conv_id").mapInArrow(_hashed, f"path {PATH}, conv_id long, n long, ends_sha256 string")
@@ -158,7 +182,9 @@ def peeled(rows: DataFrame, low: int, high: int) -> DataFrame:
     """
     long = lambda c: c.cast("long")
     n = F.size("path")
-    keys = F.transform(F.sequence(F.lit(low), n), lambda i: F.struct(i.alias("depth"), _key(F.slice("path", 1, i)).alias("key")))
+    # Spark may look at the size of this array before it drops the rows that end higher up
+    depths = F.when(n >= low, F.sequence(F.lit(low), n)).otherwise(F.array().cast("array<int>"))
+    keys = F.transform(depths, lambda i: F.struct(i.alias("depth"), _key("path", i).alias("key")))
     met = rows.withColumn("keys", keys).select("*", F.explode("keys").alias("at"))
     ends_here = F.col("at.depth") == n
     here = lambda c: F.sum(F.when(ends_here, F.col(c)).otherwise(0))
@@ -174,7 +200,7 @@ def peeled(rows: DataFrame, low: int, high: int) -> DataFrame:
         F.first(F.get("path", F.col("at.depth") - 1)["bytes"]).alias("bytes"),
         # the topmost nodes keep their path for the next stride
         F.first(F.when(F.col("at.depth") == low, F.slice("path", 1, F.lit(low))), True).alias("path"),
-        F.first(F.when((F.col("at.depth") == low) & (F.lit(low) > 0), _key(F.slice("path", 1, F.lit(max(0, low - 1)))))).alias("up"),
+        F.first(F.when((F.col("at.depth") == low) & (F.lit(low) > 0), _key("path", max(0, low - 1)))).alias("up"),
     )
     node = node.withColumn("saved", F.col("saved") + (F.col("n_convs") - 1) * F.coalesce("bytes", F.lit(0)))
     node = node.withColumn("leaves", F.col("leaves") + ((F.col("child") == 0) & (F.col("passed") == 0)).cast("long"))
