@@ -99,3 +99,8 @@ def kmer_letters(code: Column, k: int) -> Column:
 
 def without_strand(label: Column) -> Column:
     return F.regexp_replace(label, "[+-]$", "")
+
+
+def match_stop(start: Column, length: Column) -> Column:
+    """The last place of a match on one sequence; its start for one without letters."""
+    return F.when(length > 0, start + length - 1).otherwise(start)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spanloom.functions.scalars import is_marker, kmers, reverse_complement
+from spanloom.functions.scalars import is_marker, kmers, match_stop, reverse_complement
 from spanloom.functions.scratch import stored
 from spanloom.operators.blocks import hot_keys, two_sided
 
@@ -217,7 +217,7 @@ def unique_matches(matches: DataFrame, in_both: bool) -> DataFrame:
 
 def merged_diagonals(matches: DataFrame) -> DataFrame:
     """a, b, diagonal, start, stop: on each diagonal x - y the closed stretches of antidiagonals [x + y, x + y + len - 1], those that touch made one."""
-    rows = matches.select("a", "b", (F.col("x") - F.col("y")).alias("diagonal"), (F.col("x") + F.col("y")).alias("start"), (F.col("x") + F.col("y") + F.col("len") - 1).alias("stop"))
+    rows = matches.select("a", "b", (F.col("x") - F.col("y")).alias("diagonal"), (F.col("x") + F.col("y")).alias("start"), match_stop(F.col("x") + F.col("y"), F.col("len")).alias("stop"))
     w = Window.partitionBy("a", "b", "diagonal").orderBy("start", "stop")
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= before + 1, 0).otherwise(1)).over(w)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def set_compare(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -41,3 +43,12 @@ def checked_sides(rows: DataFrame, name: str, phase: str) -> DataFrame:
     """name and phase of each read of one assignment; a read in both phases makes the read fail."""
     per = rows.groupBy(name).agg(F.min(phase).alias(phase), F.max(phase).alias("_other"))
     return per.filter(F.when(F.col(phase) == F.col("_other"), True).otherwise(F.raise_error(F.lit("a read is in both haplotypes")))).drop("_other")
+
+
+def refuse_conflicts(rows: DataFrame, name: str, phases: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """``rows`` as they are; a read that stands in both haplotypes of one assignment makes the read fail."""
+    same = Window.partitionBy(name)
+    split = [F.min(c).over(same) < F.max(c).over(same) for c in phases]
+    bad = reduce(lambda x, y: x | y, [F.coalesce(c, F.lit(False)) for c in split])
+    checked = rows.withColumn("_bad", bad & F.col(name).isNotNull())
+    return checked.filter(F.when(F.col("_bad"), F.raise_error(F.lit("a read is in both haplotypes")).cast("boolean")).otherwise(True)).drop("_bad")

@@ -240,7 +240,7 @@ def node_labels(spark, sf_dir):
 
 
 def discordant_csv(spark, sf_dir):
-    rows = views.phases(spark, sf_dir)
+    rows = phasing.refuse_conflicts(views.phases(spark, sf_dir), "doc_id")
     path = new_path(spark, "discordant")
     formats.write_csv(phasing.discordant(rows, phasing.confusion(rows)), path)
     return spark.read.csv(path, header=True, schema="doc_id long, component string, a int, b int")

@@ -12,6 +12,7 @@ from spanloom.operators import align, boxes, cigars, graph, matches
 from spanloom.operators.prefix import sorted_running, with_next
 from spanloom.sources import views
 from spanloom.sources.views import ALN, READS, REFERENCES
+from spanloom.sql import register
 
 K = 12
 
@@ -253,6 +254,30 @@ r AS (SELECT *, x - row_number() OVER (PARTITION BY a, b, x - y ORDER BY x) AS r
 SELECT a, b, min(x) AS x, min(y) AS y, count(*) + {LEAST - 1} AS len FROM r GROUP BY a, b, x - y, run"""
 
 
+def sql_matches(spark, sf_dir):
+    """``exact_matches`` written in SQL alone, by the table function."""
+    pairs, reads = _neighbours(register(spark), sf_dir)
+    return spark.sql(
+        f"""SELECT a, b, x, y, len FROM exact_matches(TABLE(
+          SELECT a, b, one.sequence AS one, two.sequence AS two, {K} AS k FROM {{pairs}} JOIN {{reads}} AS one ON one.read = a JOIN {{reads}} AS two ON two.read = b) PARTITION BY (a, b))""",
+        pairs=pairs, reads=reads,
+    )
+
+
+def sql_sequences(spark, sf_dir):
+    """Scalar functions in SQL: checksums of a read's reverse complement and of its runs made single, and the code of its first 12 letters."""
+    return register(spark).sql(
+        """SELECT read, md5(reverse_complement(sequence)) AS turned, md5(compress_homopolymers(sequence)) AS single,
+          kmer_code(left(sequence, 12)) AS code, kmer_letters(kmer_code(left(sequence, 12)), 12) AS letters FROM {reads} WHERE length(sequence) >= 12""",
+        reads=views.reads(spark, sf_dir),
+    )
+
+
+_FIRST_CODE = " + ".join(f"{4 ** (11 - k)} * (CASE substr(sequence, {k + 1}, 1) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END)" for k in range(12))
+SQL_SEQUENCES = f"""WITH {READS} SELECT read, md5(reverse(translate(sequence, 'ACGT', 'TGCA'))) AS turned, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sequence, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')) AS single,
+  CAST({_FIRST_CODE} AS BIGINT) AS code, left(sequence, 12) AS letters FROM reads WHERE length(sequence) >= 12"""
+
+
 def dag_chain(spark, sf_dir):
     sizes = views.reads(spark, sf_dir).select("read", F.length("sequence").cast("long").alias("size"))
     ship_package(spark)
@@ -286,7 +311,7 @@ def _sql_pairs():
     return "WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS two FROM part)"
 
 
-QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance part_distances motif_in_reads cigar_ops cigar_segments kmer_decode diagonal_places exact_matches dotplot_points match_heatmap mean_match_position match_shades matches_by_position reference_unique_matches unique_matches dotplot_both_strands merged_diagonals matches_in_boxes rebased_matches match_termini match_extent next_matches diagonal_nearest reference_matches dag_chain gap_affine_align".split()}
+QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance part_distances motif_in_reads cigar_ops cigar_segments kmer_decode diagonal_places exact_matches dotplot_points match_heatmap mean_match_position match_shades matches_by_position reference_unique_matches unique_matches dotplot_both_strands merged_diagonals matches_in_boxes rebased_matches match_termini match_extent next_matches diagonal_nearest reference_matches sql_matches sql_sequences dag_chain gap_affine_align".split()}
 ORACLE = {
     "reverse_complement": f"WITH {READS} SELECT read, md5(reverse(translate(sequence, 'ACGT', 'TGCA'))) AS digest, length(sequence) AS size FROM reads",
     "homopolymer_compress": f"WITH {READS}, c AS (SELECT read, regexp_replace(regexp_replace(regexp_replace(regexp_replace(sequence, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g') AS s FROM reads) SELECT read, md5(s) AS digest, length(s) AS size FROM c",
@@ -316,6 +341,8 @@ SELECT o.a, o.b, ord, CASE WHEN fy > fx THEN y - fy ELSE x - fx END AS x, CASE W
 SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY antidiagonal, kind, diagonal, x) - 1 AS place FROM t""",
     "match_extent": f"{MATCHES} SELECT max(x) AS x_max, max(y) AS y_max FROM m",
     "next_matches": NEXT,
+    "sql_matches": f"{MATCHES} SELECT a, b, x, y, len FROM m",
+    "sql_sequences": SQL_SEQUENCES,
     "diagonal_nearest": DIAGONAL,
     "reference_matches": REFERENCED,
     "mean_match_position": f"{MATCHES} SELECT a, b, CAST(floor(sum(x * ceil(len / 5.0)) / sum(ceil(len / 5.0))) AS BIGINT) AS position FROM m GROUP BY a, b",

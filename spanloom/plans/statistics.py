@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import scalars
 from spanloom.functions.distributions import student_cdf, student_p
 from spanloom.operators import histograms as h
-from spanloom.operators import learning, phasing, quality
+from spanloom.operators import learning, network, phasing, quality
 from spanloom.operators.prefix import sorted_running
 from spanloom.sources import views
 from spanloom.sources.views import ALN, CAND, LENS, PHASE, QUAL
@@ -87,8 +87,12 @@ def set_compare(spark, sf_dir):
     return phasing.set_compare(rows.filter("mapq >= 70").select("query"), rows.filter("mapq < 10").select("query"))
 
 
+def _phases(spark, sf_dir):
+    return phasing.refuse_conflicts(views.phases(spark, sf_dir), "doc_id")
+
+
 def phase_confusion(spark, sf_dir):
-    return phasing.confusion(views.phases(spark, sf_dir))
+    return phasing.confusion(_phases(spark, sf_dir))
 
 
 def phase_ari(spark, sf_dir):
@@ -96,7 +100,7 @@ def phase_ari(spark, sf_dir):
 
 
 def discordant_rows(spark, sf_dir):
-    return phasing.discordant(views.phases(spark, sf_dir), phase_confusion(spark, sf_dir))
+    return phasing.discordant(_phases(spark, sf_dir), phase_confusion(spark, sf_dir))
 
 
 CONF = f"""WITH {PHASE}, m AS (SELECT component, count(*) FILTER (WHERE a = 0 AND b = 0) AS n00, count(*) FILTER (WHERE a = 0 AND b = 1) AS n01,
@@ -236,6 +240,19 @@ def overlap_classifier(spark, sf_dir):
     return learning.confusion_of_fit(_features(spark, sf_dir), "l_orderkey", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
+def overlap_network(spark, sf_dir):
+    """Confusion of a layered network, fitted on a balanced sample, over the whole test split, and its area under the ROC curve."""
+    scored, area = network.network_fit(_features(spark, sf_dir), "l_orderkey", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    counts = scored.groupBy(F.col("label").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+    return counts.withColumn("area", F.lit(area))
+
+
+def balanced_sample(spark, sf_dir):
+    """Rows of each class in a balanced sample of the order lines, and how many of them are different."""
+    rows = _features(spark, sf_dir).withColumn("row", F.hash("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    return network.balanced(rows, "row").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("row").alias("n_rows"))
+
+
 def node_degrees(spark, sf_dir):
     """Distinct nodes of the candidate edges with their number of edges and of neighbours."""
     e = views.candidates(spark, sf_dir)
@@ -255,7 +272,7 @@ QUERIES = {
         "threshold_sums threshold_totals region_histogram modulo_subsample "
         "length_histogram_whole length_density_whole weighted_histogram_whole n50_whole chimera_percent_whole subsample_rates_whole "
         "max_bases_prefix set_compare phase_confusion phase_ari discordant_rows quality_halves quality_smoothed quality_breakpoint quality_smoothed_to_the_ends quality_penalised_breakpoint quality_half_t quality_half_p adaptive_histograms sample_by_length chromosome_order "
-        "class_weights feature_histograms overlap_classifier node_degrees"
+        "class_weights feature_histograms overlap_classifier overlap_network balanced_sample node_degrees"
     ).split()
 }
 ORACLE = {
