@@ -30,8 +30,8 @@ def hot_keys(rows: DataFrame, keys: list[str], bound: int, most: int = MOST_HOT,
 def self_pairs(rows: DataFrame, keys: list[str], on: Callable[[str, str], Column], bound: int = BOUND) -> DataFrame:
     """Pairs of ``rows``, as aliases a and b, with equal ``keys`` for which ``on("a", "b")`` holds.
 
-    A key with n rows, more than ``bound``, is cut in k = n / bound blocks of rows by their
-    number; each of the k * k pairs of blocks is a join key of its own, so no task compares
+    A key with n rows, more than ``bound``, is cut in k = n / bound blocks of rows by a hash
+    of their number; each of the k * k pairs of blocks is a join key of its own, so no task compares
     more than about bound * bound rows of one key, and n rows are repeated k times. ``rows``
     must come from a scan without a shuffle, so that a row's number is the same in every
     attempt of its task.
@@ -42,8 +42,7 @@ def self_pairs(rows: DataFrame, keys: list[str], on: Callable[[str, str], Column
         return rows.alias("a").join(rows.alias("b"), same(keys) & on("a", "b"))
     cold = rows.join(hot, keys, "left_anti").withColumns({"_i": F.lit(0), "_j": F.lit(0)}).select(*rows.columns, "_i", "_j")
     many = rows.withColumn("_row", F.monotonically_increasing_id()).join(hot, keys).withColumn("_k", F.ceil(F.col("_n") / bound).cast("int"))
-    # rows one after the other go to different blocks
-    own = F.pmod(F.col("_row"), F.col("_k")).cast("int")
+    own = F.pmod(F.xxhash64("_row"), F.col("_k")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     left = cold.unionByName(many.withColumns({"_i": own, "_j": others}).select(*cold.columns))
     right = cold.unionByName(many.withColumns({"_j": own, "_i": others}).select(*cold.columns))
@@ -66,7 +65,7 @@ def two_sided(left: DataFrame, right: DataFrame, keys: list[str], bound: int = B
         cold = rows.join(hot, keys, "left_anti").withColumns({own: F.lit(0), other: F.lit(0)})
         blocks = lambda c: F.ceil(F.col(c) / bound)
         many = rows.withColumn("_row", F.monotonically_increasing_id()).join(hot, keys)
-        many = many.withColumns({own: F.pmod("_row", blocks(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), blocks(m).cast("int") - 1))})
+        many = many.withColumns({own: F.pmod(F.xxhash64("_row"), blocks(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), blocks(m).cast("int") - 1))})
         return cold.unionByName(many.select(*cold.columns))
 
     on = [*keys, "_i", "_j"]
