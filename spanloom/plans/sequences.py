@@ -8,7 +8,7 @@ from spanloom.functions import scalars
 from spanloom.functions.edit_distance import edit_distance as best
 from spanloom.functions.shipping import ship_package
 from spanloom.functions.scratch import stored
-from spanloom.operators import align, boxes, cigars, graph, matches
+from spanloom.operators import align, boxes, chaining, cigars, graph, matches
 from spanloom.operators.prefix import sorted_running, with_next
 from spanloom.sources import views
 from spanloom.sources.views import ALN, READS, REFERENCES
@@ -278,6 +278,39 @@ SQL_SEQUENCES = f"""WITH {READS} SELECT read, md5(reverse(translate(sequence, 'A
   CAST({_FIRST_CODE} AS BIGINT) AS code, left(sequence, 12) AS letters FROM reads WHERE length(sequence) >= 12"""
 
 
+REACH = 100
+
+
+def _chained(spark, sf_dir):
+    sizes = views.reads(spark, sf_dir).select("read", F.length("sequence").cast("long").alias("size"))
+    found = chaining.nodes(exact_matches(spark, sf_dir), sizes)
+    return chaining.scores(found, chaining.edges(found, REACH), REACH)
+
+
+def chain_scores(spark, sf_dir):
+    """The score of the best chain that ends in each match of neighbouring reads."""
+    return _chained(spark, sf_dir).select("a", "b", "x", "y", "len", "score")
+
+
+CHAINED = f"""{MATCHES.replace('WITH ', 'WITH RECURSIVE ', 1)},
+n AS (SELECT row_number() OVER () AS id, m.*, length(p.sequence) + length(q.sequence) AS total FROM m JOIN reads p ON p.read = a JOIN reads q ON q.read = b),
+t AS (
+  SELECT u.id AS u, v.id AS v, v.len AS gain, u.x - u.y AS d, v.x - v.y AS d2, v.x + v.y AS spot, v.x + v.y - (u.x + u.y + 2 * u.len - 2) - abs((v.x - v.y) - (u.x - u.y)) AS beyond
+  FROM n u JOIN n v ON u.a = v.a AND u.b = v.b AND v.x >= u.x + u.len - 1 AND v.y >= u.y + u.len - 1 AND abs((v.x - v.y) - (u.x - u.y)) <= {REACH}),
+nearest AS (SELECT *, row_number() OVER (PARTITION BY u, d2 ORDER BY spot, v) AS k FROM t WHERE beyond <= {REACH} + 1 - abs(d2 - d)),
+edge AS (SELECT u, v, gain - CASE WHEN d = d2 THEN 0 ELSE abs(d2 - d) + 1 END AS w FROM nearest WHERE k = 1 AND u <> v),
+reached(id, score) USING KEY (id) AS (
+  SELECT id, CASE WHEN x <= {REACH} OR y <= {REACH} THEN greatest(len, -1 - total) ELSE -1 - total END FROM n
+  UNION
+  SELECT edge.v, max(reached.score + edge.w) FROM reached JOIN edge ON edge.u = reached.id JOIN recurring.reached AS old ON old.id = edge.v GROUP BY edge.v, old.score HAVING max(reached.score + edge.w) > old.score)
+SELECT a, b, x, y, len, score FROM n JOIN reached ON n.id = reached.id"""
+
+
+def chain_steps(spark, sf_dir):
+    """The matches of the best chain of each pair of neighbouring reads, in order."""
+    return chaining.best_chains(_chained(spark, sf_dir), REACH)
+
+
 def dag_chain(spark, sf_dir):
     sizes = views.reads(spark, sf_dir).select("read", F.length("sequence").cast("long").alias("size"))
     ship_package(spark)
@@ -311,7 +344,7 @@ def _sql_pairs():
     return "WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS two FROM part)"
 
 
-QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance part_distances motif_in_reads cigar_ops cigar_segments kmer_decode diagonal_places exact_matches dotplot_points match_heatmap mean_match_position match_shades matches_by_position reference_unique_matches unique_matches dotplot_both_strands merged_diagonals matches_in_boxes rebased_matches match_termini match_extent next_matches diagonal_nearest reference_matches sql_matches sql_sequences dag_chain gap_affine_align".split()}
+QUERIES = {k: globals()[k] for k in "reverse_complement homopolymer_compress kmer_markers edit_distance part_distances motif_in_reads cigar_ops cigar_segments kmer_decode diagonal_places exact_matches dotplot_points match_heatmap mean_match_position match_shades matches_by_position reference_unique_matches unique_matches dotplot_both_strands merged_diagonals matches_in_boxes rebased_matches match_termini match_extent next_matches diagonal_nearest reference_matches sql_matches sql_sequences chain_scores chain_steps dag_chain gap_affine_align".split()}
 ORACLE = {
     "reverse_complement": f"WITH {READS} SELECT read, md5(reverse(translate(sequence, 'ACGT', 'TGCA'))) AS digest, length(sequence) AS size FROM reads",
     "homopolymer_compress": f"WITH {READS}, c AS (SELECT read, regexp_replace(regexp_replace(regexp_replace(regexp_replace(sequence, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g') AS s FROM reads) SELECT read, md5(s) AS digest, length(s) AS size FROM c",
@@ -341,6 +374,7 @@ SELECT o.a, o.b, ord, CASE WHEN fy > fx THEN y - fy ELSE x - fx END AS x, CASE W
 SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY antidiagonal, kind, diagonal, x) - 1 AS place FROM t""",
     "match_extent": f"{MATCHES} SELECT max(x) AS x_max, max(y) AS y_max FROM m",
     "next_matches": NEXT,
+    "chain_scores": CHAINED,
     "sql_matches": f"{MATCHES} SELECT a, b, x, y, len FROM m",
     "sql_sequences": SQL_SEQUENCES,
     "diagonal_nearest": DIAGONAL,
