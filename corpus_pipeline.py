@@ -25,7 +25,10 @@ from spanloom.llm.common import documents, drop_stored, stored, written
 
 
 def _stage(f):
-    """A stage whose result is written before the tables that it was made from are deleted; nothing else is."""
+    """A stage whose result is written before the tables that it was made from are deleted; nothing else is.
+
+    It is for stages whose tables take more room than their result.
+    """
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +57,6 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
-@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it as a whole."""
     return mixing.emit(docs)
