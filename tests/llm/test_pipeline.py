@@ -66,3 +66,18 @@ def test_odd_rows_go_through(spark, sf):
 
 def test_registered():
     assert set(corpus_pipeline.QUERIES) == {"pipeline"} and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_may_be_called_lazily_and_in_any_number(spark, sf):
+    docs = corpus_pipeline.documents(spark, sf)
+    one, two = corpus_pipeline.quality(spark, docs, sf), corpus_pipeline.quality(spark, docs.filter("lang = 'en'"), sf)
+    n = one.count()
+    assert 0 < two.count() < n
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, docs, sf), sf)
+    again = corpus_pipeline.near_duplicates(spark, one, sf)
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert ids == sorted(r.doc_id for r in again.collect()) and len(ids) < n
+    clean = corpus_pipeline.secret_scan(spark, kept, sf)
+    mixed = corpus_pipeline.mixture(spark, clean, sf)
+    coded = corpus_pipeline.encoded(spark, mixed, sf)
+    assert coded.count() == mixed.count() and one.count() == n and clean.count() == len(ids)
