@@ -25,6 +25,11 @@ def gap(a: str = "prev") -> Column:
     return F.when(of("contig") == F.col("contig"), near).otherwise(apart)
 
 
+def of_quality(elements: DataFrame, least: float, quality: str = "quality") -> DataFrame:
+    """Elements that take part in chains: those of a quality of ``least`` or more."""
+    return elements.filter(F.col(quality) >= least).drop(quality)
+
+
 def gaps(elements: DataFrame) -> DataFrame:
     """Elements with their place (from 0) in the read's chain and the gap to the one before (null for the first)."""
     w = Window.partitionBy("read").orderBy(*ORDER)

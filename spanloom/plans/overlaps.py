@@ -120,7 +120,7 @@ SELECT node, distance FROM r"""
 
 
 def chain_gaps(spark, sf_dir):
-    return chains.gaps(views.chain_elements(spark, sf_dir)).select("read", "place", "contig", "s", "e", "rev", "gap")
+    return chains.gaps(chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY)).select("read", "place", "contig", "s", "e", "rev", "gap")
 
 
 W = "(PARTITION BY read ORDER BY ord, line, part, s, e, contig, rev)"
@@ -134,19 +134,19 @@ islands AS (SELECT *, CAST(sum(CASE WHEN gap > {chains.MAX_GAP} THEN 1 ELSE 0 EN
 
 
 def chain_islands(spark, sf_dir):
-    return chains.islands(views.chain_elements(spark, sf_dir)).select("read", "place", "island")
+    return chains.islands(chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY)).select("read", "place", "island")
 
 
 def chimeric_reads(spark, sf_dir):
-    return chains.chimeric(views.chain_elements(spark, sf_dir))
+    return chains.chimeric(chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY))
 
 
 def subchain_bounds(spark, sf_dir):
-    return chains.subchain_bounds(views.chain_elements(spark, sf_dir))
+    return chains.subchain_bounds(chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY))
 
 
 def strand_flips(spark, sf_dir):
-    return chains.strand_flips(views.chain_elements(spark, sf_dir))
+    return chains.strand_flips(chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY))
 
 
 def best_alignment_per_query(spark, sf_dir):

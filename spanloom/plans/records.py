@@ -189,12 +189,12 @@ def alignment_info(spark, sf_dir):
 
 def chimera_files(spark, sf_dir):
     path = new_path(spark, "chimeras")
-    chains.chimera_files(views.chain_elements(spark, sf_dir)).write.partitionBy("kind").text(path)
+    chains.chimera_files(chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY)).write.partitionBy("kind").text(path)
     return spark.read.text(path, recursiveFileLookup=False)
 
 
 def chimera_stats(spark, sf_dir):
-    per = chains.chimeric(views.chain_elements(spark, sf_dir)).withColumn("name", F.concat(F.lit("set"), (F.col("read") % 5).cast("string")))
+    per = chains.chimeric(chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY)).withColumn("name", F.concat(F.lit("set"), (F.col("read") % 5).cast("string")))
     path = new_path(spark, "stats")
     formats.write_csv(chains.chimera_stats(per, "name"), path)
     return spark.read.csv(path, schema="name string, n50 long, n_chimeric long, n_others long", header=True)
@@ -239,6 +239,37 @@ def node_labels(spark, sf_dir):
     return spark.read.csv(path, header=True, schema="node long, label string").withColumn("name", scalars.without_strand(F.col("label")))
 
 
+def _alignment_folder(spark, sf_dir) -> str:
+    """The order lines as coordinates of alignments between a line number and a return flag, on the strand of their status."""
+    path = new_path(spark, "alignment-files")
+    rows = views.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("a"),
+        F.col("l_returnflag").alias("b"),
+        (F.col("l_linestatus") == "F").alias("is_cross"),
+        F.col("l_orderkey").cast("long").alias("kmer"),
+        F.col("l_linenumber").cast("long").alias("ordinal_a"),
+        F.col("l_linenumber").cast("long").alias("ordinal_b"),
+        F.col("l_partkey").cast("long").alias("x"),
+        F.col("l_suppkey").cast("long").alias("y"),
+    )
+    formats.write_alignment_files(rows, path)
+    return path
+
+
+def alignment_file_rows(spark, sf_dir):
+    """Coordinates of each file of a folder: their number and sums."""
+    rows = formats.read_alignment_files(spark, _alignment_folder(spark, sf_dir))
+    return rows.groupBy("a", "b", "is_cross").agg(F.count("*").alias("n"), F.sum("x").alias("x_sum"), F.sum("y").alias("y_sum"))
+
+
+def alignment_file_edges(spark, sf_dir):
+    """The edges that a folder's files stand for."""
+    return formats.read_alignment_file_edges(spark, _alignment_folder(spark, sf_dir))
+
+
+_FOLDER = "f AS (SELECT 'n' || l_linenumber AS a, l_returnflag AS b, l_linestatus = 'F' AS is_cross, CAST(l_partkey AS BIGINT) AS x, CAST(l_suppkey AS BIGINT) AS y FROM lineitem)"
+
+
 def discordant_csv(spark, sf_dir):
     rows = phasing.refuse_conflicts(views.phases(spark, sf_dir), "doc_id")
     path = new_path(spark, "discordant")
@@ -261,7 +292,7 @@ r AS (SELECT read, count(*) AS n, CAST(sum(bases) AS BIGINT) AS bases, string_ag
 QUERIES = {
     k: globals()[k]
     for k in (
-        "paf_records paf_intervals paf_chain_rows paf_lines_by_name name_list length_list edges_csv adjacency_csv fasta_records fasta_lengths fastq_records fastq_extract fastq_undegraded "
+        "alignment_file_rows alignment_file_edges paf_records paf_intervals paf_chain_rows paf_lines_by_name name_list length_list edges_csv adjacency_csv fasta_records fasta_lengths fastq_records fastq_extract fastq_undegraded "
         "sam_records phases_csv read_summary_csv labelled_folders alignment_info chimera_files chimera_stats renamed_overlaps first_by_name edge_lookup edges_of_nodes selected_edges node_labels discordant_csv"
     ).split()
 }
@@ -278,6 +309,8 @@ ORACLE = {
     "adjacency_csv": f"WITH {CAND} SELECT CAST(n0 + 100000 AS VARCHAR) AS n0, CAST(n1 + 100000 AS VARCHAR) AS n1, is_cross, is_candidate, passes_filter, is_selected, is_reference FROM cand",
     "fasta_records": f"WITH {READS} SELECT 'read' || read AS name, md5(sequence) AS digest, length(sequence) AS size FROM reads",
     "fasta_lengths": f"WITH {READS} SELECT 'read' || read AS name, length(sequence) AS length FROM reads",
+    "alignment_file_rows": f"WITH {_FOLDER} SELECT a, b, is_cross, count(*) AS n, CAST(sum(x) AS BIGINT) AS x_sum, CAST(sum(y) AS BIGINT) AS y_sum FROM f GROUP BY ALL",
+    "alignment_file_edges": f"WITH {_FOLDER} SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, is_cross FROM f",
     "fastq_records": f"{FASTQ} SELECT name, md5(sequence) AS digest, md5(quality) AS quality_digest FROM q",
     "fastq_extract": f"{FASTQ} SELECT name, md5(sequence) AS digest FROM q WHERE length(sequence) >= 1000 AND read IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "fastq_undegraded": f"WITH h AS ({HALVES}) SELECT CAST(q.read AS VARCHAR) AS name, md5(string_agg(chr(q.q + 33), '' ORDER BY q.pos)) AS digest FROM ({{qual}}) q JOIN h ON h.read = q.read WHERE NOT h.is_degraded GROUP BY q.read".replace("{qual}", "SELECT user_id AS read, event_id AS pos, CAST(floor(value) AS INT) % 41 AS q FROM events"),

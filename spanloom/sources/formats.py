@@ -218,11 +218,48 @@ def read_read_summary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("Id").cast("long").alias("id"), F.col("Name").alias("name"), (F.col("Palindromic") == "Yes").alias("is_palindromic"))
 
 
+def _of_file_name(name: Column) -> tuple[Column, list[Column]]:
+    """Whether a file name is a_b_1 (same strand) or a_b_0 (cross), with anything behind it; and a, b and is_cross."""
+    token = F.split(name, "[_.]")
+    good = F.coalesce(F.get(token, F.lit(2)).isin("0", "1"), F.lit(False))
+    return good, [F.get(token, F.lit(0)).alias("a"), F.get(token, F.lit(1)).alias("b"), (F.get(token, F.lit(2)) == "0").alias("is_cross")]
+
+
 def read_alignment_files(spark: SparkSession, path: str) -> DataFrame:
-    """Coordinate files named a_b_0 (same strand) or a_b_1 (cross): the reads, the strand, and the coordinates in columns 4 and 5."""
-    rows = spark.read.csv(path, schema="kmer long, ordinal_a long, ordinal_b long, x long, y long", header=True, enforceSchema=True).withColumn("_f", F.split(F.col("_metadata.file_name"), "[_.]"))
-    rows = _checked(rows, F.col("_f")[2].isin("0", "1"), "a file name's strand is neither 0 nor 1")
-    return rows.select(F.col("_f")[0].alias("a"), F.col("_f")[1].alias("b"), (F.col("_f")[2] == "1").alias("is_cross"), "x", "y")
+    """Coordinate files named a_b_1 (same strand) or a_b_0 (cross): the reads, the strand, and the coordinates in columns 4 and 5."""
+    rows = spark.read.csv(path, schema="kmer long, ordinal_a long, ordinal_b long, x long, y long", header=True, enforceSchema=True).withColumn("_f", F.col("_metadata.file_name"))
+    good, named = _of_file_name(F.col("_f"))
+    return _checked(rows, good, "a file name's strand is neither 0 nor 1").select(*named, "x", "y")
+
+
+def read_alignment_file_edges(spark: SparkSession, path: str) -> DataFrame:
+    """a < b and is_cross for each file of a folder of coordinate files, also for empty ones; only names are read.
+
+    Two files for one edge make the read fail: there must be as many edges as files.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("_f"))
+    good, named = _of_file_name(F.col("_f"))
+    edges = _checked(files, good, "a file name's strand is neither 0 nor 1").select(*named)
+    per = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "is_cross").agg(F.count("*").alias("_n"))
+    return _checked(per, F.col("_n") == 1, "there are fewer edges than alignment files").drop("_n")
+
+
+def write_alignment_files(rows: DataFrame, path: str) -> None:
+    """Rows (a, b, is_cross, kmer, ordinal_a, ordinal_b, x, y) as one coordinate file a_b_1.csv or a_b_0.csv for each pair and strand.
+
+    Spark writes a folder for each file; the driver then gives each file its name.
+    """
+    spark = rows.sparkSession
+    name = F.concat_ws("_", "a", "b", F.when(F.col("is_cross"), "0").otherwise("1")).alias("_name")
+    parts = f"{path}-parts"
+    rows.select(name, "kmer", "ordinal_a", "ordinal_b", "x", "y").repartition("_name").write.partitionBy("_name").csv(parts, header=True)
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = paths(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(paths(path))
+    for found in store.globStatus(paths(f"{parts}/_name=*/part-*")):
+        at = found.getPath()
+        store.rename(at, paths(f"{path}/{at.getParent().getName().removeprefix('_name=')}.csv"))
+    store.delete(paths(parts), True)
 
 
 def read_alignment_info(spark: SparkSession, path: str) -> DataFrame:

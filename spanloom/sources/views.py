@@ -62,7 +62,7 @@ EXCL = "excl AS (SELECT p_partkey AS name FROM part WHERE p_size = 7)"
 
 
 def chain_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments as elements of their read's chain: the read is the supplier, the contig the return flag."""
+    """Every alignment as an element of its read's chain: the read is the supplier, the contig the return flag, the quality the tax."""
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("read"),
         F.col("l_returnflag").alias("contig"),
@@ -74,17 +74,19 @@ def chain_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("line"),
         F.col("l_partkey").alias("part"),
         F.col("l_quantity").cast("long").alias("length"),
-        F.col("l_tax").alias("tax"),
+        F.col("l_tax").alias("quality"),
     )
-    return rows.filter("tax >= 0.04").drop("tax")
+    return rows
 
 
-CHAIN = """chain AS (
+#: Alignments of a lower quality are no part of a chain.
+CHAIN_QUALITY = 0.04
+CHAIN = f"""chain AS (
   SELECT l_suppkey AS read, l_returnflag AS contig, CAST(3000 AS BIGINT) AS contig_length,
     CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s,
     CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS INT) AS BIGINT) AS e,
     l_linestatus = 'F' AS rev, l_orderkey AS ord, l_linenumber AS line, l_partkey AS part, CAST(l_quantity AS BIGINT) AS length
-  FROM lineitem WHERE l_tax >= 0.04)"""
+  FROM lineitem WHERE l_tax >= {CHAIN_QUALITY})"""
 
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
 

@@ -114,7 +114,24 @@ def test_tables(spark, put):
     assert [r.is_palindromic for r in formats.read_read_summary(spark, put("r.csv", "Id,Name,Palindromic\n1,a,Yes\n")).collect()] == [True]
     assert sorted(r.name for r in formats.read_names(spark, put("n.txt", "b\n\na\nb\n")).collect()) == ["a", "b"]
     assert [r.length for r in formats.read_lengths(spark, put("l.txt", "12\n")).collect()] == [12]
-    assert [tuple(r) for r in formats.read_alignment_files(spark, put("3_4_1.csv", "k,i,j,x,y\n9,1,2,30,40\n")).collect()] == [("3", "4", True, 30, 40)]
+    assert [tuple(r) for r in formats.read_alignment_files(spark, put("3_4_1.csv", "k,i,j,x,y\n9,1,2,30,40\n")).collect()] == [("3", "4", False, 30, 40)]
+
+
+def test_alignment_folders(spark, tmp_path):
+    rows = [("r1", "r2", c, 5, 1, 2, k, k + 1) for k in range(5) for c in (True, False)] + [("r3", "r1", True, 5, 1, 2, 9, 9)]
+    formats.write_alignment_files(spark.createDataFrame(rows, "a string, b string, is_cross boolean, kmer long, ordinal_a long, ordinal_b long, x long, y long"), str(tmp_path / "al"))
+    assert sorted(f.name for f in (tmp_path / "al").glob("*.csv")) == ["r1_r2_0.csv", "r1_r2_1.csv", "r3_r1_0.csv"]
+    assert sorted(map(tuple, formats.read_alignment_files(spark, str(tmp_path / "al")).collect())) == sorted((a, b, c, x, y) for a, b, c, _, _, _, x, y in rows)
+    (tmp_path / "al" / "r8_r7_1_x.csv").write_text("k,i,j,x,y\n")
+    assert sorted(map(tuple, formats.read_alignment_file_edges(spark, str(tmp_path / "al")).collect())) == [("r1", "r2", False), ("r1", "r2", True), ("r1", "r3", True), ("r7", "r8", False)]
+    (tmp_path / "al" / "r2_r1_0.csv").write_text("k,i,j,x,y\n")
+    with pytest.raises(Exception, match="fewer edges"):
+        formats.read_alignment_file_edges(spark, str(tmp_path / "al")).collect()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "a_b_2.csv").write_text("k,i,j,x,y\n1,1,1,1,1\n")
+    for read in (formats.read_alignment_file_edges, formats.read_alignment_files):
+        with pytest.raises(Exception, match="neither 0 nor 1"):
+            read(spark, str(tmp_path / "other")).collect()
 
 
 def test_stream(spark, tmp_path):
