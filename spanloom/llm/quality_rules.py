@@ -10,7 +10,8 @@ conditional expression.
 Defined results. Null text counts as empty: no words, all counts 0, base_failed
 true, kept false. Null or repeated doc_id: each row is judged by itself; such
 rows may carry labels like any other. Empty tables give empty results. Without
-labels of both kinds no rule is learned and only the base rule rejects. Columns
+labels of both kinds no rule is learned and only the base rule rejects. A text of any
+length is counted whole, in the task that reads it. Columns
 other than ``id`` and ``text`` are ignored, so their names cannot clash.
 """
 

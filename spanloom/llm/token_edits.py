@@ -15,6 +15,7 @@ The leaves can be kept as a binary column from one round of edits to the next.
 Defined results. Null text counts as empty. Edits apply in their order, each to the
 text that the former ones left; places are in code points and are clamped to the text,
 a null insert is empty, null edits are none. Null or repeated ids: each row by itself.
+A text of any length is split whole once, in the task that reads it.
 Empty tables give empty results. Other columns are ignored.
 """
 
