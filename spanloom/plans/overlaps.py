@@ -8,6 +8,7 @@ from spanloom.functions.scratch import stored
 from spanloom.operators import boxes, chains, edges, graph, intervals
 from spanloom.sources import views
 from spanloom.sources.views import ALN, CAND, CHAIN, EXCL
+from spanloom.streaming.chains import replayed
 
 EDGES = """SELECT DISTINCT a.query AS n0, b.query AS n1, a.rev <> b.rev AS is_cross
   FROM aln a JOIN aln b ON a.target = b.target AND a.s < b.e AND b.s < a.e AND a.query < b.query
@@ -137,6 +138,12 @@ def chain_islands(spark, sf_dir):
     return chains.islands(chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY)).select("read", "place", "island")
 
 
+def chain_islands_streamed(spark, sf_dir):
+    """The same from a stream: elements arrive in their order, and each is placed when it comes."""
+    elements = chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY)
+    return replayed(elements).filter("kind = 'element'").select("read", "place", "gap", "island")
+
+
 def chimeric_reads(spark, sf_dir):
     return chains.chimeric(chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY))
 
@@ -183,6 +190,7 @@ QUERIES = {
     "node_distances": node_distances,
     "chain_gaps": chain_gaps,
     "chain_islands": chain_islands,
+    "chain_islands_streamed": chain_islands_streamed,
     "chimeric_reads": chimeric_reads,
     "subchain_bounds": subchain_bounds,
     "strand_flips": strand_flips,
@@ -203,6 +211,7 @@ ORACLE = {
     "node_distances": DISTANCES,
     "chain_gaps": f"{GAPS} SELECT read, place, contig, s, e, rev, gap FROM gaps",
     "chain_islands": f"{GAPS} SELECT read, place, island FROM islands",
+    "chain_islands_streamed": f"{GAPS} SELECT read, place, gap, island FROM islands",
     "chimeric_reads": f"{GAPS} SELECT read, count(*) AS n_elements, max(island) + 1 AS n_islands, CAST(sum(length) AS BIGINT) AS bases, max(island) > 0 AS is_chimeric FROM islands GROUP BY read",
     "subchain_bounds": f"""{GAPS} SELECT read, island, min(place) AS first_place, max(place) AS last_place, arg_min(s, place) AS start, arg_max(e, place) AS stop,
   count(*) AS n_elements, CAST(sum(length) AS BIGINT) AS bases FROM islands GROUP BY read, island""",
