@@ -172,24 +172,33 @@ def key_postings(frequencies: dict[str, int], templates=TEMPLATES) -> dict[str,
 
 
 def entries(w: Column, index: dict[str, list[tuple[int, int, int]]], keys: dict[str, list[tuple[int, int, int]]], templates=TEMPLATES) -> Column:
-    """Votes and verified key phrases of a file: (template, place of its word 0, anchor or -1 for the phrase)."""
-    row = lambda t, at, a: F.struct(F.lit(t).alias("t"), at.cast("int").alias("at"), F.lit(a).alias("a"))
+    """Votes and verified key phrases of a file: (template, place of its word 0, anchor or -1 for the phrase).
+
+    Each word that the index knows is looked up once, in a literal map from words to
+    what they vote for and to the key phrases around them.
+    """
+    row = lambda t, at, a: F.struct(t.alias("t"), at.cast("int").alias("at"), a.alias("a"))
+    ints = lambda **named: F.struct(*[F.lit(v).alias(k) for k, v in named.items()])
     looked_up = sorted(set(index) | set(keys))
     nothing = F.array().cast("array<struct<t:int,at:int,a:int>>")
-    places = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(looked_up), i)))
-
-    def at_place(i: Column) -> Column:
-        x = F.get(w, i)
-        out = None
-        for word in looked_up:
-            votes = [row(t, i - p, a) for t, p, a in index.get(word, [])]
-            phrases = [F.when(stands_at(w, i - p, templates[t].key), row(t, i - p - at, -1)) for t, p, at in keys.get(word, [])]
-            made = F.array_compact(F.array(*votes, *phrases))
-            out = F.when(x == word, made) if out is None else out.when(x == word, made)
-        return out.otherwise(nothing)
+
+    def known(word: str) -> Column:
+        votes = F.array(*[ints(t=t, p=p, a=a) for t, p, a in index.get(word, [])]).cast("array<struct<t:int,p:int,a:int>>")
+        phrases = [F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(at).alias("at"), F.split(F.lit(templates[t].key), " ").alias("words")) for t, p, at in keys.get(word, [])]
+        return F.struct(votes.alias("votes"), F.array(*phrases).cast("array<struct<t:int,p:int,at:int,words:array<string>>>").alias("phrases"))
+
+    table = F.create_map(*[x for word in looked_up for x in (F.lit(word), known(word))])
+    hits = F.filter(F.transform(w, lambda x, i: F.when(x.isin(looked_up), F.struct(i.alias("i"), x.alias("x")))), lambda h: h.isNotNull())
+
+    def of_hit(h: Column) -> Column:
+        votes = F.transform(h["k"]["votes"], lambda v: row(v["t"], h["i"] - v["p"], v["a"]))
+        stands = lambda k: (h["i"] >= k["p"]) & (F.slice(w, F.greatest(F.lit(1), h["i"] - k["p"] + 1), F.size(k["words"])) == k["words"])
+        phrases = F.transform(F.filter(h["k"]["phrases"], stands), lambda k: row(k["t"], h["i"] - k["p"] - k["at"], F.lit(-1)))
+        return F.concat(votes, phrases)
 
     wanted = F.arrays_overlap(w, F.array(*map(F.lit, looked_up)))
-    return F.when(wanted, F.flatten(F.transform(places, at_place))).otherwise(nothing)
+    found = F.transform(hits, lambda h: F.struct(h["i"].alias("i"), F.try_element_at(table, h["x"]).alias("k")))
+    return F.when(wanted, F.flatten(F.transform(found, of_hit))).otherwise(nothing)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, anchors: int = 4, least_share: float = 0.75, id: str = "doc_id", text: str = "text") -> DataFrame:
