@@ -90,7 +90,7 @@ def adjacency_csv(spark, sf_dir):
     rows = views.candidates(spark, sf_dir).select((F.col("n1") + 100_000).alias("a"), (F.col("n0") + 100_000).alias("b"), F.when(F.col("is_cross"), "No").otherwise("Yes").alias("same"), said("passes_filter"), said("is_selected"))
     path = new_path(spark, "adjacency")
     formats.write_csv(rows, path)
-    return formats.read_adjacency(spark, path)
+    return formats.read_adjacency(spark, path, numeric=True)
 
 
 def _fasta(spark, sf_dir) -> str:

@@ -74,16 +74,18 @@ def alignment_lines(spark: SparkSession, path: str, names: DataFrame) -> DataFra
     return lines.join(names.select("name"), "name", "left_semi").select("value")
 
 
-def read_adjacency(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+def read_adjacency(spark: SparkSession, path: str, header: bool = True, numeric: bool = False) -> DataFrame:
     """Labelled edges of a CSV: name_a, name_b, same strand (Yes/No), and optional Yes/No for passing the filter and being selected.
 
-    Names are put in order and parallel edges kept; a missing flag is false.
+    Names are put in order, as text or, if ``numeric``, as whole numbers, and parallel edges kept; a missing flag is false.
     """
     schema = "a string, b string, same string, passes string, selected string"
     rows = spark.read.csv(path, schema=schema, header=header, enforceSchema=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     rows = _checked(rows, F.col("b").isNotNull() & F.col("same").isNotNull(), "an adjacency line has fewer than 3 columns")
     yes = lambda c: F.coalesce(F.col(c) == "Yes", F.lit(False))
-    return rows.select(F.least("a", "b").alias("n0"), F.greatest("a", "b").alias("n1"), (F.col("same") == "No").alias("is_cross"), F.lit(True).alias("is_candidate"), yes("passes").alias("passes_filter"), yes("selected").alias("is_selected"), F.lit(False).alias("is_reference"))
+    place = lambda c: F.struct(*([F.col(c).cast("decimal(38,0)").alias("number")] if numeric else []), F.col(c).alias("name"))
+    ends = [end(place("a"), place("b"))["name"].alias(n) for end, n in ((F.least, "n0"), (F.greatest, "n1"))]
+    return rows.select(*ends, (F.col("same") == "No").alias("is_cross"), F.lit(True).alias("is_candidate"), yes("passes").alias("passes_filter"), yes("selected").alias("is_selected"), F.lit(False).alias("is_reference"))
 
 
 def write_edges(edges: DataFrame, path: str) -> None:

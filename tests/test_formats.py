@@ -41,6 +41,28 @@ def test_adjacency(spark, put, tmp_path):
     assert formats.read_adjacency(spark, put("h.csv", "b,a,Yes\n"), header=False).count() == 1
 
 
+def test_adjacency_of_numbers_of_unlike_length(spark, put):
+    """1,000,000 comes behind 999,999 as a number, before it as text."""
+    path = put("n.csv", "x,y,same\n1000000,999999,Yes\n7,10,No\n")
+    pairs = lambda **kw: sorted((r.n0, r.n1) for r in formats.read_adjacency(spark, path, **kw).collect())
+    assert pairs(numeric=True) == [("7", "10"), ("999999", "1000000")]
+    assert pairs() == [("10", "7"), ("1000000", "999999")]
+
+
+def test_adjacency_of_numbers_as_registered(spark, tmp_path):
+    """Parts on both sides of 900,000, whose names have six digits and seven."""
+    import duckdb
+
+    from spanloom.plans import records
+
+    duckdb.sql(f"""COPY (SELECT * FROM (VALUES (1, 899999, 'A', 0.05, 30.0), (1, 900001, 'R', 0.05, 30.0), (1, 1, 'A', 0.01, 1.0)) v(l_orderkey, l_partkey, l_returnflag, l_discount, l_quantity)) TO '{tmp_path}/lineitem.parquet'""")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    mine = records.adjacency_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, mine.collect())) == sorted(con.sql(records.ORACLE["adjacency_csv"]).fetchall())
+
+
+
 def test_sequences(spark, put, tmp_path):
     reads = formats.read_fasta(spark, put("s.fasta", ">one first\nACGT\nAC\n>two\n\n>three\nTTT"))
     assert sorted(map(tuple, reads.collect())) == [("one", "ACGTAC"), ("three", "TTT"), ("two", "")]
