@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanloom.functions.scalars import error_probability
 
@@ -37,19 +37,31 @@ def smoothed(rows: DataFrame, width: int, sigma: float) -> DataFrame:
     return p.withColumn("smooth", sum(terms[1:], terms[0])).filter("smooth is not null")
 
 
+def _ln(x: Column) -> Column:
+    """The logarithm with its limit at 0 and NaN below, as DuckDB has it; Spark's is null there."""
+    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
 def breakpoint(rows: DataFrame, step: int, at_least: int = 2) -> DataFrame:
     """For each read the cut, a multiple of ``step``, at which two Bernoulli rates explain the probabilities best, and the gain in log-likelihood.
 
-    Prefix sums give both sides of every cut; the best is an aggregate.
+    Prefix sums give both sides of every cut; the best is an aggregate. The gain is NaN, and
+    above all others, at a cut with a side whose probabilities are all 1 (0 times the logarithm of 0);
+    that is told by counts, as the difference of two sums misses such a side by its rounding.
+    Of equal gains the first cut counts; without any gain it is null.
     """
-    w = Window.partitionBy("read")
-    run = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("read").orderBy("pos")
+    run, whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     p = rows.select("read", "pos", error_probability(F.col("q").cast("double")).alias("p"))
-    p = p.select("read", F.row_number().over(w.orderBy("pos")).alias("i"), F.sum("p").over(run).alias("left"), F.sum("p").over(w).alias("all"), F.count("*").over(w).alias("n"))
-    like = lambda s, n: s * F.log(s / n) + (n - s) * F.log(1 - s / n)
-    gain = like(F.col("left"), F.col("i")) + like(F.col("all") - F.col("left"), F.col("n") - F.col("i")) - like(F.col("all"), F.col("n"))
+    unsure = F.sum(F.when(F.col("p") == 1, 0).otherwise(1))
+    p = p.select("read", F.row_number().over(w).alias("i"), F.sum("p").over(run).alias("left"), F.sum("p").over(whole).alias("all"), F.count("*").over(whole).alias("n"), unsure.over(run).alias("left_unsure"), unsure.over(whole).alias("all_unsure"))
+    like = lambda s, n: s * _ln(s / n) + (n - s) * _ln(1 - s / n)
+    rest, behind = F.col("all") - F.col("left"), F.col("n") - F.col("i")
+    right = F.when(F.col("left_unsure") == F.col("all_unsure"), behind.cast("double")).otherwise(rest)
+    gain = like(F.col("left"), F.col("i")) + like(right, behind) - like(F.col("all"), F.col("n"))
     cuts = p.filter((F.col("i") % step == 0) & (F.col("n") - F.col("i") >= at_least)).withColumn("gain", gain)
-    return cuts.groupBy("read").agg(F.max_by("i", F.struct("gain", -F.col("i"))).cast("long").alias("cut"), F.max("gain").alias("gain"))
+    best = F.when(F.col("gain").isNotNull(), F.struct("gain", -F.col("i")))
+    return cuts.groupBy("read").agg(F.max_by("i", best).cast("long").alias("cut"), F.max("gain").alias("gain"))
 
 
 def smoothed_to_the_ends(rows: DataFrame, width: int, sigma: float) -> DataFrame:

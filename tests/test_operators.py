@@ -249,3 +249,25 @@ def test_null_groups_are_kept(spark):
         nexts |= {(p[0], q[0]) for p, q in zip(own, own[1:])}
     assert got == want
     assert {(r.id, r.behind) for r in prefix.with_next(df, ["source"], [F.col("id")], {"behind": "id"}).collect()} == nexts
+
+
+def test_breakpoint_beside_certain_errors(spark):
+    """A side of nothing but probabilities of 1 has 0 times the logarithm of 0, which the SQL gives as NaN and above all gains; rounding of sums does not hide it."""
+    import duckdb
+
+    from spanloom.plans import statistics
+
+    scores = {1: [0] * 5 + [7, 13, 20, 3, 9, 30, 2], 2: [5, 8, 34, 13, 2, 7, 40, 1, 9, 4, 0, 0], 3: [7, 13, 20, 3, 9, 30, 2, 4, 4, 4, 0, 1]}
+    rows = [(read, pos, float(q)) for read, qs in scores.items() for pos, q in enumerate(qs)]
+    table = spark.createDataFrame(rows, "read long, pos long, q double").withColumn("q", F.col("q").cast("int"))
+    got = {r.read: (r.cut, r.gain) for r in quality.breakpoint(table, 5).collect()}
+    assert got[1][0] == 5 and math.isnan(got[1][1])
+    assert got[2][0] == 10 and math.isnan(got[2][1])
+    assert not math.isnan(got[3][1])
+    con = duckdb.connect()
+    con.sql("CREATE TABLE events AS SELECT * FROM (VALUES " + ", ".join(f"({pos}, {read}, CAST({q} AS DOUBLE))" for read, pos, q in rows if read != 2) + ") v(event_id, user_id, value)")
+    theirs = {r[0]: r[1:] for r in con.sql(statistics.ORACLE["quality_breakpoint"]).fetchall()}
+    assert theirs[1][0] == 5 and math.isnan(theirs[1][1])
+    assert theirs[3] == (got[3][0], round(got[3][1], 4))
+    nothing = quality.breakpoint(spark.createDataFrame([(1, k, None) for k in range(12)], "read long, pos long, q int"), 5).first()
+    assert (nothing.cut, nothing.gain) == (None, None)
