@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -69,6 +70,7 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 #: The code of each letter's byte; 6 stands for all others.
 _DIGITS = np.full(256, 6, np.int64)
 _DIGITS[[ord(c) for c in "ACGT"]] = range(4)
+_LETTERS = np.frombuffer(b"ACGT", np.uint8)
 
 
 def _codes(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +84,36 @@ def _codes(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return code, good
 
 
+def spelled(sequence: str, k: int, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The k-mers of a sequence decoded from their codes, comma-joined, in pieces of at most ``piece`` k-mers; those with other letters than ACGT are left out."""
+    letters, comma = np.frombuffer(sequence.encode("ascii", "replace"), np.uint8), b""
+    for at in range(0, len(letters), piece):
+        code, good = _codes(letters[at : at + piece + k - 1], k)
+        code = code[good]
+        if len(code):
+            text = np.full((len(code), k + 1), ord(","), np.uint8)
+            for j in range(k):
+                text[:, j] = _LETTERS[(code >> 2 * (k - 1 - j)) & 3]
+            yield comma + text.tobytes()[:-1]
+            comma = b","
+
+
+def spelled_digests(reads: DataFrame, k: int) -> DataFrame:
+    """read and the MD5 of its ``spelled`` k-mers (a null sequence has none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for t in batch.column("sequence"):
+                md5 = hashlib.md5()
+                for part in spelled(t.as_py() or "", k):
+                    md5.update(part)
+                digests.append(md5.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("read"), pa.array(digests, pa.string())], names=["read", "digest"])
+
+    return reads.select("read", "sequence").mapInArrow(run, f"read {reads.schema['read'].dataType.simpleString()}, digest string")
+
+
 def exact_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """Maximal exact matches of k letters (31 at most) or more of each pair (a, b): a, b, x, y, len.
 

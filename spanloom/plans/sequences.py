@@ -128,8 +128,7 @@ FROM c WHERE op <> 'S'"""
 
 def kmer_decode(spark, sf_dir):
     """The k-mers of each read decoded from their codes, as one digest."""
-    letters = F.transform(scalars.kmers(F.col("sequence"), 6), lambda c: scalars.kmer_letters(c, 6))
-    return views.reads(spark, sf_dir).select("read", F.md5(F.array_join(letters, ",")).alias("digest"))
+    return matches.spelled_digests(views.reads(ship_package(spark), sf_dir), 6)
 
 
 def diagonal_places(spark, sf_dir):

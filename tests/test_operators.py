@@ -271,3 +271,16 @@ def test_breakpoint_beside_certain_errors(spark):
     assert theirs[3] == (got[3][0], round(got[3][1], 4))
     nothing = quality.breakpoint(spark.createDataFrame([(1, k, None) for k in range(12)], "read long, pos long, q int"), 5).first()
     assert (nothing.cut, nothing.gain) == (None, None)
+
+
+def test_spelled_kmers(spark):
+    """Sequences of any length and with other letters, in one piece and in several."""
+    import hashlib
+
+    rng = random.Random(5)
+    texts = ["", "ACGTA", "ACGTAC", "ACGTACNGTTACCA", None, "".join(rng.choice("ACGT") for _ in range(3000))]
+    kmers = lambda t: [t[i : i + 6] for i in range(len(t) - 5) if not set(t[i : i + 6]) - set("ACGT")]
+    df = spark.createDataFrame(list(enumerate(texts)), "read long, sequence string")
+    got = dict(matches.spelled_digests(df, 6).collect())
+    assert got == {k: hashlib.md5(",".join(kmers(t or "")).encode()).hexdigest() for k, t in enumerate(texts)}
+    assert all(b"".join(matches.spelled(t or "", 6, piece)) == ",".join(kmers(t or "")).encode() for t in texts for piece in (1, 7, 100))
