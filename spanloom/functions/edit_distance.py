@@ -11,7 +11,12 @@ Nulls give null. Letters are code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 BITS = 62
 _MASK = (1 << BITS) - 1
@@ -112,3 +117,79 @@ def edit_distance(pattern: Column, text: Column, mode: str = "infix") -> Column:
     prepared = F.struct(blocks.alias("blocks"), _bit(F.pmod(m - 1, F.lit(BITS))).alias("high"), _masks(split(pattern), blocks).alias("masks"))
     empty = F.struct((n if mode == "whole" else F.lit(0).cast("long")).alias("distance"), (n if mode == "whole" else F.lit(0).cast("long")).alias("stop"))
     return F.when(pattern.isNull() | text.isNull(), F.lit(None)).when(m == 0, empty).otherwise(_let(prepared, run))
+
+
+#: Letters of a stretch of a text, and stretches that are gone through together.
+STRETCH, TOGETHER = 1024, 4096
+
+
+def _advance(codes: np.ndarray, sizes: np.ndarray, masks: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least distance of a pattern of ``m`` letters to any part of each stretch (rows of ``codes``, longest first), and the letters before its first end."""
+    n = len(codes)
+    pv, mv = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
+    score, best, stop = np.full(n, m, np.int64), np.full(n, m, np.int64), np.zeros(n, np.int64)
+    one, last = np.uint64(1), np.uint64(m - 1)
+    columns, active = np.ascontiguousarray(codes.T), np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+    for j, k in enumerate(active):
+        p, q, s = pv[:k], mv[:k], score[:k]
+        eq = masks[columns[j, :k]]
+        xv = eq | q
+        xh = (((eq & p) + p) ^ p) | eq
+        ph, mh = q | ~(xh | p), p & xh
+        s += ((ph >> last) & one).astype(np.int64)
+        s -= ((mh >> last) & one).astype(np.int64)
+        ph <<= one
+        mh <<= one
+        pv[:k], mv[:k] = mh | ~(xv | ph), ph & xv
+        better = np.flatnonzero(s < best[:k])
+        best[better], stop[better] = s[better], j + 1
+    return best, stop
+
+
+def nearest_parts(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """key, distance and stop as ``edit_distance`` finds them in mode ``infix`` for one pattern of at most 64 letters; null for a null text.
+
+    A part of a text at a distance up to the pattern's length has at most twice its letters, so
+    a text is cut in stretches that begin so many letters early; the vectors of thousands of
+    stretches take one letter each at a time.
+    """
+    if not 0 < len(pattern) <= 64:
+        raise ValueError("the pattern must have 1 to 64 letters")
+    m, points = len(pattern), [ord(c) for c in pattern]
+    kinds = np.array(sorted(set(points)), np.uint32)
+    masks = np.array([sum(1 << i for i, c in enumerate(points) if c == kind) for kind in kinds.tolist()] + [0], np.uint64)
+
+    def coded(t: str) -> np.ndarray:
+        letters = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(np.searchsorted(kinds, letters), len(kinds) - 1)
+        return np.where(kinds[at] == letters, at, len(kinds)).astype(np.uint8)
+
+    def found(stretches: list[tuple[int, int, np.ndarray]], least: dict[int, tuple[int, int]]) -> None:
+        stretches = sorted(stretches, key=lambda s: -len(s[2]))
+        sizes = np.array([len(s[2]) for s in stretches])
+        codes = np.zeros((len(sizes), sizes[0]), np.uint8)
+        for row, s in zip(codes, stretches):
+            row[: len(s[2])] = s[2]
+        for (r, start, _), b, e in zip(stretches, *(c.tolist() for c in _advance(codes, sizes, masks, m))):
+            if b < m:
+                least[r] = min(least[r], (b, start + e))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least, waiting = {}, []
+            for r, t in enumerate(batch.column(1)):
+                if t.is_valid:
+                    least[r], codes = (m, 0), coded(t.as_py())
+                    for at in range(0, len(codes), STRETCH):
+                        start = max(0, at - 2 * m)
+                        waiting.append((r, start, codes[start : at + STRETCH]))
+                        if len(waiting) == TOGETHER:
+                            found(waiting, least)
+                            waiting = []
+            if waiting:
+                found(waiting, least)
+            got = [least.get(r, (None, None)) for r in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[c] for g in got], pa.int64()) for c in (0, 1)]], names=[key, "distance", "stop"])
+
+    out = StructType([rows.schema[key], StructField("distance", LongType()), StructField("stop", LongType())])
+    return rows.select(key, text).mapInArrow(run, out)

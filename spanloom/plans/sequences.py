@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars
-from spanloom.functions.edit_distance import edit_distance as best
+from spanloom.functions.edit_distance import edit_distance as best, nearest_parts
 from spanloom.functions.shipping import ship_package
 from spanloom.functions.scratch import stored
 from spanloom.operators import align, boxes, chaining, cigars, graph, matches
@@ -85,8 +85,7 @@ MOTIF = "GATTACAGATTACAGATTACA"
 
 def motif_in_reads(spark, sf_dir):
     """The part of each read that is nearest to a motif: its distance and where it ends."""
-    rows = views.reads(spark, sf_dir).select("read", best(F.lit(MOTIF), F.coalesce("sequence", F.lit(""))).alias("d"))
-    return rows.select("read", "d.distance", "d.stop")
+    return nearest_parts(views.reads(ship_package(spark), sf_dir).select("read", F.coalesce("sequence", F.lit("")).alias("sequence")), "read", "sequence", MOTIF)
 
 
 def _cigars(spark, sf_dir):

@@ -284,3 +284,24 @@ def test_spelled_kmers(spark):
     got = dict(matches.spelled_digests(df, 6).collect())
     assert got == {k: hashlib.md5(",".join(kmers(t or "")).encode()).hexdigest() for k, t in enumerate(texts)}
     assert all(b"".join(matches.spelled(t or "", 6, piece)) == ",".join(kmers(t or "")).encode() for t in texts for piece in (1, 7, 100))
+
+
+def test_nearest_parts_equal_the_column_function(spark):
+    """Texts of many stretches, with the best part across their borders, and letters that the pattern lacks."""
+    from spanloom.functions import edit_distance as ed
+
+    rng = random.Random(6)
+    pattern = "GATTACAGATTACAGATTACA"
+    random_text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    texts = ["", None, "é€" + pattern[3:], pattern, pattern[::-1], "A", *(random_text(n) for n in (5, 40, 1023, 1024, 1025, 2600))]
+    texts += [random_text(ed.STRETCH * 2 - shift) + pattern[:9] + "C" + pattern[10:] + random_text(700) for shift in (0, 1, 10, 20, 21, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "read long, sequence string")
+    same = df.select("read", ed.edit_distance(F.lit(pattern), F.col("sequence")).alias("d")).select("read", "d.distance", "d.stop")
+    assert sorted(ed.nearest_parts(df, "read", "sequence", pattern).collect()) == sorted(same.collect())
+    ed_together, ed.TOGETHER = ed.TOGETHER, 3
+    try:
+        assert sorted(ed.nearest_parts(df, "read", "sequence", pattern).collect()) == sorted(same.collect())
+    finally:
+        ed.TOGETHER = ed_together
+    with pytest.raises(ValueError):
+        ed.nearest_parts(df, "read", "sequence", "A" * 65)
