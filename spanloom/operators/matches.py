@@ -8,7 +8,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanloom.functions.scalars import is_marker, kmers, match_stop, reverse_complement
 from spanloom.functions.scratch import stored
@@ -36,8 +36,8 @@ def seeds(one: str, two: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """
     letters = [np.frombuffer(t.encode("ascii", "replace"), np.uint8) for t in (one, two)]
     (xc, xg), (yc, yg) = (_codes(t, k) for t in letters)
-    kinds = np.unique(yc[yg])
-    xs, ys = np.flatnonzero(xg), np.flatnonzero(yg)
+    xs, ys = _shared(xc, np.flatnonzero(xg), yc, np.flatnonzero(yg))
+    kinds = np.unique(yc[ys])
     if not len(kinds) or not len(xs):
         return (np.zeros(0, np.int64),) * 3
     at = np.minimum(np.searchsorted(kinds, xc[xs]), len(kinds) - 1)
@@ -75,13 +75,34 @@ _LETTERS = np.frombuffer(b"ACGT", np.uint8)
 
 def _codes(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The 2-bit code of every k-mer, and whether it has letters ACGT only."""
-    n = max(0, len(letters) - k + 1)
+    n = len(letters) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     d = _DIGITS[letters]
-    code, good = np.zeros(n, np.int64), np.ones(n, bool)
-    for j in range(k):
-        code = code * 4 + (d[j : j + n] & 3)
-        good &= d[j : j + n] < 4
-    return code, good
+    # codes of 1, 2, 4... letters, put together as the binary digits of k say
+    part, size, code, done = d & 3, 1, np.zeros(len(d) + 1, np.int64), 0
+    while True:
+        if k & size:
+            m = len(d) - done - size + 1
+            code, done = code[:m] * 4**size + part[done : done + m], done + size
+        if done == k:
+            break
+        part, size = part[:-size] * 4**size + part[size:], 2 * size
+    others = np.concatenate([[0], np.cumsum(d > 3)])
+    return code, others[k:] == others[:-k]
+
+
+def _shared(xc: np.ndarray, xs: np.ndarray, yc: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without most of the places ``xs`` and ``ys`` whose codes ``xc`` and ``yc`` do not stand on the other side, told by a table of hashes; no others are lost."""
+    bits = np.uint64(64 - max(10, (32 * max(len(xs), len(ys))).bit_length()))
+    hx, hy = ((c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> bits for c in (xc[xs], yc[ys]))
+    for _ in range(2):
+        seen = np.zeros(1 << int(64 - bits), bool)
+        seen[hy] = True
+        kept = seen[hx]
+        xs, hx = xs[kept], hx[kept]
+        xs, hx, ys, hy = ys, hy, xs, hx
+    return xs, ys
 
 
 def spelled(sequence: str, k: int, piece: int = 1 << 20) -> Iterator[bytes]:
@@ -114,6 +135,29 @@ def spelled_digests(reads: DataFrame, k: int) -> DataFrame:
     return reads.select("read", "sequence").mapInArrow(run, f"read {reads.schema['read'].dataType.simpleString()}, digest string")
 
 
+#: Columns of a match, and rows that are given out at once.
+MATCH, ROWS = ["a", "b", "x", "y", "len"], 100_000
+
+
+def _of_pair(a: int, b: int, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    return np.full(len(x), a, np.int64), np.full(len(x), b, np.int64), x, y, n
+
+
+def _batches(found: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ROWS rows, at most, of the columns that come one group after the other."""
+    waiting, size = [], 0
+    merged = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting)], names=names)
+    for columns in found:
+        for at in range(0, len(columns[0]), ROWS):
+            waiting.append([c[at : at + ROWS] for c in columns])
+            size += len(waiting[-1][0])
+            if size >= ROWS:
+                yield merged()
+                waiting, size = [], 0
+    if waiting:
+        yield merged()
+
+
 def exact_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """Maximal exact matches of k letters (31 at most) or more of each pair (a, b): a, b, x, y, len.
 
@@ -127,12 +171,8 @@ def exact_matches(pairs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            for r, (one, two) in enumerate(zip(batch.column("one"), batch.column("two"))):
-                x, y, n = seeds(one.as_py() or "", two.as_py() or "", k)
-                for at in range(0, len(x), 100_000):
-                    part = slice(at, at + 100_000)
-                    m = len(x[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, a[r])), pa.array(np.full(m, b[r])), pa.array(x[part]), pa.array(y[part]), pa.array(n[part])], names=["a", "b", "x", "y", "len"])
+            found = (_of_pair(a[r], b[r], *seeds(one.as_py() or "", two.as_py() or "", k)) for r, (one, two) in enumerate(zip(batch.column("one"), batch.column("two"))))
+            yield from _batches(found, MATCH)
 
     parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return both.select("a", "b", "one", "two").repartition(parts, "a", "b").mapInArrow(run, "a long, b long, x long, y long, len long")
@@ -146,22 +186,53 @@ def minimizers(letters: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np
     # an odd multiplier mixes the order of the codes; k-mers with other letters than ACGT come last
     h = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
     h[~good] = np.uint64(1 << 63)
-    least = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1)
-    at = np.unique(least)
+    # the least of 1, 2, 4... k-mers and its place, the left one of equals; two that overlap make a window
+    least, at, size = h, np.arange(len(h)), 1
+    while size < window:
+        step = min(size, window - size)
+        right = least[step:] < least[:-step]
+        least, at, size = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step]), size + step
+    # places never fall from one window to the next
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     at = at[good[at]]
     return at, code[at]
 
 
-def sampled(reads: DataFrame, least: int, k: int) -> DataFrame:
-    """read, pos, kmer of the minimizers of windows of ``least - k + 1`` k-mers."""
+def _flanks(letters: np.ndarray, at: np.ndarray, k: int, n: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` letters before and behind the k-mers ``at``, the nearest in the lowest of three bits each; ``fill`` stands for other letters than ACGT and none."""
+    d = np.concatenate([np.full(n, fill), np.where(_DIGITS[letters] > 3, fill, _DIGITS[letters]), np.full(n, fill)])
+    left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for j in range(n):
+        left |= d[at + n - 1 - j] << 3 * j
+        right |= d[at + n + k + j] << 3 * j
+    return left, right
+
+
+#: Letters beside a seed that are held against each other before sequences are; three bits each in a long.
+FLANK = 20
+
+
+def sampled(reads: DataFrame, least: int, k: int, fill: int) -> DataFrame:
+    """read, pos, kmer of the minimizers of windows of ``least - k + 1`` k-mers, with the letters on their left and right (``_flanks``)."""
+    n = min(FLANK, least - k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def places(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+            for read, t in zip(batch.column("read").to_pylist(), batch.column("sequence")):
+                letters = np.frombuffer((t.as_py() or "").encode("ascii", "replace"), np.uint8)
+                at, code = minimizers(letters, k, least - k + 1)
+                yield np.full(len(at), read, np.int64), at.astype(np.int64), code, *_flanks(letters, at, k, n, fill)
+
         for batch in batches:
-            for read, t in zip(batch.column("read"), batch.column("sequence")):
-                at, code = minimizers(np.frombuffer((t.as_py() or "").encode("ascii", "replace"), np.uint8), k, least - k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), read.as_py())), pa.array(at.astype(np.int64)), pa.array(code)], names=["read", "pos", "kmer"])
+            yield from _batches(places(batch), ["read", "pos", "kmer", "left", "right"])
+
+    return reads.select(F.col("read").cast("long").alias("read"), "sequence").filter("read is not null").mapInArrow(run, "read long, pos long, kmer long, left long, right long")
 
-    return reads.select(F.col("read").cast("long").alias("read"), "sequence").filter("read is not null").mapInArrow(run, "read long, pos long, kmer long")
+
+def _long_enough(n: int) -> Column:
+    """Whether the letters that agree on both sides of a seed, ``n`` of each being known, are ``n`` or more."""
+    same = lambda side: sum(((F.col(f"{side}_a").bitwiseXOR(F.col(f"{side}_b"))).bitwiseAND(F.lit((1 << 3 * j) - 1)) == 0).cast("int") for j in range(1, n + 1))
+    return same("left") + same("right") >= n
 
 
 def extended(one: str, two: str, xs: np.ndarray, ys: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -191,15 +262,18 @@ def against_references(reads: DataFrame, references: DataFrame, least: int, k: i
 
     Any match of ``least`` letters holds a whole window of ``least - k + 1`` k-mers, and
     its least k-mer is sampled in both sequences, so joining the samples finds every match.
-    A k-mer that stands at more than ``bound`` places is joined in blocks. Of the seeds on
+    Samples bring the letters beside them along, so those that lie on no such match, most
+    of them by far, go before any sequence is fetched. A k-mer that stands at more than ``bound`` places is joined in blocks. Of the seeds on
     a stretch of ``least`` letters of a diagonal the first and the last are kept, which lie on
     all matches there; a pair meets its two sequences with about SEEDS of its seeds a row,
     dealt by diagonal, and each run of equal letters is followed once. Rows without an id
     take no part.
     """
-    left, right = stored(sampled(reads, least, k), "read-seeds"), stored(sampled(references, least, k), "reference-seeds")
-    met = left.withColumnsRenamed({"read": "a", "pos": "x"}), right.withColumnsRenamed({"read": "b", "pos": "y"})
+    left, right = stored(sampled(reads, least, k, 5), "read-seeds"), stored(sampled(references, least, k, 6), "reference-seeds")
+    met = (side.withColumnsRenamed({"read": c, "pos": at, "left": f"left_{c}", "right": f"right_{c}"}) for side, c, at in ((left, "a", "x"), (right, "b", "y")))
     hit = two_sided(*met, ["kmer"], bound)
+    if 0 < least - k <= FLANK:
+        hit = hit.filter(_long_enough(least - k))
     # a match longer than a stretch is reached from any of its seeds
     stretch = F.floor(F.col("x") / least)
     hit = hit.groupBy("a", "b", (F.col("x") - F.col("y")).alias("d"), stretch.alias("stretch")).agg(F.min("x").alias("low"), F.max("x").alias("high"))
@@ -213,12 +287,15 @@ def against_references(reads: DataFrame, references: DataFrame, least: int, k: i
     rows = grouped.join(side(reads, "a", "one"), "a").join(side(references, "b", "two"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
             for r in range(batch.num_rows):
                 a, b, one, two = (batch.column(c)[r].as_py() for c in ("a", "b", "one", "two"))
                 xs, ys = (batch.column(c)[r].values.to_numpy() for c in ("xs", "ys"))
                 got = np.array(extended(one, two, xs, ys, least), np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), a)), pa.array(np.full(len(got), b)), *[pa.array(got[:, c]) for c in range(3)]], names=["a", "b", "x", "y", "len"])
+                yield _of_pair(a, b, *got.T)
+
+        for batch in batches:
+            yield from _batches(found(batch), MATCH)
 
     return rows.select("a", "b", "one", "two", "xs", "ys").mapInArrow(run, "a long, b long, x long, y long, len long")
 
@@ -260,11 +337,18 @@ def in_boxes(merged: DataFrame, boxes: DataFrame, reach: int) -> DataFrame:
     """Merged stretches that meet the box of ``reach`` behind each point (boxes: a, b, x, y), with the point and the stretch's own start.
 
     From the box's upper edge (x + t, y) and its left edge (x, y + t) a diagonal is
-    searched over reach + 1 - t antidiagonals.
+    searched over reach + 1 - t antidiagonals. Points and stretches lie in tiles of diagonals
+    and antidiagonals about as wide as a box, so a point is repeated four times at most and a
+    stretch once for each tile on its way; a pair counts in the tile where both begin to meet.
     """
-    t = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("t")
-    lines = boxes.select("a", "b", "x", "y", t).select("a", "b", "x", "y", (F.col("x") - F.col("y") + F.col("t")).alias("diagonal"), (F.col("x") + F.col("y") + F.abs("t")).alias("low"), (reach + 1 - F.abs("t")).alias("space"))
-    hit = lines.join(merged, ["a", "b", "diagonal"]).filter((F.col("start") <= F.col("low") + F.col("space")) & (F.col("stop") >= F.col("low")))
+    wide, long = 2 * reach + 1, 2 * reach + 2
+    tiles = lambda low, high, width: F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+    spots = boxes.select("a", "b", "x", "y", (F.col("x") - F.col("y")).alias("_d"), (F.col("x") + F.col("y")).alias("_s"))
+    spots = spots.withColumn("_across", tiles(F.col("_d") - reach, F.col("_d") + reach, wide)).withColumn("_along", tiles(F.col("_s"), F.col("_s") + reach + 1, long))
+    lines = merged.select("a", "b", "diagonal", "start", "stop", F.floor(F.col("diagonal") / wide).alias("_across"), tiles(F.col("start"), F.col("stop"), long).alias("_along"))
+    off = F.abs(F.col("diagonal") - F.col("_d"))
+    meet = (off <= reach) & (F.col("start") <= F.col("_s") + reach + 1) & (F.col("stop") >= F.col("_s") + off)
+    hit = spots.join(lines, ["a", "b", "_across", "_along"]).filter(meet & (F.col("_along") == F.floor(F.greatest("start", "_s") / long)))
     return hit.select("a", "b", "x", "y", ((F.col("start") + F.col("diagonal")) / 2).cast("long").alias("at_x"), ((F.col("start") - F.col("diagonal")) / 2).cast("long").alias("at_y"), (F.col("stop") - F.col("start") + 1).alias("len"))
 
 

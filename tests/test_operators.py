@@ -305,3 +305,38 @@ def test_nearest_parts_equal_the_column_function(spark):
         ed.TOGETHER = ed_together
     with pytest.raises(ValueError):
         ed.nearest_parts(df, "read", "sequence", "A" * 65)
+
+
+def test_batches_of_many_small_groups(monkeypatch):
+    """Matches of many pairs leave in few batches, and those of one pair in several."""
+    import numpy as np
+
+    monkeypatch.setattr(matches, "ROWS", 10)
+    groups = [np.arange(n) for n in (3, 0, 4, 25, 1, 2)]
+    got = [b.column("x").to_pylist() for b in matches._batches(((g,) for g in groups), ["x"])]
+    assert sum(got, []) == np.concatenate(groups).tolist() and [len(g) for g in got] == [17, 10, 8]
+
+
+def test_seeds_that_lie_on_no_long_match_go_before_sequences(spark):
+    """A common k-mer with fewer letters in common than asked for, also at the ends of sequences and beside other letters."""
+    core = "GATTACAGGCTA"
+    reads = ["A" * 9 + core + "C" * 9, core, "NNNN" + core + "NNNN", "TTGCA" + core + "GGTAC"]
+    refs = ["T" * 9 + core + "G" * 9, core, "NNNN" + core + "NNNN", "CTGCA" + core + "GGTAT"]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "read long, sequence string")
+    one, two = (matches.sampled(frame(t), 20, 12, fill) for t, fill in ((reads, 5), (refs, 6)))
+    left = one.select(F.col("read").alias("a"), "kmer", F.col("left").alias("left_a"), F.col("right").alias("right_a"))
+    right = two.select(F.col("read").alias("b"), "kmer", F.col("left").alias("left_b"), F.col("right").alias("right_b"))
+    kept = {(r.a, r.b) for r in left.join(right, "kmer").filter(matches._long_enough(8)).collect()}
+    assert kept == {(3, 3)}
+    found = matches.against_references(frame(reads), frame(refs), 20, 12).collect()
+    assert [tuple(r) for r in found] == [(3, 3, 1, 1, 20)]
+
+
+def test_boxes_meet_long_stretches_on_any_tile(spark):
+    """Stretches over many tiles, on diagonals and places below zero, against every point and diagonal in turn."""
+    rng = random.Random(8)
+    merged = [(1, 2, d, s, s + rng.choice((0, 3, 40, 300))) for d in range(-40, 41, 3) for s in rng.sample(range(0, 600), 3) if (s + d) % 2 == 0]
+    spots = [(1, 2, rng.randrange(300), rng.randrange(300)) for _ in range(60)]
+    got = matches.in_boxes(spark.createDataFrame(merged, "a long, b long, diagonal long, start long, stop long"), spark.createDataFrame(spots, "a long, b long, x long, y long"), 9).collect()
+    want = [(1, 2, x, y, int((s + d) / 2), int((s - d) / 2), e - s + 1) for _, _, x, y in spots for _, _, d, s, e in merged if abs(d - x + y) <= 9 and s <= x + y + 10 and e >= x + y + abs(d - x + y)]
+    assert want and sorted(map(tuple, got)) == sorted(want)
