@@ -15,6 +15,11 @@ BOUND = 2000
 MOST_HOT = 50_000
 
 
+def partitions(rows: DataFrame, each: int = 500_000) -> int:
+    """Partitions with about ``each`` of the rows, at least as many as shuffles have: a task's memory then stays as it is when the table grows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
+
 def hot_keys(rows: DataFrame, keys: list[str], bound: int, most: int = MOST_HOT, having: Column | None = None) -> DataFrame | None:
     """keys and _n of the keys with more than ``bound`` rows and for which ``having`` holds, to be joined; None if there are none."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), (F.lit(True) if having is None else having).alias("_held"))

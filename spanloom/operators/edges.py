@@ -16,11 +16,13 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("n0").alias("name")).union(edges.select("n1")).distinct()
 
 
-def merge(*edges: DataFrame) -> DataFrame:
-    """One row for each key; a flag holds if it holds in any parallel edge."""
+def merge(*edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """One row for each key; a flag holds if it holds in any parallel edge. With ``parts``, edges are dealt into so many partitions first."""
     out = edges[0]
     for more in edges[1:]:
         out = out.unionByName(more)
+    if parts:
+        out = out.repartition(parts, *KEY)
     return out.groupBy(*KEY).agg(*[F.bool_or(f).alias(f) for f in FLAGS])
 
 
@@ -66,9 +68,10 @@ def only(edges: DataFrame, flag: str) -> DataFrame:
     return edges.filter(F.col(flag))
 
 
-def find(edges: DataFrame, asked: DataFrame) -> DataFrame:
+def find(edges: DataFrame, asked: DataFrame, parts: int | None = None) -> DataFrame:
     """The edges between the asked pairs (columns a, b in either order, is_cross), with the pair as it was asked; pairs without an edge are left out."""
-    keys = asked.select("a", "b", F.least("a", "b").alias("n0"), F.greatest("a", "b").alias("n1"), "is_cross").distinct()
+    keys = asked.select("a", "b", F.least("a", "b").alias("n0"), F.greatest("a", "b").alias("n1"), "is_cross")
+    keys = (keys.repartition(parts, *KEY) if parts else keys).distinct()
     return keys.join(edges, KEY).select("a", "b", *KEY, *FLAGS)
 
 
@@ -79,10 +82,10 @@ def restrict(edges: DataFrame, names: DataFrame) -> DataFrame:
     return edges.select(*KEY, *FLAGS)
 
 
-def renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
+def renamed(edges: DataFrame, names: DataFrame, parts: int | None = None) -> DataFrame:
     """Edges with the names of their ids (names: id, name) as a and b; edges of unknown ids are left out."""
     for end, name in (("n0", "a"), ("n1", "b")):
-        edges = edges.join(names.select(F.col("id").alias(end), F.col("name").alias(name)), end)
+        edges = (edges.repartition(parts, end) if parts else edges).join(names.select(F.col("id").alias(end), F.col("name").alias(name)), end)
     return edges
 
 

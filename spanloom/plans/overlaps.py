@@ -24,10 +24,11 @@ def overlap_edges_by_target(spark, sf_dir):
 
 
 def _labeled(spark, sf_dir):
-    candidates = edges.merge(views.candidates(spark, sf_dir))
+    parts = views.candidate_parts(spark, sf_dir)
+    candidates = edges.merge(views.candidates(spark, sf_dir), parts=parts)
     known = edges.nodes(candidates).withColumnRenamed("name", "query")
     aln = views.alignments(spark, sf_dir).filter("mapq >= 60").join(known, "query", "left_semi")
-    return edges.exclude(edges.merge(candidates, edges.reference(intervals.overlap_edges(aln, 60))), views.excluded(spark, sf_dir))
+    return edges.exclude(edges.merge(candidates, edges.reference(intervals.overlap_edges(aln, 60)), parts=parts), views.excluded(spark, sf_dir))
 
 
 LABELED = f"""WITH {ALN}, {CAND}, {EXCL}, known AS (SELECT n0 AS name FROM cand UNION SELECT n1 FROM cand),

@@ -78,9 +78,13 @@ def length_list(spark, sf_dir):
     return formats.read_lengths(spark, path).groupBy("length").agg(F.count("*").alias("n"))
 
 
+def _merged(spark, sf_dir) -> DataFrame:
+    return edges.merge(views.candidates(spark, sf_dir), parts=views.candidate_parts(spark, sf_dir))
+
+
 def edges_csv(spark, sf_dir):
     path = new_path(spark, "edges")
-    formats.write_edges(edges.merge(views.candidates(spark, sf_dir)), path)
+    formats.write_edges(_merged(spark, sf_dir), path)
     return spark.read.csv(path, header=True)
 
 
@@ -207,7 +211,7 @@ def _names(spark, sf_dir) -> DataFrame:
 def renamed_overlaps(spark, sf_dir):
     """Candidate edges with the names of their parts, written and read again."""
     path = new_path(spark, "renamed")
-    formats.write_csv(edges.renamed(edges.merge(views.candidates(spark, sf_dir)), _names(spark, sf_dir)).select("a", "b", "is_cross"), path)
+    formats.write_csv(edges.renamed(_merged(spark, sf_dir), _names(spark, sf_dir), views.candidate_parts(spark, sf_dir)).select("a", "b", "is_cross"), path)
     return spark.read.csv(path, header=True, schema="a string, b string, is_cross boolean")
 
 
@@ -219,16 +223,16 @@ def first_by_name(spark, sf_dir):
 
 def edge_lookup(spark, sf_dir):
     """The labelled edges of pairs that are asked for in reverse order; half of these have no edge of that strand."""
-    e = edges.merge(views.candidates(spark, sf_dir))
-    return edges.find(e, e.select(F.col("n1").alias("a"), F.col("n0").alias("b"), F.lit(True).alias("is_cross")))
+    e = _merged(spark, sf_dir)
+    return edges.find(e, e.select(F.col("n1").alias("a"), F.col("n0").alias("b"), F.lit(True).alias("is_cross")), views.candidate_parts(spark, sf_dir))
 
 
 def edges_of_nodes(spark, sf_dir):
-    return edges.restrict(edges.merge(views.candidates(spark, sf_dir)), _names(spark, sf_dir).filter("id % 3 <> 0").select(F.col("id").alias("name")))
+    return edges.restrict(_merged(spark, sf_dir), _names(spark, sf_dir).filter("id % 3 <> 0").select(F.col("id").alias("name")))
 
 
 def selected_edges(spark, sf_dir):
-    return edges.only(edges.merge(views.candidates(spark, sf_dir)), "is_selected").select("n0", "n1", "is_cross")
+    return edges.only(_merged(spark, sf_dir), "is_selected").select("n0", "n1", "is_cross")
 
 
 def node_labels(spark, sf_dir):

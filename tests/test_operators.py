@@ -340,3 +340,16 @@ def test_boxes_meet_long_stretches_on_any_tile(spark):
     got = matches.in_boxes(spark.createDataFrame(merged, "a long, b long, diagonal long, start long, stop long"), spark.createDataFrame(spots, "a long, b long, x long, y long"), 9).collect()
     want = [(1, 2, x, y, int((s + d) / 2), int((s - d) / 2), e - s + 1) for _, _, x, y in spots for _, _, d, s, e in merged if abs(d - x + y) <= 9 and s <= x + y + 10 and e >= x + y + abs(d - x + y)]
     assert want and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_edges_are_dealt_by_their_number(spark):
+    """Partitions grow with the rows, and the dealt forms give the same rows."""
+    from spanloom.operators.blocks import partitions
+
+    assert partitions(spark.range(100), 10) == 10 and partitions(spark.range(100)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.merge(edges.reference(spark.createDataFrame([(1, 2, True), (2, 3, False), (1, 2, True)], "n0 long, n1 long, is_cross boolean")), parts=7)
+    assert e.rdd.getNumPartitions() == 7 and e.count() == 2
+    asked = spark.createDataFrame([(2, 1, True), (3, 2, False), (9, 1, True)], "a long, b long, is_cross boolean")
+    assert sorted((r.a, r.b) for r in edges.find(e, asked, 7).collect()) == [(2, 1), (3, 2)]
+    names = spark.createDataFrame([(1, "x"), (2, "y")], "id long, name string")
+    assert [(r.a, r.b) for r in edges.renamed(e, names, 7).collect()] == [("x", "y")]
