@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions.scratch import stored
+from spanloom.functions.shipping import ship_package
 from spanloom.operators import boxes, chains, edges, graph, intervals
 from spanloom.sources import views
 from spanloom.sources.views import ALN, CAND, CHAIN, EXCL
@@ -141,7 +142,7 @@ def chain_islands(spark, sf_dir):
 
 def chain_islands_streamed(spark, sf_dir):
     """The same from a stream: elements arrive in their order, and each is placed when it comes."""
-    elements = chains.of_quality(views.chain_elements(spark, sf_dir), views.CHAIN_QUALITY)
+    elements = chains.of_quality(views.chain_elements(ship_package(spark), sf_dir), views.CHAIN_QUALITY)
     return replayed(elements).filter("kind = 'element'").select("read", "place", "gap", "island")
 
 

@@ -62,6 +62,26 @@ def test_rows_with_nulls_take_no_part(play):
     assert play(odd, [*odd, element(1, 2, 0)]) == [(1, "element", 2, 0, None, 0, 0)]
 
 
+def test_many_reads_share_a_state(spark, tmp_path, play):
+    """State rows grow with the buckets, not the reads; late, equal and new elements of many reads in one bucket are told apart."""
+    first = [element(r, o, 10 * r + 3000 * o, "cd"[r % 2], rev=r % 3 == 0) for r in range(3000) for o in (2, 1)]
+    then = [element(r, 2 - r % 2, 10 * r, "cd"[r % 2], rev=r % 3 == 0, length=9) for r in range(0, 3000, 5)] + [element(3000, 1, 0)]
+    got = play(first, then, buckets=2)
+    assert len(got) == len(first) + len(then)
+    assert {x[0] for x in got if x[1] == "late"} == set(range(0, 3000, 5))
+    assert [x for x in got if x[0] == 5] == [(5, "element", 1, 0, None, 0, 0), (5, "element", 2, 1, 2990, 1, 0), (5, "late", 1, None, None, None, 1)]
+    assert [x for x in got if x[0] == 3000] == [(3000, "element", 1, 0, None, 0, 0)]
+
+    at = str(tmp_path / "many")
+    spark.createDataFrame(first, FIELDS).write.parquet(at)
+    stream = islands_stream(spark.readStream.schema(FIELDS).parquet(at))
+    q = stream.writeStream.format("memory").queryName("many_reads").option("checkpointLocation", str(tmp_path / "many-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(p["numInputRows"] for p in q.recentProgress) == len(first)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 1024
+    assert spark.table("many_reads").count() == len(first)
+
+
 def test_replayed_equals_batch(spark, sf):
     rows = chains.of_quality(views.chain_elements(spark, sf), views.CHAIN_QUALITY)
     # one read holds a third of all rows
