@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.distributions import student_cdf, student_p
 from spanloom.functions.edit_distance import MODES, edit_distance
 from spanloom.functions.scratch import stored
-from spanloom.operators import blocks, boxes, graph, intervals, matches, network, phasing
+from spanloom.operators import blocks, boxes, graph, intervals, learning, matches, network, phasing
 from spanloom.sql import register
 
 
@@ -266,6 +266,29 @@ def test_a_network_learns_what_is_not_linear(spark):
     assert area > 0.9 and abs(area - wins) < 0.01
 
 
+def test_a_network_scores_rows_once_and_as_spark_does(spark, monkeypatch):
+    """Scored rows are read from a stored table, whatever is asked of them, and equal those of Spark's own model."""
+    models = []
+    fit = network.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(network.MultilayerPerceptronClassifier, "fit", lambda self, df: models.append((fit(self, df), df)) or models[0][0])
+    rows = spark.range(20_000).selectExpr("id", "(xxhash64(id) % 1000) / 10D AS x", "cast(xxhash64(id, 7) % 1000 as int) AS y", "3 AS z").selectExpr("*", "cast(x * y > 5000 as int) AS label")
+    scored, area = network.network_fit(rows, "id", ["x", "y", "z"], hidden=(16, 8), steps=40)
+    assert scored.inputFiles() and all("/scored-" in f for f in scored.inputFiles())
+    train, test = learning.split(rows, "id")
+    assembler = network.VectorAssembler(inputCols=["x", "y", "z"], outputCol="raw")
+    scaler = network.StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(assembler.transform(train))
+    want = models[0][0].transform(scaler.transform(assembler.transform(test)))
+    assert abs(area - network.BinaryClassificationEvaluator(labelCol="label", numBins=0).evaluate(want)) < 1e-6
+    one, two = ({r.id: r for r in df.collect()} for df in (scored, want))
+    assert one.keys() == two.keys() and len(one) > 7000
+    for i, r in one.items():
+        assert r.prediction == two[i].prediction
+        assert max(abs(r.rawPrediction.toArray() - two[i].rawPrediction.toArray())) < 1e-9
+        assert max(abs(r.probability.toArray() - two[i].probability.toArray())) < 1e-9
+    with pytest.raises(Exception, match="null or NaN"):
+        network.scored_rows(rows.selectExpr("id", "if(id = 9, null, x) AS x"), ["x"], 0.0, 1.0, [1, 2], np.ones(4))
+
+
 def test_reads_in_both_haplotypes_are_refused(spark):
     good = spark.createDataFrame([(1, "c", 0, 1), (2, "c", 1, 1), (2, "c", 1, 1), (None, "c", 0, 0), (None, "c", 1, 0)], "doc_id long, component string, a int, b int")
     assert phasing.refuse_conflicts(good, "doc_id").count() == 5
